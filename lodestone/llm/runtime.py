@@ -51,7 +51,7 @@ def _sweep() -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df, which for files is their length."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def remainder(doc_id: Column, n: int) -> Column:

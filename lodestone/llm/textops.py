@@ -101,19 +101,26 @@ def combine(h: np.ndarray, n: int) -> np.ndarray:
     return mix(total + np.uint64(n))
 
 
-def shingles(h: np.ndarray, bounds: np.ndarray, n: int = SHINGLE) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its n-word shingles.
+def shingle_rows(h: np.ndarray, bounds: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-word shingles of all texts, repeats kept, and the text of each, in order.
 
     A text of fewer than n words has its whole sequence as its one shingle; a
     text without words has none.
     """
-    whole = combine(h, n) if len(h) >= n else h[:0]
-    out = []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if b - a >= n:
-            out.append(np.unique(whole[a : b - n + 1]))
-        elif b > a:
-            out.append(combine(h[a:b], b - a))
-        else:
-            out.append(h[:0])
-    return out
+    size = np.diff(bounds)
+    doc = np.repeat(np.arange(len(size)), size)
+    inside = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]) if len(doc) >= n else np.zeros(0, np.int64)
+    hashes, doc = (combine(h, n)[inside], doc[inside]) if len(inside) else (h[:0], doc[:0])
+    short = np.flatnonzero((size > 0) & (size < n))
+    if len(short):
+        extra = np.concatenate([combine(h[bounds[i] : bounds[i + 1]], int(size[i])) for i in short])
+        at = np.searchsorted(doc, short)
+        hashes, doc = np.insert(hashes, at, extra), np.insert(doc, at, short)
+    return hashes, doc
+
+
+def shingles(h: np.ndarray, bounds: np.ndarray, n: int = SHINGLE) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its n-word shingles."""
+    hashes, doc = shingle_rows(h, bounds, n)
+    cut = np.searchsorted(doc, np.arange(len(bounds)))
+    return [np.unique(hashes[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]

@@ -86,7 +86,9 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> list[float]
     hash, so the same table always gives the same weights. Rows with a null label
     are left out; an empty table gives zeros, and so a score of a half.
     """
-    labelled = labelled if labelled is not None else spark.createDataFrame(list(LABELLED), "url string, label int")
+    if labelled is None:
+        table = json.dumps([{"url": url, "label": label} for url, label in LABELLED])
+        labelled = spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<url: string, label: int>>")))
     rows = labelled.select("url", F.col("label").cast("double").alias("label")).where("label IS NOT NULL")
     feats = rows.select(F.xxhash64("url", "label").alias("at"), "label", features(*host_path(F.col("url"))).alias("f"))
     dense = feats.select(
