@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import fingerprint, html_text, quality, toxicity, url_filter
+from lodestone.llm import class_lm, fingerprint, html_text, quality, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint(_table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op3_toxicity, op4_html_text, op7_fingerprint, op10_url_filter)
+    for f in (op1_quality, op3_toxicity, op4_html_text, op6_lm_score, op7_fingerprint, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {}
