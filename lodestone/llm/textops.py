@@ -20,6 +20,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+LETTER = np.zeros(256, dtype=bool)  # ASCII letters and digits, and all beyond ASCII
+for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
+    LETTER[_a:_b] = True
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -93,6 +96,21 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hash_spans(padded, start, end), np.searchsorted(start, offsets)
 
 
+def lower_letters(data: np.ndarray) -> np.ndarray:
+    """As pad_lower, but also lower-cases the accented capitals of Latin-1."""
+    out = pad_lower(data)
+    body = out[: len(data)]
+    capital = np.flatnonzero((body[:-1] == 0xC3) & (body[1:] >= 0x80) & (body[1:] <= 0x9E) & (body[1:] != 0x97)) + 1
+    body[capital] += 32
+    return out
+
+
+def letter_words(data: np.ndarray, offsets: np.ndarray):
+    """Hashes of the runs of letters and digits, lower-cased; bounds of the texts; starts and ends in bytes."""
+    start, end = spans(LETTER[data], offsets)
+    return hash_spans(lower_letters(data), start, end), np.searchsorted(start, offsets), start, end
+
+
 def combine(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n consecutive words."""
     total = h[: len(h) - n + 1] * _COEF[0]

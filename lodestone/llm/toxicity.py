@@ -23,30 +23,18 @@ STARTS = (4, 5, 6)  # bytes of a word's beginnings
 LEAST = 3  # training documents that a feature must be in
 EPOCHS = 150
 
-_INSIDE = np.zeros(256, bool)
-for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
-    _INSIDE[_a:_b] = True
 _END = np.zeros(256, bool)
 _END[[0x0A, 0x0D, 0x21, 0x2E, 0x3F]] = True  # line ends . ! ?
 
 
-def lower(data: np.ndarray) -> np.ndarray:
-    """Lower-cased copy of A-Z and of the accented capitals of Latin-1, padded for textops."""
-    out = textops.pad_lower(data)
-    body = out[: len(data)]
-    capital = np.flatnonzero((body[:-1] == 0xC3) & (body[1:] >= 0x80) & (body[1:] <= 0x9E) & (body[1:] != 0x97)) + 1
-    body[capital] += 32
-    return out
-
-
 def sentence_features(data: np.ndarray, offsets: np.ndarray):
     """Feature buckets with the sentence of each, sentence bounds in bytes, and the sentences of each text.
 
     A sentence ends after a run of . ! ? or line ends. Sentences without words
     are left out.
     """
-    padded = lower(data)
-    start, end = textops.spans(_INSIDE[data], offsets)
+    padded = textops.lower_letters(data)
+    start, end = textops.spans(textops.LETTER[data], offsets)
     if not len(start):
         none = np.zeros(0, np.int64)
         return none, none, none, none, np.zeros(len(offsets), np.int64)
