@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import class_lm, contamination, fingerprint, html_text, quality, toxicity, url_filter
+from lodestone.llm import class_lm, contamination, fingerprint, html_text, quality, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,13 +35,17 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.classify(_table(spark, sf_dir, "pages"), url_filter.train(spark))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op3_toxicity, op4_html_text, op6_lm_score, op7_fingerprint, op8_decontaminate, op10_url_filter)
+    for f in (op1_quality, op3_toxicity, op4_html_text, op6_lm_score, op7_fingerprint, op8_decontaminate, op9_suffix_dedup, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {}
