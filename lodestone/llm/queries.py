@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import class_lm, contamination, fingerprint, html_text, quality, suffix_dedup, toxicity, url_filter
+from lodestone.llm import class_lm, contamination, fingerprint, html_text, jaccard_join, packing, quality, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -23,6 +27,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op3_toxicity, op4_html_text, op6_lm_score, op7_fingerprint, op8_decontaminate, op9_suffix_dedup, op10_url_filter)
+    for f in (op1_quality, op2_jaccard_join, op3_toxicity, op4_html_text, op5_packing, op6_lm_score, op7_fingerprint, op8_decontaminate, op9_suffix_dedup, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {}
