@@ -35,7 +35,7 @@ RUN = 1024  # windows in a segment, at most
 SLAB = 1 << 20  # windows of one text handled at once
 OFTEN = 1000  # segments of one key that make its grams popular
 POPULAR = 20_000  # keys looked into for popular grams, at most
-CHUNK = 3 << 20  # bytes of segments sorted together
+CHUNK = 1 << 20  # bytes of segments sorted together
 FLAGS = 1 << 27  # bits of the filter that says which buckets are to be sorted
 
 _P = 0x9E3779B97F4A7C15
@@ -60,24 +60,34 @@ def _least(h: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (span - k)], m[span - k :]) if span > k else m
 
 
-def segments(b: np.ndarray, popular: np.ndarray):
-    """(key, first window, windows, whether the key's gram is there twice) of one text; popular: sorted hashes."""
+class Popular:
+    """A sorted list of hashes with a quick test."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.there = hashes, np.zeros(1 << 22, bool)
+        self.there[(hashes >> np.uint64(41)).astype(np.int64)] = True
+
+    def mark(self, h: np.ndarray) -> None:
+        """Put the listed values of h behind all others, in place."""
+        if len(self.hashes):
+            at = np.flatnonzero(self.there[(h >> np.uint64(41)).view(np.int64)])
+            found = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+            at = at[self.hashes[found] == h[at]]
+            h[at] |= _TOP
+
+
+def segments(b: np.ndarray, popular: Popular):
+    """Slabs of one text: (place, gram hashes, keys, first windows, numbers of windows)."""
     for base in range(0, len(b) - LENGTH + 1, SLAB):
         h = gram_hashes(b[base : base + SLAB + LENGTH - 1])
-        if len(popular):
-            at = np.searchsorted(popular, h)
-            at[at == len(popular)] = 0
-            h = np.where(popular[at] == h, h | _TOP, h)
+        popular.mark(h)
         m = _least(h, SPAN)
-        first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-        size = np.diff(np.r_[first, len(m)])
-        for p, n in zip(first.tolist(), size.tolist()):
-            key = m[p]
-            for q in range(p, p + n, RUN):
-                n_q = min(RUN, p + n - q)
-                left = q + int(h[q : q + SPAN].argmin())
-                right = q + n_q + SPAN - 2 - int(h[q + n_q - 1 : q + n_q - 1 + SPAN][::-1].argmin())
-                yield int(key), base + q, n_q, left != right, h[q : q + n_q + SPAN - 1]
+        change = np.r_[True, m[1:] != m[:-1]]
+        first = np.flatnonzero(change)
+        if len(m) > RUN:  # long runs, of periodic text, are cut
+            since = np.arange(len(m)) - first[np.cumsum(change) - 1]
+            first = np.flatnonzero(since % RUN == 0)
+        yield base, h, m[first], first, np.diff(np.r_[first, len(m)])
 
 
 def _long(keys) -> pa.Array:
@@ -92,34 +102,52 @@ def _texts(column):
 
 
 def _often(batches):
-    """Keys with how many segments they have in each batch, where more than one."""
+    """Keys with how many segments they have in each batch, where more than one, and the least and largest sum of their grams."""
+    nothing = Popular(np.zeros(0, np.uint64))
     for batch in batches:
-        keys = [s[0] for _, b in _texts(batch.column(0)) for s in segments(b, np.zeros(0, np.uint64))]
-        key, n = np.unique(np.array(keys, np.uint64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["key", "n"])
-
-
-def popular_grams(docs: DataFrame) -> np.ndarray:
-    """Hashes of the grams around keys that OFTEN segments have, which themselves are there half as often.
+        keys, sums = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for _, b in _texts(batch.column(0)):
+            for _, h, key, first, n in segments(b, nothing):
+                total = np.r_[np.uint64(0), np.cumsum(h)]
+                keys.append(key), sums.append(total[first + n + SPAN - 1] - total[first])
+        key, total = np.concatenate(keys), np.concatenate(sums)
+        order = np.lexsort((total, key))
+        key, total = key[order], total[order]
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[new, len(key)])
+        many = size > 1
+        lo, hi = total[new[many]].view(np.int64), total[(new + size - 1)[many]].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key[new[many]].view(np.int64)), pa.array(size[many]), pa.array(lo), pa.array(hi)], names=["key", "n", "lo", "hi"])
+
+
+def popular_grams(docs: DataFrame) -> Popular:
+    """Grams around keys that OFTEN segments have, not all alike, which themselves are there half as often.
 
     Only how the work is spread depends on them, not what is found.
     """
     sc = docs.sparkSession.sparkContext
-    counted = docs.select("text").mapInArrow(_often, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    keys = counted.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "key").limit(POPULAR).select("key").toArrow().column("key").to_numpy()
+    counted = docs.select("text").mapInArrow(_often, "key bigint, n bigint, lo bigint, hi bigint").groupBy("key")
+    counted = counted.agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("lo").alias("lo2"), F.min("hi").alias("hi"), F.max("hi").alias("hi2"))
+    counted = counted.where(f"n >= {OFTEN} AND NOT (lo = lo2 AND hi = hi2 AND lo = hi)")
+    keys = counted.orderBy(F.desc("n"), "key").limit(POPULAR).select("key").toArrow().column("key").to_numpy()
     if not len(keys):
-        return np.zeros(0, np.uint64)
-    shared = sc.broadcast(set(keys.view(np.uint64).tolist()))
+        return Popular(np.zeros(0, np.uint64))
+    shared = sc.broadcast(np.sort(keys.view(np.uint64)))
 
     def around(batches):
+        nothing = Popular(np.zeros(0, np.uint64))
         for batch in batches:
-            found = [s[4] for _, b in _texts(batch.column(0)) for s in segments(b, np.zeros(0, np.uint64)) if s[0] in shared.value]
-            h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+            found = [np.zeros(0, np.uint64)]
+            for _, b in _texts(batch.column(0)):
+                for _, h, key, first, n in segments(b, nothing):
+                    for i in np.flatnonzero(np.isin(key, shared.value)).tolist():
+                        found.append(h[first[i] : first[i] + n[i] + SPAN - 1])
+            h, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
 
     near = docs.select("text").mapInArrow(around, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     top = near.where(F.col("n") >= OFTEN // 2).orderBy(F.desc("n"), "h").limit(POPULAR * 50).select("h").toArrow()
-    return np.sort(top.column("h").to_numpy().view(np.uint64))
+    return Popular(np.sort(top.column("h").to_numpy().view(np.uint64)))
 
 
 # ---- suffix sorting
@@ -138,11 +166,11 @@ def packed(t: np.ndarray) -> np.ndarray:
 def smaller_than_next(t: np.ndarray) -> np.ndarray:
     """Which suffixes of t are smaller than the one after them; the last is not."""
     n = len(t)
-    change = np.flatnonzero(t[:-1] != t[1:])
-    at = np.searchsorted(change, np.arange(n))
-    inside = at < len(change)
+    change = np.where(t[:-1] != t[1:], np.arange(n - 1), n)
+    at = np.r_[np.minimum.accumulate(change[::-1])[::-1], n]
     out = np.zeros(n, bool)
-    j = change[at[inside]]
+    inside = at < n
+    j = at[inside]
     out[inside] = t[j] < t[j + 1]
     return out
 
@@ -266,16 +294,47 @@ def _runs(flags: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1).astype(np.int32)
 
 
+_PIECE = 50
+_PIECES = (LENGTH - _PIECE + 1) // _PIECE  # whole pieces in any window, wherever it starts
+
+
+def may_match(bucket: list[tuple[bytes, int]]) -> list[bool]:
+    """Which segments of a bucket can hold a window of another one.
+
+    Each comes with the place of its key's gram, or -1 where that is there more
+    than once. Equal windows hold the gram at the same place, so that counted
+    from it they agree in _PIECES consecutive pieces.
+    """
+    seen: dict[tuple[int, int], int] = {}
+    mine = []
+    for text, at in bucket:
+        first, size = -(at // _PIECE), _PIECE * _PIECES
+        keys = [(j, hash(text[at + _PIECE * j : at + _PIECE * j + size])) for j in range(first, (len(text) - size - at) // _PIECE + 1)] if at >= 0 else []
+        mine.append(keys)
+        for k in keys:
+            seen[k] = seen.get(k, 0) + 1
+    several = any(at < 0 for _, at in bucket)
+    return [several or any(seen[k] > 1 for k in keys) for keys in mine]
+
+
 def _sort_buckets(batches):
     """Windows of each distinct segment that are repeated in its bucket, as runs."""
-    held: dict[tuple[int, bytes], list] = {}
+    chunk: list[tuple[int, bytes, bytes, int]] = []
+    bucket: dict[bytes, list] = {}
     load, last = 0, None
 
+    def close():
+        nonlocal load
+        ask = may_match([(v[0], v[2]) for v in bucket.values()])
+        for (f, (text, n, _)), sort in zip(bucket.items(), ask):
+            if sort or n > 1:
+                chunk.append((last, f, text, n))
+                load += len(text)
+
     def flush():
-        parts = list(held.items())
-        flags = repeated_windows([p[1][0] for p in parts])
+        flags = repeated_windows([text for _, _, text, _ in chunk])
         at, keys, prints, runs = 0, [], [], []
-        for (key, f), (text, n) in parts:
+        for key, f, text, n in chunk:
             mine = flags[at : at + len(text) - LENGTH + 1] | (n > 1)
             at += len(text)
             if mine.any():
@@ -283,17 +342,19 @@ def _sort_buckets(batches):
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(prints, pa.binary()), pa.array(runs, pa.binary())], names=["key", "print", "runs"])
 
     for batch in batches:
-        for key, f, n, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if load >= CHUNK and key != last:
-                yield flush()
-                held, load = {}, 0
-            last = key
-            if (key, f) in held:
-                held[key, f][1] += n
+        for key, f, n, text, at in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if key != last:
+                close()
+                bucket, last = {}, key
+                if load >= CHUNK:
+                    yield flush()
+                    chunk, load = [], 0
+            if f in bucket:
+                bucket[f][1] += n
             else:
-                held[key, f] = [text, n]
-                load += len(text)
-    if held:
+                bucket[f] = [text, n, at]
+    close()
+    if chunk:
         yield flush()
 
 
@@ -305,16 +366,20 @@ def spans(docs: DataFrame) -> DataFrame:
     def listed(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            rows = [
-                (key, hashlib.blake2b(b[p : p + n + LENGTH - 1].data, digest_size=16).digest(), ids[i], p, n, twice)
-                for i, b in _texts(batch.column(1))
-                for key, p, n, twice, _ in segments(b, popular.value)
-            ]
-            key, f, doc, p, n, twice = zip(*rows) if rows else ((),) * 6
+            none = np.zeros(0, np.int64)
+            keys, prints, doc, place, size, twice = [none], [], [], [none], [none], []
+            for i, b in _texts(batch.column(1)):
+                for base, h, key, first, n in segments(b, popular.value):
+                    keys.append(key.view(np.int64)), place.append(first + base), size.append(n)
+                    doc += [ids[i]] * len(key)
+                    for k, p, m in zip(key, first.tolist(), n.tolist()):
+                        prints.append(hashlib.blake2b(b[base + p : base + p + m + LENGTH - 1].data, digest_size=16).digest())
+                        twice.append(np.count_nonzero(h[p : p + m + SPAN - 1] == k) > 1)
             yield pa.RecordBatch.from_arrays(
-                [_long(key), pa.array(f, pa.binary()), pa.array(doc, pa.int64()), pa.array(p, pa.int32()), pa.array(n, pa.int32()), pa.array(twice, pa.bool_())],
+                [pa.array(np.concatenate(keys)), pa.array(prints, pa.binary()), pa.array(doc, pa.int64()), pa.array(np.concatenate(place), pa.int32()),
+                 pa.array(np.concatenate(size), pa.int32()), pa.array(twice, pa.bool_())],
                 names=["key", "print", "doc_id", "p", "n", "twice"],
-            )
+            )
 
     every = materialize(docs.mapInArrow(listed, "key bigint, print binary, doc_id bigint, p int, n int, twice boolean"))
     # A print stands for itself in hashed form while buckets are judged: whether all are equal.
@@ -335,19 +400,21 @@ def spans(docs: DataFrame) -> DataFrame:
         for batch in batches:
             held: dict[tuple[int, bytes], list] = {}
             for _, b in _texts(batch.column(0)):
-                for key, p, n, _, _ in segments(b, popular.value):
-                    at = (key if key < 1 << 63 else key - (1 << 64)) % FLAGS
-                    if flags.value[at >> 5] >> np.uint32(at & 31) & np.uint32(1):
-                        text = b[p : p + n + LENGTH - 1].tobytes()
+                for base, h, key, first, n in segments(b, popular.value):
+                    at = key.view(np.int64) % FLAGS
+                    for i in np.flatnonzero(flags.value[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).tolist():
+                        p, m = int(first[i]), int(n[i])
+                        text = b[base + p : base + p + m + LENGTH - 1].tobytes()
                         f = hashlib.blake2b(text, digest_size=16).digest()
-                        held.setdefault((key, f), [text, 0])[1] += 1
+                        gram = np.flatnonzero(h[p : p + m + SPAN - 1] == key[i])
+                        held.setdefault((int(key[i]), f), [text, 0, int(gram[0]) if len(gram) == 1 else -1])[1] += 1
             yield pa.RecordBatch.from_arrays(
-                [_long([k for k, _ in held]), pa.array([f for _, f in held], pa.binary()), pa.array([v[1] for v in held.values()], pa.int32()), pa.array([v[0] for v in held.values()], pa.binary())],
-                names=["key", "print", "n", "text"],
+                [_long([k for k, _ in held]), pa.array([f for _, f in held], pa.binary()), *(pa.array([v[c] for v in held.values()], t) for c, t in ((1, pa.int32()), (0, pa.binary()), (2, pa.int32())))],
+                names=["key", "print", "n", "text", "at"],
             )
 
     parts = max(spark.sparkContext.defaultParallelism * 2, input_bytes(docs) >> 23)
-    to_sort = docs.select("text").mapInArrow(texts, "key bigint, print binary, n int, text binary").repartition(parts, "key").sortWithinPartitions("key")
+    to_sort = docs.select("text").mapInArrow(texts, "key bigint, print binary, n int, text binary, at int").repartition(parts, "key").sortWithinPartitions("key")
     sorted_ = to_sort.mapInArrow(_sort_buckets, "key bigint, print binary, runs binary")
 
     whole = shared.where("equal").select("doc_id", F.col("p").alias("start"), (F.col("p") + F.col("n") + (LENGTH - 1)).alias("stop"))
