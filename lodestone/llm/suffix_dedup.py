@@ -249,10 +249,10 @@ def suffix_array(t: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.nda
     return sa, key
 
 
-def common_prefixes(sa: np.ndarray, key: np.ndarray, limit: int = LENGTH) -> np.ndarray:
-    """Symbols that each suffix shares with the one before it in sa, at most limit; 0 for the first."""
+def common_prefixes(sa: np.ndarray, key: np.ndarray, asked: np.ndarray | None = None, limit: int = LENGTH) -> np.ndarray:
+    """Symbols that each suffix shares with the one before it in sa, at most limit; 0 for the first, and unless both places are asked for."""
     out = np.zeros(len(sa), np.int64)
-    alive = np.arange(1, len(sa))
+    alive = np.arange(1, len(sa)) if asked is None else np.flatnonzero(asked[sa[1:]] & asked[sa[:-1]]) + 1
     done = 0
     while len(alive) and done < limit:
         x = key[sa[alive] + done] ^ key[sa[alive - 1] + done]
@@ -277,7 +277,7 @@ def repeated_windows(parts: list[bytes]) -> np.ndarray:
     np.add.at(valid, (start + size - LENGTH + 1)[long], -1)
     valid = np.cumsum(valid)[:-1] > 0
     sa, key = suffix_array(t)
-    same = (common_prefixes(sa, key) >= LENGTH) & valid[sa] & np.r_[False, valid[sa[:-1]]]
+    same = common_prefixes(sa, key, valid) >= LENGTH
     out = np.zeros(len(t), bool)
     out[sa[same]] = True
     out[sa[np.flatnonzero(same) - 1]] = True
