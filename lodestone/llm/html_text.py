@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from lodestone.llm.runtime import tune
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
 )
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-label)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
@@ -52,12 +52,13 @@ _HEAD = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 
 
 class _Node:
-    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "parent", "skip", "sum", "tag", "tags")
+    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "para", "parent", "skip", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: _Node | None, skip: bool = False):
         self.tag, self.parent, self.skip, self.kids = tag, parent, skip, []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.para = tag in ("p", "pre", "blockquote")
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -104,10 +105,6 @@ def parse(page: str) -> _Node:
                 up = up.parent
             if up is not root and up.tag == tag and tag not in ("html", "body"):
                 close(up.parent)
-                articles -= tag in ("article", "main")
-                open_ = up.parent
-                if articles < 0:
-                    articles = 0
             continue
         if tag in ("html", "body") and any(True for x in _path(open_) if x.tag == tag):
             continue
@@ -163,6 +160,7 @@ def measure(root: _Node) -> list[_Node]:
                 node.tags += k.tags + 1
                 node.link_chars += k.link_chars
                 node.link_tags += k.link_tags + (k.tag == "a")
+                node.para |= k.para
         if node.tag == "a":
             node.link_chars = node.chars
     body = next((n for n in nodes if n.tag == "body"), root)
@@ -198,7 +196,7 @@ def _select(root: _Node) -> list[_Node]:
         if node is body or node.parent is None:
             break
         for k in node.parent.kids:
-            if isinstance(k, _Node) and not k.skip and (k.tag in _HEAD or k.density >= least and _has_paragraph(k)):
+            if isinstance(k, _Node) and not k.skip and (k.tag in _HEAD or k.density >= least and k.para):
                 chosen.add(id(k))
     out, stack = [], [body]
     while stack:
@@ -210,12 +208,6 @@ def _select(root: _Node) -> list[_Node]:
     return out
 
 
-def _has_paragraph(node: _Node) -> bool:
-    return node.tag in ("p", "pre", "blockquote") or any(
-        _has_paragraph(k) for k in node.kids if isinstance(k, _Node) and not k.skip and k.tag in ("div", "section", "p", "pre", "blockquote")
-    )
-
-
 def _blocks(node: _Node) -> list[str]:
     out: list[list[str]] = [[]]
     stack: list = [node]
