@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
 The document frequency of every word n-gram of the test items is counted over
-the whole corpus. The rarer half of an item's n-grams are its seeds; a document
-that has a seed is aligned with the item around it (Smith-Waterman over words),
+the whole corpus. An item's seeds are its n-grams that few documents have, and in
+any case the rarer three quarters of those that are there; a document that has a
+seed is aligned with the item around it (Smith-Waterman over words),
 so that edited and paraphrased copies are found by how much of the item aligns.
 
 Both passes are map-only over the documents. The test items are sent to all
@@ -24,6 +25,7 @@ from lodestone.llm.runtime import input_bytes, tune
 SEED = 3  # words
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.35  # share of the item's best possible score
+FEW = 1000  # an n-gram in at most one of so many documents is rare
 BLOCK = 16 << 20  # bytes of test items sent at once
 
 
@@ -42,21 +44,21 @@ class Items:
         self.there = np.zeros(1 << bits, bool)
         self.there[(self.grams >> self.shift).astype(np.int64)] = True
 
-    def keep_rare(self, df: np.ndarray) -> None:
-        """Keep each item's n-grams whose document frequency is at most the item's median."""
+    def keep_rare(self, df: np.ndarray, documents: int) -> None:
+        """Keep the n-grams that one in FEW documents has, and the rarer three quarters of each item's that are there at all."""
         n = max(len(self.ids), 1)
         gram, item = self.pairs // n, self.pairs % n
+        there = df[gram] > 0
+        gram, item = gram[there], item[there]
         order = np.lexsort((df[gram], item))
         gram, item = gram[order], item[order]
         cut = np.searchsorted(item, np.arange(n + 1))
-        median = np.zeros(n)
-        for i in range(n):
-            if cut[i + 1] > cut[i]:
-                median[i] = df[gram[(cut[i] + cut[i + 1] - 1) // 2]]
-        kept = df[gram] <= median[item]
-        self.seed_gram, self.seed_item = gram[kept], item[kept]
-        order = np.argsort(self.seed_gram, kind="stable")
-        self.seed_gram, self.seed_item = self.seed_gram[order], self.seed_item[order]
+        bound = np.zeros(n)
+        for i in np.flatnonzero(np.diff(cut)).tolist():
+            bound[i] = max(df[gram[cut[i] + (3 * (cut[i + 1] - cut[i]) - 1) // 4]], documents / FEW)
+        kept = df[gram] <= bound[item]
+        order = np.argsort(gram[kept], kind="stable")
+        self.seed_gram, self.seed_item = gram[kept][order], item[kept][order]
 
     def find(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in gram that hold one of the items' n-grams, and which."""
@@ -142,20 +144,25 @@ def seeds(docs: DataFrame, benchmark: DataFrame):
 
         def frequencies(batches, shared=shared):
             items = shared.value
-            df = np.zeros(len(items.grams), np.int64)
+            df, documents = np.zeros(len(items.grams), np.int64), 0
             for batch in batches:
+                documents += batch.num_rows
                 h, bounds = textops.letter_words(*textops.utf8(batch.column(0)))[:2]
                 gram, doc = _grams(h, bounds)
                 place, which = items.find(gram)
                 seen = np.unique(doc[place].astype(np.int64) * max(len(df), 1) + which)
                 df += np.bincount(seen % max(len(df), 1), minlength=len(df)) if len(seen) else 0
             used = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(df[used])], names=["gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used], pa.int64()), pa.array(np.r_[documents, df[used]])], names=["gram", "n"])
 
+        documents = 0
         df = np.zeros(len(items.grams), np.int64)
         for r in docs.select("text").mapInArrow(frequencies, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-            df[r["gram"]] = r["n"]  # at most the block's n-grams
-        items.keep_rare(df)
+            if r["gram"] < 0:
+                documents = r["n"]
+            else:
+                df[r["gram"]] = r["n"]  # at most the block's n-grams
+        items.keep_rare(df, documents)
         yield spark.sparkContext.broadcast(items)
 
 
