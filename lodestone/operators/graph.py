@@ -75,14 +75,15 @@ def reach(edges: DataFrame, start: int, steps: int = 12) -> DataFrame:
     """id, depth: nodes that a breadth-first walk from start meets in at most so many steps."""
     spark = edges.sparkSession
     seen = spark.createDataFrame([(start, 0)], "id bigint, depth int")
-    pairs = edges.select("src", "dst").cache()
+    from lodestone.operators.snapshot import materialize
+
+    pairs = materialize(edges.select("src", "dst"))
     for depth in range(1, steps + 1):
         front = seen.where(F.col("depth") == depth - 1).select(F.col("id").alias("src"))
-        new = pairs.join(front, "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth))
-        grown = seen.unionAll(new).cache()
-        if grown.count() == seen.count():
+        new = materialize(pairs.join(front, "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        if new.isEmpty():
             break
-        seen = grown
+        seen = seen.unionAll(new)
     return seen
 
 

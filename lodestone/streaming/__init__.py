@@ -38,7 +38,8 @@ class Index:
         return both.join(self.table("tombstones"), "id", "left_anti")
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
-        """One micro-batch of (seq, t, type, id, vec); the same epoch twice leaves the same state."""
+        """One micro-batch of (seq, t, type, id, vec). It reads the state numbered epoch and writes the next, so a batch that comes twice leaves the same state."""
+        self.epoch = epoch
         last = batch.where("type IN ('insert', 'delete')").groupBy("id").agg(F.max_by(F.struct("type", "vec"), F.struct("t", "seq")).alias("x")).select("id", "x.type", "x.vec")
         inserts = last.where("type = 'insert' AND vec IS NOT NULL").select("id", "vec")
         deletes = last.where("type = 'delete'").select("id")
@@ -50,12 +51,8 @@ class Index:
         if n_gone and n_gone >= int((n_static + n_fresh) * self.threshold) or n_fresh and n_fresh >= n_static * self.fresh_share:
             static = static.join(fresh, "id", "left_anti").unionByName(fresh).join(tombstones, "id", "left_anti")
             fresh, tombstones = fresh.limit(0), tombstones.limit(0)
-        before, self.epoch = self.epoch, epoch + 1
-        try:
-            self._write(static, fresh, tombstones)
-        except BaseException:
-            self.epoch = before
-            raise
+        self.epoch = epoch + 1
+        self._write(static, fresh, tombstones)
         queries = batch.where("type = 'query' AND vec IS NOT NULL").select(F.col("seq").alias("qid"), F.col("vec").alias("qvec"))
         knn(queries, self.live().select("id", "vec"), self.k).write.mode("overwrite").parquet(f"{self.root}/answers/epoch={epoch}")
 
