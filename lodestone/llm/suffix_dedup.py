@@ -409,12 +409,14 @@ def spans(docs: DataFrame) -> DataFrame:
                         gram = np.flatnonzero(h[p : p + m + SPAN - 1] == key[i])
                         held.setdefault((int(key[i]), f), [text, 0, int(gram[0]) if len(gram) == 1 else -1])[1] += 1
             yield pa.RecordBatch.from_arrays(
-                [_long([k for k, _ in held]), pa.array([f for _, f in held], pa.binary()), *(pa.array([v[c] for v in held.values()], t) for c, t in ((1, pa.int32()), (0, pa.binary()), (2, pa.int32())))],
+                [_long([k for k, _ in held]), pa.array([f for _, f in held], pa.binary()), *(pa.array([v[c] for v in held.values()], t) for c, t in ((1, pa.int64()), (0, pa.binary()), (2, pa.int32())))],
                 names=["key", "print", "n", "text", "at"],
             )
 
     parts = max(spark.sparkContext.defaultParallelism * 2, input_bytes(docs) >> 23)
-    to_sort = docs.select("text").mapInArrow(texts, "key bigint, print binary, n int, text binary, at int").repartition(parts, "key").sortWithinPartitions("key")
+    to_sort = docs.select("text").mapInArrow(texts, "key bigint, print binary, n bigint, text binary, at int")
+    # Equal segments become one before they go to their key's task, so that a key has no more rows than different segments.
+    to_sort = to_sort.groupBy("key", "print").agg(F.sum("n").alias("n"), F.first("text").alias("text"), F.first("at").alias("at")).repartition(parts, "key").sortWithinPartitions("key")
     sorted_ = to_sort.mapInArrow(_sort_buckets, "key bigint, print binary, runs binary")
 
     whole = shared.where("equal").select("doc_id", F.col("p").alias("start"), (F.col("p") + F.col("n") + (LENGTH - 1)).alias("stop"))
