@@ -56,4 +56,30 @@ QUERIES = {
     for f in (op1_quality, op2_jaccard_join, op3_toxicity, op4_html_text, op5_packing, op6_lm_score, op7_fingerprint, op8_decontaminate, op9_suffix_dedup, op10_url_filter)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Links by joining the shingles of all texts, components by walking the links.
+ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0),
+        s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM i),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, coalesce(k.n_links, 0) AS n_links
+        FROM documents d JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) c ON c.id = d.doc_id LEFT JOIN n USING (doc_id)
+        LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) k ON k.a = d.doc_id""",
+    # Windows of hexadecimal text by their hash; runs of covered bytes; what lies between them.
+    "op9_suffix_dedup": """
+        WITH h AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        k AS MATERIALIZED (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 800)) AS f FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 399)) AS i FROM h WHERE len(x) >= 800)),
+        dup AS (SELECT doc_id, i FROM k WHERE f IN (SELECT f FROM k GROUP BY f HAVING count(*) > 1)),
+        cut AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 1 ELSE 0 END AS new FROM dup),
+        runs AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM cut) GROUP BY doc_id, g),
+        pieces AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM runs),
+        kept AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans, max(z) AS last, string_agg(substr(x, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS head FROM pieces JOIN h USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+            sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM h LEFT JOIN kept USING (doc_id)""",
+}

@@ -484,6 +484,13 @@ def test_queries_answer_every_row(spark, name):
         assert n == docs
 
 
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    from oracle import compare, connect
+
+    assert compare(connect(SF), queries.QUERIES[name](spark, SF), queries.ORACLE_SQL[name]) == ""
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
