@@ -103,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.n
     Without labelled rows no feature is weighed and every sentence scores zero.
     """
     spark = docs.sparkSession
-    tune(spark)
+    tune(spark, 500)
     sample = labelled_sample(docs, labels, "toxic", bound)
     seen = np.zeros((2, BUCKETS), np.int64)
     for r in sample.select("label", "text").mapInArrow(_counts, "seen binary").toLocalIterator():  # six rows, of bounded size
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
     start to before end. Whole texts are read; a null or empty text, or one
     without words, has score 0 and no offending sentence.
     """
-    tune(docs.sparkSession)
+    tune(docs.sparkSession, 500)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
