@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.runtime import tune
@@ -68,20 +68,20 @@ def pieces_of(n_tokens: int, capacity: int) -> list[tuple[int, int]]:
 
 def _counts(batches):
     for batch in batches:
-        n = [len(t.split()) + 1 for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n"])
+        n = [len(t.split()) + 1 for t in batch.column(2).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "text_id", "n"])
 
 
-PLACED = "bin_id bigint, capacity int, used int, offset int, doc_id bigint, piece int, start bigint, n_tokens int"
+PLACED = "bin_id bigint, capacity int, used int, offset int, doc_id bigint, text_id bigint, piece int, start bigint, n_tokens int"
 
 
 def _packer(capacities, overhead):
     def pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("doc_id", "ascending"), ("n", "ascending")])
-        doc, piece, start, size = [], [], [], []
-        for d, n in zip(rows.column("doc_id").to_pylist(), rows.column("n").to_pylist()):
+        rows = rows.sort_by([("doc_id", "ascending"), ("n", "ascending"), ("text_id", "ascending")])
+        doc, text, piece, start, size = [], [], [], [], []
+        for d, t, n in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "text_id", "n"))):
             for k, (a, m) in enumerate(pieces_of(n, capacities[-1])):
-                doc.append(d), piece.append(k), start.append(a), size.append(m)
+                doc.append(d), text.append(t), piece.append(k), start.append(a), size.append(m)
         bins, sizes = pack_lengths(size, capacities, overhead)
         bins, size = np.array(bins, np.int64), np.array(size, np.int64)
         order = np.argsort(bins, kind="stable")
@@ -92,8 +92,8 @@ def _packer(capacities, overhead):
         used = np.bincount(bins, size, len(sizes)).astype(np.int64)
         return pa.table({
             "bin_id": (np.int64(key[0].as_py()) << 32) + bins, "capacity": pa.array(np.array(sizes)[bins], pa.int32()), "used": pa.array(used[bins], pa.int32()),
-            "offset": pa.array(offset, pa.int32()), "doc_id": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()),
-            "start": pa.array(start, pa.int64()), "n_tokens": pa.array(size, pa.int32()),
+            "offset": pa.array(offset, pa.int32()), "doc_id": pa.array(doc, pa.int64()), "text_id": pa.array(text, pa.int64()),
+            "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "n_tokens": pa.array(size, pa.int32()),
         })
 
     return pack
@@ -104,34 +104,46 @@ def pack(docs: DataFrame, capacities=CAPACITIES, overhead: int = OVERHEAD) -> Da
 
     Every row of docs is packed, whole. Null texts count as empty: one end
     token. Rows with a null doc_id are packed too. Shards of about SHARD
-    documents, by a hash of the id, are packed on their own.
+    documents, by a hash of the id, are packed on their own. text_id, a hash of
+    the text, tells apart rows that share an id.
     """
     tune(docs.sparkSession)
     capacities = tuple(sorted(capacities))
     shards = max(1, -(-docs.count() // SHARD))
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = plain.mapInArrow(_counts, "doc_id bigint, n bigint")
+    counted = plain.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInArrow(_counts, "doc_id bigint, text_id bigint, n bigint")
     # With the partition's number in the hash, rows that share an id do not share a shard.
     dealt = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(_packer(capacities, overhead), PLACED)
 
 
 def with_text(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """placed with the text of every piece; a document's pieces, in order, are its whole text. doc_id must be unique in docs."""
-    some = placed.groupBy("doc_id").agg(F.collect_list(F.struct(*(c for c in placed.columns if c != "doc_id"))).alias("pieces"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(some, "doc_id").select("doc_id", "text", "pieces")
+    """placed with the text of every piece; a row's pieces, in order, are its whole text.
+
+    Rows that share a doc_id, or have none, are told apart by their text; rows
+    that repeat id and text each have their own pieces.
+    """
+    # Null ids meet as zero, so that both sides join on plain columns; equal texts of ids 0 and null may share a row.
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_id")
+    # By shard as well: the pieces of a row that is repeated without bound do not gather in one list.
+    some = placed.groupBy(key, "text_id", F.shiftright("bin_id", 32).alias("_shard")).agg(F.collect_list(F.struct(*placed.columns)).alias("pieces"))
+    text = F.coalesce("text", F.lit("")).alias("text")
+    texts = docs.select(key, text).select("_id", F.xxhash64("text").alias("text_id"), "text")
+    copy = F.row_number().over(Window.partitionBy("_id", "text_id").orderBy("text_id"))
+    texts = texts.withColumn("_copy", copy).where("_copy = 1").drop("_copy")
+    rows = texts.join(some, ["_id", "text_id"]).select("text", "pieces")
 
     def cut(batches):
         for batch in batches:
             out = []
-            for d, text, pieces in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for text, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = text.encode()
-                starts = _word_starts(raw) if len(pieces) > 1 else None
+                starts = _word_starts(raw) if any(p["piece"] or p["n_tokens"] == p["capacity"] for p in pieces) else np.zeros(0, np.int64)
                 for p in pieces:
-                    a = int(starts[p["start"]]) if p["piece"] and p["start"] < len(starts) else len(raw) if p["piece"] else 0
                     stop = p["start"] + p["n_tokens"]
-                    z = int(starts[stop]) if len(pieces) > 1 and stop < len(starts) else len(raw)
-                    out.append(p | {"doc_id": d, "text": raw[a:z].decode()})
+                    a = 0 if not p["piece"] else int(starts[p["start"]]) if p["start"] < len(starts) else len(raw)
+                    z = int(starts[stop]) if stop < len(starts) else len(raw)
+                    out.append(p | {"text": raw[a:z].decode()})
             yield pa.RecordBatch.from_pylist(out, kind)
 
     names = PLACED.split(", ")

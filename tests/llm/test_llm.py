@@ -272,6 +272,21 @@ def test_packing_places_every_token_once(spark, odd_texts):
     assert {r["doc_id"]: r["text"] or "" for r in docs.collect()} == {d: "".join(p[k] for k in sorted(p)) for d, p in text.items()}
 
 
+def test_texts_of_null_and_repeated_ids(spark):
+    long = "w " * 9000 + "end"
+    rows = [(None, "a b"), (None, "a b"), (None, None), (0, "a b"), (3, "x"), (3, "y z"), (3, "x"), (4, long), (4, long), (None, long)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = collections.Counter()
+    for r in packing.with_text(docs, packing.pack(docs)).collect():
+        got[r["doc_id"], r["piece"], r["text"]] += 1
+    expected = collections.Counter()
+    for d, t in rows:
+        words = (t or "").split(" ")
+        for k in range(0, len(words) if t == long else 1, 4096):
+            expected[d, k // 4096, " ".join(words[k : k + 4096]) + " " * (k + 4096 < len(words))] += 1
+    assert got == expected
+
+
 def test_packing_is_never_worse_than_any_single_opening():
     rng = random.Random(9)
     for _ in range(20):
