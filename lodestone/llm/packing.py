@@ -123,6 +123,7 @@ def with_text(docs: DataFrame, placed: DataFrame) -> DataFrame:
     Rows that share a doc_id, or have none, are told apart by their text; rows
     that repeat id and text each have their own pieces.
     """
+    tune(docs.sparkSession, 250, 4)
     # Null ids meet as zero, so that both sides join on plain columns; equal texts of ids 0 and null may share a row.
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_id")
     # By shard as well: the pieces of a row that is repeated without bound do not gather in one list.

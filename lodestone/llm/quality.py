@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict | None]:
 
     Without any labelled row there is no network, and scores are a half.
     """
-    tune(docs.sparkSession, 500)
+    tune(docs.sparkSession, 500, 4)
     sample = labelled_sample(docs, labels, "quality")
     sums = np.zeros((FORMS + SHAPES) * DIM, np.int64)
     for r in sample.select("text").mapInArrow(_contexts, "sums binary").collect():  # a table of fixed size from each of six parts
@@ -186,7 +186,7 @@ def score(docs: DataFrame, vectors: np.ndarray, model: dict | None) -> DataFrame
     Whole texts are read. Null texts count as empty; an empty text is scored
     from its zero features. Nothing but the text is an input.
     """
-    tune(docs.sparkSession, 500)
+    tune(docs.sparkSession, 500, 4)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, model))
 
     def run(batches):
@@ -209,7 +209,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs whose score reaches the threshold, with all their columns."""
     vectors, model = train(docs, labels.where(remainder(F.col("doc_id"), 5) != 0))
-    tune(docs.sparkSession, 500)
+    tune(docs.sparkSession, 500, 4)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, model))
     place = docs.columns.index("text")
 
