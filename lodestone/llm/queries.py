@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import class_lm, contamination, fingerprint, html_text, jaccard_join, packing, quality, suffix_dedup, toxicity, url_filter
+from lodestone.llm.url_sql import URL_FILTER_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +50,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.classify(_table(spark, sf_dir, "pages"), url_filter.train(spark))
+    return url_filter.classify(_table(spark, sf_dir, "pages"), url_filter.train(spark)).withColumn("score", F.round("score", 9))
 
 
 QUERIES = {
@@ -56,8 +58,8 @@ QUERIES = {
     for f in (op1_quality, op2_jaccard_join, op3_toxicity, op4_html_text, op5_packing, op6_lm_score, op7_fingerprint, op8_decontaminate, op9_suffix_dedup, op10_url_filter)
 }
 
-#: Links by joining the shingles of all texts, components by walking the links.
 ORACLE_SQL: dict[str, str] = {
+    # Links by joining the shingles of all texts, components by walking the links.
     "op2_jaccard_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -82,4 +84,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
             sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
         FROM h LEFT JOIN kept USING (doc_id)""",
+    "op10_url_filter": URL_FILTER_SQL,
 }

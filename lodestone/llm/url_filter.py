@@ -90,7 +90,7 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> list[float]
         table = json.dumps([{"url": url, "label": label} for url, label in LABELLED])
         labelled = spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<url: string, label: int>>")))
     rows = labelled.select("url", F.col("label").cast("double").alias("label")).where("label IS NOT NULL")
-    feats = rows.select(F.xxhash64("url", "label").alias("at"), "label", features(*host_path(F.col("url"))).alias("f"))
+    feats = rows.select(F.md5("url").alias("at"), "label", features(*host_path(F.col("url"))).alias("f"))
     dense = feats.select(
         "at", "label",
         F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda d: F.size(F.filter("f", lambda x: x == d)) / F.sqrt(F.size("f").cast("double"))).alias("x"),
