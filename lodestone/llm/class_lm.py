@@ -125,7 +125,9 @@ def _add_up(rows: pa.Table) -> pa.Table:
         if more.any():
             out.append({"block": block, "at": at[more].tobytes(), "c": c[more].tobytes()})
     known = {w: c for w, c in total.items() if c}
-    for w, c in heapq.nsmallest(TOP + 1, known.items(), key=lambda x: (-x[1], x[0])):
+    if _END in known:
+        out.append({"word": _END, "n": known[_END]})  # by itself, however many words are more frequent
+    for w, c in heapq.nsmallest(TOP, ((w, c) for w, c in known.items() if w != _END), key=lambda x: (-x[1], x[0])):
         out.append({"word": w, "n": c})
     item = np.fromiter(map(bucket_of, known), np.int64, len(known))
     n = np.bincount(item, np.fromiter(known.values(), np.int64, len(known)), ITEMS)
@@ -224,9 +226,12 @@ def score(docs: DataFrame, held: int = 2, modulus: int = 7) -> DataFrame:
     # A word is in a block's dictionary once, so no bucket has more rows than there are blocks.
     answers = materialize(entries.groupBy("bucket").applyInArrow(_add_up, _ANSWER_DDL))
 
-    best = answers.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(TOP + 1).select("word", "n").collect()
+    listed = answers.where("word IS NOT NULL").select("word", "n")
+    is_end = F.length("word") == 0
+    best = listed.where(~is_end).orderBy(F.desc("n"), "word").limit(TOP).collect()
     best = [(bytes(r["word"]), r["n"]) for r in best]
-    top = {w: i for i, (w, _) in enumerate([x for x in best if x[0] != _END][:TOP])} | {_END: BOUNDARY}
+    top = {w: i for i, (w, _) in enumerate(best)} | {_END: BOUNDARY}
+    best += [(_END, r["n"]) for r in listed.where(is_end).collect()]
     shared = spark.sparkContext.broadcast(top)
     n_item, kinds_item = np.zeros(ITEMS), np.zeros(ITEMS)
     for r in answers.where("item IS NOT NULL").groupBy("item").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():  # ITEMS rows at most

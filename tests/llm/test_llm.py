@@ -347,6 +347,21 @@ def test_base_scores_match_brute_force(spark, odd_texts, real):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_end_token_among_more_frequent_words(spark):
+    """600 words are each more frequent than the training texts; no probability may exceed one."""
+    rng = random.Random(12)
+    long = [w for i in range(600) for w in [f"w{i}"] * 400]
+    rng.shuffle(long)
+    texts = [" ".join(long[i::4]) for i in range(4)] + [""] * 60
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
+    rows = class_lm.score(frame(spark, texts, ids)).collect()
+    assert {r["n_tokens"] for r in rows} == {1, 60_001}
+    for r in rows:
+        assert r["score"] < 0
+        if r["n_tokens"] == 1:  # the end token alone: 60 of 64 texts, and its class holds nothing else
+            assert 10 ** r["score"] == pytest.approx((60 + 5 * 65 / (r["train_tokens"] + 48)) / (64 + 5), rel=0.02)
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(3)
     pairs = rng.poisson(1.0, (60, 60)).astype(float)
