@@ -377,6 +377,52 @@ def test_exchange_raises_the_likelihood():
     assert values[0] < values[1] <= values[2] + 1e-6 <= values[3] + 2e-6
 
 
+def test_words_beyond_the_first_are_exchanged_on_their_own(spark):
+    """More words are frequent than TOP; words of two kinds take turns, and rarer ones that end alike are known by their kind."""
+    rng = random.Random(13)
+    kinds = [[f"{k}{i}x" for i in range(300)] * 60 + [f"{k}{i}zz" for i in range(20)] * 15 for k in "ab"]
+    for words_ in kinds:
+        rng.shuffle(words_)
+    turns = [w for pair in zip(*kinds) for w in pair]
+    texts = [" ".join(turns[i : i + 400]) for i in range(0, len(turns), 400)]
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
+    asked = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    rows = class_lm.score(frame(spark, [*texts, "b0x a3zz b1x", "b0x b3zz b1x", "a0x b3zz a1x", "a0x a3zz a1x"], ids + asked)).collect()
+    assert all(math.isfinite(r["score"]) for r in rows)
+    right, wrong, right2, wrong2 = (next(r["score"] for r in rows if r["doc_id"] == i) for i in asked)
+    assert right > wrong + 1 and right2 > wrong2 + 1
+
+
+def test_sparse_exchange_raises_the_likelihood():
+    rng = np.random.default_rng(14)
+    group = rng.integers(0, 4, 300)
+    pairs = rng.poisson(np.where((group[:, None] + 1) % 4 == group, 2.0, 0.1))
+    pairs[-1] = pairs[:, -1] = 1  # the boundary
+    classes = 6
+    of = np.r_[1 + rng.integers(0, 5, 299), 0]
+    table = lambda of: np.eye(classes)[of].T @ pairs @ np.eye(classes)[of]
+    c, slots = table(of), 2 * classes + 1
+    counts = collections.Counter()
+    for (a, b), n in np.ndenumerate(pairs):
+        if a == b:
+            counts[a * slots + 2 * classes] += n
+        else:
+            counts[a * slots + of[b]] += n
+            counts[b * slots + classes + of[a]] += n
+    key = np.array(sorted(k for k, n in counts.items() if n and k // slots != 299))
+    new = class_lm.exchange(key, np.array([counts[k] for k in key.tolist()]), of, c)
+    assert new[-1] == 0 and (new[:-1] > 0).all()
+    assert class_lm._likelihood(table(new)) > class_lm._likelihood(c) + 1
+
+
+def test_classes_and_tails_grow():
+    assert class_lm.sizes(0) == (512, 48)
+    (t, c), (t2, c2) = class_lm.sizes(100_000), class_lm.sizes(10_000_000)
+    assert 512 < t < t2 <= 1 << 16 and 48 < c < c2
+    x = np.array([0, 1, 70_000, 2**32 - 1])
+    assert class_lm._thick(class_lm._thin(x)).tolist() == x.tolist()
+
+
 def test_language_model_of_nothing(spark):
     assert class_lm.score(frame(spark, [])).count() == 0
 
