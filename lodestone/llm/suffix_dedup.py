@@ -1,14 +1,14 @@
 """Removal of repeated substrings by suffix arrays.
 
-A byte goes when a string of LENGTH bytes that covers it also starts somewhere
-else in the corpus. To bring equal strings together without one suffix array of
-everything, each LENGTH-byte window is keyed by the least hash of the K-byte
+A byte goes when a string of so many bytes (LENGTH, unless another length is
+given) that covers it also starts somewhere else in the corpus. To bring equal strings together without one suffix array of
+everything, each window of that length is keyed by the least hash of the K-byte
 grams in it; consecutive windows of one key are a segment. Equal windows have
 equal keys, so they meet in one bucket. A bucket whose segments are all equal
 needs no sorting. The others' distinct segments are sorted as suffixes in two
 stages: those smaller than their successors directly, the rest by scans over the
 buckets of first symbols; windows whose common prefix with a neighbour reaches
-LENGTH are repeated.
+the length are repeated.
 
 Grams that very many documents share (found in a first pass, a list of bounded
 length) rank behind all others. A window that leaves a popular passage is thus
@@ -19,6 +19,7 @@ everywhere, so no bucket holds many different segments because of one passage.
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,6 @@ from lodestone.llm import textops
 from lodestone.llm.runtime import input_bytes, materialize, tune
 
 LENGTH = 400
-GRAM = 16  # a power of two
-SPAN = LENGTH - GRAM + 1  # grams in a window
 RUN = 1024  # windows in a segment, at most
 SLAB = 1 << 20  # windows of one text handled at once
 OFTEN = 1000  # segments of one key that make its grams popular
@@ -38,14 +37,34 @@ POPULAR = 20_000  # keys looked into for popular grams, at most
 CHUNK = 1 << 20  # bytes of segments sorted together
 FLAGS = 1 << 27  # bits of the filter that says which buckets are to be sorted
 
+
+class Shape(NamedTuple):
+    """What follows from the length of a window."""
+
+    length: int
+    gram: int  # bytes of a gram, a power of two
+    span: int  # grams in a window
+    piece: int  # bytes of the pieces by which segments are compared
+    pieces: int  # whole pieces in any window, wherever it starts
+
+
+def shape(length: int) -> Shape:
+    """Grams of 16 bytes and pieces of 50 for LENGTH; shorter ones where windows are short."""
+    if length < 8:
+        raise ValueError("length must be 8 at least")
+    gram = min(16, 1 << (length // 4).bit_length() - 1)
+    piece = max(1, min(50, length // 8))
+    return Shape(length, gram, length - gram + 1, piece, (length - piece + 1) // piece)
+
+
 _P = 0x9E3779B97F4A7C15
 _TOP = np.uint64(1 << 63)
 
 
-def gram_hashes(b: np.ndarray) -> np.ndarray:
-    """63-bit hashes of all GRAM-byte grams."""
+def gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
+    """63-bit hashes of all grams of so many bytes."""
     h, k = b.astype(np.uint64) + np.uint64(1), 1
-    while k < GRAM:
+    while k < gram:
         h = h[:-k] * np.uint64(pow(_P, k, 1 << 64)) + h[k:]
         k *= 2
     return textops.mix(h) >> np.uint64(1)
@@ -76,12 +95,12 @@ class Popular:
             h[at] |= _TOP
 
 
-def segments(b: np.ndarray, popular: Popular):
+def segments(b: np.ndarray, popular: Popular, of: Shape):
     """Slabs of one text: (place, gram hashes, keys, first windows, numbers of windows)."""
-    for base in range(0, len(b) - LENGTH + 1, SLAB):
-        h = gram_hashes(b[base : base + SLAB + LENGTH - 1])
+    for base in range(0, len(b) - of.length + 1, SLAB):
+        h = gram_hashes(b[base : base + SLAB + of.length - 1], of.gram)
         popular.mark(h)
-        m = _least(h, SPAN)
+        m = _least(h, of.span)
         change = np.r_[True, m[1:] != m[:-1]]
         first = np.flatnonzero(change)
         if len(m) > RUN:  # long runs, of periodic text, are cut
@@ -94,22 +113,22 @@ def _long(keys) -> pa.Array:
     return pa.array(np.array(keys, np.uint64).view(np.int64))
 
 
-def _texts(column):
+def _texts(column, length: int):
     data, offsets = textops.utf8(column)
     for i in range(len(offsets) - 1):
-        if offsets[i + 1] - offsets[i] >= LENGTH:
+        if offsets[i + 1] - offsets[i] >= length:
             yield i, data[offsets[i] : offsets[i + 1]]
 
 
-def _often(batches):
+def _often(batches, of: Shape):
     """Keys with how many segments they have in each batch, where more than one, and the least and largest sum of their grams."""
     nothing = Popular(np.zeros(0, np.uint64))
     for batch in batches:
         keys, sums = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for _, b in _texts(batch.column(0)):
-            for _, h, key, first, n in segments(b, nothing):
+        for _, b in _texts(batch.column(0), of.length):
+            for _, h, key, first, n in segments(b, nothing, of):
                 total = np.r_[np.uint64(0), np.cumsum(h)]
-                keys.append(key), sums.append(total[first + n + SPAN - 1] - total[first])
+                keys.append(key), sums.append(total[first + n + of.span - 1] - total[first])
         key, total = np.concatenate(keys), np.concatenate(sums)
         order = np.lexsort((total, key))
         key, total = key[order], total[order]
@@ -120,13 +139,13 @@ def _often(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key[new[many]].view(np.int64)), pa.array(size[many]), pa.array(lo), pa.array(hi)], names=["key", "n", "lo", "hi"])
 
 
-def popular_grams(docs: DataFrame) -> Popular:
+def popular_grams(docs: DataFrame, of: Shape) -> Popular:
     """Grams around keys that OFTEN segments have, not all alike, which themselves are there half as often.
 
     Only how the work is spread depends on them, not what is found.
     """
     sc = docs.sparkSession.sparkContext
-    counted = docs.select("text").mapInArrow(_often, "key bigint, n bigint, lo bigint, hi bigint").groupBy("key")
+    counted = docs.select("text").mapInArrow(lambda batches: _often(batches, of), "key bigint, n bigint, lo bigint, hi bigint").groupBy("key")
     counted = counted.agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("lo").alias("lo2"), F.min("hi").alias("hi"), F.max("hi").alias("hi2"))
     counted = counted.where(f"n >= {OFTEN} AND NOT (lo = lo2 AND hi = hi2 AND lo = hi)")
     keys = counted.orderBy(F.desc("n"), "key").limit(POPULAR).select("key").toArrow().column("key").to_numpy()
@@ -138,10 +157,10 @@ def popular_grams(docs: DataFrame) -> Popular:
         nothing = Popular(np.zeros(0, np.uint64))
         for batch in batches:
             found = [np.zeros(0, np.uint64)]
-            for _, b in _texts(batch.column(0)):
-                for _, h, key, first, n in segments(b, nothing):
+            for _, b in _texts(batch.column(0), of.length):
+                for _, h, key, first, n in segments(b, nothing, of):
                     for i in np.flatnonzero(np.isin(key, shared.value)).tolist():
-                        found.append(h[first[i] : first[i] + n[i] + SPAN - 1])
+                        found.append(h[first[i] : first[i] + n[i] + of.span - 1])
             h, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
 
@@ -153,9 +172,9 @@ def popular_grams(docs: DataFrame) -> Popular:
 # ---- suffix sorting
 
 
-def packed(t: np.ndarray) -> np.ndarray:
+def packed(t: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """Seven symbols of nine bits at every place of t; places beyond the end count as symbol 0."""
-    x = np.r_[t, np.zeros(LENGTH + 14, t.dtype)].astype(np.int64)
+    x = np.r_[t, np.zeros(depth + 14, t.dtype)].astype(np.int64)
     n = len(x) - 6
     out = np.zeros(n, np.int64)
     for j in range(7):
@@ -211,7 +230,7 @@ def suffix_array(t: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.nda
     sorted directly; a scan of the buckets of first symbols then places before
     each suffix's left neighbour in its own bucket, in order.
     """
-    n, key = len(t), packed(t)
+    n, key = len(t), packed(t, depth)
     small = smaller_than_next(t)
     sa = np.full(n, -1, np.int64)
     count = np.bincount(t, minlength=257)
@@ -264,20 +283,20 @@ def common_prefixes(sa: np.ndarray, key: np.ndarray, asked: np.ndarray | None =
     return out
 
 
-def repeated_windows(parts: list[bytes]) -> np.ndarray:
-    """For each byte of the parts, end to end, whether the LENGTH bytes from it are there twice; windows stay in their part."""
+def repeated_windows(parts: list[bytes], length: int = LENGTH) -> np.ndarray:
+    """For each byte of the parts, end to end, whether the length bytes from it are there twice; windows stay in their part."""
     size = np.array([len(p) for p in parts], np.int64)
     t = np.zeros(int(size.sum()) + len(parts), np.int16)
     start = np.r_[0, np.cumsum(size + 1)[:-1]]
     for p, a in zip(parts, start.tolist()):
         t[a : a + len(p)] = np.frombuffer(p, np.uint8).astype(np.int16) + 1
     valid = np.zeros(len(t) + 1, np.int64)
-    long = size >= LENGTH
+    long = size >= length
     np.add.at(valid, start[long], 1)
-    np.add.at(valid, (start + size - LENGTH + 1)[long], -1)
+    np.add.at(valid, (start + size - length + 1)[long], -1)
     valid = np.cumsum(valid)[:-1] > 0
-    sa, key = suffix_array(t)
-    same = common_prefixes(sa, key, valid) >= LENGTH
+    sa, key = suffix_array(t, length)
+    same = common_prefixes(sa, key, valid, length) >= length
     out = np.zeros(len(t), bool)
     out[sa[same]] = True
     out[sa[np.flatnonzero(same) - 1]] = True
@@ -294,22 +313,18 @@ def _runs(flags: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1).astype(np.int32)
 
 
-_PIECE = 50
-_PIECES = (LENGTH - _PIECE + 1) // _PIECE  # whole pieces in any window, wherever it starts
-
-
-def may_match(bucket: list[tuple[bytes, int]]) -> list[bool]:
+def may_match(bucket: list[tuple[bytes, int]], of: Shape) -> list[bool]:
     """Which segments of a bucket can hold a window of another one.
 
     Each comes with the place of its key's gram, or -1 where that is there more
     than once. Equal windows hold the gram at the same place, so that counted
-    from it they agree in _PIECES consecutive pieces.
+    from it they agree in of.pieces consecutive pieces.
     """
     seen: dict[tuple[int, int], int] = {}
     mine = []
     for text, at in bucket:
-        first, size = -(at // _PIECE), _PIECE * _PIECES
-        keys = [(j, hash(text[at + _PIECE * j : at + _PIECE * j + size])) for j in range(first, (len(text) - size - at) // _PIECE + 1)] if at >= 0 else []
+        first, size = -(at // of.piece), of.piece * of.pieces
+        keys = [(j, hash(text[at + of.piece * j : at + of.piece * j + size])) for j in range(first, (len(text) - size - at) // of.piece + 1)] if at >= 0 else []
         mine.append(keys)
         for k in keys:
             seen[k] = seen.get(k, 0) + 1
@@ -317,7 +332,7 @@ def may_match(bucket: list[tuple[bytes, int]]) -> list[bool]:
     return [several or any(seen[k] > 1 for k in keys) for keys in mine]
 
 
-def _sort_buckets(batches):
+def _sort_buckets(batches, of: Shape):
     """Windows of each distinct segment that are repeated in its bucket, as runs."""
     chunk: list[tuple[int, bytes, bytes, int]] = []
     bucket: dict[bytes, list] = {}
@@ -325,17 +340,17 @@ def _sort_buckets(batches):
 
     def close():
         nonlocal load
-        ask = may_match([(v[0], v[2]) for v in bucket.values()])
+        ask = may_match([(v[0], v[2]) for v in bucket.values()], of)
         for (f, (text, n, _)), sort in zip(bucket.items(), ask):
             if sort or n > 1:
                 chunk.append((last, f, text, n))
                 load += len(text)
 
     def flush():
-        flags = repeated_windows([text for _, _, text, _ in chunk])
+        flags = repeated_windows([text for _, _, text, _ in chunk], of.length)
         at, keys, prints, runs = 0, [], [], []
         for key, f, text, n in chunk:
-            mine = flags[at : at + len(text) - LENGTH + 1] | (n > 1)
+            mine = flags[at : at + len(text) - of.length + 1] | (n > 1)
             at += len(text)
             if mine.any():
                 keys.append(key), prints.append(f), runs.append(_runs(mine).tobytes())
@@ -358,23 +373,23 @@ def _sort_buckets(batches):
         yield flush()
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, start and stop of byte ranges to remove; ranges may overlap. docs: doc_id, text."""
-    spark = docs.sparkSession
-    popular = spark.sparkContext.broadcast(popular_grams(docs))
+def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, start and stop of byte ranges to remove, of strings of length bytes that repeat; ranges may overlap. docs: doc_id, text."""
+    spark, of = docs.sparkSession, shape(length)
+    popular = spark.sparkContext.broadcast(popular_grams(docs, of))
 
     def listed(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             none = np.zeros(0, np.int64)
             keys, prints, doc, place, size, twice = [none], [], [], [none], [none], []
-            for i, b in _texts(batch.column(1)):
-                for base, h, key, first, n in segments(b, popular.value):
+            for i, b in _texts(batch.column(1), of.length):
+                for base, h, key, first, n in segments(b, popular.value, of):
                     keys.append(key.view(np.int64)), place.append(first + base), size.append(n)
                     doc += [ids[i]] * len(key)
                     for k, p, m in zip(key, first.tolist(), n.tolist()):
-                        prints.append(hashlib.blake2b(b[base + p : base + p + m + LENGTH - 1].data, digest_size=16).digest())
-                        twice.append(np.count_nonzero(h[p : p + m + SPAN - 1] == k) > 1)
+                        prints.append(hashlib.blake2b(b[base + p : base + p + m + length - 1].data, digest_size=16).digest())
+                        twice.append(np.count_nonzero(h[p : p + m + of.span - 1] == k) > 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(keys)), pa.array(prints, pa.binary()), pa.array(doc, pa.int64()), pa.array(np.concatenate(place), pa.int32()),
                  pa.array(np.concatenate(size), pa.int32()), pa.array(twice, pa.bool_())],
@@ -399,14 +414,14 @@ def spans(docs: DataFrame) -> DataFrame:
         """Segments whose bucket is to be sorted (and a few others), once for each batch."""
         for batch in batches:
             held: dict[tuple[int, bytes], list] = {}
-            for _, b in _texts(batch.column(0)):
-                for base, h, key, first, n in segments(b, popular.value):
+            for _, b in _texts(batch.column(0), of.length):
+                for base, h, key, first, n in segments(b, popular.value, of):
                     at = key.view(np.int64) % FLAGS
                     for i in np.flatnonzero(flags.value[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).tolist():
                         p, m = int(first[i]), int(n[i])
-                        text = b[base + p : base + p + m + LENGTH - 1].tobytes()
+                        text = b[base + p : base + p + m + length - 1].tobytes()
                         f = hashlib.blake2b(text, digest_size=16).digest()
-                        gram = np.flatnonzero(h[p : p + m + SPAN - 1] == key[i])
+                        gram = np.flatnonzero(h[p : p + m + of.span - 1] == key[i])
                         held.setdefault((int(key[i]), f), [text, 0, int(gram[0]) if len(gram) == 1 else -1])[1] += 1
             yield pa.RecordBatch.from_arrays(
                 [_long([k for k, _ in held]), pa.array([f for _, f in held], pa.binary()), *(pa.array([v[c] for v in held.values()], t) for c, t in ((1, pa.int64()), (0, pa.binary()), (2, pa.int32())))],
@@ -417,9 +432,9 @@ def spans(docs: DataFrame) -> DataFrame:
     to_sort = docs.select("text").mapInArrow(texts, "key bigint, print binary, n bigint, text binary, at int")
     # Equal segments become one before they go to their key's task, so that a key has no more rows than different segments.
     to_sort = to_sort.groupBy("key", "print").agg(F.sum("n").alias("n"), F.first("text").alias("text"), F.first("at").alias("at")).repartition(parts, "key").sortWithinPartitions("key")
-    sorted_ = to_sort.mapInArrow(_sort_buckets, "key bigint, print binary, runs binary")
+    sorted_ = to_sort.mapInArrow(lambda batches: _sort_buckets(batches, of), "key bigint, print binary, runs binary")
 
-    whole = shared.where("equal").select("doc_id", F.col("p").alias("start"), (F.col("p") + F.col("n") + (LENGTH - 1)).alias("stop"))
+    whole = shared.where("equal").select("doc_id", F.col("p").alias("start"), (F.col("p") + F.col("n") + (length - 1)).alias("stop"))
     part = shared.where("NOT equal").join(sorted_, ["key", "print"]).select("doc_id", "p", "runs")
 
     def placed(batches):
@@ -427,17 +442,17 @@ def spans(docs: DataFrame) -> DataFrame:
             doc, start, stop = [], [], []
             for d, p, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for a, z in np.frombuffer(runs, np.int32).reshape(-1, 2).tolist():
-                    doc.append(d), start.append(p + a), stop.append(p + z + LENGTH - 1)
+                    doc.append(d), start.append(p + a), stop.append(p + z + length - 1)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["doc_id", "start", "stop"])
 
     return whole.unionAll(part.mapInArrow(placed, "doc_id bigint, start int, stop int"))
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the column _cut, the ranges to remove from each text."""
     tune(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cut = spans(plain).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_cut"))
+    cut = spans(plain, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_cut"))
     return docs.join(cut.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("bigint") == F.col("_id"), "left").drop("_id")
 
 
@@ -473,12 +488,12 @@ def digest(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def cut_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated bytes cut out of text and n_chars, where there is one, brought up to date.
+def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with the bytes of repeated strings of length bytes cut out of text and n_chars, where there is one, brought up to date.
 
     Bytes of a character that is only partly covered go with the covered ones.
     """
-    rows, place = _with_spans(docs), docs.columns.index("text")
+    rows, place = _with_spans(docs, length), docs.columns.index("text")
     length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from lodestone.llm import class_lm, contamination, fingerprint, graph, html_text, jaccard_join, packing, quality, queries, suffix_dedup, textops, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
@@ -152,8 +153,7 @@ def test_components_match_union_find(spark):
 # ---- 9 suffix-array dedup
 
 
-def brute_cut(texts):
-    n = suffix_dedup.LENGTH
+def brute_cut(texts, n=suffix_dedup.LENGTH):
     raw = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[i : i + n] for b in raw for i in range(len(b) - n + 1))
     out = []
@@ -183,6 +183,29 @@ def test_cut_matches_brute_force(spark, monkeypatch, often):
     assert [tuple(r)[1:] for r in got] == brute_cut(texts)
 
 
+@pytest.mark.parametrize("length", [40, 200, 500])
+def test_cut_of_other_lengths_matches_brute_force(spark, length):
+    rng = random.Random(15)
+    passage = words(rng, 130)
+    texts = [None, "", "short", "ab" * 400, passage, passage]
+    texts += [words(rng, 40) + " " + passage[: length - 6 + 3 * i] + " " + words(rng, 40) for i in range(6)] + ["é" * length, "é" * 90 + passage]
+    rows = frame(spark, texts)
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.cut_repeats(rows, length).collect()}
+    for i, (_, removed, _, digest) in enumerate(brute_cut(texts, length)):
+        text = (got[i] or "").encode()
+        assert len(text) <= len((texts[i] or "").encode()) - removed and (hashlib.sha256(text).hexdigest() == digest or not texts[i].isascii())
+
+
+def test_pipeline_cuts_passages_of_51_words(spark):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 7)))
+    shared = " ".join(word() for _ in range(51))
+    assert len(shared) < suffix_dedup.LENGTH
+    texts = [" ".join(word() for _ in range(80)) + " " + shared + " " + " ".join(word() for _ in range(80)) for _ in range(2)]
+    got = [r["text"] for r in corpus_pipeline.cut(spark, frame(spark, texts), SF).collect()]
+    assert len(got) == 2 and not any(shared[i : i + 40] in t for t in got for i in range(0, 200, 40))
+
+
 def test_cut_texts_keep_what_is_single(spark, odd_texts):
     got = {r["doc_id"]: r for r in suffix_dedup.cut_repeats(frame(spark, odd_texts)).collect()}
     assert len(got) == len(odd_texts)
