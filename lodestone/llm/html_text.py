@@ -4,8 +4,10 @@ Each page is parsed into a tree, leniently. Subtrees that are never content
 (scripts, forms, menus, notices, comments and the like) are set aside, and for
 every other node the characters, link characters, tags and link tags below it
 give its composite text density. The node with the largest sum of its children's
-densities is the centre of the article; the least density on the path from it up
-to body is the threshold that its neighbours on the path must reach to belong.
+densities, of parts that are more than pieces of a paragraph, is the centre of
+the article; the least density on the path from it up to body is the threshold
+that its neighbours on the path must reach to belong. article and main are nodes
+like any other.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ _NOISE = re.compile(
     r"recommend\w*|login|signup|skip-link|toolbar|complementary|contentinfo|banner|search)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Parts of a paragraph: they make no node the centre.
+_INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s small span strong sub sup time tt u var".split())
 _HEAD = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 
 
@@ -173,7 +177,7 @@ def measure(root: _Node) -> list[_Node]:
         ratio = node.chars / max(node.link_chars, 1) * max(node.tags, 1) / max(node.link_tags, 1)
         node.density = node.chars / max(node.tags, 1) * max(math.log(ratio) / math.log(max(base, math.e)), 0.0)
     for node in nodes:
-        node.sum = sum(k.density for k in node.kids if isinstance(k, _Node) and not k.skip)
+        node.sum = sum(k.density for k in node.kids if isinstance(k, _Node) and not k.skip and k.tag not in _INLINE)
     return nodes
 
 
@@ -187,16 +191,13 @@ def _select(root: _Node) -> list[_Node]:
         best = body
     path = [n for n in _path(best)]
     least = min((n.density for n in path[: path.index(body) + 1] if n.density > 0), default=0.0) if body in path else 0.0
-    top = next((n for n in path if n.tag in ("article", "main")), None)
-    if top is not None:
-        return [top]
-    # No element says where the article ends: take neighbours along the path that are as dense as the path itself.
+    # Neighbours along the path that are as dense as the path itself belong.
     chosen = {id(best)}
     for node in path:
         if node is body or node.parent is None:
             break
         for k in node.parent.kids:
-            if isinstance(k, _Node) and not k.skip and (k.tag in _HEAD or k.density >= least and k.para):
+            if isinstance(k, _Node) and k is not node and not k.skip and (k.tag in _HEAD or k.density >= least and k.para):
                 chosen.add(id(k))
     out, stack = [], [body]
     while stack:

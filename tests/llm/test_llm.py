@@ -527,6 +527,16 @@ def test_main_text_is_the_article_alone(wrap):
     assert got.split("\n\n") == want
 
 
+def test_density_selects_beside_and_inside_articles():
+    rng = random.Random(17)
+    a, b, lede = (words(rng, n) for n in (80, 70, 60))
+    page = "<html><body><div><p>{}</p><article><p>{}</p><p>{}</p></article><article><p>{}</p><p>{}</p></article></div></body></html>"
+    assert html_text.main_text(page.format(lede, a, b, b, a)).split("\n\n") == [lede, a, b, b, a]
+    junk = "".join(f"<li><a href=x{i}>go{i}</a>" for i in range(20))
+    got = html_text.main_text(f"<html><body><main><div><p>{a}</p><p>{b}</p></div><ul>{junk}</ul></main></body></html>")
+    assert got.split("\n\n") == [a, b]
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<html></html>", "<script>x</script>", "<!-- only", "<p", "</p></b>", "<a href='x>y"])
 def test_pages_without_text(page):
     assert html_text.main_text(page) in ("", "y")
