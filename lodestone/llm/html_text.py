@@ -56,13 +56,12 @@ _HEAD = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 
 
 class _Node:
-    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "para", "parent", "skip", "sum", "tag", "tags")
+    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "parent", "skip", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: _Node | None, skip: bool = False):
         self.tag, self.parent, self.skip, self.kids = tag, parent, skip, []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
-        self.para = tag in ("p", "pre", "blockquote")
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -164,7 +163,6 @@ def measure(root: _Node) -> list[_Node]:
                 node.tags += k.tags + 1
                 node.link_chars += k.link_chars
                 node.link_tags += k.link_tags + (k.tag == "a")
-                node.para |= k.para
         if node.tag == "a":
             node.link_chars = node.chars
     body = next((n for n in nodes if n.tag == "body"), root)
@@ -186,18 +184,17 @@ def _select(root: _Node) -> list[_Node]:
     if not any(n.chars for n in nodes):
         return []
     body = next((n for n in nodes if n.tag == "body"), root)
-    best = max((n for n in nodes if n.chars), key=lambda n: n.sum)
+    best = max((n for n in _ordered(body) if n.chars), key=lambda n: n.sum, default=body)
     if best.sum == 0.0:
         best = body
-    path = [n for n in _path(best)]
-    least = min((n.density for n in path[: path.index(body) + 1] if n.density > 0), default=0.0) if body in path else 0.0
+    path = list(_path(best))
+    path = path[: path.index(body) + 1]
     # Neighbours along the path that are as dense as the path itself belong.
+    least = min((n.density for n in path if n.density > 0), default=0.0)
     chosen = {id(best)}
-    for node in path:
-        if node is body or node.parent is None:
-            break
+    for node in path[:-1]:
         for k in node.parent.kids:
-            if isinstance(k, _Node) and k is not node and not k.skip and (k.tag in _HEAD or k.density >= least and k.para):
+            if isinstance(k, _Node) and k is not node and not k.skip and (k.tag in _HEAD or k.density >= least):
                 chosen.add(id(k))
     out, stack = [], [body]
     while stack:

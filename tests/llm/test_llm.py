@@ -537,6 +537,19 @@ def test_density_selects_beside_and_inside_articles():
     assert got.split("\n\n") == [a, b]
 
 
+def test_no_page_of_text_comes_out_empty():
+    rng = random.Random(18)
+    a, b = words(rng, 80), words(rng, 70)
+    whole = lambda body: " ".join(html_text.main_text(f"<html><body>{body}</body></html>").split())
+    assert whole(f"<div>{a}</div>") == a
+    assert whole(f"{a}<br>{b}") == f"{a} {b}"
+    assert whole(f"{a} <b>and</b> {b}") == f"{a} and {b}"
+    para = f"<div><p>{a}</p><p>{b}</p></div>"
+    assert whole(f"<div>{para}<div>{b}</div></div>") == f"{a} {b} {b}"
+    assert whole(f"<div>{para}<ul><li>{a}</ul></div>") == f"{a} {b} {a}"
+    assert whole(f"<div>{para}<table><tr><td>{a} {b} {a}</table></div>") == f"{a} {b} {a} {b} {a}"
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<html></html>", "<script>x</script>", "<!-- only", "<p", "</p></b>", "<a href='x>y"])
 def test_pages_without_text(page):
     assert html_text.main_text(page) in ("", "y")
