@@ -198,10 +198,11 @@ def generate(spark: SparkSession, scenario: Scenario, n: int, n_base: int, n_que
     """An event log (seq, t, type, id) of a scenario, each delete of an id that is live.
 
     Kinds are drawn in the scenario's exact numbers and shuffled by a hash. The
-    i-th insert takes the i-th id of the pool, and a delete, by its number,
-    takes an insert that came before: the oldest (fifo, lru) or one by hash
-    (random), so that no state is carried from event to event. A delete that has
-    nothing to take becomes a query.
+    i-th insert takes the i-th id after the pool, and the d-th delete the d-th
+    insert, whatever the deletion policy, so that no state is carried from event
+    to event. A delete that has nothing to take becomes a query. Of the scenario,
+    insert_ratio, delete_ratio, base_init_ratio, query_skew_alpha and whether
+    the temporal pattern is uniform are read, and nothing else.
     """
     n_insert, n_delete = int(n * scenario.insert_ratio), int(n * scenario.delete_ratio)
     h = lambda *c: F.xxhash64(*c, F.lit(seed))
