@@ -72,7 +72,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, coalesce(k.n_links, 0) AS n_links
         FROM documents d JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) c ON c.id = d.doc_id LEFT JOIN n USING (doc_id)
         LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) k ON k.a = d.doc_id""",
-    # Windows of hexadecimal text by their hash; runs of covered bytes; what lies between them.
+    # Windows of hexadecimal text by their hash; runs of covered bytes; what lies between them. Passages: the runs of the shorter windows.
     "op9_suffix_dedup": """
         WITH h AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
         k AS MATERIALIZED (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 800)) AS f FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 399)) AS i FROM h WHERE len(x) >= 800)),
@@ -80,9 +80,12 @@ ORACLE_SQL: dict[str, str] = {
         cut AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 1 ELSE 0 END AS new FROM dup),
         runs AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM cut) GROUP BY doc_id, g),
         pieces AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM runs),
-        kept AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans, max(z) AS last, string_agg(substr(x, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS head FROM pieces JOIN h USING (doc_id) GROUP BY doc_id)
+        kept AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans, max(z) AS last, string_agg(substr(x, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS head FROM pieces JOIN h USING (doc_id) GROUP BY doc_id),
+        pk AS MATERIALIZED (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 500)) AS f FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 249)) AS i FROM h WHERE len(x) >= 500)),
+        pd AS (SELECT doc_id, i FROM pk WHERE f IN (SELECT f FROM pk GROUP BY f HAVING count(*) > 1)),
+        pn AS (SELECT doc_id, sum(least(250, coalesce(next - i, 250))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM pd) GROUP BY doc_id)
         SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
-            sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
-        FROM h LEFT JOIN kept USING (doc_id)""",
+            sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256, coalesce(n, 0)::BIGINT AS n_passage
+        FROM h LEFT JOIN kept USING (doc_id) LEFT JOIN pn USING (doc_id)""",
     "op10_url_filter": URL_FILTER_SQL,
 }

@@ -172,7 +172,7 @@ def brute_cut(texts, n=suffix_dedup.LENGTH):
 
 @pytest.mark.parametrize("often", [2, 1000])
 def test_cut_matches_brute_force(spark, monkeypatch, often):
-    monkeypatch.setattr(suffix_dedup, "OFTEN", often)  # with and without popular grams
+    monkeypatch.setattr(suffix_dedup, "LEAST_OFTEN", often)  # with and without popular grams
     rng = random.Random(4)
     passage, short = words(rng, 110), words(rng, 60)
     texts = [None, "", "short", "ab" * 700, "abc " * 600, passage, passage]
@@ -180,7 +180,32 @@ def test_cut_matches_brute_force(spark, monkeypatch, often):
     texts += [words(rng, 100) + " " + short + " " + words(rng, 100) for _ in range(10)]
     texts += [edited(rng, texts[8], k) for k in range(4)] + ["é" * 500, "é" * 350 + passage]
     got = suffix_dedup.digest(frame(spark, texts)).orderBy("doc_id").collect()
-    assert [tuple(r)[1:] for r in got] == brute_cut(texts)
+    assert [tuple(r)[1:5] for r in got] == brute_cut(texts)
+    assert [r["n_passage"] for r in got] == [x[1] for x in brute_cut(texts, suffix_dedup.PASSAGE)]
+
+
+def test_cut_of_real_texts_matches_brute_force(spark, real, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LEAST_OFTEN", 8)
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 1 << 13)
+    texts = real["text"].tolist()
+    got = suffix_dedup.digest(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:5] for r in got] == brute_cut(texts)
+    assert [r["n_passage"] for r in got] == [x[1] for x in brute_cut(texts, suffix_dedup.PASSAGE)]
+
+
+def test_texts_of_one_id_are_cut_by_their_own_places(spark):
+    rng = random.Random(21)
+    shared, alone = words(rng, 120, 5000), words(rng, 250, 5000)
+    first, second = words(rng, 30, 5000) + " " + shared, shared + " " + words(rng, 90, 5000)
+    rows = [(1, first, "a", "b", "c", "d"), (1, alone, "e", "f", "g", "h"), (2, second, *"ijkl"), (None, alone[:300], *"mnop"), (None, shared, *"qrst")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _cut string, doc string, text_id string")
+    got = sorted(map(tuple, suffix_dedup.cut_repeats(docs).collect()), key=lambda r: r[2])
+    want = brute_cut([r[1] for r in rows])
+    assert [r[2:] for r in got] == [r[2:] for r in rows]
+    assert [(len(r[1]), hashlib.sha256(r[1].encode()).hexdigest()) for r in got] == [(n - m, h) for n, m, _, h in want]
+    assert got[1][1] == alone
+    sums = suffix_dedup.digest(docs).select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, sums)) == sorted(want)
 
 
 @pytest.mark.parametrize("length", [40, 200, 500])
@@ -221,6 +246,11 @@ def test_cut_texts_keep_what_is_single(spark, odd_texts):
 def test_suffix_array_matches_sorting(symbols):
     rng = random.Random(symbols)
     t = [rng.randrange(symbols) + 1 for _ in range(900)]
+    asked = np.array([rng.random() < 0.4 for _ in t])
+    part, key = suffix_dedup.suffix_array(np.array(t, np.int16), asked=asked)
+    whole = suffix_dedup.suffix_array(np.array(t, np.int16))[0]
+    cut = lambda sa: [t[i : i + suffix_dedup.LENGTH] for i in sa.tolist() if asked[i]]
+    assert cut(part) == cut(whole)
     sa, key = suffix_dedup.suffix_array(np.array(t, np.int16))
     cut = [t[i : i + suffix_dedup.LENGTH] for i in sa.tolist()]
     assert sorted(sa.tolist()) == list(range(len(t))) and cut == sorted(cut)
