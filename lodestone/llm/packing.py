@@ -2,17 +2,18 @@
 
 A document is its words and one end token; one longer than the largest capacity
 is cut into full pieces and a rest. Pieces, longest first, go to the open bin
-that they fill best. Where none fits, a bin is opened; at which capacity is
-decided for all pieces jointly, by packing once for every permitted opening size
-and taking the one of least total cost. Each bin then shrinks to the smallest
-capacity that holds its contents.
+that they fill best. Where none fits, a bin is opened: every capacity that holds
+the piece is tried with the pieces still to come, largest first, and the one of
+least cost for each token that it would hold is taken. The packings with one
+opening size for all bins are kept in view, and the cheapest of all is the
+result. Each bin then shrinks to the smallest capacity that holds its contents.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.runtime import tune
@@ -22,15 +23,53 @@ OVERHEAD = 16  # cost of a sequence besides its length
 SHARD = 20_000  # documents packed together, about
 
 
-def fit(lengths: list[int], capacities=CAPACITIES, opening: int | None = None) -> list[int]:
-    """The bin of each length, longest first by best fit; new bins open at the capacity opening, or the least that holds the piece."""
+class Waiting:
+    """Pieces still to be packed, by their length."""
+
+    def __init__(self, lengths: list[int], largest: int):
+        self.count = np.bincount(lengths, minlength=largest + 1).tolist()
+        self.there = sum(1 << n for n, c in enumerate(self.count) if c)  # bit n is set where a piece of n tokens waits
+
+    def take(self, size: int) -> None:
+        self.count[size] -= 1
+        if not self.count[size]:
+            self.there ^= 1 << size
+
+    def filling(self, room: int) -> int:
+        """Tokens that the pieces waiting would fill of so much room, largest first."""
+        there, full = self.there, room
+        while True:
+            size = (there & ((1 << (room + 1)) - 1)).bit_length() - 1
+            if size <= 0:
+                return full - room
+            times = min(self.count[size], room // size)
+            room -= size * times
+            there &= (1 << size) - 1
+
+
+def least_cost(size: int, waiting: Waiting, capacities, overhead: int) -> int:
+    """The capacity to open for a piece: the least cost of a token among what each would hold, downsized; the smaller one on ties."""
+    best = None
+    for c in capacities:
+        if c >= size:
+            used = size + waiting.filling(c - size)
+            cost = (next(x for x in capacities if x >= used) + overhead) / used
+            if best is None or cost < best[0]:
+                best = cost, c
+    return best[1]
+
+
+def fit(lengths: list[int], capacities=CAPACITIES, opening: int | None = None, overhead: int = OVERHEAD) -> list[int]:
+    """The bin of each length, longest first by best fit; new bins open at the capacity opening (or the least that holds the piece), or where that is None at the least cost."""
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    opening = capacities[-1] if opening is None else opening
+    waiting = Waiting(lengths, capacities[-1]) if opening is None else None
     room: list[list[int]] = [[] for _ in range(capacities[-1] + 1)]
     there = 0  # bit r is set where some bin has exactly r tokens of room
     bins, n = [0] * len(lengths), 0
     for i in order:
         size = lengths[i]
+        if waiting is not None:
+            waiting.take(size)
         fits = there >> size
         if fits:
             left = size + (fits & -fits).bit_length() - 1
@@ -39,7 +78,7 @@ def fit(lengths: list[int], capacities=CAPACITIES, opening: int | None = None) -
                 there ^= 1 << left
         else:
             at, n = n, n + 1
-            left = max(opening, next(c for c in capacities if c >= size))
+            left = least_cost(size, waiting, capacities, overhead) if waiting is not None else max(opening, next(c for c in capacities if c >= size))
         bins[i] = at
         left -= size
         if left:
@@ -49,10 +88,10 @@ def fit(lengths: list[int], capacities=CAPACITIES, opening: int | None = None) -
 
 
 def pack_lengths(lengths: list[int], capacities=CAPACITIES, overhead: int = OVERHEAD) -> tuple[list[int], list[int]]:
-    """Bin of each length and capacity of each bin, at the least total cost over all opening sizes."""
+    """Bin of each length and capacity of each bin: each bin opened at its least cost, or all at one capacity where that is cheaper in total."""
     best: tuple | None = None
-    for opening in capacities:
-        bins = fit(lengths, capacities, opening)
+    for opening in (None, *capacities):
+        bins = fit(lengths, capacities, opening, overhead)
         used = np.bincount(bins, lengths).astype(np.int64) if lengths else np.zeros(0, np.int64)
         sizes = np.array(capacities)[np.searchsorted(capacities, used)]
         cost = int(sizes.sum()) + overhead * len(sizes)
@@ -104,16 +143,18 @@ def pack(docs: DataFrame, capacities=CAPACITIES, overhead: int = OVERHEAD) -> Da
 
     Every row of docs is packed, whole. Null texts count as empty: one end
     token. Rows with a null doc_id are packed too. Shards of about SHARD
-    documents, by a hash of the id, are packed on their own. text_id, a hash of
-    the text, tells apart rows that share an id.
+    documents, by a hash of id, text and copy, are packed on their own, so that
+    the bins do not depend on how the table is split. text_id, a hash of the
+    text, tells apart rows that share an id. An empty table gives no rows.
     """
     tune(docs.sparkSession)
     capacities = tuple(sorted(capacities))
     shards = max(1, -(-docs.count() // SHARD))
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counted = plain.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInArrow(_counts, "doc_id bigint, text_id bigint, n bigint")
-    # With the partition's number in the hash, rows that share an id do not share a shard.
-    dealt = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(shards)))
+    # Rows that are repeated are counted first and numbered, so that they do not share a shard.
+    copies = counted.groupBy("doc_id", "text_id", "n").agg(F.count("*").alias("copies")).select("doc_id", "text_id", "n", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    dealt = copies.select("doc_id", "text_id", "n", F.pmod(F.xxhash64("doc_id", "text_id", "copy"), F.lit(shards)).alias("shard"))
     return dealt.groupBy("shard").applyInArrow(_packer(capacities, overhead), PLACED)
 
 
@@ -130,8 +171,7 @@ def with_text(docs: DataFrame, placed: DataFrame) -> DataFrame:
     some = placed.groupBy(key, "text_id", F.shiftright("bin_id", 32).alias("_shard")).agg(F.collect_list(F.struct(*placed.columns)).alias("pieces"))
     text = F.coalesce("text", F.lit("")).alias("text")
     texts = docs.select(key, text).select("_id", F.xxhash64("text").alias("text_id"), "text")
-    copy = F.row_number().over(Window.partitionBy("_id", "text_id").orderBy("text_id"))
-    texts = texts.withColumn("_copy", copy).where("_copy = 1").drop("_copy")
+    texts = texts.groupBy("_id", "text_id").agg(F.first("text").alias("text"))  # copies are one before they move
     rows = texts.join(some, ["_id", "text_id"]).select("text", "pieces")
 
     def cut(batches):

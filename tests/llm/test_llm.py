@@ -340,17 +340,73 @@ def test_texts_of_null_and_repeated_ids(spark):
     assert got == expected
 
 
+def cost_of(sizes, capacity):
+    return sum(capacity) + packing.OVERHEAD * len(capacity)
+
+
+def least_cost_of(sizes, capacities, overhead):
+    """The cheapest packing of a few pieces, by trying all."""
+    best = [math.inf]
+
+    def place(i, bins):
+        cost = sum(next(c for c in capacities if c >= b) + overhead for b in bins)
+        if cost >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = cost
+            return
+        for k in range(len(bins)):
+            if bins[k] + sizes[i] <= capacities[-1] and bins[k] not in bins[:k]:
+                place(i + 1, [*bins[:k], bins[k] + sizes[i], *bins[k + 1 :]])
+        place(i + 1, [*bins, sizes[i]])
+
+    place(0, [])
+    return best[0]
+
+
 def test_packing_is_never_worse_than_any_single_opening():
     rng = random.Random(9)
     for _ in range(20):
         sizes = [rng.randrange(1, 4097) if rng.random() < 0.2 else rng.randrange(1, 600) for _ in range(200)]
         bins, capacity = packing.pack_lengths(sizes)
-        cost = sum(capacity) + packing.OVERHEAD * len(capacity)
-        first_fit = sum(next(c for c in packing.CAPACITIES if c >= s) + packing.OVERHEAD for s in sizes)
-        assert cost <= first_fit and max(bins) + 1 == len(capacity)
+        for opening in packing.CAPACITIES:
+            used = collections.Counter()
+            for b, n in zip(packing.fit(sizes, opening=opening), sizes):
+                used[b] += n
+            assert cost_of(sizes, capacity) <= sum(next(c for c in packing.CAPACITIES if c >= n) + packing.OVERHEAD for n in used.values())
+        assert max(bins) + 1 == len(capacity)
     assert packing.pack_lengths([]) == ([], [])
 
 
+def test_packing_comes_near_the_best_of_all_packings():
+    rng = random.Random(19)
+    ratio = []
+    for _ in range(60):
+        sizes = sorted((rng.choice((rng.randrange(1, 60), rng.randrange(30, 250), rng.randrange(200, 410))) for _ in range(rng.randrange(1, 8))), reverse=True)
+        capacities = (64, 128, 256, 410)
+        bins, capacity = packing.pack_lengths(sizes, capacities, 8)
+        used = collections.Counter()
+        for b, n in zip(bins, sizes):
+            used[b] += n
+        assert all(used[b] <= c for b, c in enumerate(capacity))
+        ratio.append((sum(capacity) + 8 * len(capacity)) / least_cost_of(sizes, capacities, 8))
+    assert min(ratio) >= 1 and max(ratio) <= 1.3 and sum(ratio) / len(ratio) <= 1.03
+
+
+def test_bins_of_different_sizes_are_opened_side_by_side():
+    sizes = [1300] * 3 + [250] * 5
+    _, capacity = packing.pack_lengths(sizes)
+    assert cost_of(sizes, capacity) <= 5440 and len(set(capacity)) > 1
+
+
+def test_packing_does_not_depend_on_how_the_table_is_split(spark, odd_texts):
+    docs = frame(spark, odd_texts * 3)
+    one, many = (sorted(map(tuple, packing.pack(d).collect()), key=str) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one == many
+    assert packing.pack(frame(spark, [])).count() == 0
+    assert packing.with_text(frame(spark, []), packing.pack(frame(spark, []))).count() == 0
+
+
 # ---- 7 fingerprints
 
 
