@@ -5,10 +5,12 @@ fragments; each fragment counts in how many texts its shingles are and answers
 each text with those that are not alone. A text that has too few of these can
 have no partner. For the others, shingles are put in one global order, rare
 first, and texts that share one in their prefixes become candidates. Groups of
-candidates are dealt to tiles of two blocks. The order by hash is cut into
-fragments again: every fragment of a tile counts the partial overlaps of all its
-pairs at once, and the sums per pair decide which pairs link. Pairs are never
-rows: a tile's answer is its link counts and a forest of its links.
+candidates are dealt to tiles of two blocks; a text goes to the tiles of those
+blocks that hold a candidate of it, so that a chain of candidates costs as its
+length does. The order by hash is cut into fragments again: every fragment of a
+tile counts the partial overlaps of all its pairs at once, and the sums per pair
+decide which pairs link. Pairs are never rows: a tile's answer is its link counts
+and a forest of its links.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import textops
 from lodestone.llm.graph import components, forest
-from lodestone.llm.runtime import input_bytes, materialize, tune
+from lodestone.llm.runtime import fresh_name, input_bytes, materialize, tune
 
 NUM, DEN = 3, 4  # texts link from this similarity on
 BLOCK = 128  # texts in a block of a group, about
@@ -38,9 +40,9 @@ def needed(n: np.ndarray) -> np.ndarray:
 
 # ---- pass one: document frequencies by fragment of the hash space
 
-_SENT = pa.schema([("fragment", pa.int32()), ("batch", pa.int64()), ("n", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("doc_id", pa.binary()), ("print", pa.binary())])
-_SENT_DDL = "fragment int, batch bigint, n binary, low binary, high binary, doc_id binary, print binary"
-_NO_ID = np.iinfo(np.int64).min
+_SENT = pa.schema([("fragment", pa.int32()), ("batch", pa.int64()), ("n", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("doc_id", pa.binary()), ("text_id", pa.binary()), ("print", pa.binary())])
+_SENT_DDL = "fragment int, batch bigint, n binary, low binary, high binary, doc_id binary, text_id binary, print binary"
+_NO_ID, _LAST = np.iinfo(np.int64).min, int(np.iinfo(np.int64).max)
 
 
 def _sender(fragments: int):
@@ -50,16 +52,16 @@ def _sender(fragments: int):
     def send(batches):
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            sets = textops.shingles(*textops.word_hashes(*textops.utf8(batch.column(1))))
+            sets = textops.shingles(*textops.word_hashes(*textops.utf8(batch.column(2))))
             sets = [np.unique(s & _HASH) for s in sets]
             name = (part << 32) + number
             number += 1
             ids = np.array([_NO_ID if i is None else i for i in batch.column(0).to_pylist()], np.int64)
             size = np.array([len(s) for s in sets], np.int32)
             prints = b"".join(hashlib.blake2b(s.data, digest_size=16).digest() for s in sets)
-            rows = [{"fragment": -1, "batch": name, "n": size.tobytes(), "doc_id": ids.tobytes(), "print": prints}]
+            rows = [{"fragment": -1, "batch": name, "n": size.tobytes(), "doc_id": ids.tobytes(), "text_id": batch.column(1).to_numpy().tobytes(), "print": prints}]
             every = np.concatenate(sets)
-            fragment = (every >> width).astype(np.uint16)
+            fragment = (every >> width).astype(np.uint32)
             order = np.argsort(fragment, kind="stable")
             doc = np.repeat(np.arange(len(sets)), size)[order]
             every, fragment = every[order], fragment[order]
@@ -89,11 +91,11 @@ def _frequencies(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         keep = df > 1
         if keep.any():
             n = np.bincount(doc[keep], minlength=len(r["n"]) // 4).astype(np.uint32)
-            out.append({"fragment": fragment, "batch": r["batch"], "n": n.tobytes(), "low": h[keep].astype(np.uint32).tobytes(), "high": (h[keep] >> np.uint64(32)).astype(np.uint16).tobytes(), "doc_id": None, "print": df[keep].tobytes()})
+            out.append({"fragment": fragment, "batch": r["batch"], "n": n.tobytes(), "low": h[keep].astype(np.uint32).tobytes(), "high": (h[keep] >> np.uint64(32)).astype(np.uint16).tobytes(), "doc_id": None, "text_id": None, "print": df[keep].tobytes()})
     return pa.Table.from_pylist(out, _SENT)
 
 
-_TEXT_DDL = "doc_id bigint, n bigint, print binary, shared binary"
+_TEXT_DDL = "doc_id bigint, text_id bigint, n bigint, print binary, shared binary"
 
 
 def _gatherer(fragments: int):
@@ -120,7 +122,7 @@ def _gatherer(fragments: int):
         enough = (have >= needed(size)) & (size > 0)
         shared = [place[cut[i] : cut[i + 1]].tobytes() if enough[i] else None for i in range(len(ids))]
         return pa.table({
-            "doc_id": pa.array([None if i == _NO_ID else i for i in ids.tolist()], pa.int64()), "n": size,
+            "doc_id": pa.array([None if i == _NO_ID else i for i in ids.tolist()], pa.int64()), "text_id": np.frombuffer(head["text_id"], np.int64), "n": size,
             "print": pa.array(prints, pa.binary()), "shared": pa.array(shared, pa.binary()),
         })
 
@@ -136,7 +138,7 @@ def _prefixes(batches):
             k = len(s) - int(needed(np.int64(n))) + 1
             doc.append(np.full(k, d)), place.append(s[:k])
         none = np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(place or [none])), pa.array(np.concatenate(doc or [none]))], names=["place", "doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(place or [none])), pa.array(np.concatenate(doc or [none]))], names=["place", "node"])
 
 
 # ---- tiles
@@ -146,18 +148,18 @@ def _cut_up(batches):
     """Per text and fragment of the order, its shingles; texts without any in a fragment have no row there."""
     for batch in batches:
         rows = []
-        for g, b, blocks, d, n, w, shared in zip(*(batch.column(i).to_pylist() for i in range(7))):
+        for g, b, others, d, n, w, shared in zip(*(batch.column(i).to_pylist() for i in range(7))):
             s = np.frombuffer(shared, np.uint64)
             fragment = ((s & _HASH) // np.uint64((1 << 48) // CUTS)).astype(np.int64)
             for c in range(CUTS):
                 mine = s[fragment == c]
                 if len(mine) or not c:
-                    rows.append({"g": g, "b": b, "blocks": blocks, "cut": c, "doc_id": d, "n": n, "w": w, "shared": mine.tobytes()})
+                    rows.append({"g": g, "b": b, "others": others, "cut": c, "node": d, "n": n, "w": w, "shared": mine.tobytes()})
         yield pa.RecordBatch.from_pylist(rows, _CUT)
 
 
-_CUT = pa.schema([("g", pa.int64()), ("b", pa.int32()), ("blocks", pa.int32()), ("cut", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("w", pa.int64()), ("shared", pa.binary())])
-_CUT_DDL = "g bigint, b int, blocks int, cut int, doc_id bigint, n bigint, w bigint, shared binary"
+_CUT = pa.schema([("g", pa.int64()), ("b", pa.int32()), ("cut", pa.int32()), ("others", pa.list_(pa.int32())), ("node", pa.int64()), ("n", pa.int64()), ("w", pa.int64()), ("shared", pa.binary())])
+_CUT_DDL = "g bigint, b int, cut int, others array<int>, node bigint, n bigint, w bigint, shared binary"
 
 
 def _stream(batches, key_columns: int):
@@ -176,16 +178,24 @@ def _stream(batches, key_columns: int):
 
 
 def _blocks(batches):
-    """Blocks of texts, sent to every tile of their group that they are part of."""
+    """Blocks of texts: to every tile that they are part of, those that have candidates there."""
     rows = []
-    for (g, b, blocks, cut), texts in _stream(batches, 4):
-        texts.sort(key=lambda r: r["doc_id"])
-        body = {
-            "doc_id": np.array([r["doc_id"] for r in texts], np.int64).tobytes(), "n": np.array([r["n"] for r in texts], np.int64).tobytes(),
-            "w": np.array([r["w"] for r in texts], np.int64).tobytes(), "size": np.array([len(r["shared"]) // 8 for r in texts], np.int64).tobytes(),
-            "shared": b"".join(r["shared"] for r in texts),
-        }
-        for other in range(blocks):
+    for (g, b, cut), texts in _stream(batches, 3):
+        texts.sort(key=lambda r: r["node"])
+        tiles: dict[int, list] = {}
+        for r in texts:
+            for other in r["others"]:
+                tiles.setdefault(other, []).append(r)
+        whole = None
+        for other, some in tiles.items():
+            body = whole if len(some) == len(texts) else None
+            if body is None:
+                body = {
+                    "node": np.array([r["node"] for r in some], np.int64).tobytes(), "n": np.array([r["n"] for r in some], np.int64).tobytes(),
+                    "w": np.array([r["w"] for r in some], np.int64).tobytes(), "size": np.array([len(r["shared"]) // 8 for r in some], np.int64).tobytes(),
+                    "shared": b"".join(r["shared"] for r in some),
+                }
+                whole = body if len(some) == len(texts) else whole
             rows.append({"g": g, "i": min(b, other), "j": max(b, other), "cut": cut, "b": b} | body)
             if len(rows) >= 64:
                 yield pa.RecordBatch.from_pylist(rows, _SIDE)
@@ -194,8 +204,8 @@ def _blocks(batches):
         yield pa.RecordBatch.from_pylist(rows, _SIDE)
 
 
-_SIDE = pa.schema([("g", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("cut", pa.int32()), ("b", pa.int32()), *((k, pa.binary()) for k in ("doc_id", "n", "w", "size", "shared"))])
-_SIDE_DDL = "g bigint, i int, j int, cut int, b int, doc_id binary, n binary, w binary, size binary, shared binary"
+_SIDE = pa.schema([("g", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("cut", pa.int32()), ("b", pa.int32()), *((k, pa.binary()) for k in ("node", "n", "w", "size", "shared"))])
+_SIDE_DDL = "g bigint, i int, j int, cut int, b int, node binary, n binary, w binary, size binary, shared binary"
 
 
 def overlaps(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -228,7 +238,7 @@ def _partial(batches):
             x, y = np.nonzero(c)
             row |= {"x": x.astype(np.uint16).tobytes(), "y": y.astype(np.uint16).tobytes(), "c": c[x, y].astype(np.uint32).tobytes()}
             for k, r in (("a", one), ("b", two)):
-                row[k] = np.stack([read(r, "doc_id"), read(r, "n"), read(r, "w")]).tobytes()
+                row[k] = np.stack([read(r, "node"), read(r, "n"), read(r, "w")]).tobytes()
             yield pa.RecordBatch.from_pylist([row], _PART)
 
 
@@ -267,62 +277,93 @@ def _sum_up(batches):
         )
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of every row of docs.
+def _partners(prefix: DataFrame, blocked: DataFrame) -> DataFrame:
+    """node and others: the blocks of its group in which it may have candidates.
 
-    Two texts link when the Jaccard similarity of their sets of five-word
-    shingles is at least NUM / DEN. component_id is the least doc_id reachable
-    by links, n_links how many other rows a text links with, equal sets
-    included. Texts without words, null ones too, are linked with nothing; rows
-    with a null doc_id count for others' links and have a null component_id.
-    doc_id must identify a text; rows that repeat one are copies.
+    A place stands for the set of blocks that its texts are in; a large group has
+    few different sets, so that they, not the pairs, are what is listed.
     """
+    held = prefix.join(blocked.where("blocks > 1").select("node", "b"), "node")
+    sets = held.groupBy("place").agg(F.array_sort(F.collect_set("b")).alias("s"))
+    listed = held.join(sets, "place").select("node", "s").distinct().select("node", F.explode("s").alias("b"))
+    return listed.groupBy("node").agg(F.array_sort(F.collect_set("b")).alias("others"))
+
+
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows as doc_id, text_id, n and print; and of each print the component, its least doc_id, and the links of one row."""
     spark = docs.sparkSession
     tune(spark)
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    fragments = 1 << max(6, min(14, (input_bytes(docs) >> 21).bit_length()))
+    text = F.coalesce("text", F.lit(""))
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
+    fragments = 1 << max(6, (input_bytes(docs) >> 21).bit_length())
     sent = plain.mapInArrow(_sender(fragments), _SENT_DDL)
     # Texts' ids skip the fragments: they only wait for their batch's answers.
     spread = F.when(F.col("fragment") < 0, -1 - F.pmod(F.xxhash64("batch"), F.lit(fragments))).otherwise(F.col("fragment"))
     answered = sent.withColumn("fragment", spread.cast("int")).groupBy("fragment").applyInArrow(_frequencies, _SENT_DDL)
     texts = materialize(answered.groupBy("batch").applyInArrow(_gatherer(fragments), _TEXT_DDL))
 
-    # Equal sets are one node, the least id of them, and weigh as many as they are.
-    nodes = texts.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("w"))
-    whole = texts.where("shared IS NOT NULL").join(nodes.withColumnRenamed("print", "p2"), (F.col("doc_id") == F.col("node")) & (F.col("print") == F.col("p2")))
-    whole = materialize(whole.select("doc_id", "n", "w", "shared").dropDuplicates(["doc_id"]))
-
-    prefix = materialize(whole.select("doc_id", "n", "shared").mapInArrow(_prefixes, "place bigint, doc_id bigint"))
-    least = prefix.groupBy("place").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
-    groups = components(prefix.join(least, "place").select("a", F.col("doc_id").alias("b")))
-
-    grouped = whole.join(groups.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("component", "g")
-    sizes = groups.groupBy("component").agg(F.count("*").alias("m")).select(F.col("component").alias("g"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = grouped.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    cut = dealt.select("g", "b", "blocks", "doc_id", "n", "w", "shared").mapInArrow(_cut_up, _CUT_DDL)
-    parts = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sides = cut.repartition(parts, "g", "b", "cut").sortWithinPartitions("g", "b", "blocks", "cut").mapInArrow(_blocks, _SIDE_DDL)
+    # Equal sets are one node and weigh as many as they are. The table is written, so that the numbers stay.
+    same = texts.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("w"), F.first("n").alias("n"), F.first("shared").alias("shared"))
+    nodes = materialize(same.withColumn("node", F.monotonically_increasing_id()))
+    whole = nodes.where("shared IS NOT NULL").select("node", "n", "w", "shared")
+
+    prefix = materialize(whole.select("node", "n", "shared").mapInArrow(_prefixes, "place bigint, node bigint"))
+    least = prefix.groupBy("place").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
+    groups = components(prefix.join(least, "place").select("a", F.col("node").alias("b"))).withColumnRenamed("component", "g")
+    sizes = groups.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocked = materialize(groups.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+
+    dealt = whole.join(blocked, "node").join(_partners(prefix, blocked), "node", "left")
+    cut = dealt.select("g", "b", F.coalesce("others", F.array("b")).alias("others"), "node", "n", "w", "shared").mapInArrow(_cut_up, _CUT_DDL)
+    parts = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) >> 23)
+    sides = cut.repartition(parts, "g", "b", "cut").sortWithinPartitions("g", "b", "cut").mapInArrow(_blocks, _SIDE_DDL)
     partial = sides.repartition(parts, "g", "i", "j", "cut").sortWithinPartitions("g", "i", "j", "cut").mapInArrow(_partial, _PART_DDL)
     tiles = partial.repartition(parts, "g", "i", "j").sortWithinPartitions("g", "i", "j")
     found = materialize(tiles.mapInArrow(_sum_up, "a bigint, b bigint, links bigint"))
 
-    linked = components(found.where("links = 0").select("a", "b")).withColumnRenamed("node", "c_node")
-    counts = found.where("links > 0").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "l_node")
-    named = nodes.join(linked, F.col("node") == F.col("c_node"), "left").join(counts, F.col("node") == F.col("l_node"), "left")
-    named = named.select(F.col("print").alias("p2"), F.coalesce("component", "node").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"))
-    out = texts.select("doc_id", "n", "print").join(named, (F.col("print") == F.col("p2")) & (F.col("n") > 0), "left")
+    linked = components(found.where("links = 0").select("a", "b"))
+    of = nodes.select("node", "print", "least", "w")
+    first = linked.join(of, "node").groupBy("component").agg(F.min("least").alias("cid"))
+    counts = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    named = of.join(linked.join(first, "component"), "node", "left").join(counts, "node", "left")
+    own = F.col("component").isNull()
+    named = named.select(
+        F.col("print").alias("p2"), F.when(own, F.col("node")).otherwise(F.col("component")).alias("c"), F.when(own, F.col("least")).otherwise(F.col("cid")).alias("cid"),
+        (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"),
+    )
+    return texts.select("doc_id", "text_id", "n", "print"), named
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of every row of docs.
+
+    Two texts link when the Jaccard similarity of their sets of five-word
+    shingles is at least NUM / DEN. component_id is the least doc_id reachable
+    by links, n_links how many other rows a text links with, equal sets
+    included. Texts without words, null ones too, are linked with nothing; rows
+    with a null doc_id count for others' links and have a null component_id.
+    Rows that repeat a doc_id are rows of their own, each by its text.
+    """
+    rows, named = _linked(docs)
+    out = rows.join(named, (F.col("print") == F.col("p2")) & (F.col("n") > 0), "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("cid", "doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the first of their component, with all their columns.
+    """The first row of each component, with all its columns: that of the least doc_id, null ones last, and of the least text hash on ties.
 
-    Rows with a null doc_id stay; of rows that repeat a doc_id one stays.
+    Of rows that are equal in doc_id and text one stays. Texts without words are
+    in no component and all stay.
     """
-    first = join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    kept = named.join(first, F.col("doc_id") == F.col("_id"), "left_semi")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    rows, named = _linked(docs)
+    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST))
+    best = rows.where("n > 0").join(named, F.col("print") == F.col("p2")).groupBy("c").agg(F.min(F.struct(doc.alias("d"), F.col("text_id").alias("t"))).alias("first"))
+    d, t, one = (fresh_name(docs, c) for c in ("d", "t", "one"))
+    keys = best.select(F.col("first.d").alias(d), F.col("first.t").alias(t), F.lit(True).alias(one))
+    keys = keys.unionAll(rows.where("n = 0").select(doc, "text_id", F.lit(False)).distinct())
+    kept = docs.select("*", doc.alias(d), F.xxhash64(F.coalesce("text", F.lit(""))).alias(t)).join(keys, [d, t])
+    once = kept.where(F.col(one)).dropDuplicates([d, t]).unionAll(kept.where(~F.col(one)))
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns))

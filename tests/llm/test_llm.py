@@ -141,6 +141,34 @@ def test_join_of_repeated_rows(spark):
     assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in got) == [(4, 4, 2), (4, 4, 2), (9, 4, 2)]
 
 
+def test_texts_of_one_id_are_judged_each_on_its_own(spark):
+    rng = random.Random(31)
+    one, two, three = (words(rng, 60, 5000) for _ in range(3))
+    rows = [(1, one, "a"), (1, two, "b"), (2, one + " tail", "c"), (None, two + " tail", "d"), (None, three, "e"), (3, three, "f"), (3, three, "f"), (None, None, "g"), (None, None, "g"), (5, "", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    got = [tuple(r) for r in jaccard_join.join(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, 56, 1, 1), (1, 56, 1, 1), (2, 57, 1, 1), (None, 57, None, 1), (None, 56, None, 2), (3, 56, 3, 2), (3, 56, 3, 2), (None, 0, None, 0), (None, 0, None, 0), (5, 0, 5, 0)], key=str)
+    kept = sorted(r["_id"] for r in jaccard_join.keep_one(docs).collect())
+    assert kept == ["a", "b", "f", "g", "g", "h"]
+    more = docs.selectExpr("doc_id", "text", "_id", "1 AS d", "2 AS t", "3 AS one")
+    assert jaccard_join.keep_one(more).columns == more.columns and jaccard_join.keep_one(more).count() == 6
+
+
+def test_a_chain_of_candidates_costs_as_its_length(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(32)
+    parts = [words(rng, 40, 100_000) for _ in range(401)]
+    texts = [f"{a} {b}" for a, b in itertools.pairwise(parts)]  # each shares half its shingles with the next
+    docs = frame(spark, texts)
+    want = [len(shingle_set(t)) for t in texts]
+    sent, partners = [], jaccard_join._partners
+    monkeypatch.setattr(jaccard_join, "_partners", lambda *a: sent.append(partners(*a)) or sent[-1])
+    got = sorted(tuple(r) for r in jaccard_join.join(docs).collect())
+    assert got == [(i, n, i, 0) for i, n in enumerate(want)]
+    listed = [len(r["others"]) for r in sent[0].collect()]
+    assert len(listed) > 300 and max(listed) <= 3  # its own block and those of its two neighbours
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
