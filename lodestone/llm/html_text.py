@@ -1,8 +1,9 @@
 """Main text of web pages by composite text density.
 
-Each page is parsed into a tree, leniently. Subtrees that are never content
-(scripts, forms, menus, notices, comments and the like) are set aside, and for
-every other node the characters, link characters, tags and link tags below it
+Each page is parsed into a tree, leniently. Subtrees that are never content are
+set aside: elements such as scripts, forms, menus and asides, and those that call
+themselves a menu, footer, sidebar, notice, advert or reader comments, unless all
+that the page has of a heading, an article or text is in there. For every other node the characters, link characters, tags and link tags below it
 give its composite text density. The node with the largest sum of its children's
 densities, of parts that are more than pieces of a paragraph, is the centre of
 the article; the least density on the path from it up to body is the threshold
@@ -43,23 +44,24 @@ _NEVER = frozenset(
     """script style noscript template head title iframe object embed svg canvas audio video form button select
     input textarea label fieldset nav aside footer menu dialog search xmp noframes""".split()
 )
+#: Names of what an article is without: comments, and menus, page heads and footers, sidebars, notices, adverts.
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|replies|disqus)(?:$|[\s_-]|\d)", re.I)
 _NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|commentlist|respond|replies|disqus|"
-    r"cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|sidebar|side-bar|"
-    r"widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|masthead|share|sharing|social|related|"
-    r"recommend\w*|login|signup|skip-link|toolbar|complementary|contentinfo|banner|search)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|masthead|footer|contentinfo|sidebar|side-bar|complementary|"
+    r"cookies?|consent|gdpr|notices?|notification|ads?|advert\w*|adsense|sponsored)(?:$|[\s_-]|\d)",
     re.I,
 )
 #: Parts of a paragraph: they make no node the centre.
 _INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s small span strong sub sup time tt u var".split())
+_HEADING = ("h1", "main", "article")
 _HEAD = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 
 
 class _Node:
-    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "parent", "skip", "sum", "tag", "tags")
+    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "name", "parent", "skip", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: _Node | None, skip: bool = False):
-        self.tag, self.parent, self.skip, self.kids = tag, parent, skip, []
+    def __init__(self, tag: str, parent: _Node | None, skip: bool = False, name: str = ""):
+        self.tag, self.parent, self.skip, self.name, self.kids = tag, parent, skip, name, []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -68,13 +70,38 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): (v or "").strip("\"'") for k, v in _NAMES.findall(text)} if text else {}
 
 
-def _excluded(tag: str, text: str, inside_article: bool) -> bool:
+def _excluded(tag: str, text: str, inside_article: bool) -> tuple[bool, str]:
+    """Whether an element is never content, and by what name ("" where it is by its kind)."""
     if tag in _NEVER or tag == "header" and not inside_article:
-        return True
+        return True, ""
     if tag in ("html", "body", "article", "main"):
-        return False
+        return False, ""
     a = _attributes(text)
-    return "hidden" in a or any(_NOISE.search(a.get(k, "")) for k in ("class", "id", "role"))
+    names = [a.get(k, "") for k in ("class", "id", "role")]
+    name = "comments" if any(map(_COMMENTS.search, names)) else "noise" if any(map(_NOISE.search, names)) or a.get("role") == "banner" else ""
+    return "hidden" in a or bool(name), "" if "hidden" in a else name
+
+
+def _reconsider(root: _Node) -> None:
+    """Where no heading or article is outside of what was set aside by name, take back what holds one, or, comments aside, most of the text."""
+    nodes, stack, outside = [], [(root, False)], False
+    while stack:
+        node, aside = stack.pop()
+        if not node.skip or node.name:
+            aside = aside or node.skip
+            outside = outside or not aside and node.tag in _HEADING
+            nodes.append(node)
+            stack += [(k, aside) for k in node.kids if isinstance(k, _Node)]
+    if outside or not any(n.name for n in nodes):
+        return
+    heads, chars = {}, {}
+    for node in reversed(nodes):
+        kids = [id(k) for k in node.kids if isinstance(k, _Node) and id(k) in chars]
+        chars[id(node)] = sum(len(k) for k in node.kids if isinstance(k, str)) + sum(chars[k] for k in kids)
+        heads[id(node)] = node.tag in _HEADING or any(heads[k] for k in kids)
+    for node in nodes:
+        if node.name == "noise" and (heads[id(node)] or 2 * chars[id(node)] > chars[id(root)]):
+            node.skip = False
 
 
 def parse(page: str) -> _Node:
@@ -124,7 +151,7 @@ def parse(page: str) -> _Node:
             up = next((x for x in _path(open_) if x.tag in these or x.tag in bound), None)
             if up is not None and up.tag in these:
                 close(up.parent)
-        node = _Node(tag, open_, _excluded(tag, found[3], articles > 0))
+        node = _Node(tag, open_, *_excluded(tag, found[3], articles > 0))
         open_.kids.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -132,6 +159,7 @@ def parse(page: str) -> _Node:
         elif tag not in _VOID and not found[3].endswith("/"):
             open_ = node
             articles += tag in ("article", "main")
+    _reconsider(root)
     return root
 
 
@@ -156,7 +184,8 @@ def measure(root: _Node) -> list[_Node]:
     """Set counts, composite densities and density sums of all nodes that may be content."""
     nodes = _ordered(root)
     for node in reversed(nodes):
-        node.chars += sum(len("".join(html.unescape(k).split())) for k in node.kids if isinstance(k, str))
+        node.chars = sum(len("".join(html.unescape(k).split())) for k in node.kids if isinstance(k, str))
+        node.tags = node.link_chars = node.link_tags = 0
         for k in node.kids:
             if isinstance(k, _Node) and not k.skip:
                 node.chars += k.chars

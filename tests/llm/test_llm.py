@@ -651,6 +651,75 @@ def test_density_selects_beside_and_inside_articles():
     assert got.split("\n\n") == [a, b]
 
 
+def test_names_set_aside_only_what_an_article_is_without():
+    paragraphs = [f"Sentence {i} of the article, which is long enough to count as text." for i in range(6)]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    want = "\n\n".join(paragraphs)
+    for wrap in ("elementor-widget-container", "site has-sidebar", "page-with-menu", "promo", "related-work"):
+        assert html_text.main_text(f"<body><div class='{wrap}'>{body}</div></body>") == want
+        assert html_text.main_text(f"<body><div class='{wrap}'><article>{body}</article></div></body>") == want
+    inside = f"<body><article>{body}<div class='related-work'><p>{paragraphs[0]}</p></div></article></body>"
+    assert html_text.main_text(inside) == want + "\n\n" + paragraphs[0]
+    for name in ("cookie-notice", "sidebar", "ad", "menu", "comments"):
+        assert html_text.main_text(f"<body><article>{body}</article><div class='{name}'><p>{paragraphs[0]}</p></div></body>") == want
+    many = "".join(f"<p>Comment {i} by a reader, with much to say about what was written.</p>" for i in range(30))
+    assert html_text.main_text(f"<body><article>{body}</article><div id='comments'>{many}</div></body>") == want
+
+
+def test_densities_and_centre_match_the_definition():
+    """Counts, densities and sums by walking every subtree anew, on random trees."""
+    rng = random.Random(23)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return "<p>" + " ".join("word" for _ in range(rng.randrange(1, 30))) + "</p>"
+        if rng.random() < 0.2:
+            return f"<a>{'link ' * rng.randrange(1, 6)}</a>"
+        return "<div>" + "".join(grow(depth - 1) for _ in range(rng.randrange(1, 5))) + "</div>"
+
+    def below(node):
+        for k in node.kids:
+            if not isinstance(k, str):
+                yield k
+                yield from below(k)
+
+    def chars(node):
+        return sum(len("".join(k.split())) if isinstance(k, str) else chars(k) for k in node.kids)
+
+    def linked(node):
+        return chars(node) if node.tag == "a" else sum(linked(k) for k in node.kids if not isinstance(k, str))
+
+    for _ in range(30):
+        page = "<html><body>" + "".join(grow(4) for _ in range(3)) + "</body></html>"
+        root, again = html_text.parse(page), html_text.parse(page)
+        nodes = html_text.measure(root)
+        body = next(n for n in nodes if n.tag == "body")
+        share = linked(body) / max(chars(body), 1)
+
+        def density(n):
+            c, lc, t, lt = chars(n), linked(n), sum(1 for _ in below(n)), sum(1 for x in below(n) if x.tag == "a")
+            if not c:
+                return 0.0
+            base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+            return c / max(t, 1) * max(math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)) / math.log(max(base, math.e)), 0.0)
+
+        total = lambda n: sum(density(k) for k in n.kids if not isinstance(k, str) and k.tag != "a")
+        for n in nodes:
+            assert math.isclose(n.density, density(n), rel_tol=1e-12) and math.isclose(n.sum, total(n), rel_tol=1e-12)
+        inside = [body, *below(body)]
+        best = max((n for n in inside if chars(n)), key=total)
+        best = best if total(best) else body
+        path = [best]
+        while path[-1] is not body:
+            path.append(path[-1].parent)
+        least = min((density(n) for n in path if density(n) > 0), default=0.0)
+        want = {id(best)} | {id(k) for n in path[:-1] for k in n.parent.kids if not isinstance(k, str) and k is not n and density(k) >= least}
+        outermost = {i for i, n in enumerate(inside) if id(n) in want and not any(id(a) in want for a in html_text._path(n.parent))}
+        twins = list(html_text._ordered(next(n for n in html_text._ordered(again) if n.tag == "body")))
+        chosen = html_text._select(again)
+        assert {i for i, n in enumerate(twins) if any(n is x for x in chosen)} == outermost
+
+
 def test_no_page_of_text_comes_out_empty():
     rng = random.Random(18)
     a, b = words(rng, 80), words(rng, 70)
