@@ -6,14 +6,20 @@ matters, vec. Order is by (t, seq); seq is unique.
 
 from __future__ import annotations
 
+import zlib
+from collections import OrderedDict
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import l2sq, normalize
-from lodestone.operators.knn import dimension, top
+from lodestone.operators.knn import dimension, knn, top
+from lodestone.operators.snapshot import numbered
 
 TYPES = ("insert", "delete", "query")
 
@@ -194,27 +200,133 @@ def recent_inserts(events: DataFrame, n: int = 10) -> DataFrame:
     return events.where("type = 'insert'").orderBy(F.desc("seq")).limit(n).select("seq", "id")
 
 
-def generate(spark: SparkSession, scenario: Scenario, n: int, n_base: int, n_queries: int, seed: int = 7) -> DataFrame:
-    """An event log (seq, t, type, id) of a scenario, each delete of an id that is live.
+MADE = "scenario string, seq bigint, t bigint, type string, id bigint, near boolean"
+
+
+def _waits(rng: np.random.Generator, pattern: str, n: int) -> np.ndarray:
+    """Ticks between events."""
+    i = np.arange(n)
+    if pattern == "poisson":
+        return np.maximum(rng.poisson(2.0, n), 1)
+    if pattern == "burst_decay":  # phases of 500 events, by turns
+        slow = np.maximum((10 / (0.9 ** (i % 500) + 0.1)).astype(np.int64), 1)
+        return np.where(i // 500 % 2 == 0, rng.integers(1, 5, n), slow)
+    return np.ones(n, np.int64)
+
+
+def _asked(rng: np.random.Generator, distribution: str, alpha: float, n: int, size: int) -> np.ndarray:
+    """Numbers of queries below size."""
+    if distribution == "zipfian":
+        weight = np.arange(1, size + 1, dtype=np.float64) ** -alpha
+        return np.minimum(np.searchsorted(np.cumsum(weight) / weight.sum(), rng.random(n), side="right"), size - 1)
+    if distribution == "gaussian":
+        return np.clip(rng.normal(0.5 * size, 0.2 * size, n).astype(np.int64), 0, size - 1)
+    return rng.integers(0, size, n)
+
+
+class Live:
+    """Ids that a deletion policy can take: each operation in constant time."""
+
+    def __init__(self, policy: str, rng: np.random.Generator):
+        self.policy, self.rng = policy, rng
+        self.order: OrderedDict[int, None] = OrderedDict()  # by insertion; for lru by last use
+        self.listed: list[int] = []
+        self.place: dict[int, int] = {}
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def insert(self, i: int) -> None:
+        self.order[i] = None
+        self.place[i] = len(self.listed)
+        self.listed.append(i)
+
+    def use(self, i: int) -> None:
+        if self.policy == "lru" and i in self.order:
+            self.order.move_to_end(i)
+
+    def take(self) -> int:
+        """The id to delete: the oldest (fifo), the least lately used (lru), the lowest or highest (clustered; ids rise), or any (random)."""
+        if self.policy == "random":
+            i = self.listed[int(self.rng.integers(len(self.listed)))]
+        else:
+            i = next(iter(self.order)) if self.policy in ("fifo", "lru") or self.rng.random() < 0.5 else next(reversed(self.order))
+        del self.order[i]
+        at, last = self.place.pop(i), self.listed.pop()
+        if last != i:
+            self.listed[at], self.place[last] = last, at
+        return i
+
+
+def _play(s: Scenario, n: int, n_base: int, n_queries: int, seed: int) -> pd.DataFrame:
+    rng = np.random.default_rng([seed, zlib.crc32(s.name.encode())])
+    n_insert, n_delete = int(n * s.insert_ratio), int(n * s.delete_ratio)
+    kinds = np.full(n, 2)
+    kinds[:n_insert], kinds[n_insert : n_insert + n_delete] = 0, 1
+    rng.shuffle(kinds)
+    t = np.cumsum(_waits(rng, s.temporal_pattern, n))
+    asked, chance, pick = _asked(rng, s.query_distribution, s.query_skew_alpha, n, max(n_queries, 1)), rng.random(n), rng.random(n)
+    share = {"decoupled": 0.0, "semi_coupled": 0.3, "fully_coupled": 1.0}[s.query_coupling]
+    first = int(n_base * s.base_init_ratio)
+    live, given, out = Live(s.deletion_policy, rng), 0, []
+    for i, kind in enumerate(kinds.tolist()):
+        if kind == 0 and first + given < n_base:
+            live.insert(first + given)
+            out.append(("insert", first + given, False))
+            given += 1
+        elif kind == 1 and len(live):
+            out.append(("delete", live.take(), False))
+        elif given and chance[i] < share:
+            near = first + given - 1 - int(pick[i] * min(given, s.locality_window))
+            live.use(near)
+            out.append(("query", near, True))
+        else:
+            out.append(("query", int(asked[i]), False))
+    kind, ids, near = zip(*out) if out else ((), (), ())
+    columns = {"type": np.array(kind, object), "id": np.array(ids, np.int64), "near": np.array(near, bool)}
+    return pd.DataFrame({"scenario": np.full(n, s.name, object), "seq": np.arange(1, n + 1), "t": t.astype(np.int64), **columns})
+
+
+def generate(spark: SparkSession, scenarios: Sequence[Scenario], n: int, n_base: int, n_queries: int, seed: int = 7) -> DataFrame:
+    """Event logs (scenario, seq, t, type, id, near) of n events for each scenario, each delete of an id that is live.
+
+    Kinds are drawn in the scenario's exact numbers and shuffled. Inserts take
+    the ids of the base vectors after the initial share, in order, until there
+    are no more; what cannot be inserted or deleted becomes a query. A query's id
+    is the number of a query vector, drawn from the scenario's distribution, or,
+    where near is set, one of the last locality_window inserts, whose nearest
+    query is meant (see coupled); such a query counts as a use for lru. A
+    scenario is one sequence whose every event depends on those before it, so
+    that it is played in one task and scenarios side by side.
+    """
+    by = {s.name: s for s in scenarios}
+    names = spark.createDataFrame([(s,) for s in by], "scenario string")
+    return names.groupBy("scenario").applyInPandas(lambda rows: _play(by[rows["scenario"].iloc[0]], n, n_base, n_queries, seed), MADE)
+
+
+def coupled(events: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """events with near resolved: the id of the query vector (id, vec) that is nearest to the insert's vector."""
+    inserts = events.where("near").select("id").distinct().join(vectors, "id").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    nearest = knn(inserts, queries, 1).select(F.col("qid").alias("id"), F.col("id").alias("query"), F.lit(True).alias("near"))
+    return events.join(nearest, ["id", "near"], "left").select("scenario", "seq", "t", "type", F.when(F.col("near"), F.col("query")).otherwise(F.col("id")).alias("id"))
+
+
+def with_vectors(events: DataFrame, vectors: DataFrame, queries: DataFrame, scenario: Scenario, **how) -> DataFrame:
+    """events of one scenario with vec: of inserts the drifted base vector, of queries the query vector; tables (id, vec) and, for cluster drift, label."""
+    moved = drift(vectors, scenario.drift_model, scenario.drift_sigma, **how) if scenario.drift_sigma > 0 else vectors
+    both = moved.select("id", "vec", F.lit("insert").alias("type")).unionByName(queries.select("id", "vec", F.lit("query").alias("type")))
+    return events.join(both, ["id", "type"], "left").select("scenario", "seq", "t", "type", "id", "vec")
+
+
+def fixed_mix(spark: SparkSession, queries: int, inserts: int, deletes: int, first_new: int, first_old: int = 10, step: int = 10, tick: int = 10) -> DataFrame:
+    """seq, t, type, id: exactly so many events of each kind, shuffled by a multiplicative hash, one every tick from 0.
 
-    Kinds are drawn in the scenario's exact numbers and shuffled by a hash. The
-    i-th insert takes the i-th id after the pool, and the d-th delete the d-th
-    insert, whatever the deletion policy, so that no state is carried from event
-    to event. A delete that has nothing to take becomes a query. Of the scenario,
-    insert_ratio, delete_ratio, base_init_ratio, query_skew_alpha and whether
-    the temporal pattern is uniform are read, and nothing else.
+    Queries are numbered from 0, inserts take new ids from first_new, deletes
+    every step-th old id from first_old.
     """
-    n_insert, n_delete = int(n * scenario.insert_ratio), int(n * scenario.delete_ratio)
-    h = lambda *c: F.xxhash64(*c, F.lit(seed))
-    kind = F.when(F.col("k") < n_insert, "insert").when(F.col("k") < n_insert + n_delete, "delete").otherwise("query")
-    order = Window.orderBy(h("k"), "k")
-    rows = spark.range(n).withColumnRenamed("id", "k").select("k", kind.alias("type")).withColumn("seq", F.row_number().over(order).cast("bigint"))
-    so_far = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    count = lambda t: F.sum(F.when(F.col("type") == t, 1).otherwise(0)).over(so_far)
-    rows = rows.withColumn("i", count("insert")).withColumn("d", count("delete"))
-    rows = rows.withColumn("type", F.when((F.col("type") == "delete") & (F.col("d") > F.col("i")), "query").otherwise(F.col("type")))
-    pool = int(n_base * scenario.base_init_ratio)
-    skewed = F.floor(F.lit(n_queries) * F.pow(F.pmod(h("seq", F.lit(1)), F.lit(1_000_000)) / 1e6, F.lit(1.0 + scenario.query_skew_alpha)))
-    ids = F.when(F.col("type") == "insert", F.lit(pool) + F.col("i") - 1).when(F.col("type") == "delete", F.lit(pool) + F.col("d") - 1).otherwise(skewed)
-    wait = F.when(F.lit(scenario.temporal_pattern == "uniform"), 1).otherwise(1 + F.pmod(h("seq", F.lit(2)), F.lit(4)))
-    return rows.withColumn("id", ids.cast("bigint")).withColumn("t", F.sum(wait).over(so_far).cast("bigint")).select("seq", "t", "type", "id")
+    k = F.col("k")
+    rows = spark.range(queries + inserts + deletes).withColumnRenamed("id", "k")
+    kind = F.when(k < queries, "query").when(k < queries + inserts, "insert").otherwise("delete")
+    ids = F.when(k < queries, k).when(k < queries + inserts, k - queries + first_new).otherwise((k - queries - inserts) * step + first_old)
+    rows = rows.select(((k * 2654435761) % (1 << 32)).alias("h"), "k", kind.alias("type"), ids.alias("id"))
+    return numbered(rows, "h", "k").select("seq", ((F.col("seq") - 1) * tick).alias("t"), "type", "id")

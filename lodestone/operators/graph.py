@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import l2sq
 from lodestone.operators.knn import dimension, knn, top
+from lodestone.operators.snapshot import materialize
 
 R, ALPHA, BEAM, START_CAP = 8, 1.2, 10, 600
 GRAPH_BYTES = 256 << 20  # a graph up to this size is sent to the search tasks; larger ones are searched by joins
@@ -44,9 +45,11 @@ def in_degree(vectors: DataFrame, edges: DataFrame) -> DataFrame:
     return vectors.select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("bigint").alias("degree"))
 
 
-def reverse(edges: DataFrame, cap: int = 500) -> DataFrame:
-    """id, srcs: the sources of a node's edges, the first cap of them by number."""
-    return edges.groupBy(F.col("dst").alias("id")).agg(F.slice(F.array_sort(F.collect_list("src")), 1, cap).alias("srcs"))
+def reverse(edges: DataFrame, cap: int | None = None) -> DataFrame:
+    """id, srcs: the sources of a node's edges by number; with cap the first cap of them, which are found before lists are made."""
+    pairs = edges.select(F.col("dst").alias("id"), "src")
+    pairs = pairs if cap is None else top(pairs, "id", cap, "src")
+    return pairs.groupBy("id").agg(F.array_sort(F.collect_list("src")).alias("srcs"))
 
 
 def validate(vectors: DataFrame, edges: DataFrame, r: int = R) -> DataFrame:
@@ -75,8 +78,6 @@ def reach(edges: DataFrame, start: int, steps: int = 12) -> DataFrame:
     """id, depth: nodes that a breadth-first walk from start meets in at most so many steps."""
     spark = edges.sparkSession
     seen = spark.createDataFrame([(start, 0)], "id bigint, depth int")
-    from lodestone.operators.snapshot import materialize
-
     pairs = materialize(edges.select("src", "dst"))
     for depth in range(1, steps + 1):
         front = seen.where(F.col("depth") == depth - 1).select(F.col("id").alias("src"))
@@ -88,11 +89,11 @@ def reach(edges: DataFrame, start: int, steps: int = 12) -> DataFrame:
 
 
 def medoid(vectors: DataFrame, dim: int | None = None) -> int:
-    """The vector of least summed distance to all; for large tables give a sample."""
-    as_queries = vectors.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    from lodestone.operators.knn import distances
-
-    return distances(as_queries, vectors.select("id", "vec"), dim).groupBy("qid").agg(F.sum("dist").alias("s")).orderBy("s", "qid").first()["qid"]
+    """The vector of least summed squared distance to all, which is the one nearest to their mean; the lower id on ties."""
+    dim = dim or dimension(vectors)
+    mean = vectors.agg(F.array(*(F.avg(F.get("vec", F.lit(i))) for i in range(dim))).alias("mean"))
+    far = vectors.crossJoin(F.broadcast(mean)).select("id", F.round(l2sq(F.col("vec"), F.col("mean"), dim), 12).alias("dist"))  # one row
+    return far.orderBy("dist", "id").first()["id"]
 
 
 # ---- pruning
@@ -104,28 +105,30 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumsum(d * d, axis=-1)[..., -1]
 
 
-def prune_kernel(ids: np.ndarray, dist: np.ndarray, vecs: np.ndarray, r: int, alpha: float) -> np.ndarray:
-    """Places kept of candidates in order: each that no kept one is alpha times nearer to, up to r."""
-    kept: list[int] = []
-    for i in range(len(ids)):
-        if len(kept) >= r:
-            break
-        if not kept or not (alpha * _squares(vecs[kept], vecs[i]) <= dist[i]).any():
-            kept.append(i)
-    return np.array(kept, np.int64)
-
-
 def prune(candidates: DataFrame, vectors: DataFrame, r: int = 6, alpha: float = ALPHA) -> DataFrame:
-    """src, ord, dst, dist of the edges kept of candidates (src, dst, dist); a source's candidates are bounded by the caller."""
+    """src, ord, dst, dist of the edges kept of candidates (src, dst, dist).
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["dist", "dst"], kind="stable")
-        kept = prune_kernel(rows["dst"].to_numpy(), rows["dist"].to_numpy(), np.stack(rows["vec"].to_numpy()), r, alpha)
-        out = rows.iloc[kept][["src", "dst", "dist"]]
-        return out.assign(ord=np.arange(1, len(out) + 1, dtype=np.int32))[["src", "ord", "dst", "dist"]]
+    Candidates of a source stream by in order of distance; only those kept are
+    held, so that a hub may have any number.
+    """
+
+    def run(batches):
+        last, held, full = None, [], False
+        for rows in batches:
+            out = []
+            for src, dst, dist, vec in zip(rows["src"].to_numpy(), rows["dst"].to_numpy(), rows["dist"].to_numpy(), rows["vec"]):
+                if src != last:
+                    last, held, full = src, [], False
+                if full:
+                    continue
+                if not held or not (alpha * _squares(np.stack(held), vec) <= dist).any():
+                    held.append(np.asarray(vec))
+                    out.append((src, len(held), dst, dist))
+                    full = len(held) >= r
+            yield pd.DataFrame(out, columns=["src", "ord", "dst", "dist"])
 
     full = candidates.select("src", "dst", "dist").join(vectors.select(F.col("id").alias("dst"), "vec"), "dst")
-    return full.groupBy("src").applyInPandas(one, "src bigint, ord int, dst bigint, dist double")
+    return full.select("src", "dst", "dist", "vec").repartition("src").sortWithinPartitions("src", "dist", "dst").mapInPandas(run, "src bigint, ord int, dst bigint, dist double")
 
 
 def reverse_candidates(edges: DataFrame, vectors: DataFrame, dim: int | None = None) -> DataFrame:
@@ -151,10 +154,9 @@ def neighbourhood(edges: DataFrame, vectors: DataFrame, cap: int = 32, dim: int
 # ---- search
 
 
-def greedy_kernel(query: np.ndarray, vecs: np.ndarray, nbrs: list[np.ndarray], ids: np.ndarray, start: int, beam: int, deleted: np.ndarray):
-    """Best-first search: worklist and expanded nodes as (distance, place), and distances computed."""
-    first = float(_squares(vecs[start], query))
-    work, seen, expanded, cost = [(first, int(ids[start]), start)], {start}, [], 1
+def greedy_kernel(distance, nbrs: list[np.ndarray], ids: np.ndarray, start: int, beam: int, deleted: np.ndarray):
+    """Best-first search: worklist and expanded nodes as (distance, id, place), and distances computed; distance answers an array of places."""
+    work, seen, expanded, cost = [(float(distance(np.array([start]))[0]), int(ids[start]), start)], {start}, [], 1
     done: set[int] = set()
     while True:
         node = next((w for w in work if w[2] not in done), None)
@@ -166,65 +168,159 @@ def greedy_kernel(query: np.ndarray, vecs: np.ndarray, nbrs: list[np.ndarray], i
         seen.update(new)
         if new:
             cost += len(new)
-            d = _squares(vecs[new], query)
-            work = sorted(work + [(float(x), int(ids[n]), n) for x, n in zip(d, new)])[:beam]
+            work = sorted(work + [(float(x), int(ids[n]), n) for x, n in zip(distance(np.array(new)), new)])[:beam]
+
+
+def _lists(edges: DataFrame, ids: np.ndarray) -> list[np.ndarray]:
+    """Places of each node's partners, by number; edges from or to an id that is no node are left out."""
+    table = edges.select("src", "dst").toArrow()
+    src, dst = (table.column(c).to_numpy() for c in ("src", "dst"))
+    a, b = (np.minimum(np.searchsorted(ids, x), max(len(ids) - 1, 0)) for x in (src, dst))
+    there = (ids[a] == src) & (ids[b] == dst) if len(ids) else np.zeros(len(src), bool)
+    a, b = a[there], b[there]
+    order = np.lexsort((b, a))
+    return np.split(b[order], np.searchsorted(a[order], np.arange(1, len(ids)))) if len(ids) else []
+
+
+def fits(vectors: DataFrame, edges: DataFrame, width: int) -> bool:
+    """Whether a graph of so many bytes a node, with the edges that there are, is within GRAPH_BYTES."""
+    return vectors.count() * width + edges.count() * 24 <= GRAPH_BYTES
 
 
 def greedy_search(queries: DataFrame, vectors: DataFrame, edges: DataFrame, start: int, beam: int = BEAM, k: int = 10, tombstones: DataFrame | None = None, over: str = "worklist") -> DataFrame:
     """qid, rk, id, dist, steps, evals: the k best of the worklist, or of the expanded nodes, of a best-first walk from start.
 
     The visited set is exact. Deleted nodes are neither expanded nor reported,
-    except that the walk may begin at one. The graph goes to the tasks whole
-    while it is within GRAPH_BYTES; a larger one is walked by joins, a step of
-    all queries at a time.
+    except that the walk may begin at one; edges to an id that is no vector lead
+    nowhere, and where start is none nothing is found. The graph goes to the
+    tasks whole while it is within GRAPH_BYTES; a larger one is walked by joins,
+    a step of all queries at a time, with the same result.
     """
     spark = queries.sparkSession
-    nodes = vectors.count()
-    dim = dimension(vectors) or 1
-    if nodes * (8 * dim + 8 * R * 8) > GRAPH_BYTES:
+    if not fits(vectors, edges, 8 * (dimension(vectors) or 1) + 8):
         return walk_by_joins(queries, vectors, edges, start, beam, k, tombstones, over)
     table = vectors.select("id", "vec").toPandas().sort_values("id")
-    ids = table["id"].to_numpy()
+    ids = table["id"].to_numpy().astype(np.int64)
     vecs = np.stack(table["vec"].to_numpy()) if len(ids) else np.zeros((0, 1))
-    lists: list = [[] for _ in ids]
-    for s, d in edges.select("src", "dst").toPandas().sort_values(["src", "dst"]).itertuples(index=False):
-        lists[int(np.searchsorted(ids, s))].append(int(np.searchsorted(ids, d)))
     gone = np.isin(ids, tombstones.toPandas()["id"].to_numpy()) if tombstones is not None else np.zeros(len(ids), bool)
-    graph = spark.sparkContext.broadcast((ids, vecs, [np.array(x, np.int64) for x in lists], gone))
+    graph = spark.sparkContext.broadcast((ids, vecs, _lists(edges, ids), gone))
 
     def search(batches):
         ids, vecs, nbrs, gone = graph.value
+        at = int(np.searchsorted(ids, start))
         for batch in batches:
             rows = []
-            for qid, q in zip(batch["qid"], batch["qvec"]):
-                work, expanded, cost = greedy_kernel(np.asarray(q), vecs, nbrs, ids, int(np.searchsorted(ids, start)), beam, gone)
-                best = [w for w in (work if over == "worklist" else sorted(expanded)) if not gone[w[2]]][:k]
-                rows += [(qid, i + 1, w[1], w[0], len(expanded), cost) for i, w in enumerate(best)]
+            for qid, q in zip(batch["qid"], batch["qvec"]) if at < len(ids) and ids[at] == start else ():
+                q = np.asarray(q)
+                work, expanded, cost = greedy_kernel(lambda n, q=q: _squares(vecs[n], q), nbrs, ids, at, beam, gone)
+                rows += _best(qid, work, expanded, cost, gone, k, over)
             yield pd.DataFrame(rows, columns=["qid", "rk", "id", "dist", "steps", "evals"])
 
-    return queries.mapInPandas(search, "qid bigint, rk int, id bigint, dist double, steps int, evals int")
+    return queries.mapInPandas(search, FOUND)
 
 
-def walk_by_joins(queries: DataFrame, vectors: DataFrame, edges: DataFrame, start: int, beam: int = BEAM, k: int = 10, tombstones: DataFrame | None = None, over: str = "worklist", steps: int = START_CAP) -> DataFrame:
-    """As greedy_search, by joins: every step expands one node of every query that has one left."""
-    from lodestone.operators.snapshot import materialize
+FOUND = "qid bigint, rk int, id bigint, dist double, steps int, evals int"
 
-    dim = dimension(vectors)
+
+def _best(qid: int, work: list, expanded: list, cost: int, gone: np.ndarray, k: int, over: str) -> list[tuple]:
+    best = [w for w in (work if over == "worklist" else sorted(expanded)) if not gone[w[2]]][:k]
+    return [(qid, i + 1, w[1], w[0], len(expanded), cost) for i, w in enumerate(best)]
+
+
+def pq_search(queries: DataFrame, vectors: DataFrame, codes: DataFrame, table: DataFrame, edges: DataFrame, start: int, beam: int = BEAM, k: int = 10, tombstones: DataFrame | None = None) -> DataFrame:
+    """qid, rk, id, dist: a best-first walk on approximate distances, whose expanded nodes are ranked by exact ones.
+
+    codes (id, chunk, code) and table (qid, chunk, code, d2) as product
+    quantisation makes them; a distance is the sum over the chunks, to nine
+    digits. Tasks get codes, one byte or two for each chunk, and edges while they
+    are within GRAPH_BYTES, and no vectors; beyond, the walk goes by joins.
+    """
+    spark = queries.sparkSession
+    chunks = codes.agg(F.max("chunk")).first()[0]
+    n_chunks = 0 if chunks is None else chunks + 1
+    walked = queries.select("qid").distinct().join(_tables(table, n_chunks), "qid")
+    if not n_chunks or not fits(codes.select("id").distinct(), edges, 2 * n_chunks + 8):
+        return rerank_by_join(pq_walk_by_joins(queries, codes, table, edges, start, beam, tombstones), queries, vectors, k)
+    rows = codes.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "code"))), lambda x: x["code"]).alias("c")).toPandas().sort_values("id")
+    ids = rows["id"].to_numpy().astype(np.int64)
+    gone = np.isin(ids, tombstones.toPandas()["id"].to_numpy()) if tombstones is not None else np.zeros(len(ids), bool)
+    graph = spark.sparkContext.broadcast((ids, np.stack(rows["c"].to_numpy()).astype(np.int16), _lists(edges, ids), gone))
+
+    def search(batches):
+        ids, codes, nbrs, gone = graph.value
+        at, each = int(np.searchsorted(ids, start)), np.arange(n_chunks)
+        for batch in batches:
+            rows = []
+            for qid, t in zip(batch["qid"], batch["t"]) if at < len(ids) and ids[at] == start else ():
+                t = np.stack(t)
+                _, expanded, _ = greedy_kernel(lambda n, t=t: np.round(np.cumsum(t[each, codes[n]], axis=1)[:, -1], 9), nbrs, ids, at, beam, gone)
+                rows += [(qid, w[1]) for w in expanded if not gone[w[2]]]
+            yield pd.DataFrame(rows, columns=["qid", "id"])
+
+    return rerank_by_join(walked.mapInPandas(search, "qid bigint, id bigint"), queries, vectors, k)
+
+
+def _tables(table: DataFrame, n_chunks: int) -> DataFrame:
+    """qid, t: each query's distance table, one list for each chunk."""
+    lists = table.groupBy("qid", "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "d2"))), lambda x: x["d2"]).alias("l"))
+    return lists.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "l"))), lambda x: x["l"]).alias("t"))
+
+
+def rerank_by_join(found: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The k of found (qid, id) that are nearest by exact distance."""
+    from lodestone.operators.knn import rerank
+
+    return rerank(found, queries, vectors, k)
+
+
+def pq_walk_by_joins(queries: DataFrame, codes: DataFrame, table: DataFrame, edges: DataFrame, start: int, beam: int = BEAM, tombstones: DataFrame | None = None, steps: int = START_CAP) -> DataFrame:
+    """qid, id of the nodes that a walk on approximate distances expands, by joins."""
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(codes, "id").join(table, ["qid", "chunk", "code"])
+        return near.groupBy("qid", "id").agg(F.round(F.aggregate(F.array_sort(F.collect_list(F.struct("chunk", "d2"))), F.lit(0.0), lambda s, x: s + x["d2"]), 9).alias("dist"))
+
+    state = _walk(queries.select("qid"), measured, edges, start, beam, tombstones, steps)
+    pool = state.where("step > 0").select("qid", "id")
+    return pool if tombstones is None else pool.join(tombstones, "id", "left_anti")
+
+
+def dual_search(queries: DataFrame, static: DataFrame, edges: DataFrame, fresh: DataFrame, start: int, beam: int = BEAM, k: int = 10, tombstones: DataFrame | None = None) -> DataFrame:
+    """qid, rk, id, segment, dist: the k best of a walk over the static segment's graph and of the fresh segment as a whole."""
+    walked = greedy_search(queries, static, edges, start, beam, k, tombstones, over="worklist").select("qid", "id", "dist", F.lit("static").alias("segment"))
+    near = knn(queries, fresh, k, tombstones).select("qid", "id", "dist", F.lit("fresh").alias("segment"))
+    return top(walked.unionAll(near), "qid", k).select("qid", "rk", "id", "segment", "dist")
+
+
+def _walk(queries: DataFrame, measured, edges: DataFrame, start: int, beam: int, tombstones: DataFrame | None, steps: int) -> DataFrame:
+    """qid, id, dist, step (0 if not expanded), listed: every node that a walk met; every step expands one node of every query that has one left.
+
+    measured gives pairs (qid, id) their dist, and leaves out ids that are no node.
+    """
     live = edges.select("src", "dst").join(tombstones.select(F.col("id").alias("dst")), "dst", "left_anti") if tombstones is not None else edges.select("src", "dst")
-    here = vectors.where(F.col("id") == start).select("id", "vec")
-    state = queries.crossJoin(F.broadcast(here)).select("qid", "id", l2sq(F.col("qvec"), F.col("vec"), dim).alias("dist"), F.lit(0).alias("step"), F.lit(True).alias("listed"))
+    fresh = lambda df: df.select("qid", "id", "dist", F.lit(0).alias("step"), F.lit(True).alias("listed"))
     by = Window.partitionBy("qid").orderBy("dist", "id")
-    state = materialize(state)
+    state = materialize(fresh(measured(queries.select("qid", F.lit(start).cast("bigint").alias("id")))))
     for step in range(1, steps + 1):
         front = top(state.where("listed AND step = 0"), "qid", 1).select("qid", F.col("id").alias("src"))
         if front.isEmpty():
             break
         new = front.join(live, "src").select("qid", F.col("dst").alias("id")).distinct().join(state, ["qid", "id"], "left_anti")
-        new = new.join(vectors.select("id", "vec"), "id").join(queries, "qid").select("qid", "id", l2sq(F.col("qvec"), F.col("vec"), dim).alias("dist"), F.lit(0).alias("step"), F.lit(True).alias("listed"))
         done = state.join(front.withColumnRenamed("src", "id").withColumn("now", F.lit(step)), ["qid", "id"], "left").withColumn("step", F.coalesce("now", "step")).drop("now")
-        every = done.select("qid", "id", "dist", "step", "listed").unionAll(new)
+        every = done.select("qid", "id", "dist", "step", "listed").unionAll(fresh(measured(new)))
         rank = F.sum(F.col("listed").cast("int")).over(by)
         state = materialize(every.withColumn("listed", F.col("listed") & (rank <= beam)))
+    return state
+
+
+def walk_by_joins(queries: DataFrame, vectors: DataFrame, edges: DataFrame, start: int, beam: int = BEAM, k: int = 10, tombstones: DataFrame | None = None, over: str = "worklist", steps: int = START_CAP) -> DataFrame:
+    """As greedy_search, by joins."""
+    dim = dimension(vectors)
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        return pairs.join(vectors.select("id", "vec"), "id").join(queries, "qid").select("qid", "id", l2sq(F.col("qvec"), F.col("vec"), dim).alias("dist"))
+
+    state = _walk(queries, measured, edges, start, beam, tombstones, steps)
     pool = state.where("listed" if over == "worklist" else "step > 0")
     if tombstones is not None:
         pool = pool.join(tombstones, "id", "left_anti")
@@ -237,8 +333,6 @@ def walk_by_joins(queries: DataFrame, vectors: DataFrame, edges: DataFrame, star
 
 def build(vectors: DataFrame, start: int, r: int = 6, alpha: float = ALPHA, beam: int = 24, passes: int = 1, base: DataFrame | None = None) -> DataFrame:
     """src, ord, dst, dist: search for every node, prune what was expanded, then add and prune reverse edges."""
-    from lodestone.operators.snapshot import materialize
-
     edges = base if base is not None else knn_graph(vectors, r)
     as_queries = vectors.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
     for _ in range(passes):
@@ -251,8 +345,6 @@ def build(vectors: DataFrame, start: int, r: int = 6, alpha: float = ALPHA, beam
 
 def insert(vectors: DataFrame, edges: DataFrame, new: DataFrame, start: int, r: int = 6, alpha: float = ALPHA, beam: int = 24) -> DataFrame:
     """Edges after new vectors are written, searched for, pruned, and linked back; all are written before any is searched for."""
-    from lodestone.operators.snapshot import materialize
-
     everything = vectors.select("id", "vec").unionAll(new.select("id", "vec"))
     found = greedy_search(new.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), vectors, edges, start, beam, START_CAP, over="expanded")
     out = materialize(prune(with_distances(found.select(F.col("qid").alias("src"), F.col("id").alias("dst")), everything), everything, r, alpha))
@@ -285,17 +377,17 @@ def repair_candidates(edges: DataFrame, vectors: DataFrame, tombstones: DataFram
 def consolidate(edges: DataFrame, vectors: DataFrame, tombstones: DataFrame, r: int = 6, alpha: float = ALPHA) -> DataFrame:
     """Edges of the next epoch: deleted nodes and their edges are gone, nodes that had such edges are pruned anew.
 
-    A repaired node with fewer than r candidates also takes the nearest live
-    nodes, up to 2 r.
+    A repaired node with fewer than r candidates also takes those that a search
+    of the live graph from its medoid finds, up to 2 r.
     """
-    from lodestone.operators.snapshot import materialize
-
     live = vectors.join(tombstones, "id", "left_anti")
     hit = materialize(affected(edges, tombstones).select(F.col("id").alias("src")))
     candidates = materialize(repair_candidates(edges, vectors, tombstones, r).select("src", "dst", "dist"))
     few = hit.join(candidates.groupBy("src").count(), "src", "left").where(F.coalesce("count", F.lit(0)) < r).select("src")
-    extra = knn(few.join(vectors.select(F.col("id").alias("src"), "vec"), "src").select(F.col("src").alias("qid"), F.col("vec").alias("qvec")), live, 2 * r + 1)
-    extra = extra.where("qid <> id").select(F.col("qid").alias("src"), F.col("id").alias("dst"), "dist")
-    fixed = prune(candidates.unionAll(extra).dropDuplicates(["src", "dst"]), vectors, r, alpha)
+    asked = materialize(few.join(vectors.select(F.col("id").alias("src"), "vec"), "src").select(F.col("src").alias("qid"), F.col("vec").alias("qvec")))
+    if not asked.isEmpty():
+        extra = greedy_search(asked, live, edges, medoid(live), 4 * r, 2 * r + 1, tombstones).where("qid <> id")
+        candidates = candidates.unionAll(extra.select(F.col("qid").alias("src"), F.col("id").alias("dst"), "dist")).dropDuplicates(["src", "dst"])
+    fixed = prune(candidates, vectors, r, alpha)
     kept = edges.join(hit, "src", "left_anti").join(tombstones.select(F.col("id").alias("src")), "src", "left_anti")
     return materialize(kept.select("src", "ord", "dst", "dist").unionAll(fixed))

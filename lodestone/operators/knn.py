@@ -34,11 +34,15 @@ def blocks(queries: DataFrame) -> list[DataFrame]:
     return [F.broadcast(queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i)) for i in range(n)]
 
 
+def pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Every vector beside every query, for a limit on what follows; queries come in blocks of a checked size."""
+    return reduce(DataFrame.unionAll, [vectors.crossJoin(q) for q in blocks(queries)])
+
+
 def distances(queries: DataFrame, vectors: DataFrame, dim: int | None = None) -> DataFrame:
     """qid, id, dist (and other columns of vectors) of every query with every vector."""
     dim = dim or dimension(vectors)
-    every = [vectors.crossJoin(q) for q in blocks(queries)]
-    return reduce(DataFrame.unionAll, every).withColumn("dist", l2sq(F.col("qvec"), F.col("vec"), dim)).drop("qvec", "vec")
+    return pairs(queries, vectors).withColumn("dist", l2sq(F.col("qvec"), F.col("vec"), dim)).drop("qvec", "vec")
 
 
 def top(df: DataFrame, by: str, k: int, *order: str | Column, rank: str = "rk") -> DataFrame:
@@ -55,8 +59,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, deleted: DataFrame
 def rerank(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int | None = None) -> DataFrame:
     """Top k of candidate pairs (qid, id) by exact distance."""
     dim = dim or dimension(vectors)
-    pairs = candidates.select("qid", "id").join(vectors.select("id", "vec"), "id").join(F.broadcast(queries) if len(blocks(queries)) == 1 else queries, "qid")
-    return top(pairs.withColumn("dist", l2sq(F.col("qvec"), F.col("vec"), dim)), "qid", k).select("qid", "rk", "id", "dist")
+    both = candidates.select("qid", "id").join(vectors.select("id", "vec"), "id").join(F.broadcast(queries) if len(blocks(queries)) == 1 else queries, "qid")
+    return top(both.withColumn("dist", l2sq(F.col("qvec"), F.col("vec"), dim)), "qid", k).select("qid", "rk", "id", "dist")
 
 
 # ---- product quantisation: chunks of equal width, pivots (chunk, code, sub), codes (id, chunk, code)
@@ -86,6 +90,19 @@ def train_pivots(vectors: DataFrame, codes: int = 256, n: int = 8, width: int =
     return vectors.sparkSession.createDataFrame(rows, "chunk int, code int, sub array<double>")
 
 
+def refine_pivots(vectors: DataFrame, pivots: DataFrame, rounds: int = 2, n: int = 8, width: int = 8) -> DataFrame:
+    """Pivots (chunk, code, sub) after rounds of k-means from the given ones, every chunk on its own, to nine digits; a pivot without parts stays.
+
+    Parts are summed where they are; what moves is one sum for each task, chunk and code.
+    """
+    for _ in range(rounds):
+        parts = chunks(vectors.select("id", "vec"), "vec", n, width)
+        mine = encode(vectors, pivots, n, width).join(parts, ["id", "chunk"])
+        mean = mine.groupBy("chunk", "code").agg(F.array(*(F.round(F.avg(F.get("part", F.lit(i))), 9) for i in range(width))).alias("mean"))
+        pivots = pivots.join(mean, ["chunk", "code"], "left").select("chunk", "code", F.coalesce("mean", "sub").alias("sub"))
+    return pivots
+
+
 def encode(vectors: DataFrame, pivots: DataFrame, n: int = 8, width: int = 8) -> DataFrame:
     """id, chunk, code: the nearest pivot of every part, the lower code on ties."""
     near = chunks(vectors.select("id", "vec"), "vec", n, width).join(F.broadcast(pivots), "chunk")  # at most 256 pivots a chunk

@@ -2,28 +2,61 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own where it is unset."""
+    """The folder of spark.checkpoint.dir; one of our own where it is unset and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and lost executors cost nothing."""
+    """df as a table in the shared folder, for as long as the session lasts: its lineage ends there, and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, path in _written:
+        try:
+            delete(spark, path)
+        except Exception:  # the session has ended already
+            return
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder, wherever it is stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(df: DataFrame, *order: str, column: str = "seq") -> DataFrame:
+    """df with its rows numbered from 1 in the order of columns that no two rows share, in as many tasks as there are ranges."""
+    ranges = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n"))  # one row for each range
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_within", within).join(F.broadcast(before), "_range").withColumn(column, (F.col("_before") + F.col("_within")).cast("bigint")).drop("_range", "_within", "_before")
+
+
 def write_epoch(root: str, epoch: int, **tables: DataFrame) -> None:
     """Write the tables of an epoch, then the marker by which readers find it whole."""
     spark = next(iter(tables.values())).sparkSession

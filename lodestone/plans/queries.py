@@ -2,7 +2,8 @@
 
 vectors are the table embeddings, queries every twentieth of them, tombstones
 those of id mod 7 = 3, fresh those of id mod 5 = 4; edges is the exact 8-NN
-graph; the event log is the table events, with its types mapped.
+graph; the event log is the table events, with its types mapped. Graphs and the
+numbered log are written once for each session and directory.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql.window import Window
 from lodestone.functions import BLOOM, bloom_place, dot, l2sq, mips_base, mips_query, norm, normalize, pad
 from lodestone.operators import events as ev
 from lodestone.operators import graph, knn, metrics
-from lodestone.operators.snapshot import materialize
+from lodestone.operators.snapshot import materialize, numbered
 
 DIM = 64
 K, R = 10, 8
@@ -24,6 +25,9 @@ K, R = 10, 8
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+_ONCE: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Fixture:
     """The tables of one directory."""
 
@@ -31,6 +35,13 @@ class Fixture:
         self.spark, self.dir = spark, sf_dir
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table made from the directory's tables, which stay as they are while a session lasts."""
+        key = self.spark.sparkContext.applicationId, self.dir, name
+        if key not in _ONCE:
+            _ONCE[key] = materialize(make())
+        return _ONCE[key]
+
     @property
     def v(self) -> DataFrame:
         df = self.spark.read.parquet(f"{self.dir}/embeddings.parquet")
@@ -54,17 +65,29 @@ class Fixture:
 
     @property
     def edges(self) -> DataFrame:
-        return graph.knn_graph(self.v, R, DIM)
+        return self.once("edges", lambda: graph.knn_graph(self.v, R, DIM))
+
+    @property
+    def static_edges(self) -> DataFrame:
+        return self.once("static_edges", lambda: graph.knn_graph(self.static, R, DIM))
+
+    @property
+    def pruned(self) -> DataFrame:
+        return self.once("pruned", lambda: graph.prune(self.candidates, self.v))
+
+    @property
+    def trained(self) -> DataFrame:
+        return self.once("trained", lambda: knn.refine_pivots(self.v, knn.pivots(self.v)))
 
     @property
     def log(self) -> DataFrame:
+        return self.once("log", self._log)
+
+    def _log(self) -> DataFrame:
         e = self.spark.read.parquet(f"{self.dir}/events.parquet")
         kind = F.when(F.col("event_type") == "signup", "insert").when(F.col("event_type") == "error", "delete").otherwise("query")
-        return e.select(
-            # The log's order is one sequence, as a replay needs it.
-            F.row_number().over(Window.orderBy("ts", "event_id")).cast("bigint").alias("seq"),
-            F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), kind.alias("type"), (F.col("event_id") % 500).alias("id"), "value",
-        )
+        rows = numbered(e.select("ts", "event_id", "event_type", "value"), "ts", "event_id")
+        return rows.select("seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), kind.alias("type"), (F.col("event_id") % 500).alias("id"), "value")
 
     @property
     def truth(self) -> DataFrame:
@@ -76,7 +99,7 @@ class Fixture:
 
     @property
     def candidates(self) -> DataFrame:
-        return graph.knn_graph(self.v, 32, DIM)
+        return self.once("candidates", lambda: graph.knn_graph(self.v, 32, DIM))
 
     def medoid(self) -> int:
         return graph.medoid(self.v, DIM)
@@ -129,7 +152,7 @@ def q_fresh_edges(f):
 @query
 def q_topk_rerank(f):
     rough = l2sq(F.slice("qvec", 1, 16), F.slice("vec", 1, 16), 16)
-    near = f.v.crossJoin(F.broadcast(f.q)).select("qid", "id", rough.alias("dist"))  # the stated query set
+    near = knn.pairs(f.q, f.v).select("qid", "id", rough.alias("dist"))
     return knn.rerank(knn.top(near, "qid", 40), f.q, f.v, K, DIM)
 
 
@@ -159,8 +182,7 @@ def q_mips_transform(f):
 def q_mips_topk(f):
     base = f.v.crossJoin(_largest(f)).select("id", "vec", mips_base(F.col("vec"), F.col("m"), DIM).alias("u"))  # one row
     asked = f.q.select("qid", "qvec", mips_query(F.col("qvec"), DIM).alias("w"))
-    pairs = base.crossJoin(F.broadcast(asked))  # the stated query set
-    near = pairs.select("qid", "id", F.round(l2sq(F.col("w"), F.col("u"), DIM + 1), 9).alias("dist"), F.round(dot(F.col("qvec"), F.col("vec"), DIM), 9).alias("ip"))
+    near = knn.pairs(asked, base).select("qid", "id", F.round(l2sq(F.col("w"), F.col("u"), DIM + 1), 9).alias("dist"), F.round(dot(F.col("qvec"), F.col("vec"), DIM), 9).alias("ip"))
     return knn.top(near, "qid", K).select("qid", "rk", "id", "ip")
 
 
@@ -289,7 +311,7 @@ def q_affected_nodes(f):
 
 @query
 def q_bfs_reach(f):
-    return graph.reach(materialize(f.edges), 7)
+    return graph.reach(f.edges, 7)
 
 
 @query
@@ -306,18 +328,17 @@ def q_robust_prune(f):
 
 @query
 def q_build_out_edges(f):
-    return graph.prune(graph.neighbourhood(materialize(f.edges), f.v, 32, DIM), f.v)
+    return graph.prune(graph.neighbourhood(f.edges, f.v, 32, DIM), f.v)
 
 
 @query
 def q_apply_reverse_edges(f):
-    pruned = materialize(graph.prune(f.candidates, f.v))
-    return graph.prune(graph.reverse_candidates(pruned, f.v, DIM), f.v)
+    return graph.prune(graph.reverse_candidates(f.pruned, f.v, DIM), f.v)
 
 
 @query
 def q_consolidate_candidates(f):
-    return graph.repair_candidates(materialize(f.edges), f.v, f.dead, 6, DIM).select("src", "rk", "dst", "dist")
+    return graph.repair_candidates(f.edges, f.v, f.dead, 6, DIM).select("src", "rk", "dst", "dist")
 
 
 # ---- search
@@ -358,7 +379,7 @@ def q_worklist_merge(f):
 @query
 def q_candidate_merge(f):
     visited = knn.knn(f.q, f.v, 20, dim=DIM).select("qid", "id")
-    nbrs = f.edges.join(F.broadcast(f.q.select("qid")), F.col("src") == F.col("qid")).select("qid", F.col("dst").alias("id"))  # the stated query set
+    nbrs = f.edges.join(f.q.select("qid"), F.col("src") == F.col("qid")).select("qid", F.col("dst").alias("id"))
     pairs = visited.union(nbrs).distinct().join(f.v.select("id", "vec"), "id").join(f.q, "qid")
     return knn.top(pairs.select("qid", "id", l2sq(F.col("qvec"), F.col("vec"), DIM).alias("dist")), "qid", 24).select("qid", "rk", "id", "dist")
 
@@ -370,6 +391,11 @@ def q_dual_search_exact(f):
     return knn.top(near, "qid", K).select("qid", "rk", "id", "segment", "dist")
 
 
+@query
+def q_dual_search(f):
+    return graph.dual_search(f.q, f.static, f.static_edges, f.fresh.select("id", "vec"), 7, 10, K, f.dead)
+
+
 # ---- product quantisation
 
 
@@ -398,6 +424,16 @@ def q_pq_rerank(f):
     return knn.rerank(knn.top(knn.adc(*_pq(f)), "qid", 40), f.q, f.v, K, DIM)
 
 
+@query
+def q_pq_train(f):
+    return one_by_one(f.trained, "sub")
+
+
+@query
+def q_pq_search(f):
+    return graph.pq_search(f.q, f.v, knn.encode(f.v, f.trained), knn.distance_table(f.q, f.trained), f.edges, 7, 10, K, f.dead)
+
+
 # ---- recall and statistics
 
 
@@ -435,7 +471,7 @@ def q_index_stats(f):
 @query
 def q_gather_queries(f):
     asked = f.log.where("type = 'query'").select("seq", F.col("id").alias("qid"))
-    return asked.join(F.broadcast(f.q), "qid").select("seq", "qid", F.get("qvec", F.lit(0)).alias("first"), F.get("qvec", F.lit(63)).alias("last"))  # the stated query set
+    return asked.join(f.q, "qid").select("seq", "qid", F.get("qvec", F.lit(0)).alias("first"), F.get("qvec", F.lit(63)).alias("last"))
 
 
 # ---- upkeep
@@ -456,14 +492,10 @@ def q_merge_segments(f):
 def q_fresh_insert(f):
     inserts = f.log.where("type = 'insert'").groupBy("id").agg(F.min("seq").alias("seq"))
     cap = f.static.agg(F.floor(F.count("*") / 10).alias("cap"))
-    ranked = inserts.withColumn("place", F.row_number().over(Window.orderBy("seq")).cast("bigint"))  # at most one row per id
+    ranked = numbered(inserts, "seq", column="place")
     return ranked.crossJoin(cap).where("place <= cap").select("id", "seq", "place")  # one row
 
 
-def _graph(f: Fixture) -> DataFrame:
-    return materialize(graph.prune(f.candidates, f.v))
-
-
 @query
 def q_build_graph(f):
     return graph.build(f.v, f.medoid())
@@ -477,13 +509,13 @@ def q_insert_batch(f):
 
 @query
 def q_reinsert(f):
-    edges, _ = graph.reinsert(f.v, _graph(f), f.dead, f.dead.where("id % 2 = 0"), 7)
+    edges, _ = graph.reinsert(f.v, f.pruned, f.dead, f.dead.where("id % 2 = 0"), 7)
     return edges
 
 
 @query
 def q_consolidate(f):
-    return graph.consolidate(_graph(f), f.v, f.dead)
+    return graph.consolidate(f.pruned, f.v, f.dead)
 
 
 # ---- events
@@ -599,14 +631,18 @@ def q_scenarios(f):
 @query
 def q_base_split(f):
     half = f.v.agg(F.floor(F.count("*") * 7 / 10).alias("n"))
-    rows = f.v.select("id", F.row_number().over(Window.orderBy("id")).alias("rn")).crossJoin(half)  # one row
+    rows = numbered(f.v.select("id"), "id", column="rn").crossJoin(half)  # one row
     return rows.select("id", F.when(F.col("rn") <= F.col("n"), "initial").otherwise("pool").alias("part"))
 
 
 @query
 def q_generate_workload(f):
-    every = [ev.generate(f.spark, s, 2000, 500, 25).withColumn("scenario", F.lit(s.name)) for s in ev.SCENARIOS]
-    out = every[0]
-    for df in every[1:]:
-        out = out.unionByName(df)
-    return out
+    n = f.spark.read.parquet(f"{f.dir}/events.parquet").count()
+    made = ev.generate(f.spark, ev.SCENARIOS, n, f.v.count(), f.q.count())
+    queries = numbered(f.q, "qid", column="place").select((F.col("place") - 1).alias("id"), F.col("qvec").alias("vec"))
+    return ev.coupled(made, f.v.select("id", "vec"), queries)
+
+
+@query
+def q_fixed_mix(f):
+    return ev.fixed_mix(f.spark, f.q.count(), 50, 50, 10_000)

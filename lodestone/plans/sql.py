@@ -59,6 +59,14 @@ TABLES: dict[str, tuple[str, str]] = {
         greatest(max(CASE WHEN type = 'insert' THEN seq END), coalesce(max(CASE WHEN type = 'query' THEN seq END), 0)) AS used FROM log WHERE id IN (SELECT id FROM liveset) GROUP BY id"""),
     "nb": ("edges qd", "SELECT qd.qid, e.src, list({'d': qd.dist, 'id': qd.id}) AS l FROM edges e JOIN qd ON qd.id = e.dst GROUP BY qd.qid, e.src"),
     "nblive": ("edges qd dead", "SELECT qd.qid, e.src, list({'d': qd.dist, 'id': qd.id}) FILTER (WHERE qd.id NOT IN (SELECT id FROM dead)) AS l FROM edges e JOIN qd ON qd.id = e.dst GROUP BY qd.qid, e.src"),
+    **{f"tc{k}": (f"tp{k}", f"SELECT id, chunk, arg_min(code, {{'d': {d('vec[8 * chunk + 1 : 8 * chunk + 8]', 'sub')}, 'c': code}}) AS code FROM v, tp{k} GROUP BY id, chunk") for k in (0, 1, 2)},
+    **{f"tp{k + 1}": (f"tc{k}", f"""SELECT chunk, code, coalesce(mean, sub) AS sub FROM tp{k} LEFT JOIN (SELECT chunk, code, list(x ORDER BY i) AS mean FROM (
+        SELECT chunk, code, i, round(avg(vec[8 * chunk + i]), 9) AS x FROM tc{k} JOIN v USING (id), range(1, 9) r(i) GROUP BY ALL) GROUP BY ALL) USING (chunk, code)""") for k in (0, 1)},
+    "tp0": ("piv", "SELECT chunk, code, sub FROM piv"),
+    "tadc": ("tc2 q", f"SELECT qid, id, round(sum({d('qvec[8 * chunk + 1 : 8 * chunk + 8]', 'sub')}), 9) AS dist FROM tc2 JOIN tp2 USING (chunk, code), q GROUP BY qid, id"),
+    "nbpq": ("edges tadc dead", "SELECT p.qid, e.src, list({'d': p.dist, 'id': p.id}) FILTER (WHERE p.id NOT IN (SELECT id FROM dead)) AS l FROM edges e JOIN tadc p ON p.id = e.dst GROUP BY p.qid, e.src"),
+    "sedges": ("dd", top("(SELECT * FROM dd WHERE src % 5 <> 4 AND dst % 5 <> 4)", "src", 8, "dist, dst")),
+    "nbstatic": ("sedges qd dead", "SELECT qd.qid, e.src, list({'d': qd.dist, 'id': qd.id}) FILTER (WHERE qd.id NOT IN (SELECT id FROM dead)) AS l FROM sedges e JOIN qd ON qd.id = e.dst GROUP BY qd.qid, e.src"),
     "recent": ("log", "SELECT seq, id FROM log WHERE type = 'insert' ORDER BY seq DESC LIMIT 10"),
 }
 
@@ -84,10 +92,10 @@ def exploded(select: str, column: str, source: str) -> str:
     return f"SELECT {select}, (i - 1)::INT AS pos, round({column}[i], 9) + 0.0 AS x FROM {source}, range(1, 66) r(i) WHERE i <= len({column})"
 
 
-def walk(neighbours: str, beam: int = 10) -> str:
+def walk(neighbours: str, beam: int = 10, distances: str = "qd") -> str:
     """Table g: the states of a best-first walk of every query from node 7."""
     return f"""g(qid, step, wl, seen, parent) AS (
-      SELECT qid, 0, [{{'d': dist, 'id': id}}], []::BIGINT[], id FROM qd WHERE id = 7 UNION ALL
+      SELECT qid, 0, [{{'d': dist, 'id': id}}], []::BIGINT[], id FROM {distances} WHERE id = 7 UNION ALL
       SELECT qid, step + 1, wl, seen, (list_filter(wl, lambda w: NOT list_contains(seen, w.id))[1]).id FROM (
         SELECT g.qid, g.step, list_append(g.seen, g.parent) AS seen, list_sort(list_distinct(list_concat(g.wl, coalesce(n.l, []))))[1:{beam}] AS wl
         FROM g JOIN {neighbours} n ON n.qid = g.qid AND n.src = g.parent))"""
@@ -152,6 +160,16 @@ ORACLE_SQL: dict[str, str] = {
     "q_search_step": sql("edges qd dead", "SELECT qd.qid, qd.id, qd.dist FROM edges e JOIN qd ON qd.id = e.dst WHERE e.src = 7 AND e.dst <> 7 AND e.dst NOT IN (SELECT id FROM dead)"),
     "q_greedy_search": sql("nb", """SELECT qid, i::INT AS rk, wl[i].id AS id, wl[i].d AS dist FROM (SELECT qid, arg_max(wl, step) AS wl FROM g GROUP BY qid), range(1, 11) r(i) WHERE i <= len(wl)""", walk("nb")),
     "q_ann_topk": sql("nblive", "SELECT qid, rk, id, dist FROM (" + top("(SELECT s.qid, qd.id, qd.dist FROM (SELECT qid, arg_max(seen, step) AS seen FROM g GROUP BY qid) s JOIN qd ON qd.qid = s.qid AND list_contains(s.seen, qd.id) AND qd.id NOT IN (SELECT id FROM dead))", "qid", 10) + ")", walk("nblive")),
+    "q_search_cost": sql("nb qd", """SELECT qid, max(step)::INT AS steps, (SELECT count(DISTINCT x.id)::INT FROM (SELECT 7::BIGINT AS id UNION ALL
+        SELECT n.id FROM (SELECT unnest(l).id AS id FROM nb WHERE nb.qid = s.qid AND list_contains(s.seen, nb.src)) n) x) AS evals
+        FROM (SELECT qid, max(step) AS step, arg_max(seen, step) AS seen FROM g GROUP BY qid) s GROUP BY qid, seen""", walk("nb")),
+    "q_dual_search": sql("nbstatic qd dead", """SELECT qid, rk, id, segment, dist FROM (""" + top("""(SELECT qid, wl[i].id AS id, 'static' AS segment, wl[i].d AS dist FROM (SELECT qid, arg_max(wl, step) AS wl FROM g GROUP BY qid), range(1, 11) r(i) WHERE i <= len(wl)
+        UNION ALL SELECT qid, id, 'fresh', dist FROM qd WHERE id % 5 = 4 AND id NOT IN (SELECT id FROM dead))""", "qid", 10) + ")", walk("nbstatic")),
+    "q_pq_train": sql("tp2", "SELECT chunk, code, (i - 1)::INT AS pos, round(sub[i], 9) + 0.0 AS x FROM tp2, range(1, 9) r(i)"),
+    "q_pq_search": sql("nbpq qd dead", "SELECT qid, rk, id, dist FROM (" + top("(SELECT s.qid, qd.id, qd.dist FROM (SELECT qid, arg_max(seen, step) AS seen FROM g GROUP BY qid) s JOIN qd ON qd.qid = s.qid AND list_contains(s.seen, qd.id) AND qd.id NOT IN (SELECT id FROM dead))", "qid", 10) + ")", walk("nbpq", 10, "tadc")),
+    "q_fixed_mix": sql("q", """SELECT seq, (seq - 1) * 10 AS t, type, id FROM (SELECT row_number() OVER (ORDER BY k * 2654435761 % 4294967296, k) AS seq,
+        CASE WHEN k < n THEN 'query' WHEN k < n + 50 THEN 'insert' ELSE 'delete' END AS type, CASE WHEN k < n THEN k WHEN k < n + 50 THEN k - n + 10000 ELSE (k - n - 50) * 10 + 10 END AS id
+        FROM (SELECT count(*) AS n FROM q), (SELECT unnest(range((SELECT count(*) FROM q) + 100)) AS k))"""),
     "q_worklist_merge": sql("qd", "SELECT b.*, n.next_parent FROM (SELECT qid, rk, id, dist, is_new FROM (" + top("m", "qid", 10, "dist, is_new, id") + ")) b LEFT JOIN (SELECT qid, arg_min(id, {'d': dist, 'i': id}) AS next_parent FROM (" + top("m", "qid", 10, "dist, is_new, id") + ") WHERE id % 2 = 1 GROUP BY qid) n USING (qid)",
         "m AS (SELECT qid, id, dist, min(is_new)::INT AS is_new FROM (SELECT qid, id, dist, 0 AS is_new FROM (" + top("(SELECT * FROM qd WHERE label % 2 = 0)", "qid", 8) + ") UNION ALL SELECT qid, id, dist, 1 FROM (" + top("(SELECT * FROM qd WHERE label % 3 = 0)", "qid", 8) + ")) GROUP BY qid, id, dist)"),
     "q_candidate_merge": sql("edges qd", "SELECT qid, rk, id, dist FROM (" + top("(SELECT qd.* FROM qd JOIN (SELECT qid, id FROM (" + top("qd", "qid", 20) + ") UNION SELECT src, dst FROM edges WHERE src % 20 = 0) USING (qid, id))", "qid", 24) + ")"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 import math
 import random
@@ -141,6 +142,92 @@ def test_epochs(spark, v, tmp_path):
     assert snapshot.read_epoch(spark, root, 0)[1]["vectors"].count() == 300
 
 
+def test_edges_to_nothing_lead_nowhere(spark, v, q, edges, monkeypatch):
+    holes = v.where("id % 4 <> 1")
+    odd = edges.unionByName(edges.limit(3).withColumn("dst", F.lit(-5).cast("bigint"))).unionByName(edges.limit(3).withColumn("src", F.lit(10_000).cast("bigint")))
+    start = holes.agg(F.min("id")).first()[0]
+    at_once = graph.greedy_search(q, holes, odd, start, 12, 5).collect()
+    monkeypatch.setattr(graph, "GRAPH_BYTES", 0)
+    by_joins = graph.greedy_search(q, holes, odd, start, 12, 5).collect()
+    assert sorted(map(tuple, at_once)) == sorted(map(tuple, by_joins)) and len(at_once)
+    assert all(r["id"] % 4 != 1 for r in at_once)
+    assert graph.greedy_search(q, holes, odd, 10_000, 12, 5).count() == 0
+    monkeypatch.undo()
+    assert graph.greedy_search(q, holes, odd, 10_000, 12, 5).count() == 0
+
+
+def test_pq_walks_agree_and_find_what_is_near(spark, v, q, edges, monkeypatch):
+    pivots = snapshot.materialize(knn.refine_pivots(v, knn.pivots(v, 64, 4, 2), 3, 4, 2))
+    codes, table = snapshot.materialize(knn.encode(v, pivots, 4, 2)), knn.distance_table(q, pivots, 4, 2)
+    dead = v.where("id % 9 = 4").select("id")
+    how = (edges, 0, 40, 10, dead)
+    at_once = graph.pq_search(q, v, codes, table, *how)
+    assert metrics.recall(knn.knn(q, v, 10, dead), at_once).first()["recall"] >= 85
+    want = sorted(map(tuple, at_once.collect()))
+    monkeypatch.setattr(graph, "GRAPH_BYTES", 0)
+    assert sorted(map(tuple, graph.pq_search(q, v, codes, table, *how).collect())) == want
+    assert not {r[2] for r in want} & ids(dead)
+
+
+def test_refined_pivots_lose_less(v):
+    rough = knn.pivots(v, 16, 4, 2)
+    parts = knn.chunks(v.select("id", "vec"), "vec", 4, 2)
+
+    def loss(pivots):
+        both = knn.encode(v, pivots, 4, 2).join(pivots, ["chunk", "code"]).join(parts, ["id", "chunk"])
+        return both.agg(F.sum(fn.l2sq(F.col("part"), F.col("sub"), 2))).first()[0]
+
+    assert loss(knn.refine_pivots(v, rough, 3, 4, 2)) < 0.9 * loss(rough)
+
+
+def test_dual_search_finds_in_both_segments(spark, v, q, edges):
+    static, fresh, dead = v.where("id % 5 <> 4"), v.where("id % 5 = 4").select("id", "vec"), v.where("id % 9 = 4").select("id")
+    mine = graph.prune(graph.knn_graph(static, 24), static, 8)
+    got = graph.dual_search(q, static, mine, fresh, 0, 40, 10, dead)
+    assert metrics.recall(knn.knn(q, v, 10, dead), got).first()["recall"] >= 90
+    assert {(r["segment"] == "fresh") == (r["id"] % 5 == 4) for r in got.collect()} == {True}
+
+
+def test_reverse_edges_of_a_hub(spark):
+    edges = spark.range(1, 1200).selectExpr("id AS src", "0L AS dst")
+    assert len(graph.reverse(edges).first()["srcs"]) == 1199
+    assert graph.reverse(edges, 500).first()["srcs"] == list(range(1, 501))
+
+
+def test_pruning_of_a_hub_matches_the_plain_fold(spark, v):
+    vec = {r["id"]: np.array(r["vec"]) for r in v.collect()}
+    pairs = graph.with_distances(v.where("id > 0").select(F.lit(0).cast("bigint").alias("src"), F.col("id").alias("dst")), v)
+    kept = []
+    for r in sorted(pairs.collect(), key=lambda r: (r["dist"], r["dst"])):
+        if len(kept) < 7 and not any(1.2 * ((vec[k] - vec[r["dst"]]) ** 2).cumsum()[-1] <= r["dist"] for k in kept):
+            kept.append(r["dst"])
+    assert [r["dst"] for r in graph.prune(pairs, v, 7).orderBy("ord").collect()] == kept
+
+
+def test_the_medoid_is_nearest_to_all(v):
+    vec = {r["id"]: np.array(r["vec"]) for r in v.collect()}
+    assert graph.medoid(v) == min(vec, key=lambda i: (round(sum(((vec[i] - x) ** 2).sum() for x in vec.values()), 6), i))
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    rows = spark.range(1000).selectExpr("(id * 7919) % 1000 AS x")
+    got = snapshot.numbered(rows.repartition(5), "x").collect()
+    assert sorted((r["x"], r["seq"]) for r in got) == [(i, i + 1) for i in range(1000)]
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda *a: None)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        snapshot.shared_dir(Session)
+
+
 # ---- files
 
 
@@ -240,6 +327,68 @@ def test_windowed_counts(spark, tmp_path):
     assert got.agg({"n": "sum"}).first()[0] == 400 and got.select("start").distinct().count() == 5
 
 
+SCENARIO = ev.Scenario("s", 0.4, 0.2, 0.4, 0.1, "uniform", "gaussian", "fifo", "uniform", 0.0, "decoupled", 1, 10, 0.5)
+
+
+def play(**how):
+    return ev._play(dataclasses.replace(SCENARIO, **how), 3000, 1000, 40, 1)
+
+
+@pytest.mark.parametrize("policy", ["fifo", "lru", "random", "clustered"])
+def test_every_policy_deletes_what_it_says(policy):
+    made, live, used = play(deletion_policy=policy, query_coupling="fully_coupled"), [], {}
+    inner = 0
+    for seq, kind, i, near in made[["seq", "type", "id", "near"]].itertuples(index=False):
+        if kind == "insert":
+            live.append(i)
+            used[i] = seq
+        elif near:
+            used[i] = seq
+        elif kind == "delete":
+            if policy == "fifo":
+                assert i == live[0]
+            elif policy == "lru":
+                assert i == min(live, key=used.get)
+            elif policy == "clustered":
+                assert i in (live[0], live[-1])
+            inner += i not in (live[0], live[-1])
+            live.remove(i)
+    assert inner > 100 if policy == "random" else policy != "fifo" or inner == 0
+
+
+def test_every_clock_waits_as_it_says():
+    waits = {p: np.diff(play(temporal_pattern=p)["t"]) for p in ("uniform", "poisson", "burst_decay")}
+    assert (waits["uniform"] == 1).all()
+    assert waits["poisson"].min() == 1 and 1.9 < waits["poisson"].mean() < 2.5
+    burst, decay = waits["burst_decay"][:499], waits["burst_decay"][499:999]
+    assert set(burst) == {1, 2, 3, 4} and decay.tolist() == [max(1, int(10 / (0.9**i + 0.1))) for i in range(500)]
+
+
+def test_queries_follow_their_distribution_and_coupling(spark, v, q):
+    share = {d: np.bincount(play(query_distribution=d, query_skew_alpha=1.2).query("type == 'query'")["id"], minlength=40) for d in ("uniform", "zipfian", "gaussian")}
+    assert share["uniform"].max() < 2 * share["uniform"].mean()
+    assert share["zipfian"][0] > 5 * share["zipfian"][20:].mean() and share["gaussian"][16:24].sum() > 2 * share["gaussian"][:8].sum()
+    for coupling, low, high in (("decoupled", 0, 0), ("semi_coupled", 0.2, 0.4), ("fully_coupled", 0.95, 1)):
+        asked = play(query_coupling=coupling).query("type == 'query'")
+        assert low <= asked["near"].mean() <= high
+    made = spark.createDataFrame(ev._play(dataclasses.replace(SCENARIO, query_coupling="fully_coupled"), 200, 300, 15, 1), ev.MADE)
+    queries = q.select(F.floor(F.col("qid") % 1000).alias("id"), F.col("qvec").alias("vec"))
+    resolved = {r["seq"]: r["id"] for r in ev.coupled(made, v, queries).collect()}
+    base, asked = ({r["id"]: np.array(r["vec"]) for r in t.collect()} for t in (v, queries))
+    for r in made.where("near").collect():
+        assert resolved[r["seq"]] == min(asked, key=lambda a, x=base[r["id"]]: (((asked[a] - x) ** 2).sum(), a))
+    moved = ev.with_vectors(ev.coupled(made, v, queries), v, queries, SCENARIO)
+    assert moved.where("type = 'insert' AND vec IS NULL OR type = 'query' AND vec IS NULL").count() == 0
+
+
+def test_generating_stops_at_the_pool_and_repeats(spark):
+    one, two = (ev.generate(spark, ev.SCENARIOS, 600, 100, 10).orderBy("scenario", "seq").collect() for _ in range(2))
+    assert one == two and len(one) == 8 * 600
+    assert max(r["id"] for r in one if r["type"] == "insert") == 99
+    assert ev.generate(spark, ev.SCENARIOS[:1], 0, 100, 10).count() == 0
+    assert play(insert_ratio=0.0)["type"].isin(["query"]).all()  # nothing to delete
+
+
 def test_deletion_policies_and_drift(spark, v):
     rows = [(1, 1, "insert", 5), (2, 2, "insert", 3), (3, 3, "insert", 9), (4, 4, "query", 5), (5, 5, "delete", 9)]
     got = dict(map(tuple, ev.victims(spark.createDataFrame(rows, "seq long, t long, type string, id long")).collect()))
