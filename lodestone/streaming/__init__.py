@@ -2,78 +2,188 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import events as ev
 from lodestone.operators.knn import knn
+from lodestone.operators.snapshot import delete
 from lodestone.sources import read_events
 
+EVENTS = "seq bigint, type string, t bigint, id bigint, vec array<double>"
+
 
 class Index:
     """Static vectors, fresh ones and tombstones, as tables under root; every batch writes the next state.
 
-    Within a batch deletes and inserts are applied in the order of the log, so
-    that an id's last change decides; queries see the state after the batch.
-    When deletes reach threshold of all vectors, or fresh vectors fresh_share of
-    the static ones, segments are merged and tombstones cleared.
+    A state is the fresh vectors, the tombstones, each with the batch that they
+    came with, and the number of the static segment that they belong to; static
+    vectors are written anew only when segments are merged. Within a batch
+    deletes and inserts are applied in the order of the log, so that an id's
+    last change decides; queries see the state after the batch. When deletes
+    reach threshold of all vectors, or fresh vectors fresh_share of the static
+    ones, segments are merged and tombstones cleared: within the batch, or, with
+    background, beside the following ones, of which the first to begin after the
+    merge takes it over; what came after the merge began stays fresh or deleted.
+    Without static an index that is there under root goes on from its last whole
+    state. States and segments that no delivered batch can ask for are removed.
     """
 
-    def __init__(self, spark: SparkSession, root: str, static: DataFrame, threshold: float = 0.05, fresh_share: float = 0.08, k: int = 10):
-        self.spark, self.root, self.threshold, self.fresh_share, self.k = spark, root, threshold, fresh_share, k
+    def __init__(self, spark: SparkSession, root: str, static: DataFrame | None = None, threshold: float = 0.05, fresh_share: float = 0.08, k: int = 10, background: bool = False):
+        self.spark, self.root, self.threshold, self.fresh_share, self.k, self.background = spark, root, threshold, fresh_share, k, background
+        self.merging: threading.Thread | None = None
+        self.merged: tuple[int, int] | None = None  # a segment that waits, and the last batch in it
+        self.failed: BaseException | None = None
+        if static is None:
+            found = self._states()
+            if not found:
+                raise ValueError(f"no index under {root}")
+            self.epoch = max(found)
+            return
+        delete(spark, root)
         self.epoch = 0
-        self._write(static.select("id", "vec"), static.select("id", "vec").limit(0), static.select("id").limit(0))
+        static.select("id", "vec").write.mode("overwrite").parquet(f"{root}/static=0")
+        none = static.select("id", "vec", F.lit(0).cast("bigint").alias("batch")).limit(0)
+        self._write(0, none, none.select("id", "batch"))
+
+    def _list(self, folder: str = "") -> list[str]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _states(self) -> list[int]:
+        """Numbers of the states that are whole: their marker is written last."""
+        return [int(n[6:]) for n in self._list() if n.startswith("epoch=") and "_SUCCESS" in self._list(f"{n}/of")]
+
+    def _write(self, segment: int, fresh: DataFrame, tombstones: DataFrame) -> None:
+        at = f"{self.root}/epoch={self.epoch}"
+        delete(self.spark, f"{at}/of")
+        fresh.write.mode("overwrite").parquet(f"{at}/fresh")
+        tombstones.write.mode("overwrite").parquet(f"{at}/tombstones")
+        self.spark.createDataFrame([(segment,)], "segment bigint").coalesce(1).write.mode("overwrite").parquet(f"{at}/of")
 
-    def _write(self, static: DataFrame, fresh: DataFrame, tombstones: DataFrame) -> None:
-        for name, df in (("static", static), ("fresh", fresh), ("tombstones", tombstones)):
-            df.write.mode("overwrite").parquet(f"{self.root}/epoch={self.epoch}/{name}")
+    def segment(self) -> int:
+        return self.spark.read.parquet(f"{self.root}/epoch={self.epoch}/of").first()["segment"]
 
     def table(self, name: str) -> DataFrame:
+        if name == "static":
+            return self.spark.read.parquet(f"{self.root}/static={self.segment()}")
         return self.spark.read.parquet(f"{self.root}/epoch={self.epoch}/{name}")
 
     def live(self) -> DataFrame:
         """id, vec, segment of all that can be found; a fresh vector stands before a static one of its id."""
-        static, fresh = self.table("static"), self.table("fresh")
+        static, fresh = self.table("static"), self.table("fresh").select("id", "vec")
         both = static.join(fresh, "id", "left_anti").withColumn("segment", F.lit("static")).unionByName(fresh.withColumn("segment", F.lit("fresh")))
         return both.join(self.table("tombstones"), "id", "left_anti")
 
+    def merge(self, upto: int) -> None:
+        """Write what is live as the static segment of the batch upto, the last that the state holds."""
+        number = upto + 1
+        self.live().select("id", "vec").write.mode("overwrite").parquet(f"{self.root}/static={number}")
+        self.merged = number, upto
+
+    def _merge_beside(self, upto: int) -> None:
+        then = Index.__new__(Index)
+        then.__dict__ = self.__dict__ | {"merged": None}
+
+        def run() -> None:
+            try:
+                then.merge(upto)
+                self.merged = then.merged
+            except BaseException as e:
+                self.failed = e
+
+        self.merging = threading.Thread(target=run, daemon=True)
+        self.merging.start()
+
+    def wait(self) -> None:
+        """Until a merge that goes on has ended."""
+        if self.merging is not None:
+            self.merging.join()
+            self.merging = None
+        if self.failed is not None:
+            raise self.failed
+
     def apply(self, batch: DataFrame, epoch: int) -> None:
         """One micro-batch of (seq, t, type, id, vec). It reads the state numbered epoch and writes the next, so a batch that comes twice leaves the same state."""
         self.epoch = epoch
+        if self.merging is not None and not self.merging.is_alive():
+            self.wait()
+        segment, fresh, tombstones = self.segment(), self.table("fresh"), self.table("tombstones")
+        if self.merged and self.merged[0] > segment and self.merged[1] < epoch:
+            segment, upto = self.merged
+            fresh, tombstones = (t.where(F.col("batch") > upto) for t in (fresh, tombstones))
+        static = self.spark.read.parquet(f"{self.root}/static={segment}")
         last = batch.where("type IN ('insert', 'delete')").groupBy("id").agg(F.max_by(F.struct("type", "vec"), F.struct("t", "seq")).alias("x")).select("id", "x.type", "x.vec")
-        inserts = last.where("type = 'insert' AND vec IS NOT NULL").select("id", "vec")
-        deletes = last.where("type = 'delete'").select("id")
-        static = self.table("static")
-        fresh = self.table("fresh").join(last.select("id"), "id", "left_anti").unionByName(inserts)
-        known = static.select("id").unionByName(self.table("fresh").select("id"))
-        tombstones = self.table("tombstones").join(inserts.select("id"), "id", "left_anti").unionByName(deletes.join(known, "id", "left_semi")).distinct()
-        n_static, n_fresh, n_gone = static.count(), fresh.count(), tombstones.count()
-        if n_gone and n_gone >= int((n_static + n_fresh) * self.threshold) or n_fresh and n_fresh >= n_static * self.fresh_share:
-            static = static.join(fresh, "id", "left_anti").unionByName(fresh).join(tombstones, "id", "left_anti")
-            fresh, tombstones = fresh.limit(0), tombstones.limit(0)
+        now = F.lit(epoch).cast("bigint").alias("batch")
+        inserts = last.where("type = 'insert' AND vec IS NOT NULL").select("id", "vec", now)
+        known = static.select("id").unionByName(fresh.select("id"))
+        deletes = last.where("type = 'delete'").select("id", now).join(known, "id", "left_semi").join(tombstones, "id", "left_anti")
+        tombstones = tombstones.join(inserts, "id", "left_anti").unionByName(deletes)
+        fresh = fresh.join(last, "id", "left_anti").unionByName(inserts)
         self.epoch = epoch + 1
-        self._write(static, fresh, tombstones)
+        self._write(segment, fresh, tombstones)
+        self._sweep()
+        n_static, n_fresh, n_gone = static.count(), self.table("fresh").count(), self.table("tombstones").count()
+        due = n_gone and n_gone >= int((n_static + n_fresh) * self.threshold) or n_fresh and n_fresh >= n_static * self.fresh_share
+        if due and self.background and self.merging is None:
+            self._merge_beside(epoch)
+        elif due and not self.background:
+            self.merge(epoch)
+            self._write(epoch + 1, fresh.limit(0), tombstones.limit(0))
         queries = batch.where("type = 'query' AND vec IS NOT NULL").select(F.col("seq").alias("qid"), F.col("vec").alias("qvec"))
         knn(queries, self.live().select("id", "vec"), self.k).write.mode("overwrite").parquet(f"{self.root}/answers/epoch={epoch}")
 
+    def _sweep(self) -> None:
+        """Remove states before the last but one, and segments that neither has nor a merge makes."""
+        kept = {self.epoch, self.epoch - 1}
+        for e in self._states():
+            if e < self.epoch - 1:
+                delete(self.spark, f"{self.root}/epoch={e}")
+        used = {self.spark.read.parquet(f"{self.root}/epoch={e}/of").first()["segment"] for e in kept if e in self._states()}
+        for n in self._list():
+            if n.startswith("static=") and int(n[7:]) < min(used):
+                delete(self.spark, f"{self.root}/{n}")
+
     def answers(self) -> DataFrame:
         """qid (the query's seq), rk, id, dist of all batches."""
         return self.spark.read.parquet(f"{self.root}/answers").drop("epoch")
 
 
-def replay(spark: SparkSession, path: str, index: Index, checkpoint: str, files_per_batch: int = 1) -> None:
-    """Run all event files under path through the index, in the order of their names."""
-    raw = read_events(spark, path, stream=True) if files_per_batch is None else spark.readStream.schema("seq bigint, type string, t bigint, id bigint, vec array<double>").option("maxFilesPerTrigger", files_per_batch).json(path)
-    events = raw.where(F.col("type").isin(*ev.TYPES))
-    query = events.writeStream.foreachBatch(index.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-
+def replay(spark: SparkSession, path: str, index: Index, checkpoint: str, files_per_batch: int | None = 1, every: str | None = None, seconds: int | None = None) -> None:
+    """Run event files under path through the index, in the order of their names.
 
-def counts(spark: SparkSession, path: str, checkpoint: str, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Events by type in windows of event time; later than delay counts no more."""
-    raw = spark.readStream.schema("seq bigint, type string, t bigint, id bigint, vec array<double>").json(path)
+    All that are there, or, with every ('5 seconds'), a batch each time of what
+    has come, for so many seconds, and then what is left. files_per_batch None
+    reads logs in either dialect.
+    """
+    if files_per_batch is None:
+        raw = ev.normalize_dialects(read_events(spark, path, stream=True).withColumn("seq", F.coalesce("t", F.col("timestamp").cast("bigint"))))
+    else:
+        raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).json(path)
+    stream = raw.where(F.col("type").isin(*ev.TYPES)).writeStream.foreachBatch(index.apply).option("checkpointLocation", checkpoint)
+    if every is None:
+        stream.trigger(availableNow=True).start().awaitTermination()
+    else:
+        query = stream.trigger(processingTime=every).start()
+        try:
+            query.awaitTermination(seconds)
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    index.wait()
+
+
+def counts(spark: SparkSession, path: str, checkpoint: str, out: str, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """Events by type in windows of event time, as appended to the table out: windows that have closed.
+
+    A window closes when an event is delay later than its end; events of closed
+    windows count no more, and their state is dropped.
+    """
+    raw = spark.readStream.schema(EVENTS).json(path)
     timed = raw.where(F.col("type").isin(*ev.TYPES)).withColumn("at", F.timestamp_micros("t")).withWatermark("at", delay)
-    agg = timed.groupBy(F.window("at", width), "type").agg(F.count("*").alias("n"))
-    name = f"counts_{abs(hash(checkpoint))}"
-    agg.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("window.start").alias("start"), "type", "n")
+    agg = timed.groupBy(F.window("at", width), "type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "type", "n")
+    agg.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("start timestamp, type string, n bigint").parquet(out)

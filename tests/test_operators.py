@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import json
 import math
+import os
 import random
 
 import numpy as np
@@ -320,11 +321,71 @@ def test_streamed_replay_ends_where_the_log_ends(spark, tmp_path, threshold):
     assert {r["id"]: r["vec"] for r in index.live().collect()} == want
 
 
-def test_windowed_counts(spark, tmp_path):
+def in_files(rows, folder, size=100):
+    folder.mkdir(exist_ok=True)
+    for i in range(0, len(rows), size):
+        (folder / f"{i:05}.json").write_text("\n".join(json.dumps(r.asDict()) for r in rows[i : i + size]))
+        os.utime(folder / f"{i:05}.json", (1000 + i, 1000 + i))
+
+
+def test_an_index_goes_on_after_a_restart(spark, tmp_path):
+    events = log(spark)
+    rows = events.orderBy("seq").collect()
+    root, static = f"file://{tmp_path}/index", vectors(spark, 20, 5, 500)
+    in_files(rows[:200], tmp_path / "in")
+    replay(spark, f"file://{tmp_path}/in", Index(spark, root, static, 0.3), f"file://{tmp_path}/cp")
+    in_files(rows, tmp_path / "in")
+    again = Index(spark, root, threshold=0.3)
+    replay(spark, f"file://{tmp_path}/in", again, f"file://{tmp_path}/cp")
+    assert {r["id"]: r["vec"] for r in again.live().collect()} == {**{r["id"]: r["vec"] for r in static.collect()}, **brute_replay(rows)}
+    assert ids(again.answers(), "qid") == {r["seq"] for r in rows if r["type"] == "query"}
+    kept = [p.name for p in (tmp_path / "index").iterdir()]
+    assert sum(n.startswith("epoch=") for n in kept) == 2 and sum(n.startswith("static=") for n in kept) <= 2
+    with pytest.raises(ValueError, match="no index"):
+        Index(spark, f"file://{tmp_path}/nowhere")
+
+
+def test_segments_merge_beside_the_stream(spark, tmp_path):
+    events = log(spark)
+    rows = events.orderBy("seq").collect()
+    static = vectors(spark, 20, 5, 500)
+    index = Index(spark, f"file://{tmp_path}/index", static, 0.05, k=5, background=True)
+    for i in range(8):
+        index.apply(spark.createDataFrame(rows[50 * i : 50 * i + 50], events.schema), i)
+        if i == 2:
+            index.wait()  # a merge of the first batches has ended; deletes since then must stay
+    index.wait()
+    assert index.merged and index.segment() > 0
+    assert {r["id"]: r["vec"] for r in index.live().collect()} == {**{r["id"]: r["vec"] for r in static.collect()}, **brute_replay(rows)}
+
+
+def test_timed_batches(spark, tmp_path):
     events = log(spark)
-    events.coalesce(1).write.json(f"file://{tmp_path}/in")
-    got = counts(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/cp", "1 millisecond")
-    assert got.agg({"n": "sum"}).first()[0] == 400 and got.select("start").distinct().count() == 5
+    rows = events.orderBy("seq").collect()
+    in_files(rows, tmp_path / "in")
+    index = Index(spark, f"file://{tmp_path}/index", vectors(spark, 20, 5, 500), 10.0, 10.0)
+    replay(spark, f"file://{tmp_path}/in", index, f"file://{tmp_path}/cp", 2, "1 second", 4)
+    assert {r["id"] for r in index.live().collect()} == set(brute_replay(rows)) | set(range(500, 520))
+
+
+def test_windowed_counts(spark, tmp_path):
+    rows = log(spark).orderBy("seq").collect()
+    late = [rows[0].asDict() | {"seq": 1000 + i, "t": 15} for i in range(3)]
+    in_files(rows, tmp_path / "in", 200)
+    read = lambda: counts(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/cp", f"file://{tmp_path}/out", "1 millisecond", "1 microsecond")
+    first = {(r["start"], r["type"]): r["n"] for r in read().collect()}
+    assert sum(first.values()) == sum(r["t"] < 4000 for r in rows) and len({s for s, _ in first}) == 4
+    (tmp_path / "in" / "z.json").write_text("\n".join(map(json.dumps, late)))
+    assert {(r["start"], r["type"]): r["n"] for r in read().collect()} == first  # they came too late
+
+
+def test_deletion_policies_and_drift(spark, v):
+    rows = [(1, 1, "insert", 5), (2, 2, "insert", 3), (3, 3, "insert", 9), (4, 4, "query", 5), (5, 5, "delete", 9)]
+    got = dict(map(tuple, ev.victims(spark.createDataFrame(rows, "seq long, t long, type string, id long")).collect()))
+    assert got == {"fifo": 5, "lru": 3, "clustered_low": 3, "clustered_high": 5}
+    for model, how in (("gaussian", {}), ("directional", {"direction": [1.0] * DIM})):
+        moved = ev.drift(v, model, 0.1, **how)
+        assert moved.where(F.abs(fn.norm(F.col("vec")) - 1) > 1e-9).count() == 0
 
 
 SCENARIO = ev.Scenario("s", 0.4, 0.2, 0.4, 0.1, "uniform", "gaussian", "fifo", "uniform", 0.0, "decoupled", 1, 10, 0.5)
@@ -389,15 +450,6 @@ def test_generating_stops_at_the_pool_and_repeats(spark):
     assert play(insert_ratio=0.0)["type"].isin(["query"]).all()  # nothing to delete
 
 
-def test_deletion_policies_and_drift(spark, v):
-    rows = [(1, 1, "insert", 5), (2, 2, "insert", 3), (3, 3, "insert", 9), (4, 4, "query", 5), (5, 5, "delete", 9)]
-    got = dict(map(tuple, ev.victims(spark.createDataFrame(rows, "seq long, t long, type string, id long")).collect()))
-    assert got == {"fifo": 5, "lru": 3, "clustered_low": 3, "clustered_high": 5}
-    for model, how in (("gaussian", {}), ("directional", {"direction": [1.0] * DIM})):
-        moved = ev.drift(v, model, 0.1, **how)
-        assert moved.where(F.abs(fn.norm(F.col("vec")) - 1) > 1e-9).count() == 0
-
-
 def test_violations_are_counted(spark):
     rows = [(1, 5, "insert", 1), (2, 4, "delete", 2), (3, 6, "odd", None)]
     got = ev.violations(spark.createDataFrame(rows, "seq long, t long, type string, id long")).first()
