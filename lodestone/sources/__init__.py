@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import struct
+import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -115,6 +117,158 @@ def read_graph(spark: SparkSession, path: str, dim: int, r: int, element: str =
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "id bigint, vec array<double>, nbrs array<bigint>")
 
 
+def _read_whole(spark: SparkSession, path: str, ddl: str, rows) -> DataFrame:
+    """Rows that rows(raw) makes of each file under path, as dictionaries of columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for raw in batch.column("content").to_pylist():
+                for columns in rows(raw):
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ddl)
+
+
+def pivot_sections(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pivots (codes x dim), centroid and chunk bounds of a pivots file.
+
+    The file: uint32 4 and 1, then four uint64 places, of the three sections and
+    of the end. A section: int32 rows and columns, then its elements; floats for
+    pivots and centroid, uint32 for bounds.
+    """
+    if len(raw) < 40 or struct.unpack_from("<I", raw)[0] != 4:
+        raise ValueError("a pivots file has three sections")
+    places = struct.unpack_from("<4Q", raw, 8)
+    out = []
+    for at, kind in zip(places, ("<f4", "<f4", "<u4")):
+        n, m = struct.unpack_from("<ii", raw, at)
+        if at + 8 + 4 * n * m > len(raw):
+            raise ValueError("a section of the pivots file is cut off")
+        out.append(np.frombuffer(raw, kind, n * m, at + 8).reshape(n, m))
+    pivots, centroid, bounds = out[0], out[1].ravel(), out[2].ravel().astype(np.int64)
+    if len(centroid) != pivots.shape[1] or bounds[0] != 0 or bounds[-1] != len(centroid) or (np.diff(bounds) <= 0).any():
+        raise ValueError("centroid and chunk bounds do not fit the pivots")
+    return pivots, centroid, bounds
+
+
+def read_pq(spark: SparkSession, pivots: str, codes: str) -> dict[str, DataFrame]:
+    """Tables of a product quantiser's files: pivots (chunk, code, sub), with the centroid added, centroid (pos, x), chunks (chunk, lo, hi), codes (id, chunk, code).
+
+    A codes file: int32 rows and chunks, then a byte for each.
+    """
+
+    def subs(raw: bytes):
+        p, c, bounds = pivot_sections(raw)
+        moved = p.astype(np.float64) + c.astype(np.float64)
+        for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
+            yield {"chunk": np.full(len(p), k, np.int32), "code": np.arange(len(p), dtype=np.int32), "sub": [x.tolist() for x in moved[:, lo:hi]]}
+
+    def centers(raw: bytes):
+        c = pivot_sections(raw)[1]
+        yield {"pos": np.arange(len(c), dtype=np.int32), "x": c.astype(np.float64)}
+
+    def bounds(raw: bytes):
+        b = pivot_sections(raw)[2].astype(np.int32)
+        yield {"chunk": np.arange(len(b) - 1, dtype=np.int32), "lo": b[:-1], "hi": b[1:]}
+
+    def coded(raw: bytes):
+        n, m = struct.unpack_from("<ii", raw)
+        if len(raw) != 8 + n * m:
+            raise ValueError(f"{len(raw)} bytes do not hold {n} x {m} codes")
+        c = np.frombuffer(raw, np.uint8, n * m, 8).reshape(n, m)
+        for a in range(0, n, 10_000):
+            part = c[a : a + 10_000]
+            yield {"id": np.repeat(np.arange(a, a + len(part)), m), "chunk": np.tile(np.arange(m, dtype=np.int32), len(part)), "code": part.ravel().astype(np.int32)}
+
+    return {
+        "pivots": _read_whole(spark, pivots, "chunk int, code int, sub array<double>", subs),
+        "centroid": _read_whole(spark, pivots, "pos int, x double", centers),
+        "chunks": _read_whole(spark, pivots, "chunk int, lo int, hi int", bounds),
+        "codes": _read_whole(spark, codes, "id bigint, chunk int, code int", coded),
+    }
+
+
+SECTOR = 4096
+
+
+def read_sectors(spark: SparkSession, path: str, r: int, element: str = "float") -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, vec, nbrs in order of number) and one row of metadata (n, dim, medoid, node_bytes, per_sector, file_bytes) of a disk index.
+
+    The first sector of SECTOR bytes: two uint32, then as uint64 rows, dimension,
+    medoid, bytes of a node, nodes of a sector, three others, bytes of the file.
+    Further sectors: whole nodes of vector, uint32 degree, r uint32 partners. A
+    degree of 0 or over r is refused.
+    """
+    kind = np.dtype(ELEMENTS[element])
+    names = ("n", "dim", "medoid", "node_bytes", "per_sector")
+
+    def head(raw: bytes) -> dict[str, int]:
+        found = dict(zip(names, struct.unpack_from("<5Q", raw, 8))) | {"file_bytes": struct.unpack_from("<Q", raw, 72)[0]}
+        if found["file_bytes"] != len(raw) or found["node_bytes"] < found["dim"] * kind.itemsize + 4 + 4 * r:
+            raise ValueError("the first sector does not fit the file")
+        return found
+
+    def nodes(raw: bytes):
+        h = head(raw)
+        width, size = h["dim"] * kind.itemsize, h["node_bytes"]
+        for a in range(0, h["n"], 10_000):
+            i = np.arange(a, min(a + 10_000, h["n"]))
+            at = (1 + i // h["per_sector"]) * SECTOR + i % h["per_sector"] * size
+            m = np.frombuffer(raw, np.uint8)[at[:, None] + np.arange(width + 4 + 4 * r)]
+            links = m[:, width:].copy().view("<u4").astype(np.int64)
+            if ((links[:, 0] == 0) | (links[:, 0] > r)).any():
+                raise ValueError("a degree is 0 or over the bound")
+            yield {"id": i, "vec": list(m[:, :width].copy().view(kind).astype(np.float64)), "nbrs": [np.sort(x[1 : 1 + x[0]]) for x in links]}
+
+    meta = _read_whole(spark, path, "n bigint, dim bigint, medoid bigint, node_bytes bigint, per_sector bigint, file_bytes bigint", lambda raw: [{k: [v] for k, v in head(raw).items()}])
+    return _read_whole(spark, path, "id bigint, vec array<double>, nbrs array<bigint>", nodes), meta
+
+
+def read_static(spark: SparkSession, vectors: str, graph: str, layout: str = "vecs", limit: int | None = None) -> DataFrame:
+    """id, vec, nbrs of a vector file and a graph file of int rows of partners, -1 and 0xFFFFFFFF being none."""
+    points = read_vectors(spark, vectors, layout, limit=limit)
+    rows = read_vectors(spark, graph, "auto", "int").select("id", F.transform(F.filter("vec", lambda x: x >= 0), lambda x: x.cast("bigint")).alias("nbrs"))
+    return points.join(rows, "id", "left").select("id", "vec", F.coalesce("nbrs", F.array().cast("array<bigint>")).alias("nbrs"))
+
+
+def write_graph(nodes: DataFrame, path: str, r: int, element: str = "float") -> int:
+    """Export nodes (id, vec, nbrs) in order of id as the packed records of read_graph to one local file; returns how many."""
+    n = 0
+    with Path(path).open("wb") as f:
+        for row in nodes.select("id", "vec", "nbrs").orderBy("id").toLocalIterator():
+            if len(row["nbrs"]) > r:
+                raise ValueError(f"node {row['id']} has over {r} partners")
+            f.write(np.asarray(row["vec"], ELEMENTS[element]).tobytes() + np.array([len(row["nbrs"]), *row["nbrs"], *[0xFFFFFFFF] * (r - len(row["nbrs"]))], "<u4").tobytes())
+            n += 1
+    return n
+
+
+def write_truth(found: DataFrame, path: str, k: int, distances: bool = True) -> int:
+    """Export found (qid, rk, id, dist) as a ground-truth file of k ids a query, and distances behind all ids; returns how many queries there are. Short answers are refused."""
+    lists = found.where(F.col("rk") <= k).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rk", "id", *(["dist"] if distances else [])))).alias("x"))
+    n = 0
+    with Path(path).open("wb") as f, tempfile.TemporaryFile() as behind:
+        f.write(struct.pack("<ii", 0, k))
+        for row in lists.orderBy("qid").toLocalIterator():
+            if len(row["x"]) != k:
+                raise ValueError(f"query {row['qid']} has {len(row['x'])} answers, not {k}")
+            f.write(np.array([x["id"] for x in row["x"]], "<i4").tobytes())
+            if distances:
+                behind.write(np.array([x["dist"] for x in row["x"]], "<f4").tobytes())
+            n += 1
+        behind.seek(0)
+        shutil.copyfileobj(behind, f)
+        f.seek(0)
+        f.write(struct.pack("<i", n))
+    return n
+
+
+def write_metrics(rows: DataFrame, path: str) -> None:
+    """Write rows of statistics as text, a line 'name: value' for each column and an empty line after each row; one line for each in Spark's text sink."""
+    text = F.concat_ws("\n", *(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in rows.columns), F.lit(""))
+    rows.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)  # statistics are few rows
+
+
 def write_vectors(df: DataFrame, path: str, layout: str = "vecs", element: str = "float", column: str = "vec") -> int:
     """Export df's vectors in order of id to one local file, streaming; returns how many. Tables are for Spark, this is for other tools."""
     n = 0

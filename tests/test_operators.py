@@ -267,6 +267,69 @@ def test_truth_and_graph_files(spark, tmp_path):
     assert [(r["id"], r["vec"], r["nbrs"]) for r in got] == [(0, [1.0, 2.0], [7]), (1, [1.0, 2.0], [7])]
 
 
+def test_quantiser_files(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    pivots, centroid, bounds = rng.normal(size=(256, 6)).astype("<f4"), rng.normal(size=6).astype("<f4"), np.array([0, 2, 6], "<u4")
+    parts, at, places = [], 40, []
+    for x in (pivots, centroid[:, None], bounds[:, None]):
+        places.append(at)
+        parts.append(np.array(x.shape, "<i4").tobytes() + x.tobytes())
+        at += len(parts[-1])
+    raw = np.array([4, 1], "<u4").tobytes() + np.array([*places, at], "<u8").tobytes() + b"".join(parts)
+    (tmp_path / "p.bin").write_bytes(raw)
+    codes = rng.integers(0, 256, (9, 2)).astype(np.uint8)
+    (tmp_path / "c.bin").write_bytes(np.array([9, 2], "<i4").tobytes() + codes.tobytes())
+    got = sources.read_pq(spark, f"file://{tmp_path}/p.bin", f"file://{tmp_path}/c.bin")
+    subs = {(r["chunk"], r["code"]): r["sub"] for r in got["pivots"].collect()}
+    moved = pivots.astype(float) + centroid.astype(float)
+    assert len(subs) == 512 and subs[1, 7] == moved[7, 2:].tolist()
+    assert [tuple(r) for r in got["chunks"].orderBy("chunk").collect()] == [(0, 0, 2), (1, 2, 6)]
+    assert sorted(map(tuple, got["codes"].collect())) == [(i, c, int(codes[i, c])) for i in range(9) for c in range(2)]
+    assert got["centroid"].count() == 6
+    for bad in (raw[:30], raw[:-4], b"\x05" + raw[1:]):
+        with pytest.raises(ValueError):
+            sources.pivot_sections(bad)
+
+
+def test_sector_and_static_files(spark, tmp_path):
+    n, dim, r, size, per = 5, 3, 4, 3 * 4 + 4 + 16, 2
+    vec = np.arange(n * dim, dtype="<f4").reshape(n, dim)
+    nbrs = [[4, 1], [0], [3, 1, 0], [2], [0, 3, 2, 1]]
+    raw = bytearray(4096 * 4)
+    raw[:80] = np.zeros(2, "<u4").tobytes() + np.array([n, dim, 2, size, per, 0, 0, 0, len(raw)], "<u8").tobytes()
+    for i in range(n):
+        at = (1 + i // per) * 4096 + i % per * size
+        raw[at : at + size] = vec[i].tobytes() + np.array([len(nbrs[i]), *nbrs[i], *[0] * (r - len(nbrs[i]))], "<u4").tobytes()
+    (tmp_path / "d.index").write_bytes(raw)
+    nodes, meta = sources.read_sectors(spark, f"file://{tmp_path}/d.index", r)
+    assert [(x["id"], x["vec"], x["nbrs"]) for x in nodes.orderBy("id").collect()] == [(i, vec[i].tolist(), sorted(nbrs[i])) for i in range(n)]
+    assert tuple(meta.first()) == (n, dim, 2, size, per, len(raw))
+    assert sources.write_graph(nodes, str(tmp_path / "g"), r) == n
+    back = sources.read_graph(spark, f"file://{tmp_path}/g", dim, r).orderBy("id").collect()
+    assert [(x["vec"], x["nbrs"]) for x in back] == [(vec[i].tolist(), sorted(nbrs[i])) for i in range(n)]
+    with pytest.raises(ValueError, match="over 3"):
+        sources.write_graph(nodes, str(tmp_path / "h"), 3)
+    (tmp_path / "v.fvecs").write_bytes(sources.encode(vec, "vecs"))
+    (tmp_path / "g.ivecs").write_bytes(sources.encode(np.array([[1, -1], [0, 2], [1, -1], [-1, -1]]), "vecs", "int"))
+    got = sources.read_static(spark, f"file://{tmp_path}/v.fvecs", f"file://{tmp_path}/g.ivecs").orderBy("id").collect()
+    assert [x["nbrs"] for x in got] == [[1], [0, 2], [1], [], []]
+
+
+def test_truth_and_metrics_are_written(spark, v, q, tmp_path):
+    found = knn.knn(q, v, 5)
+    rows = sorted((r["qid"], r["rk"], r["id"]) for r in found.collect())
+    order = {x: i for i, x in enumerate(sorted({r[0] for r in rows}))}
+    for layout in (True, False):
+        path = tmp_path / f"t{layout}.bin"
+        assert sources.write_truth(found, str(path), 5, layout) == len(order)
+        back = sources.read_truth(spark, f"file://{path}", "truth" if layout else "bin").collect()
+        assert sorted((r["qid"], r["rk"], r["id"]) for r in back) == [(order[a], b, c) for a, b, c in rows]
+    with pytest.raises(ValueError, match="answers"):
+        sources.write_truth(found, str(tmp_path / "x.bin"), 6)
+    sources.write_metrics(spark.sql("SELECT 1 AS n, 0.5D AS recall"), f"file://{tmp_path}/m")
+    assert "".join(p.read_text() for p in (tmp_path / "m").glob("part*")).startswith("n: 1\nrecall: 0.5\n")
+
+
 # ---- events
 
 
