@@ -21,39 +21,39 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (rule, verdict); a rule is a host and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: (url, 1 to block): the labelled table that the model learns from.
+#: (url, 1 to block): the labelled table that the model learns from, of general examples: what such hosts call themselves, and words of four languages.
 LABELLED = tuple(
     (url, label)
     for label, urls in (
-        (1, """http://casino-royal.test/play http://www.casino-win.test/en/12 https://m.online-casino.test/slots
-            https://blog.mega-slots.test/bonus http://poker-king.test/en/7 https://free-poker.test/join
-            http://free-bets.test/en/14 https://www.sport-bets.test/odds http://betting-tips.test/de/3
-            https://jackpot-win.test/spin http://www.adult-x.test/en/9 https://adult-videos.test/hd
-            http://xxx-tube.test/watch https://m.porn-hub.test/en/31 http://hot-cams.test/live
-            https://sex-dating.test/fr/5 http://blog.x-adult.test/en/120 https://x-rated.test/en/77 http://escort-girls.test/city https://www.spam-farm.test/es/7
-            http://link-farm.test/buy-links https://spam-mail.test/en/2 http://cheap-pills.test/viagra
-            https://viagra-shop.test/order http://www.pills-online.test/en/4 https://replica-watches.test/sale
-            https://www.cheap-meds.test/fr/12 http://m.pills-cheap.test/de/301
-            http://payday-loans.test/apply https://quick-loan.test/en/8 http://crack-keygen.test/download
-            https://warez-torrent.test/get http://malware-host.test/exe https://phishing-login.test/verify
-            http://ads-server.test/en/90 https://www.ad-track.test/fr/44 http://m.ads-click.test/de/8 https://click-track.test/en/61
-            http://blog.casino-slots.test/en/350 https://www.adult-cams.test/de/512.html http://m.win-bets.test/es/9
+        (1, """http://royal-casino.test/play http://www.casino-palace.test/en/12 https://m.online-casino.test/slots
+            https://blog.mega-slots.test/bonus http://poker-king.test/en/7 https://free-poker.test/join http://win-jackpot.test/es/4
+            http://sport-bets.test/en/14.html https://www.bets-today.test/odds http://betting-tips.test/de/3 https://free-spins.test/spin
+            https://roulette-win.test/fr/9 http://www.xxx-adult.test/en/9 https://adult-videos.test/hd http://adult-chat.test/de/71
+            http://xxx-tube.test/watch https://m.porn-clips.test/en/31 http://hot-cams.test/live https://sex-dating.test/fr/5
+            https://x-movies.test/en/77 http://escort-girls.test/city https://www.spam-host.test/es/7 http://link-farm.test/buy-links
+            https://spam-mail.test/en/2 http://mail-spam.test/fr/8 http://content-farm.test/en/63 http://diet-pills.test/viagra
+            https://viagra-shop.test/order http://www.pills-online.test/en/4 https://cheap-watches.test/sale http://cheap-replica.test/en/5
+            https://www.cheap-meds.test/fr/12 http://m.pills-store.test/de/301 http://payday-loans.test/apply https://quick-loan.test/en/8
+            http://crack-keygen.test/download https://warez-torrent.test/get http://malware-drop.test/exe https://phishing-login.test/verify
+            http://ads-server.test/en/90 https://www.ad-clicks.test/fr/44 http://m.ads-click.test/de/8 https://click-track.test/en/61
+            http://user-track.test/pixel https://track-ads.test/es/2 http://blog.casino-slots.test/en/350 https://www.adult-cams.test/de/512.html
             http://m.get-rich.test/fast https://click-bait.test/de/1""".split()),
-        (0, """http://news.daily.test/en/101 https://www.library.test/books http://blog.garden.test/en/55
-            https://docs.project.test/guide http://wiki.history.test/fr/20 https://m.weather.test/today
-            http://university.test/research https://www.museum.test/de/33 http://recipes.kitchen.test/soup
-            https://school.test/en/7.html http://health.clinic.test/care https://www.travel.test/es/12
-            http://blog.thenord.test/en/402 https://m.thering.test/fr/9 http://www.theand.test/de/88
-            https://thonter.test/en/640 http://blog.tionhe.test/en/3 https://therean.test/es/71
-            http://www.inthat.test/en/512.html https://erandon.test/fr/18/ http://m.reaster.test/en/226
-            https://blog.ationth.test/de/940 http://hestion.test/en/5 https://www.ouraine.test/fr/77
-            http://maison.test/fr/6 https://haus-garten.test/de/14 http://casa.test/es/21
-            http://blog.ththint.test/en/71 https://www.ththor.test/fr/402 http://m.thblen.test/de/9 https://ththandre.test/en/833
-            http://thinwh.test/es/54 https://blog.thwhere.test/en/618 http://www.theather.test/en/230 https://m.tionther.test/fr/77
-            http://ththouly.test/de/119.html https://thstion.test/en/345/ http://blog.onthre.test/en/28 https://www.lyththe.test/es/90
-            https://m.ndththe.test/en/508 http://erthwhin.test/fr/281 https://shthe.test/en/6 http://www.threhesh.test/de/777
-            https://science.test/paper http://music.test/album https://maps.city.test/en/19
-            http://sports.club.test/team https://www.weekly.test/archive""".split()),
+        (0, """http://news.daily.test/en/101 https://www.library.test/books http://blog.garden.test/en/55 https://docs.project.test/guide
+            http://wiki.history.test/fr/20 https://m.weather.test/today http://university.test/research https://www.museum.test/de/33
+            http://recipes.kitchen.test/soup https://school.test/en/7.html http://health.clinic.test/care https://www.travel.test/es/12
+            http://education.test/en/402 https://m.theatre.test/fr/9 http://www.weekly.test/archive https://nation.test/en/640
+            http://blog.earth.test/en/3 https://mathematics.test/es/71 http://www.translation.test/en/512.html https://station.test/fr/18/
+            http://m.brothers.test/en/226 https://blog.northern.test/de/940 http://thinking.test/en/5 https://www.fiction.test/fr/77
+            http://mother.test/en/71 https://collection.test/de/9 http://publishing.test/en/833 https://another.test/es/54
+            http://feather.test/en/618 https://exhibition.test/en/230 http://m.anthem.test/fr/77 https://anthology.test/de/119.html
+            http://tradition.test/en/345/ http://blog.southern.test/en/28 https://www.gathering.test/es/90 https://convention.test/en/508
+            http://smith.test/fr/281 https://birth.test/en/6 http://www.threshold.test/de/777 https://science.test/paper http://music.test/album
+            https://maps.city.test/en/19 http://sports.club.test/team http://maison.test/fr/6 https://cuisine.test/fr/41 http://www.jardin.test/fr/19
+            https://bibliotheque.test/fr/88.html http://m.meteo.test/fr/230 https://voyage.test/fr/502 http://blog.lecture.test/fr/61 https://ecole.test/fr/7
+            https://haus-garten.test/de/14 http://bibliothek.test/de/95 https://www.wetter.test/de/3 http://zeitung.test/de/640/ https://m.schule.test/de/27
+            http://reisen.test/de/118 https://blog.kochen.test/de/54 http://wissenschaft.test/de/209 http://casa.test/es/21 https://biblioteca.test/es/66
+            http://www.noticias.test/es/310.html https://cocina.test/es/8 http://m.escuela.test/es/45 https://viajes.test/es/133 http://blog.tiempo.test/es/72
+            https://open-source.test/en/4 http://high-school.test/en/91 https://book-club.test/en/33 http://city-council.test/en/12""".split()),
     )
     for url in urls
 )
