@@ -43,6 +43,9 @@ class Items:
         self.shift = np.uint64(64 - bits)
         self.there = np.zeros(1 << bits, bool)
         self.there[(self.grams >> self.shift).astype(np.int64)] = True
+        self.short: dict[tuple[int, ...], list[int]] = {}  # items of fewer words than a seed, by their words
+        for i in np.flatnonzero((np.diff(self.bounds) > 0) & (np.diff(self.bounds) < SEED)).tolist():
+            self.short.setdefault(tuple(h[self.bounds[i] : self.bounds[i + 1]].tolist()), []).append(i)
 
     def keep_rare(self, df: np.ndarray, documents: int) -> None:
         """Keep the n-grams that one in FEW documents has, and the rarer three quarters of each item's that are there at all."""
@@ -100,6 +103,11 @@ def _matches(items: Items, column, threshold: float):
     h, bounds, start, end = textops.letter_words(data, offsets)
     if not len(h) or not len(items.ids):
         return
+    for r in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < SEED)).tolist() if items.short else ():
+        for i in items.short.get(tuple(h[bounds[r] : bounds[r + 1]].tolist()), ()):
+            chars = lambda x: int(np.count_nonzero((x & 0xC0) != 0x80))
+            first = chars(data[offsets[r] : start[bounds[r]]])
+            yield r, i, 1.0, first, first + chars(data[start[bounds[r]] : end[bounds[r + 1] - 1]])
     whole = textops.combine(h, SEED) if len(h) >= SEED else h[:0]
     place, gram = items.find(whole)
     lo, hi = np.searchsorted(items.seed_gram, gram), np.searchsorted(items.seed_gram, gram, side="right")
@@ -171,8 +179,10 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
 
     score is the alignment's score over the item's best possible one; start and
     end are code points of the text. Words are runs of letters and digits,
-    lower-cased. Items of fewer than three words have no seeds and are never
-    found; null texts hold nothing; repeated rows of docs are each reported.
+    lower-cased. Items of fewer than three words, which any text may hold by
+    chance, are found in texts of these words alone; null texts hold nothing;
+    items without words are found nowhere; repeated rows of docs are each
+    reported. An empty table of either kind gives no rows.
     """
 
     def run(shared):
