@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import textops
 from lodestone.llm.runtime import materialize, remainder, tune
 
 SAMPLE = 20_000  # labelled rows learned from, at most
+SAMPLE_BYTES = 96 << 20  # of their texts
 DIM = 32  # a power of two
 FORMS, SHAPES = 1 << 14, 1 << 11
 WINDOW = 2
@@ -141,17 +142,24 @@ def probabilities(model: dict | None, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_logits(model, x) / model["t"], -40, 40)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int = SAMPLE) -> DataFrame:
-    """(at, label, text) of at most bound labelled documents, chosen by a hash of the id; a written table.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int = SAMPLE, size: int = SAMPLE_BYTES) -> DataFrame:
+    """(at, label, text) of at most bound labelled documents and size bytes, chosen by a hash of the id; a written table.
 
-    Several labels of one document count as their majority; null labels and ids
-    are left out.
+    Several labels of one document count as their majority, several texts as the
+    least of them; null labels and ids are left out, and so are texts of over a
+    hundredth of size and those after which the rest would be over size.
     """
     rows = labels.select("doc_id", F.col(label).cast("double").alias("label")).dropna()
     rows = rows.groupBy("doc_id").agg(F.floor(F.avg("label") + 0.5).cast("int").alias("label"))
     rows = rows.withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(bound)
     found = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # bound rows of three numbers
-    return materialize(found.select("at", "label", F.coalesce("text", F.lit("")).alias("text")).repartition(6, "at"))
+    found = found.groupBy("at", "doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).where(F.octet_length("text") <= size // 100)
+    so_far = Window.orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    table = materialize(found.repartition(6, "at"))
+    within = table.select("at", "doc_id", F.sum(F.octet_length("text")).over(so_far).alias("total")).where(F.col("total") <= size).select("at", "doc_id")  # of bound rows
+    if (table.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= size:
+        return table.select("at", "label", "text")
+    return table.join(F.broadcast(within), ["at", "doc_id"], "left_semi").select("at", "label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict | None]:
