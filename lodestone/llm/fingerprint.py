@@ -10,6 +10,7 @@ bins that agree by chance.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -107,16 +108,17 @@ def _compare(rows: list[tuple]):
 
 
 def _bucket(key: Column, bounds: list) -> Column:
-    """How many of the sorted bounds are at most key, looked up in levels of _FAN."""
+    """How many of the sorted bounds are at most key, looked up in two levels of about equal width."""
     if not bounds:
         return F.lit(0)
     count = lambda b: F.coalesce(F.size(F.filter(b, lambda x: x <= key)), F.lit(0))
     literal = lambda values: F.from_json(F.lit(str(values)), "array<bigint>")
-    if len(bounds) <= _FAN:
+    fan = max(_FAN, math.isqrt(len(bounds)))
+    if len(bounds) <= fan:
         return count(literal(bounds))
-    groups = [bounds[i : i + _FAN] for i in range(0, len(bounds), _FAN)]
+    groups = [bounds[i : i + fan] for i in range(0, len(bounds), fan)]
     group = F.greatest(count(literal([g[0] for g in groups])) - 1, F.lit(0))
-    return group * _FAN + count(F.get(F.from_json(F.lit(str(groups)), "array<array<bigint>>"), group))
+    return group * fan + count(F.get(F.from_json(F.lit(str(groups)), "array<array<bigint>>"), group))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -135,7 +137,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     low = -(1 << 63)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(low)))
-    n = max(_FAN, min(_FAN * _FAN, input_bytes(docs) >> 22))
+    n = max(_FAN, input_bytes(docs) >> 22)
     parts = [i / n for i in range(1, n)]
     bounds = rows.agg(F.percentile_approx("k", parts, 20 * n).alias("b")).first()["b"] or []
     bucket = _bucket(F.col("k"), sorted(set(bounds)))
