@@ -315,7 +315,7 @@ def score(docs: DataFrame, held: int = 2, modulus: int = 7) -> DataFrame:
     tune(spark, 250, 4)
     out = remainder(F.col("doc_id"), modulus) == held
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), out.alias("held"), F.coalesce("text", F.lit("")).alias("text"))
-    buckets = max(64, min(1 << 16, input_bytes(docs) >> 21))
+    buckets = max(64, input_bytes(docs) >> 21)
     coded = materialize(rows.mapInArrow(_coder(buckets), _CODED_DDL))
     blocks = coded.where("codes IS NOT NULL").select("block", "end", "tails", "doc_id", "size", "held", "codes")
     entries = coded.where("bucket IS NOT NULL").select("bucket", "block", "words", "at", "n")
