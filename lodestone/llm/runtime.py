@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def tune(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
@@ -37,13 +37,22 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table that materialize has written and that no result reads any more."""
+    spark = _written.pop(table.written_to)
+    at = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -14,6 +14,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestone.llm import class_lm, contamination, fingerprint, graph, html_text, jaccard_join, packing, quality, queries, suffix_dedup, textops, toxicity, url_filter
@@ -768,11 +769,85 @@ def test_model_learns_the_labelled_table(spark):
     assert all((r["verdict"] == "block") == bool(r["page_id"]) for r in url_filter.classify(fresh, weights, rules=()).collect())
 
 
+def test_model_judges_hosts_that_it_has_not_seen(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = url_filter.classify(pages, url_filter.train(spark), rules=()).select("host", "verdict").collect()
+    known = {re.sub(r"^(www|blog|m)\.", "", u.split("/")[2]).split(".")[0] for u, _ in url_filter.LABELLED}
+    stems = [(re.sub(r"^(www|blog|m)\.", "", r["host"]).split(".")[0], r["verdict"]) for r in rows]
+    assert not known & {s for s, _ in stems}
+    bad, good = ([v for s, v in stems if ("-" in s) == kind] for kind in (True, False))
+    assert good.count("allow") >= 0.99 * len(good) and bad.count("block") >= 0.75 * len(bad)
+
+
 def test_url_filter_runs_no_python(spark):
     plan = queries.op10_url_filter(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+# ---- odd tables
+
+
+def test_items_of_few_words_are_found_whole(spark):
+    bench = spark.createDataFrame([(1, "Hello world"), (2, "yes"), (3, "..."), (4, None), (5, "hello  WORLD!")], "item_id long, text string")
+    texts = [" hello, World ", "hello world again", "Yes.", "é yes", None, "", "..."]
+    got = sorted(tuple(r) for r in contamination.find(frame(spark, texts), bench).collect())
+    assert got == [(0, 1, 1.0, 1, 13), (0, 5, 1.0, 1, 13), (2, 2, 1.0, 0, 3)]
+    assert {r["doc_id"] for r in contamination.drop_contaminated(frame(spark, texts), bench).collect()} == {1, 3, 4, 5, 6}
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    docs = frame(spark, ["x" * 100] * 40 + ["y" * 5000, None], [*range(41), 41])
+    docs = docs.unionAll(docs.where("doc_id < 3"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(42)] + [(None, 1), (7, None)], "doc_id long, quality int")
+    take = lambda **how: quality.labelled_sample(docs, labels, "quality", **how).collect()
+    assert len(take()) == 42 and len(take(bound=10)) == 10
+    few = take(size=20_000)
+    assert len(few) == 41 and all(len(r["text"]) <= 200 for r in few)  # the text of over a hundredth is left out
+    few = take(size=10_000)
+    assert sum(len(r["text"]) for r in few) <= 10_000 and len({r["at"] for r in few}) == len(few)
+    assert take(size=0) == [] or all(not r["text"] for r in take(size=0))
+
+
+ODD = ("d", "t", "one", "k", "b", "key", "print", "node", "at", "label", "shard", "cut", "_cut", "_id", "text_id", "doc", "n", "p", "score", "tail", "x", "page_id", "fragment", "batch")
+
+
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("op4_html_text", "op10_url_filter")])
+def test_operators_of_odd_tables(spark, odd_texts, name):
+    """Further columns of any name change nothing, and an empty table gives no rows."""
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, odd_texts[3])], "item_id long, text string")
+    run = {
+        "op1_quality": lambda d: quality.classify(d, labels), "op2_jaccard_join": jaccard_join.join, "op3_toxicity": lambda d: toxicity.classify(d, labels), "op5_packing": packing.pack,
+        "op6_lm_score": class_lm.score, "op7_fingerprint": fingerprint.fingerprint, "op8_decontaminate": lambda d: contamination.find(d, bench), "op9_suffix_dedup": suffix_dedup.digest,
+    }[name]
+    plain = frame(spark, [t[:30_000] if t else t for t in odd_texts], [0, 1, 2, 3, 4, None, 6, 6, 8, 9, None, 11])
+    more = plain.select("*", *(F.lit(i).alias(c) for i, c in enumerate(ODD)))
+    assert sorted(map(str, run(plain).collect())) == sorted(map(str, run(more).collect()))
+    assert run(more.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_of_odd_tables(spark, odd_texts, tmp_path, at):
+    name, stage = corpus_pipeline.STAGES[at]
+    spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, odd_texts[3])], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    plain = frame(spark, [t[:30_000] if t else t for t in odd_texts], [0, 1, 2, 3, 4, None, 6, 6, 8, 9, None, 11])
+    more = plain.select("*", *(F.lit(i).alias(c) for i, c in enumerate(ODD)))
+    one, two = stage(spark, plain, f"file://{tmp_path}"), stage(spark, more, f"file://{tmp_path}")
+    if at < 4:
+        assert one.columns == plain.columns and two.columns == more.columns
+        assert {tuple(r[c] for c in ODD) for r in two.collect()} <= {tuple(range(len(ODD)))}
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.select(one.columns).collect()))
+    assert stage(spark, more.limit(0), f"file://{tmp_path}").count() == 0
+
+
+def test_pages_of_odd_tables(spark):
+    pages = spark.createDataFrame([(1, None, None, 5), (1, "x://h/p", "<p>a", 6), (None, "x://h/p", "<p>a", 7)], "page_id long, url string, html string, host int")
+    weights = [0.0] * (url_filter.BUCKETS + 1)
+    assert html_text.extract(pages).count() == url_filter.classify(pages, weights).count() == 3
+    assert html_text.extract(pages.limit(0)).count() == url_filter.classify(pages.limit(0), weights).count() == 0
+
+
 # ---- all queries
 
 
