@@ -3,7 +3,7 @@
 Every word has two units, its lower-cased form and its shape (letter case,
 digits, marks at its ends, length). A unit's index vector is a sparse ternary
 one, drawn from its hash; its context vector is the sum of the index vectors
-around it in the training texts, kept by hashed bucket. A document is the mean
+around it in all texts, kept by hashed bucket. A document is the mean
 of its words' context vectors, with its length and how often words recur, which
 the summed index vectors show. A network of one hidden layer, trained by numpy,
 gives a logit, and a temperature fitted on rows left out of the training makes
@@ -24,6 +24,7 @@ SAMPLE = 20_000  # labelled rows learned from, at most
 SAMPLE_BYTES = 96 << 20  # of their texts
 DIM = 32  # a power of two
 FORMS, SHAPES = 1 << 14, 1 << 11
+PARTS = 64  # that the table of context vectors is summed in
 WINDOW = 2
 HIDDEN = 24
 EPOCHS = 40
@@ -69,7 +70,28 @@ def _contexts(batches):
                 for unit in mine:
                     for a, b in ((unit[lag:], slice(None, -lag)), (unit[:-lag], slice(lag, None))):
                         total += np.bincount((a * DIM + place[b])[same], sign[b][same], len(total)).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int32).tobytes()], pa.binary())], names=["sums"])
+    if total.any():
+        parts = total.reshape(PARTS, -1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "sums"])
+
+
+def _add_up(batches):
+    """Sums of the parts that a task gets, one after another."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sums[part] = sums.get(part, 0) + np.frombuffer(x, np.int32).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "sums"])
+
+
+def context_vectors(docs: DataFrame) -> np.ndarray:
+    """The context vector of every bucket, of unit length, summed over all of docs: each task sends one table of fixed size."""
+    tables = docs.select("text").mapInArrow(_contexts, "part int, sums binary").repartition(PARTS, "part")
+    sums = np.zeros((PARTS, (FORMS + SHAPES) * DIM // PARTS), np.int64)
+    for r in tables.mapInArrow(_add_up, "part int, sums binary").toLocalIterator():  # one row for each part
+        sums[r["part"]] = np.frombuffer(r["sums"], np.int64)
+    vectors = sums.reshape(-1, DIM).astype(np.float32)
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1)
 
 
 def pool(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -163,17 +185,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int =
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict | None]:
-    """Context vectors and network from the labelled documents, SAMPLE of them at most.
+    """Context vectors from all documents, and the network from the labelled ones, SAMPLE of them at most.
 
     Without any labelled row there is no network, and scores are a half.
     """
     tune(docs.sparkSession, 500, 4)
     sample = labelled_sample(docs, labels, "quality")
-    sums = np.zeros((FORMS + SHAPES) * DIM, np.int64)
-    for r in sample.select("text").mapInArrow(_contexts, "sums binary").collect():  # a table of fixed size from each of six parts
-        sums += np.frombuffer(r["sums"], np.int32)
-    vectors = sums.reshape(-1, DIM).astype(np.float32)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1)
+    vectors = context_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches):

@@ -795,6 +795,25 @@ def test_items_of_few_words_are_found_whole(spark):
     assert {r["doc_id"] for r in contamination.drop_contaminated(frame(spark, texts), bench).collect()} == {1, 3, 4, 5, 6}
 
 
+def test_context_vectors_match_brute_force(spark, odd_texts):
+    """The sums of index vectors around every word, over all texts, however they are split."""
+    texts = [t[:3000] if t else t for t in odd_texts]
+    want = np.zeros((quality.FORMS + quality.SHAPES, quality.DIM))
+    for t in texts:
+        form, shape, _ = quality.units(*textops.utf8(pa.array([t], pa.string())))
+        index = np.zeros((len(form), quality.DIM))
+        for h in (form, shape):
+            for place, sign in quality.index_entries(h):
+                index[np.arange(len(h)), place] += sign
+        for i in range(len(form)):
+            around = index[max(i - quality.WINDOW, 0) : i].sum(axis=0) + index[i + 1 : i + 1 + quality.WINDOW].sum(axis=0)
+            want[int(form[i]) % quality.FORMS] += around
+            want[quality.FORMS + int(shape[i]) % quality.SHAPES] += around
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1)
+    for parts in (1, 5):
+        assert np.allclose(quality.context_vectors(frame(spark, texts).repartition(parts)), want, atol=1e-6)
+
+
 def test_the_sample_is_bounded_in_rows_and_bytes(spark):
     docs = frame(spark, ["x" * 100] * 40 + ["y" * 5000, None], [*range(41), 41])
     docs = docs.unionAll(docs.where("doc_id < 3"))
