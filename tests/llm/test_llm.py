@@ -902,6 +902,47 @@ def test_pipeline(spark):
     assert hits and not hits & {r["doc_id"] for r in rows}
 
 
+def test_pipeline_matches_brute_force(spark):
+    """Every stage by plain code on what the one before it left, but for the classifier's scores and the seeds of test items."""
+    docs, labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    score = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels).collect()}
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect() if score[r["doc_id"]] >= 0.3}
+
+    sets = {d: shingle_set(t) for d, t in text.items()}
+    group = {d: d for d in text}
+    for a, b in itertools.combinations(sorted(text), 2):
+        x, y = sets[a], sets[b]
+        if min(len(x), len(y)) * 4 >= 3 * max(len(x), len(y)) and x and 4 * len(x & y) >= 3 * len(x | y):
+            ga, gb = group[a], group[b]
+            group = {d: min(ga, gb) if g in (ga, gb) else g for d, g in group.items()}
+    text = {d: t for d, t in text.items() if group[d] == d}
+
+    order = sorted(text)
+    raw, n = [text[d].encode() for d in order], corpus_pipeline.REPEAT
+    seen = collections.Counter(b[i : i + n] for b in raw for i in range(len(b) - n + 1))
+    for d, b in zip(order, raw):
+        gone = bytearray(len(b))
+        for i in range(len(b) - n + 1):
+            if seen[b[i : i + n]] > 1:
+                gone[i : i + n] = b"\x01" * n
+        text[d] = bytes(x for x, g in zip(b, gone) if not g).decode("utf-8", "ignore")
+
+    items = [r["text"] for r in bench.collect()]
+    hashes = lambda t: textops.letter_words(*textops.utf8(pa.array([t])))[0]
+    words_of = [hashes(t) for t in items]
+    best = {}
+    for d, t in text.items():
+        h = hashes(t)
+        best[d] = max((contamination.align(w, h)[0] / (contamination.MATCH * len(w)) for w in words_of if len(w)), default=0.0) if len(h) else 0.0
+
+    out: dict[int, dict[int, str]] = {}
+    for r in corpus_pipeline.run(spark, SF).collect():
+        out.setdefault(r["doc_id"], {})[r["piece"]] = r["text"]
+    got = {d: "".join(p[k] for k in sorted(p)) for d, p in out.items()}
+    assert {d for d in text if best[d] < contamination.THRESHOLD} <= set(got) <= {d for d in text if best[d] < 0.6}
+    assert got == {d: text[d] for d in got}
+
+
 def test_stages_keep_the_columns_of_documents(spark):
     import corpus_pipeline
 
