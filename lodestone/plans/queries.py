@@ -498,7 +498,7 @@ def q_fresh_insert(f):
 
 @query
 def q_build_graph(f):
-    return graph.build(f.v, f.medoid())
+    return graph.build(f.v, f.medoid(), base=f.edges.where("rk <= 6"))
 
 
 @query
