@@ -303,6 +303,17 @@ def cluster(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return of
 
 
+def tables(of: np.ndarray, c: np.ndarray, n_item: np.ndarray, kinds_item: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the class transitions, and of the room that a class's words share; of: items' classes, c: class bigrams."""
+    classes = len(c)
+    n_class, kinds_class = np.bincount(of, n_item, classes), np.bincount(of, kinds_item, classes)
+    unigram = (n_class + 1) / (tokens + classes)
+    log_trans = np.log10((c + BACKOFF * unigram) / (c.sum(axis=1, keepdims=True) + BACKOFF))
+    log_room = np.log10(n_class + kinds_class + 1)  # one more kind for words never seen
+    log_room[0] = np.log10(max(n_class[0] + 1, 1.0))  # class 0 holds the end token alone
+    return log_trans, log_room
+
+
 def score(docs: DataFrame, held: int = 2, modulus: int = 7) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row of docs.
 
@@ -444,12 +455,7 @@ def score(docs: DataFrame, held: int = 2, modulus: int = 7) -> DataFrame:
             break
         of, shared, c2 = new, moved, c3
 
-    of_class = lambda x: np.bincount(of, x, classes)
-    n_class, kinds_class = of_class(n_item), of_class(kinds_item)
-    unigram = (n_class + 1) / (tokens + classes)
-    log_trans = np.log10((c2 + BACKOFF * unigram) / (c2.sum(axis=1, keepdims=True) + BACKOFF))
-    log_room = np.log10(n_class + kinds_class + 1)  # one more kind for words never seen
-    log_room[0] = np.log10(max(n_class[0] + 1, 1.0))  # class 0 holds the end token alone
+    log_trans, log_room = tables(of, c2, n_item, kinds_item, tokens)
     model = spark.sparkContext.broadcast((log_trans, log_room))
     log_base = np.log10(tokens + kinds + 1.0)
 

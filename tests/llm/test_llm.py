@@ -485,6 +485,45 @@ def test_base_scores_match_brute_force(spark, odd_texts, real):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_scores_match_a_plain_class_model(spark, odd_texts, monkeypatch):
+    """Counts, transitions, emissions and scores from scratch, given only the class that the exchange gave to each item."""
+    rng = random.Random(41)
+    texts = [t[:4000] if t else t for t in odd_texts] + [words(rng, rng.randrange(5, 120), 150) for _ in range(60)]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    seen, tables = [], class_lm.tables
+    monkeypatch.setattr(class_lm, "tables", lambda *a: seen.append(a) or tables(*a))
+    rows = sorted(class_lm.score(frame(spark, texts)).collect(), key=lambda r: r["doc_id"])
+    of = seen[0][0]
+
+    tokens = [class_lm.words_of((t or "").encode()) for t in texts]
+    count = collections.Counter(w for t, h in zip(tokens, held) if not h for w in t)
+    own = [w for b in range(64) for w in sorted((w for w, c in count.items() if c >= class_lm.OFTEN and w and zlib.crc32(w) % 64 == b), key=lambda w: (-count[w], w))]
+    number = {w: i for i, w in enumerate(own)}
+    tails = class_lm.sizes(len(own))[0]
+    kind = lambda w: int(of[-1] if not w else of[number[w]] if w in number else of[len(own) + class_lm.tail_of(w) % tails])
+    assert len(own) > 100 and kind(b"") == 0 and all(kind(w) for w in count if w)
+
+    pairs, n, kinds = collections.Counter(), collections.Counter(), collections.Counter()
+    for t, h in zip(tokens, held):
+        if not h:
+            pairs.update(zip([0, *map(kind, t)], map(kind, t)))
+    for w, c in count.items():
+        n[kind(w)] += c
+        kinds[kind(w)] += 1
+    total, classes = sum(count.values()), len(seen[0][1])
+    after = collections.Counter()
+    for (k, _), c in pairs.items():
+        after[k] += c
+    for r, t in zip(rows, tokens):
+        want, before = 0.0, 0
+        for w in t:
+            k = kind(w)
+            move = (pairs[before, k] + class_lm.BACKOFF * (n[k] + 1) / (total + classes)) / (after[before] + class_lm.BACKOFF)
+            want += math.log10(move) + math.log10((count[w] + 1) / (n[k] + kinds[k] + 1 if k else n[0] + 1))
+            before = k
+        assert math.isclose(r["score"], want, rel_tol=1e-9)
+
+
 def test_end_token_among_more_frequent_words(spark):
     """600 words are each more frequent than the training texts; no probability may exceed one."""
     rng = random.Random(12)
