@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import l2sq
 from lodestone.operators.knn import dimension, knn, top
-from lodestone.operators.snapshot import materialize
+from lodestone.operators.snapshot import materialize, read_epoch, write_epoch
 
 R, ALPHA, BEAM, START_CAP = 8, 1.2, 10, 600
 GRAPH_BYTES = 256 << 20  # a graph up to this size is sent to the search tasks; larger ones are searched by joins
@@ -391,3 +391,38 @@ def consolidate(edges: DataFrame, vectors: DataFrame, tombstones: DataFrame, r:
     fixed = prune(candidates, vectors, r, alpha)
     kept = edges.join(hit, "src", "left_anti").join(tombstones.select(F.col("id").alias("src")), "src", "left_anti")
     return materialize(kept.select("src", "ord", "dst", "dist").unionAll(fixed))
+
+
+# ---- epochs: an index as the tables vectors, edges and tombstones of each epoch under a folder
+
+
+def search_epoch(spark: SparkSession, root: str, queries: DataFrame, start: int, beam: int = BEAM, k: int = 10, over: str = "worklist", epoch: int | None = None) -> DataFrame:
+    """greedy_search over the given epoch of the index under root, or the last whole one; epochs written meanwhile are not seen."""
+    _, t = read_epoch(spark, root, epoch)
+    return greedy_search(queries, t["vectors"], t["edges"], start, beam, k, t["tombstones"], over)
+
+
+def insert_epoch(spark: SparkSession, root: str, new: DataFrame, start: int, **how) -> int:
+    """Insert new vectors (id, vec) into the last whole epoch and commit the next; returns its number."""
+    epoch, t = read_epoch(spark, root)
+    edges = insert(t["vectors"], t["edges"], new, start, **how)
+    write_epoch(root, epoch + 1, vectors=t["vectors"].select("id", "vec").unionByName(new.select("id", "vec")), edges=edges, tombstones=t["tombstones"])
+    return epoch + 1
+
+
+def consolidate_epoch(spark: SparkSession, root: str, epoch: int | None = None, **how) -> tuple[int, int]:
+    """Consolidate the given epoch, or the last, and commit it as the one after the last; returns its number and how many vectors left.
+
+    Tombstones and vectors that came between the two epochs stay as they are in
+    the last one; edges are those of the consolidated epoch and, for newer
+    nodes, of the last.
+    """
+    last, now = read_epoch(spark, root)
+    _, then = read_epoch(spark, root, last if epoch is None else epoch)
+    gone = then["tombstones"]
+    edges = consolidate(then["edges"], then["vectors"], gone, **how)
+    newer = now["vectors"].join(then["vectors"].select("id"), "id", "left_anti").select(F.col("id").alias("src"))
+    late = now["edges"].join(newer, "src", "left_semi").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "ord", "dst", "dist")
+    vectors = now["vectors"].join(gone, "id", "left_anti")
+    write_epoch(root, last + 1, vectors=vectors, edges=edges.unionByName(late), tombstones=now["tombstones"].join(gone, "id", "left_anti"))
+    return last + 1, gone.join(then["vectors"], "id", "left_semi").count()

@@ -26,13 +26,18 @@ def materialize(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, for as long as the session lasts: its lineage ends there, and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((df.sparkSession, path))
+    keep_until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _written: list[tuple[SparkSession, str]] = []
 
 
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    """Remove the folder path when the session's process ends."""
+    _written.append((spark, path))
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _written:

@@ -67,6 +67,11 @@ TABLES: dict[str, tuple[str, str]] = {
     "nbpq": ("edges tadc dead", "SELECT p.qid, e.src, list({'d': p.dist, 'id': p.id}) FILTER (WHERE p.id NOT IN (SELECT id FROM dead)) AS l FROM edges e JOIN tadc p ON p.id = e.dst GROUP BY p.qid, e.src"),
     "sedges": ("dd", top("(SELECT * FROM dd WHERE src % 5 <> 4 AND dst % 5 <> 4)", "src", 8, "dist, dst")),
     "nbstatic": ("sedges qd dead", "SELECT qd.qid, e.src, list({'d': qd.dist, 'id': qd.id}) FILTER (WHERE qd.id NOT IN (SELECT id FROM dead)) AS l FROM sedges e JOIN qd ON qd.id = e.dst GROUP BY qd.qid, e.src"),
+    "num": ("v", "SELECT *, row_number() OVER (ORDER BY id) - 1 AS place FROM v"),
+    "near8": ("edges", "SELECT src, list_sort(list(dst)) AS nbrs FROM edges GROUP BY src"),
+    "filed": ("num near8", "SELECT num.place AS id, vec[1] AS first, vec[64] AS last, array_to_string(nbrs, ',') AS nbrs FROM num JOIN near8 ON near8.src = num.id"),
+    "qat": ("truth", "SELECT dense_rank() OVER (ORDER BY qid) - 1 AS place, rk, id, dist FROM truth"),
+    "streamed": ("log static liveset", "SELECT id FROM static WHERE id NOT IN (SELECT id FROM log WHERE type <> 'query' GROUP BY id HAVING arg_max(type, seq) = 'delete') UNION SELECT id FROM liveset"),
     "recent": ("log", "SELECT seq, id FROM log WHERE type = 'insert' ORDER BY seq DESC LIMIT 10"),
 }
 
@@ -213,4 +218,35 @@ ORACLE_SQL: dict[str, str] = {
     "q_coupled_query": sql("recent q", "SELECT seq, id, query_id, dist FROM (" + top("(SELECT r.seq, v.id, q.qid AS query_id, " + d("v.vec", "q.qvec") + " AS dist FROM recent r JOIN v USING (id), q)", "seq", 1, "dist, query_id") + ")"),
     "q_scenarios": f"SELECT * FROM (VALUES {_scenario_rows}) s({', '.join(Scenario.__dataclass_fields__)})",
     "q_base_split": sql("v", "SELECT id, CASE WHEN rn <= n THEN 'initial' ELSE 'pool' END AS part FROM (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM v), (SELECT floor(count(*) * 7 / 10) AS n FROM v)"),
+    # Files: ids count from 0 in order; elements of files have 32 bits.
+    "q_scan_fvecs": sql("num", exploded("place AS id", "vec", "num")),
+    # The number is filtered before 1 is taken from it: DuckDB 2.0.0 answers row_number() - 1 < 100 over a materialised table with 99 rows.
+    "q_scan_fvecs_first": sql("v", exploded("n - 1 AS id", "vec", "(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY id) AS n FROM v) WHERE n <= 100)")),
+    "q_scan_bin": sql("num", exploded("place AS id", "vec", "num")),
+    "q_scan_bin_aligned": sql("num", "SELECT place AS id, (i - 1)::INT AS pos, CASE WHEN i <= 64 THEN round(vec[i], 9) + 0.0 ELSE 0 END AS x FROM num, range(1, 73) r(i)"),
+    "q_scan_ivecs": sql("near8", "SELECT place AS id, (i - 1)::INT AS pos, nbrs[i] AS nbr FROM (SELECT row_number() OVER (ORDER BY src) - 1 AS place, nbrs FROM near8), range(1, 9) r(i)"),
+    "q_vecs_to_bin": sql("num", exploded("place AS id", "vec", "num")),
+    "q_scan_truth": sql("qat", "SELECT place AS qid, rk, id FROM qat"),
+    "q_scan_truth_dists": sql("qat", "SELECT place AS qid, rk, id, dist::FLOAT::DOUBLE AS dist FROM qat"),
+    "q_scan_truth_sniffed": sql("qat", "SELECT place AS qid, rk, id FROM qat"),
+    "q_scan_packed_graph": sql("filed", "SELECT id, first, last, nbrs FROM filed"),
+    "q_scan_static": sql("filed", "SELECT id, first, last, nbrs FROM filed"),
+    "q_scan_sectors": sql("filed", "SELECT id, first, last, nbrs, n, 64::BIGINT AS dim, 7::BIGINT AS medoid, 292::BIGINT AS node_bytes, 14::BIGINT AS per_sector, (1 + (n + 13) // 14) * 4096 AS file_bytes FROM filed, (SELECT count(*) AS n FROM v)"),
+    "q_scan_pq_pivots": sql("piv", "SELECT chunk, code, (i - 1)::INT AS pos, round(sub[i], 9) + 0.0 AS x FROM piv, range(1, 9) r(i)"),
+    "q_scan_pq_codes": sql("codes num", "SELECT place AS id, chunk, code, (8 * chunk)::INT AS lo, (8 * chunk + 8)::INT AS hi FROM codes JOIN num USING (id)"),
+    "q_metrics_text": sql("fresh dead", """SELECT unnest(['n_static', 'n_fresh', 'n_deleted', 'n_active', 'pct_deleted', 'pct_full']) AS name,
+        unnest([(n - f)::DOUBLE, f::DOUBLE, d::DOUBLE, (n - d)::DOUBLE, d * 100.0::DOUBLE / n, f * 100.0::DOUBLE / floor((n - f) * 0.1::DOUBLE)]) AS value
+        FROM (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM fresh) AS f, (SELECT count(*) FROM dead) AS d)"""),
+    "q_scan_events": sql("log", "SELECT seq, type, t, id FROM log"),
+    "q_scan_events_bad": sql("log", "SELECT count_if(seq % 7 = 0 OR seq % 13 = 0)::BIGINT AS n_bad, count_if(seq % 7 = 0)::BIGINT AS n_broken, least(100, count(*)) AS n_first FROM log"),
+    "q_sql_functions": sql("edges", "SELECT src, dst, dist FROM edges"),
+    "q_gather_vectors": sql("edges q", "SELECT src, dst, vec[1] AS first, vec[64] AS last FROM edges JOIN q ON qid = src JOIN v ON v.id = dst"),
+    "q_reverse_union": sql("edges", "SELECT dd.src, dd.dst, dd.dist FROM dd JOIN (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges) USING (src, dst)"),
+    "q_rank_bounds": sql("qd truth", "SELECT qid, count_if(qd.dist < t.dist)::BIGINT AS lower, count_if(qd.dist <= t.dist)::BIGINT AS upper FROM qd JOIN (SELECT qid, dist FROM truth WHERE rk = 5) t USING (qid) GROUP BY qid"),
+    "q_epoch_consolidate": sql("dead", "SELECT 2 AS epoch, d AS n_removed, n - d AS n_nodes, 0::BIGINT AS n_loops, 0::BIGINT AS n_lost, 0::BIGINT AS n_over, 0::BIGINT AS n_tombstones FROM (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM dead) AS d)"),
+    "q_stream_live": sql("streamed v", "SELECT id, vec[1] AS first FROM streamed JOIN v USING (id)"),
+    "q_stream_answers": sql("streamed qd", "SELECT qid, rk, id, dist FROM (" + top("(SELECT seq AS qid, qd.id, dist FROM log JOIN qd ON qd.qid = log.id AND log.type = 'query' JOIN streamed s ON s.id = qd.id)", "qid", 10) + ")"),
+    "q_stream_counts": sql("log", """SELECT start, type, count(*) AS n FROM (SELECT t // 86400000000 * 86400000000 AS start, type FROM log), (SELECT max(t) // 1000 * 1000 AS now FROM log)
+        WHERE start + 86400000000 <= now - 3600000000 GROUP BY start, type"""),
 }
+ORACLE_SQL["q_epoch_search"] = ORACLE_SQL["q_ann_topk"]

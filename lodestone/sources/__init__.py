@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import shutil
+import itertools
+import re
 import struct
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -231,35 +231,99 @@ def read_static(spark: SparkSession, vectors: str, graph: str, layout: str = "ve
     return points.join(rows, "id", "left").select("id", "vec", F.coalesce("nbrs", F.array().cast("array<bigint>")).alias("nbrs"))
 
 
+def _export(spark: SparkSession, path: str, *pieces: Iterable[bytes]) -> None:
+    """Write pieces one after another to one file, local or on a file system that Spark knows."""
+    local = re.sub("^file:/*", "/", path)
+    if "://" in local:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+        put = lambda raw: out.write(bytearray(raw))
+    else:
+        out = Path(local).open("wb")
+        put = out.write
+    try:
+        for raw in itertools.chain(*pieces):
+            put(raw)
+    finally:
+        out.close()
+
+
+def _encoded(rows: DataFrame, encoder) -> Iterator[bytes]:
+    """What encoder makes of the batches of sorted rows: tasks encode, the driver hands the bytes on."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict({"raw": pa.array([encoder(batch.to_pylist())], pa.binary())})
+
+    return (r["raw"] for r in rows.mapInArrow(run, "raw binary").toLocalIterator())
+
+
 def write_graph(nodes: DataFrame, path: str, r: int, element: str = "float") -> int:
-    """Export nodes (id, vec, nbrs) in order of id as the packed records of read_graph to one local file; returns how many."""
-    n = 0
-    with Path(path).open("wb") as f:
-        for row in nodes.select("id", "vec", "nbrs").orderBy("id").toLocalIterator():
-            if len(row["nbrs"]) > r:
-                raise ValueError(f"node {row['id']} has over {r} partners")
-            f.write(np.asarray(row["vec"], ELEMENTS[element]).tobytes() + np.array([len(row["nbrs"]), *row["nbrs"], *[0xFFFFFFFF] * (r - len(row["nbrs"]))], "<u4").tobytes())
-            n += 1
+    """Export nodes (id, vec, nbrs) in order of id as the packed records of read_graph to one file; returns how many."""
+    over = nodes.where(F.size("nbrs") > r).select("id").first()
+    if over:
+        raise ValueError(f"node {over['id']} has over {r} partners")
+
+    def encoder(rows: list[dict]) -> bytes:
+        return b"".join(np.asarray(x["vec"], ELEMENTS[element]).tobytes() + _links(x["nbrs"], r, 0xFFFFFFFF) for x in rows)
+
+    _export(nodes.sparkSession, path, _encoded(nodes.select("id", "vec", "nbrs").orderBy("id"), encoder))
+    return nodes.count()
+
+
+def _links(nbrs: list[int], r: int, none: int) -> bytes:
+    return np.array([len(nbrs), *nbrs, *[none] * (r - len(nbrs))], "<u4").tobytes()
+
+
+def write_sectors(nodes: DataFrame, path: str, r: int, medoid: int, element: str = "float") -> int:
+    """Export nodes (id, vec, nbrs), of ids from 0 without gaps, as the disk index of read_sectors; returns how many."""
+    shape = nodes.agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.size("vec")).alias("dim"), F.min(F.size("vec")).alias("least"), F.max(F.size("nbrs")).alias("most"), F.min(F.size("nbrs")).alias("few")).first()
+    n, dim = shape["n"], shape["dim"]
+    if not n or (shape["lo"], shape["hi"]) != (0, n - 1) or shape["least"] != dim or shape["most"] > r or shape["few"] < 1:
+        raise ValueError(f"nodes are not numbered from 0, or not of one dimension and 1 to {r} partners")
+    size = dim * np.dtype(ELEMENTS[element]).itemsize + 4 + 4 * r
+    per = SECTOR // size
+    if not per:
+        raise ValueError("a node is larger than a sector")
+
+    def encoder(rows: list[dict]) -> bytes:
+        return b"".join(b"".join(np.asarray(x["vec"], ELEMENTS[element]).tobytes() + _links(x["nbrs"], r, 0) for x in s["x"]).ljust(SECTOR, b"\0") for s in rows)
+
+    sectors = nodes.groupBy(F.floor(F.col("id") / per).alias("sector")).agg(F.array_sort(F.collect_list(F.struct("id", "vec", "nbrs"))).alias("x")).orderBy("sector")
+    head = struct.pack("<II9Q", 0, 0, n, dim, medoid, size, per, 0, 0, 0, (1 + -(-n // per)) * SECTOR)
+    _export(nodes.sparkSession, path, [head.ljust(SECTOR, b"\0")], _encoded(sectors, encoder))
     return n
 
 
+def write_pq(pivots: DataFrame, codes: DataFrame, pivots_path: str, codes_path: str) -> None:
+    """Export pivots (chunk, code, sub), with a centroid of zeros, and codes (id, chunk, code) as the files of read_pq."""
+    spark = codes.sparkSession
+    parts: dict[int, dict[int, list[float]]] = {}
+    for row in pivots.select("chunk", "code", "sub").collect():  # 256 codes of a chunk at most
+        parts.setdefault(row["chunk"], {})[row["code"]] = row["sub"]
+    n = {len(x) for x in parts.values()}
+    if len(n) != 1 or sorted(parts) != list(range(len(parts))):
+        raise ValueError("chunks are not numbered from 0 with as many pivots each")
+    table = np.hstack([np.array([parts[c][k] for k in sorted(parts[c])]) for c in sorted(parts)]).astype("<f4")
+    bounds = np.cumsum([0, *(len(parts[c][0]) for c in sorted(parts))]).astype("<u4")
+    sections = [np.array(x.shape, "<i4").tobytes() + x.tobytes() for x in (table, np.zeros((table.shape[1], 1), "<f4"), bounds[:, None])]
+    places = np.cumsum([40, *map(len, sections)]).astype("<u8")
+    _export(spark, pivots_path, [struct.pack("<II", 4, 1) + places.tobytes()], sections)
+    rows = codes.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "code"))), lambda x: x["code"]).alias("c"))
+    head = struct.pack("<ii", rows.count(), len(parts))
+    _export(spark, codes_path, [head], _encoded(rows.orderBy("id"), lambda part: np.array([x["c"] for x in part], np.uint8).tobytes()))
+
+
 def write_truth(found: DataFrame, path: str, k: int, distances: bool = True) -> int:
     """Export found (qid, rk, id, dist) as a ground-truth file of k ids a query, and distances behind all ids; returns how many queries there are. Short answers are refused."""
     lists = found.where(F.col("rk") <= k).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rk", "id", *(["dist"] if distances else [])))).alias("x"))
-    n = 0
-    with Path(path).open("wb") as f, tempfile.TemporaryFile() as behind:
-        f.write(struct.pack("<ii", 0, k))
-        for row in lists.orderBy("qid").toLocalIterator():
-            if len(row["x"]) != k:
-                raise ValueError(f"query {row['qid']} has {len(row['x'])} answers, not {k}")
-            f.write(np.array([x["id"] for x in row["x"]], "<i4").tobytes())
-            if distances:
-                behind.write(np.array([x["dist"] for x in row["x"]], "<f4").tobytes())
-            n += 1
-        behind.seek(0)
-        shutil.copyfileobj(behind, f)
-        f.seek(0)
-        f.write(struct.pack("<i", n))
+    short = lists.where(F.size("x") != k).select("qid", F.size("x").alias("n")).first()
+    if short:
+        raise ValueError(f"query {short['qid']} has {short['n']} answers, not {k}")
+    n = lists.count()
+    column = lambda name, kind: _encoded(lists.orderBy("qid"), lambda rows: np.array([[x[name] for x in r["x"]] for r in rows], kind).tobytes())
+    _export(found.sparkSession, path, [struct.pack("<ii", n, k)], column("id", "<i4"), *([column("dist", "<f4")] if distances else []))
     return n
 
 
@@ -270,20 +334,15 @@ def write_metrics(rows: DataFrame, path: str) -> None:
 
 
 def write_vectors(df: DataFrame, path: str, layout: str = "vecs", element: str = "float", column: str = "vec") -> int:
-    """Export df's vectors in order of id to one local file, streaming; returns how many. Tables are for Spark, this is for other tools."""
-    n = 0
-    with Path(path).open("wb") as f:
-        if layout == "bin":
-            f.write(struct.pack("<ii", 0, 0))
-        dim = 0
-        for row in df.select("id", column).orderBy("id").toLocalIterator():
-            v = np.asarray([row[column]])
-            dim = v.shape[1]
-            f.write(encode(v, "vecs", element)[0 if layout == "vecs" else 4 :])
-            n += 1
-        if layout == "bin":
-            f.seek(0)
-            f.write(struct.pack("<ii", n, dim))
+    """Export df's vectors in order of id to one file, encoded by the tasks; returns how many. Tables are for Spark, this is for other tools."""
+    rows = df.select("id", F.col(column).alias("vec"))
+    n, dim = rows.agg(F.count("*"), F.max(F.size("vec"))).first()
+    head = [struct.pack("<ii", n, dim or 0)] if layout == "bin" else []
+
+    def encoder(part: list[dict]) -> bytes:
+        return encode(np.array([x["vec"] for x in part]), layout, element)[8 if layout == "bin" else 0 :]
+
+    _export(df.sparkSession, path, head, _encoded(rows.orderBy("id"), encoder))
     return n
 
 
