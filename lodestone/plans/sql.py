@@ -97,15 +97,38 @@ def exploded(select: str, column: str, source: str) -> str:
     return f"SELECT {select}, (i - 1)::INT AS pos, round({column}[i], 9) + 0.0 AS x FROM {source}, range(1, 66) r(i) WHERE i <= len({column})"
 
 
-def walk(neighbours: str, beam: int = 10, distances: str = "qd") -> str:
-    """Table g: the states of a best-first walk of every query from node 7."""
+def walk(neighbours: str, beam: int = 10, distances: str = "qd", start: str = "7") -> str:
+    """Table g: the states of a best-first walk of every query from the node start."""
     return f"""g(qid, step, wl, seen, parent) AS (
-      SELECT qid, 0, [{{'d': dist, 'id': id}}], []::BIGINT[], id FROM {distances} WHERE id = 7 UNION ALL
+      SELECT qid, 0, [{{'d': dist, 'id': id}}], []::BIGINT[], id FROM {distances} WHERE id = {start} UNION ALL
       SELECT qid, step + 1, wl, seen, (list_filter(wl, lambda w: NOT list_contains(seen, w.id))[1]).id FROM (
         SELECT g.qid, g.step, list_append(g.seen, g.parent) AS seen, list_sort(list_distinct(list_concat(g.wl, coalesce(n.l, []))))[1:{beam}] AS wl
         FROM g JOIN {neighbours} n ON n.qid = g.qid AND n.src = g.parent))"""
 
 
+def lists(name: str, edges: str, distances: str) -> str:
+    """Table name: each node's partners with their distance to each query; every node of edges has a row, if only of NULL."""
+    return f"""{name} AS (SELECT z.qid, e.src, list({{'d': x.dist, 'id': x.id}}) FILTER (WHERE x.id IS NOT NULL) AS l
+      FROM {edges} e CROSS JOIN (SELECT DISTINCT qid FROM {distances}) z LEFT JOIN {distances} x ON x.qid = z.qid AND x.id = e.dst GROUP BY z.qid, e.src)"""
+
+
+def medoid(name: str, vectors: str) -> str:
+    """Tables {name}_m, the mean of vectors, and name, the id of the vector nearest to it."""
+    return f"""{name}_m AS (SELECT list(x ORDER BY i) AS mean FROM (SELECT i, avg(vec[i]) AS x FROM {vectors}, range(1, 65) r(i) GROUP BY i)),
+    {name} AS (SELECT arg_min(id, {{'d': round({d("vec", "mean")}, 12), 'id': id}}) AS id FROM {vectors}, {name}_m)"""
+
+
+EXPANDED = "(SELECT qid AS src, unnest(arg_max(seen, step)) AS dst FROM g GROUP BY qid)"  # of the walk g
+
+
+def inserted(old: str) -> str:
+    """Tables o and x: pruned edges of what the walk g has found for new nodes, and those of the nodes of old that they lead to."""
+    return (
+        pruned("o", f"SELECT dd.* FROM dd JOIN {EXPANDED} USING (src, dst)") + ", "
+        + pruned("x", f"SELECT dd.* FROM dd JOIN (SELECT src, dst FROM {old} WHERE src IN (SELECT dst FROM o) UNION SELECT dst, src FROM o) USING (src, dst)")
+    )
+
+
 def fnv(start: int, factor: int) -> str:
     h = f"{start}::UBIGINT"
     for shift in (0, 8, 16, 24):
@@ -250,3 +273,25 @@ ORACLE_SQL: dict[str, str] = {
         WHERE start + 86400000000 <= now - 3600000000 GROUP BY start, type"""),
 }
 ORACLE_SQL["q_epoch_search"] = ORACLE_SQL["q_ann_topk"]
+
+# Building and upkeep, from the walk to the pruned edges.
+ORACLE_SQL["q_insert_batch"] = sql("dd static", "SELECT src, ord, dst, dist FROM b WHERE src NOT IN (SELECT dst FROM o) UNION ALL SELECT src, ord, dst, dist FROM o UNION ALL SELECT src, ord, dst, dist FROM x", ", ".join((
+    "sd AS (SELECT * FROM dd WHERE src % 5 <> 4 AND dst % 5 <> 4)", "fd AS (SELECT src AS qid, dst AS id, dist FROM dd WHERE src % 5 = 4 AND dst % 5 <> 4)",
+    pruned("b", "SELECT src, dst, dist FROM (" + top("sd", "src", 32, "dist, dst") + ")"), medoid("m", "static"), lists("nf", "b", "fd"), walk("nf", 24, "fd", "(SELECT id FROM m)"), inserted("b"))))
+ORACLE_SQL["q_reinsert"] = sql("cand dead", "SELECT src, ord, dst, dist FROM kept WHERE src NOT IN (SELECT dst FROM o) UNION ALL SELECT src, ord, dst, dist FROM o UNION ALL SELECT src, ord, dst, dist FROM x", ", ".join((
+    pruned("p", "SELECT src, dst, dist FROM cand"), "kept AS (SELECT * FROM p WHERE dst NOT IN (SELECT id FROM dead) AND NOT (src % 2 = 0 AND src IN (SELECT id FROM dead)))",
+    "fd AS (SELECT src AS qid, dst AS id, dist FROM dd WHERE src % 2 = 0 AND src IN (SELECT id FROM dead) AND dst NOT IN (SELECT id FROM dead))",
+    lists("nf", "p", "fd"), walk("nf", 24, "fd"), inserted("kept"))))
+ORACLE_SQL["q_consolidate"] = sql("cand dead", "SELECT src, ord, dst, dist FROM p WHERE src NOT IN (SELECT id FROM dead) AND src NOT IN (SELECT id FROM torn) UNION ALL SELECT src, ord, dst, dist FROM x", ", ".join((
+    pruned("p", "SELECT src, dst, dist FROM cand"), "torn AS (SELECT DISTINCT src AS id FROM p WHERE dst IN (SELECT id FROM dead) AND src NOT IN (SELECT id FROM dead))",
+    "lv AS (SELECT src, dst FROM p WHERE src NOT IN (SELECT id FROM dead) AND dst NOT IN (SELECT id FROM dead)), near AS (SELECT * FROM lv WHERE src IN (SELECT id FROM torn))",
+    "c AS (SELECT src, dst, dist FROM (" + top("(SELECT dd.* FROM dd JOIN (SELECT src, dst FROM near UNION SELECT n.src, l.dst FROM near n JOIN lv l ON l.src = n.dst WHERE n.src <> l.dst) USING (src, dst))", "src", 24, "dist, dst") + "))",
+    "few AS (SELECT id FROM torn WHERE (SELECT count(*) FROM c WHERE c.src = torn.id) < 6)", "live AS (SELECT * FROM v WHERE id NOT IN (SELECT id FROM dead))", medoid("m", "live"),
+    "fd AS (SELECT few.id AS qid, live.id, coalesce(dd.dist, 0) AS dist FROM few CROSS JOIN live LEFT JOIN dd ON dd.src = few.id AND dd.dst = live.id)",
+    lists("nf", "p", "fd"), walk("nf", 24, "fd", "(SELECT id FROM m)"),
+    "more AS (SELECT qid AS src, wl[i].id AS dst FROM (SELECT qid, arg_max(wl, step) AS wl FROM g GROUP BY qid), range(1, 14) r(i) WHERE i <= len(wl))",
+    pruned("x", "SELECT src, dst, dist FROM c UNION SELECT dd.* FROM dd JOIN more USING (src, dst)"))))
+ORACLE_SQL["q_build_graph"] = sql("edges", "SELECT src, ord, dst, dist FROM x", ", ".join((
+    "b AS (SELECT * FROM edges WHERE rk <= 6)", "ad AS (SELECT src AS qid, dst AS id, dist FROM dd UNION ALL SELECT id, id, 0 FROM v)", medoid("m", "v"), lists("nf", "b", "ad"), walk("nf", 24, "ad", "(SELECT id FROM m)"),
+    pruned("p", f"SELECT dd.* FROM dd JOIN (SELECT src, dst FROM {EXPANDED} UNION SELECT src, dst FROM b) USING (src, dst)"),
+    pruned("x", "SELECT dd.* FROM dd JOIN (SELECT src, dst FROM p UNION SELECT dst, src FROM p) USING (src, dst)"))))

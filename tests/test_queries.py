@@ -23,7 +23,7 @@ def con():
 
 def test_names():
     assert set(ORACLE_SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE_SQL) == {"q_build_graph", "q_insert_batch", "q_reinsert", "q_consolidate", "q_generate_workload"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"q_generate_workload"}
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
 
 
