@@ -57,29 +57,78 @@ def encode(rows: np.ndarray, layout: str, element: str = "float") -> bytes:
     return np.hstack([head, rows.view(np.uint8).reshape(n, -1)]).tobytes()
 
 
+WHOLE = 64 << 20  # bytes; larger files of records are read in splits
+
+
+def _status(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """The files under path, a pattern perhaps, and their lengths."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [y for x in fs.globStatus(at) or [] for y in (fs.listStatus(x.getPath()) if x.isDirectory() else [x])]
+    return [(x.getPath().toString(), x.getLen()) for x in found if x.getPath().getName()[0] not in "._"]
+
+
+def _first_number(spark: SparkSession, path: str) -> int:
+    """The little-endian int32 that a file begins with."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return spark._jvm.Integer.reverseBytes(stream.readInt())
+    finally:
+        stream.close()
+
+
+def read_records(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """at (its number in the file), raw of every record of so many bytes; files are split, so that a large one is read by many tasks."""
+    for name, length in _status(spark, path):
+        if length % size:
+            raise ValueError(f"{length} bytes of {name} are no whole number of records of {size}")
+    rdd = spark.sparkContext.newAPIHadoopFile(
+        path, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
+        conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(size), "mapreduce.input.fileinputformat.split.maxsize": str(WHOLE)},
+    )
+    return spark.createDataFrame(rdd, "at bigint, raw binary")
+
+
+_VECTORS = pa.schema([("id", pa.int64()), ("vec", pa.list_(pa.float64())), ("dists", pa.list_(pa.float64()))])
+
+
 def read_vectors(spark: SparkSession, path: str, layout: str = "vecs", element: str = "float", multiple: int = 1, limit: int | None = None) -> DataFrame:
     """id, vec (and dists for 'truth') of one file or several; ids count from 0 within each file.
 
     multiple pads vectors with zeros to a multiple of it; limit reads the first
-    rows only.
+    rows only. Of layout 'vecs', files are split where one is over WHOLE bytes,
+    and must then be of one dimension; other layouts are read whole by a task.
     """
+    padded = lambda m: np.pad(m, ((0, 0), (0, -m.shape[1] % multiple)))
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for raw in batch.column("content").to_pylist():
-                m = decode(raw, layout, element)[:limit].astype(np.float64)
-                if m.shape[1] % multiple:
-                    m = np.pad(m, ((0, 0), (0, multiple - m.shape[1] % multiple)))
+                m = padded(decode(raw, layout, element)[:limit].astype(np.float64))
                 dists = None
                 if layout == "truth":
                     dists = np.frombuffer(raw, np.float32, m.size, 8 + m.size * 4).reshape(m.shape).astype(np.float64)
                 for a in range(0, len(m), 10_000):
                     part = m[a : a + 10_000]
-                    yield pa.RecordBatch.from_pydict(
-                        {"id": np.arange(a, a + len(part)), "vec": list(part), "dists": list(dists[a : a + len(part)]) if dists is not None else [None] * len(part)},
-                        pa.schema([("id", pa.int64()), ("vec", pa.list_(pa.float64())), ("dists", pa.list_(pa.float64()))]),
-                    )
-
+                    yield pa.RecordBatch.from_pydict({"id": np.arange(a, a + len(part)), "vec": list(part), "dists": list(dists[a : a + len(part)]) if dists is not None else [None] * len(part)}, _VECTORS)
+
+    files = _status(spark, path) if layout == "vecs" else []
+    if any(length > WHOLE for _, length in files):
+        dim = _first_number(spark, next(name for name, length in files if length))
+        if dim <= 0:
+            raise ValueError(f"{dim} is no dimension")
+
+        def split(batches: Iterator[pa.RecordBatch]):
+            for batch in batches:
+                if batch.num_rows:
+                    m = decode(b"".join(batch.column("raw").to_pylist()), "vecs", element)
+                    if m.shape[1] != dim:
+                        raise ValueError("the dimension changes within the files")
+                    yield pa.RecordBatch.from_pydict({"id": batch.column("at"), "vec": list(padded(m.astype(np.float64)))}, pa.schema([_VECTORS.field("id"), _VECTORS.field("vec")]))
+
+        records = read_records(spark, path, 4 + dim * np.dtype(ELEMENTS[element]).itemsize)
+        return (records if limit is None else records.where(F.col("at") < limit)).mapInArrow(split, "id bigint, vec array<double>")
     df = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "id bigint, vec array<double>, dists array<double>")
     return df if layout == "truth" else df.drop("dists")
 
@@ -97,24 +146,24 @@ def read_graph(spark: SparkSession, path: str, dim: int, r: int, element: str =
     """id, vec, nbrs of a packed graph: records of dim elements, a uint32 degree and r uint32 partners.
 
     Padding of 0xFFFFFFFF counts as no partner; a degree over r is refused.
+    Files are split, so that many tasks read a large one.
     """
     kind = np.dtype(ELEMENTS[element])
     size = dim * kind.itemsize + 4 + 4 * r
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for raw in batch.column("content").to_pylist():
-                if len(raw) % size:
-                    raise ValueError(f"{len(raw)} bytes are no whole number of records of {size}")
-                m = np.frombuffer(raw, np.uint8).reshape(-1, size)
-                vec = m[:, : dim * kind.itemsize].copy().view(kind).astype(np.float64)
-                links = m[:, dim * kind.itemsize :].copy().view("<u4").astype(np.int64)
-                if (links[:, 0] > r).any():
-                    raise ValueError("a degree is over the bound")
-                nbrs = [[x for x in row[1 : 1 + row[0]].tolist() if x != 0xFFFFFFFF] for row in links]
-                yield pa.RecordBatch.from_pydict({"id": np.arange(len(m)), "vec": list(vec), "nbrs": nbrs}, pa.schema([("id", pa.int64()), ("vec", pa.list_(pa.float64())), ("nbrs", pa.list_(pa.int64()))]))
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "id bigint, vec array<double>, nbrs array<bigint>")
+            if not batch.num_rows:
+                continue
+            m = np.frombuffer(b"".join(batch.column("raw").to_pylist()), np.uint8).reshape(-1, size)
+            vec = m[:, : dim * kind.itemsize].copy().view(kind).astype(np.float64)
+            links = m[:, dim * kind.itemsize :].copy().view("<u4").astype(np.int64)
+            if (links[:, 0] > r).any():
+                raise ValueError("a degree is over the bound")
+            nbrs = [[x for x in row[1 : 1 + row[0]].tolist() if x != 0xFFFFFFFF] for row in links]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("at"), "vec": list(vec), "nbrs": nbrs}, pa.schema([("id", pa.int64()), ("vec", pa.list_(pa.float64())), ("nbrs", pa.list_(pa.int64()))]))
+
+    return read_records(spark, path, size).mapInArrow(rows, "id bigint, vec array<double>, nbrs array<bigint>")
 
 
 def _read_whole(spark: SparkSession, path: str, ddl: str, rows) -> DataFrame:

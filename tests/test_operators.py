@@ -242,6 +242,20 @@ def test_vector_files_come_back(spark, v, tmp_path):
     assert sources.read_vectors(spark, f"file://{tmp_path}/x.vecs", multiple=5, limit=3).select(F.size("vec")).collect() == [(10,)] * 3
 
 
+def test_large_files_are_split_and_give_the_same(spark, v, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/x.vecs"
+    sources.write_vectors(v, path)
+    whole = {r["id"]: r["vec"] for r in sources.read_vectors(spark, path, multiple=5).collect()}
+    monkeypatch.setattr(sources, "WHOLE", 2000)
+    df = sources.read_vectors(spark, path, multiple=5)
+    assert df.rdd.getNumPartitions() > 4
+    assert {r["id"]: r["vec"] for r in df.collect()} == whole
+    assert sorted(r["id"] for r in sources.read_vectors(spark, path, limit=70).collect()) == list(range(70))
+    (tmp_path / "cut.vecs").write_bytes((tmp_path / "x.vecs").read_bytes()[:-1])
+    with pytest.raises(ValueError, match="whole number"):
+        sources.read_vectors(spark, f"file://{tmp_path}/cut.vecs")
+
+
 def test_bad_vector_files_are_refused():
     good = sources.encode(np.ones((3, 4)), "vecs")
     with pytest.raises(ValueError, match="whole number"):
