@@ -413,16 +413,19 @@ def insert_epoch(spark: SparkSession, root: str, new: DataFrame, start: int, **h
 def consolidate_epoch(spark: SparkSession, root: str, epoch: int | None = None, **how) -> tuple[int, int]:
     """Consolidate the given epoch, or the last, and commit it as the one after the last; returns its number and how many vectors left.
 
-    Tombstones and vectors that came between the two epochs stay as they are in
-    the last one; edges are those of the consolidated epoch and, for newer
-    nodes, of the last.
+    Epochs that others commit meanwhile are kept: nodes that came or came back
+    since, and those that were linked to them, have their edges of the last
+    epoch, and what was deleted since stays deleted. Only one may commit at a time.
     """
+    _, then = read_epoch(spark, root, epoch)
+    edges = consolidate(then["edges"], then["vectors"], then["tombstones"], **how)
     last, now = read_epoch(spark, root)
-    _, then = read_epoch(spark, root, last if epoch is None else epoch)
-    gone = then["tombstones"]
-    edges = consolidate(then["edges"], then["vectors"], gone, **how)
-    newer = now["vectors"].join(then["vectors"].select("id"), "id", "left_anti").select(F.col("id").alias("src"))
-    late = now["edges"].join(newer, "src", "left_semi").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "ord", "dst", "dist")
+    gone = then["tombstones"].join(now["tombstones"], "id", "left_semi")
+    came = now["vectors"].select("id").join(then["vectors"].select("id"), "id", "left_anti").unionByName(then["tombstones"].join(now["tombstones"], "id", "left_anti"))
+    linked = now["edges"].join(came.select(F.col("id").alias("dst")), "dst", "left_semi").select("src")
+    touched = materialize(came.select(F.col("id").alias("src")).union(linked).distinct())
+    out = gone.select(F.col("id").alias("src")), gone.select(F.col("id").alias("dst"))
+    late = now["edges"].join(touched, "src", "left_semi").join(out[0], "src", "left_anti").join(out[1], "dst", "left_anti").select("src", "ord", "dst", "dist")
     vectors = now["vectors"].join(gone, "id", "left_anti")
-    write_epoch(root, last + 1, vectors=vectors, edges=edges.unionByName(late), tombstones=now["tombstones"].join(gone, "id", "left_anti"))
-    return last + 1, gone.join(then["vectors"], "id", "left_semi").count()
+    write_epoch(root, last + 1, vectors=vectors, edges=edges.join(touched, "src", "left_anti").select("src", "ord", "dst", "dist").unionByName(late), tombstones=now["tombstones"].join(gone, "id", "left_anti"))
+    return last + 1, gone.join(now["vectors"], "id", "left_semi").count()

@@ -143,6 +143,28 @@ def test_epochs(spark, v, tmp_path):
     assert snapshot.read_epoch(spark, root, 0)[1]["vectors"].count() == 300
 
 
+def test_epochs_committed_during_a_consolidation_are_kept(spark, v, q, edges, tmp_path):
+    root = f"file://{tmp_path}/index"
+    dead, later, back = v.where("id % 5 = 2").select("id"), v.where("id IN (11, 21)").select("id"), {7, 12}
+    snapshot.write_epoch(root, 1, vectors=v, edges=edges, tombstones=dead)
+    before = sorted(map(tuple, graph.search_epoch(spark, root, q, 0).collect()))
+    new = snapshot.materialize(vectors(spark, 10, 9, 1000))
+    assert graph.insert_epoch(spark, root, new, 0) == 2
+    _, t = snapshot.read_epoch(spark, root)
+    again, left = graph.reinsert(t["vectors"], t["edges"], dead, dead.where("id IN (7, 12)"), 0)
+    snapshot.write_epoch(root, 3, vectors=t["vectors"], edges=again, tombstones=left.unionByName(later))
+    assert sorted(map(tuple, graph.search_epoch(spark, root, q, 0, epoch=1).collect())) == before
+    assert graph.consolidate_epoch(spark, root, 1) == (4, 58)
+    number, t = snapshot.read_epoch(spark, root)
+    gone = ids(dead) - back
+    assert number == 4 and ids(t["tombstones"]) == {11, 21} and ids(t["vectors"]) == (ids(v) | ids(new)) - gone
+    check = graph.validate(t["vectors"], t["edges"], 6).first()
+    assert (check["n_over"], check["n_loops"], check["n_lost"]) == (0, 0, 0) and not ids(t["edges"], "src") & gone
+    asked = t["vectors"].where("id >= 1000 OR id IN (7, 12)").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    best = graph.search_epoch(spark, root, asked, 0, 40, 1).collect()
+    assert len(best) == 12 and sum(r["qid"] == r["id"] for r in best) >= 11
+
+
 def test_edges_to_nothing_lead_nowhere(spark, v, q, edges, monkeypatch):
     holes = v.where("id % 4 <> 1")
     odd = edges.unionByName(edges.limit(3).withColumn("dst", F.lit(-5).cast("bigint"))).unionByName(edges.limit(3).withColumn("src", F.lit(10_000).cast("bigint")))
