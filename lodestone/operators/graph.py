@@ -6,6 +6,8 @@ are squared; pruning compares alpha times one of them with another.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import l2sq
 from lodestone.operators.knn import dimension, knn, top
-from lodestone.operators.snapshot import materialize, read_epoch, write_epoch
+from lodestone.operators.snapshot import EpochTaken, discard, materialize, read_epoch, write_epoch
 
 R, ALPHA, BEAM, START_CAP = 8, 1.2, 10, 600
 GRAPH_BYTES = 256 << 20  # a graph up to this size is sent to the search tasks; larger ones are searched by joins
@@ -74,17 +76,17 @@ def affected(edges: DataFrame, tombstones: DataFrame) -> DataFrame:
     return hit.join(tombstones, "id", "left_anti")
 
 
-def reach(edges: DataFrame, start: int, steps: int = 12) -> DataFrame:
-    """id, depth: nodes that a breadth-first walk from start meets in at most so many steps."""
+def reach(edges: DataFrame, start: int, steps: int | None = None) -> DataFrame:
+    """id, depth: nodes that a breadth-first walk from start meets, in at most so many steps where a bound is asked for."""
     spark = edges.sparkSession
     seen = spark.createDataFrame([(start, 0)], "id bigint, depth int")
     pairs = materialize(edges.select("src", "dst"))
-    for depth in range(1, steps + 1):
+    for depth in count(1) if steps is None else range(1, steps + 1):
         front = seen.where(F.col("depth") == depth - 1).select(F.col("id").alias("src"))
         new = materialize(pairs.join(front, "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
-        seen = seen.unionAll(new)
+        seen = materialize(seen.unionAll(new)) if depth % 16 == 0 else seen.unionAll(new)
     return seen
 
 
@@ -105,6 +107,27 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumsum(d * d, axis=-1)[..., -1]
 
 
+KEPT = "src bigint, ord int, dst bigint, dist double"
+
+
+def keep(batches, r: int, alpha: float):
+    """Frames of the edges kept of candidates (src, dst, dist, vec of dst) that come in order of src, dist, dst; a repeated candidate counts once."""
+    last, held, full, prev = None, [], False, None
+    for rows in batches:
+        out = []
+        for src, dst, dist, vec in zip(rows["src"].to_numpy(), rows["dst"].to_numpy(), rows["dist"].to_numpy(), rows["vec"]):
+            if src != last:
+                last, held, full, prev = src, [], False, None
+            if full or dst == prev:
+                continue
+            prev = dst
+            if not held or not (alpha * _squares(np.stack(held), vec) <= dist).any():
+                held.append(np.asarray(vec))
+                out.append((src, len(held), dst, dist))
+                full = len(held) >= r
+        yield pd.DataFrame(out, columns=["src", "ord", "dst", "dist"])
+
+
 def prune(candidates: DataFrame, vectors: DataFrame, r: int = 6, alpha: float = ALPHA) -> DataFrame:
     """src, ord, dst, dist of the edges kept of candidates (src, dst, dist).
 
@@ -112,23 +135,8 @@ def prune(candidates: DataFrame, vectors: DataFrame, r: int = 6, alpha: float =
     held, so that a hub may have any number.
     """
 
-    def run(batches):
-        last, held, full = None, [], False
-        for rows in batches:
-            out = []
-            for src, dst, dist, vec in zip(rows["src"].to_numpy(), rows["dst"].to_numpy(), rows["dist"].to_numpy(), rows["vec"]):
-                if src != last:
-                    last, held, full = src, [], False
-                if full:
-                    continue
-                if not held or not (alpha * _squares(np.stack(held), vec) <= dist).any():
-                    held.append(np.asarray(vec))
-                    out.append((src, len(held), dst, dist))
-                    full = len(held) >= r
-            yield pd.DataFrame(out, columns=["src", "ord", "dst", "dist"])
-
     full = candidates.select("src", "dst", "dist").join(vectors.select(F.col("id").alias("dst"), "vec"), "dst")
-    return full.select("src", "dst", "dist", "vec").repartition("src").sortWithinPartitions("src", "dist", "dst").mapInPandas(run, "src bigint, ord int, dst bigint, dist double")
+    return full.select("src", "dst", "dist", "vec").repartition("src").sortWithinPartitions("src", "dist", "dst").mapInPandas(lambda batches: keep(batches, r, alpha), KEPT)
 
 
 def reverse_candidates(edges: DataFrame, vectors: DataFrame, dim: int | None = None) -> DataFrame:
@@ -172,14 +180,18 @@ def greedy_kernel(distance, nbrs: list[np.ndarray], ids: np.ndarray, start: int,
 
 
 def _lists(edges: DataFrame, ids: np.ndarray) -> list[np.ndarray]:
-    """Places of each node's partners, by number; edges from or to an id that is no node are left out."""
+    """Places of each node's partners, by number and each once; edges from or to an id that is no node are left out."""
     table = edges.select("src", "dst").toArrow()
     src, dst = (table.column(c).to_numpy() for c in ("src", "dst"))
     a, b = (np.minimum(np.searchsorted(ids, x), max(len(ids) - 1, 0)) for x in (src, dst))
     there = (ids[a] == src) & (ids[b] == dst) if len(ids) else np.zeros(len(src), bool)
-    a, b = a[there], b[there]
-    order = np.lexsort((b, a))
-    return np.split(b[order], np.searchsorted(a[order], np.arange(1, len(ids)))) if len(ids) else []
+    a, b = np.unique(np.stack([a[there], b[there]]), axis=1)
+    return np.split(b, np.searchsorted(a, np.arange(1, len(ids)))) if len(ids) else []
+
+
+def one_each(vectors: DataFrame) -> DataFrame:
+    """id, vec: the least vector of every id."""
+    return vectors.groupBy("id").agg(F.min("vec").alias("vec"))
 
 
 def fits(vectors: DataFrame, edges: DataFrame, width: int) -> bool:
@@ -190,7 +202,8 @@ def fits(vectors: DataFrame, edges: DataFrame, width: int) -> bool:
 def greedy_search(queries: DataFrame, vectors: DataFrame, edges: DataFrame, start: int, beam: int = BEAM, k: int = 10, tombstones: DataFrame | None = None, over: str = "worklist") -> DataFrame:
     """qid, rk, id, dist, steps, evals: the k best of the worklist, or of the expanded nodes, of a best-first walk from start.
 
-    The visited set is exact. Deleted nodes are neither expanded nor reported,
+    The visited set is exact. Repeated edges count once, and of vectors of one id
+    the least does. Deleted nodes are neither expanded nor reported,
     except that the walk may begin at one; edges to an id that is no vector lead
     nowhere, and where start is none nothing is found. The graph goes to the
     tasks whole while it is within GRAPH_BYTES; a larger one is walked by joins,
@@ -199,7 +212,7 @@ def greedy_search(queries: DataFrame, vectors: DataFrame, edges: DataFrame, star
     spark = queries.sparkSession
     if not fits(vectors, edges, 8 * (dimension(vectors) or 1) + 8):
         return walk_by_joins(queries, vectors, edges, start, beam, k, tombstones, over)
-    table = vectors.select("id", "vec").toPandas().sort_values("id")
+    table = one_each(vectors).toPandas().sort_values("id")
     ids = table["id"].to_numpy().astype(np.int64)
     vecs = np.stack(table["vec"].to_numpy()) if len(ids) else np.zeros((0, 1))
     gone = np.isin(ids, tombstones.toPandas()["id"].to_numpy()) if tombstones is not None else np.zeros(len(ids), bool)
@@ -309,13 +322,15 @@ def _walk(queries: DataFrame, measured, edges: DataFrame, start: int, beam: int,
         done = state.join(front.withColumnRenamed("src", "id").withColumn("now", F.lit(step)), ["qid", "id"], "left").withColumn("step", F.coalesce("now", "step")).drop("now")
         every = done.select("qid", "id", "dist", "step", "listed").unionAll(fresh(measured(new)))
         rank = F.sum(F.col("listed").cast("int")).over(by)
-        state = materialize(every.withColumn("listed", F.col("listed") & (rank <= beam)))
+        before, state = state, materialize(every.withColumn("listed", F.col("listed") & (rank <= beam)))
+        discard(before)
     return state
 
 
 def walk_by_joins(queries: DataFrame, vectors: DataFrame, edges: DataFrame, start: int, beam: int = BEAM, k: int = 10, tombstones: DataFrame | None = None, over: str = "worklist", steps: int = START_CAP) -> DataFrame:
     """As greedy_search, by joins."""
     dim = dimension(vectors)
+    vectors = materialize(one_each(vectors))
 
     def measured(pairs: DataFrame) -> DataFrame:
         return pairs.join(vectors.select("id", "vec"), "id").join(queries, "qid").select("qid", "id", l2sq(F.col("qvec"), F.col("vec"), dim).alias("dist"))
@@ -343,16 +358,24 @@ def build(vectors: DataFrame, start: int, r: int = 6, alpha: float = ALPHA, beam
     return edges
 
 
-def insert(vectors: DataFrame, edges: DataFrame, new: DataFrame, start: int, r: int = 6, alpha: float = ALPHA, beam: int = 24) -> DataFrame:
-    """Edges after new vectors are written, searched for, pruned, and linked back; all are written before any is searched for."""
-    everything = vectors.select("id", "vec").unionAll(new.select("id", "vec"))
-    found = greedy_search(new.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), vectors, edges, start, beam, START_CAP, over="expanded")
+def insert(vectors: DataFrame, edges: DataFrame, new: DataFrame, start: int, r: int = 6, alpha: float = ALPHA, beam: int = 24, tombstones: DataFrame | None = None) -> DataFrame:
+    """Edges after new vectors are written, searched for, pruned, and linked back; all are written before any is searched for.
+
+    A new vector of an id that is there takes its place: the old one's edges, from
+    it and to it, go, and it is found by nothing any more, though a walk may
+    begin at it. Deleted nodes are not linked to.
+    """
+    new = one_each(new)
+    moved = new.select("id")
+    everything = vectors.select("id", "vec").join(moved, "id", "left_anti").unionAll(new)
+    gone = moved if tombstones is None else moved.union(tombstones.select("id"))
+    found = greedy_search(new.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), vectors, edges, start, beam, START_CAP, gone, over="expanded")
     out = materialize(prune(with_distances(found.select(F.col("qid").alias("src"), F.col("id").alias("dst")), everything), everything, r, alpha))
     back = out.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     touched = back.select("src").distinct()
-    old = edges.select("src", "dst")
-    redo = old.join(touched, "src", "left_semi").unionAll(back).distinct()
-    same = edges.select("src", "ord", "dst", "dist").join(touched, "src", "left_anti")
+    kept = edges.join(moved.select(F.col("id").alias("src")), "src", "left_anti").join(moved.select(F.col("id").alias("dst")), "dst", "left_anti")
+    redo = kept.select("src", "dst").join(touched, "src", "left_semi").unionAll(back).distinct()
+    same = kept.select("src", "ord", "dst", "dist").join(touched, "src", "left_anti")
     return materialize(same.unionAll(out).unionAll(prune(with_distances(redo, everything), everything, r, alpha)))
 
 
@@ -402,30 +425,62 @@ def search_epoch(spark: SparkSession, root: str, queries: DataFrame, start: int,
     return greedy_search(queries, t["vectors"], t["edges"], start, beam, k, t["tombstones"], over)
 
 
-def insert_epoch(spark: SparkSession, root: str, new: DataFrame, start: int, **how) -> int:
-    """Insert new vectors (id, vec) into the last whole epoch and commit the next; returns its number."""
-    epoch, t = read_epoch(spark, root)
-    edges = insert(t["vectors"], t["edges"], new, start, **how)
-    write_epoch(root, epoch + 1, vectors=t["vectors"].select("id", "vec").unionByName(new.select("id", "vec")), edges=edges, tombstones=t["tombstones"])
-    return epoch + 1
-
+def insert_epoch(spark: SparkSession, root: str, new: DataFrame, start: int, attempts: int = 20, **how) -> int:
+    """Insert new vectors (id, vec) into the last whole epoch and commit the next; returns its number.
 
-def consolidate_epoch(spark: SparkSession, root: str, epoch: int | None = None, **how) -> tuple[int, int]:
+    An id that is there gets its new vector, a deleted one comes back with it.
+    Where another writer has committed meanwhile, the work is done again upon its
+    epoch, at most so many times.
+    """
+    for _ in range(attempts):
+        epoch, t = read_epoch(spark, root)
+        edges = insert(t["vectors"], t["edges"], new, start, tombstones=t["tombstones"], **how)
+        ids = new.select("id")
+        vectors = t["vectors"].select("id", "vec").join(ids, "id", "left_anti").unionByName(one_each(new))
+        try:
+            write_epoch(root, epoch + 1, vectors=vectors, edges=edges, tombstones=t["tombstones"].join(ids, "id", "left_anti"))
+            return epoch + 1
+        except EpochTaken:
+            continue
+    raise EpochTaken(f"other writers were faster {attempts} times")
+
+
+def delete_epoch(spark: SparkSession, root: str, ids: DataFrame, attempts: int = 20) -> int:
+    """Mark ids (id) of the last whole epoch as deleted and commit the next, as insert_epoch does; ids that are not there are left out."""
+    for _ in range(attempts):
+        epoch, t = read_epoch(spark, root)
+        tombstones = t["tombstones"].select("id").union(ids.select("id").join(t["vectors"], "id", "left_semi")).distinct()
+        try:
+            write_epoch(root, epoch + 1, vectors=t["vectors"], edges=t["edges"], tombstones=tombstones)
+            return epoch + 1
+        except EpochTaken:
+            continue
+    raise EpochTaken(f"other writers were faster {attempts} times")
+
+
+def consolidate_epoch(spark: SparkSession, root: str, epoch: int | None = None, attempts: int = 20, **how) -> tuple[int, int]:
     """Consolidate the given epoch, or the last, and commit it as the one after the last; returns its number and how many vectors left.
 
-    Epochs that others commit meanwhile are kept: nodes that came or came back
-    since, and those that were linked to them, have their edges of the last
-    epoch, and what was deleted since stays deleted. Only one may commit at a time.
+    Epochs that others commit meanwhile are kept: nodes that came, came back or
+    have another vector since, and those that were linked to them, have their
+    edges of the last epoch, and what was deleted since stays deleted. What is
+    consolidated once is laid upon whatever epoch is the last when it is
+    committed, again where another writer was faster.
     """
     _, then = read_epoch(spark, root, epoch)
     edges = consolidate(then["edges"], then["vectors"], then["tombstones"], **how)
-    last, now = read_epoch(spark, root)
-    gone = then["tombstones"].join(now["tombstones"], "id", "left_semi")
-    came = now["vectors"].select("id").join(then["vectors"].select("id"), "id", "left_anti").unionByName(then["tombstones"].join(now["tombstones"], "id", "left_anti"))
-    linked = now["edges"].join(came.select(F.col("id").alias("dst")), "dst", "left_semi").select("src")
-    touched = materialize(came.select(F.col("id").alias("src")).union(linked).distinct())
-    out = gone.select(F.col("id").alias("src")), gone.select(F.col("id").alias("dst"))
-    late = now["edges"].join(touched, "src", "left_semi").join(out[0], "src", "left_anti").join(out[1], "dst", "left_anti").select("src", "ord", "dst", "dist")
-    vectors = now["vectors"].join(gone, "id", "left_anti")
-    write_epoch(root, last + 1, vectors=vectors, edges=edges.join(touched, "src", "left_anti").select("src", "ord", "dst", "dist").unionByName(late), tombstones=now["tombstones"].join(gone, "id", "left_anti"))
-    return last + 1, gone.join(now["vectors"], "id", "left_semi").count()
+    for _ in range(attempts):
+        last, now = read_epoch(spark, root)
+        gone = then["tombstones"].join(now["tombstones"], "id", "left_semi")
+        came = now["vectors"].select("id", "vec").join(then["vectors"].select("id", "vec"), ["id", "vec"], "left_anti").select("id").unionByName(then["tombstones"].join(now["tombstones"], "id", "left_anti"))
+        linked = now["edges"].join(came.select(F.col("id").alias("dst")), "dst", "left_semi").select("src")
+        touched = materialize(came.select(F.col("id").alias("src")).union(linked).distinct())
+        out = gone.select(F.col("id").alias("src")), gone.select(F.col("id").alias("dst"))
+        late = now["edges"].join(touched, "src", "left_semi").join(out[0], "src", "left_anti").join(out[1], "dst", "left_anti").select("src", "ord", "dst", "dist")
+        same = edges.join(touched, "src", "left_anti").join(came.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "ord", "dst", "dist")
+        try:
+            write_epoch(root, last + 1, vectors=now["vectors"].join(gone, "id", "left_anti"), edges=same.unionByName(late), tombstones=now["tombstones"].join(gone, "id", "left_anti"))
+        except EpochTaken:
+            continue
+        return last + 1, gone.join(now["vectors"], "id", "left_semi").count()
+    raise EpochTaken(f"other writers were faster {attempts} times")

@@ -25,7 +25,7 @@ K, R = 10, 8
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-_ONCE: dict[tuple[str, str, str], DataFrame] = {}
+_ONCE: dict[tuple, DataFrame] = {}
 
 
 class Fixture:
@@ -36,12 +36,18 @@ class Fixture:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """A table made from the directory's tables, which stay as they are while a session lasts."""
-        key = self.spark.sparkContext.applicationId, self.dir, name
+        """A table made from the directory's tables, made anew when their files have changed."""
+        key = self.spark.sparkContext.applicationId, self.dir, name, *(self._state(t) for t in ("embeddings", "events"))
         if key not in _ONCE:
             _ONCE[key] = materialize(make())
         return _ONCE[key]
 
+    def _state(self, table: str) -> tuple:
+        """Names, lengths and times of a table's files."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{table}.parquet")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(at))) if fs.exists(at) else ()
+
     @property
     def v(self) -> DataFrame:
         df = self.spark.read.parquet(f"{self.dir}/embeddings.parquet")

@@ -22,7 +22,7 @@ class Index:
     came with, and the number of the static segment that they belong to; static
     vectors are written anew only when segments are merged. Within a batch
     deletes and inserts are applied in the order of the log, so that an id's
-    last change decides; queries see the state after the batch. When deletes
+    last change decides; inserts without a vector are no events; queries see the state after the batch. When deletes
     reach threshold of all vectors, or fresh vectors fresh_share of the static
     ones, segments are merged and tombstones cleared: within the batch, or, with
     background, beside the following ones, of which the first to begin after the
@@ -116,9 +116,9 @@ class Index:
             segment, upto = self.merged
             fresh, tombstones = (t.where(F.col("batch") > upto) for t in (fresh, tombstones))
         static = self.spark.read.parquet(f"{self.root}/static={segment}")
-        last = batch.where("type IN ('insert', 'delete')").groupBy("id").agg(F.max_by(F.struct("type", "vec"), F.struct("t", "seq")).alias("x")).select("id", "x.type", "x.vec")
+        last = ev.valid(batch).where("type IN ('insert', 'delete')").groupBy("id").agg(F.max_by(F.struct("type", "vec"), F.struct("t", "seq")).alias("x")).select("id", "x.type", "x.vec")
         now = F.lit(epoch).cast("bigint").alias("batch")
-        inserts = last.where("type = 'insert' AND vec IS NOT NULL").select("id", "vec", now)
+        inserts = last.where("type = 'insert'").select("id", "vec", now)
         known = static.select("id").unionByName(fresh.select("id"))
         deletes = last.where("type = 'delete'").select("id", now).join(known, "id", "left_semi").join(tombstones, "id", "left_anti")
         tombstones = tombstones.join(inserts, "id", "left_anti").unionByName(deletes)
