@@ -10,7 +10,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -128,6 +128,18 @@ def keep(batches, r: int, alpha: float):
         yield pd.DataFrame(out, columns=["src", "ord", "dst", "dist"])
 
 
+def select(dist: np.ndarray, vecs: np.ndarray, r: int, alpha: float) -> list[int]:
+    """Places of the candidates that are kept, of candidates in order of distance; as keep, for one source."""
+    kept: list[int] = []
+    left = np.ones(len(dist), bool)
+    while len(kept) < r and left.any():
+        i = int(np.argmax(left))
+        kept.append(i)
+        left &= alpha * _squares(vecs, vecs[i]) > dist
+        left[: i + 1] = False
+    return kept
+
+
 def prune(candidates: DataFrame, vectors: DataFrame, r: int = 6, alpha: float = ALPHA) -> DataFrame:
     """src, ord, dst, dist of the edges kept of candidates (src, dst, dist).
 
@@ -172,7 +184,7 @@ def greedy_kernel(distance, nbrs: list[np.ndarray], ids: np.ndarray, start: int,
             return work, expanded, cost
         done.add(node[2])
         expanded.append(node)
-        new = [n for n in nbrs[node[2]].tolist() if n not in seen and not deleted[n]]
+        new = [n for n in np.asarray(nbrs[node[2]]).tolist() if n not in seen and not deleted[n]]
         seen.update(new)
         if new:
             cost += len(new)
@@ -346,10 +358,20 @@ def walk_by_joins(queries: DataFrame, vectors: DataFrame, edges: DataFrame, star
 # ---- building and upkeep
 
 
-def build(vectors: DataFrame, start: int, r: int = 6, alpha: float = ALPHA, beam: int = 24, passes: int = 1, base: DataFrame | None = None) -> DataFrame:
-    """src, ord, dst, dist: search for every node, prune what was expanded, then add and prune reverse edges."""
-    edges = base if base is not None else knn_graph(vectors, r)
+FIRST = 128  # vectors of the first batch of a graph that is built from nothing, at least
+
+
+def build(vectors: DataFrame, start: int | None = None, r: int = 6, alpha: float = ALPHA, beam: int = 24, passes: int = 1, base: DataFrame | None = None, first: int = FIRST, order: Column | None = None) -> DataFrame:
+    """src, ord, dst, dist: a graph over vectors.
+
+    From base, or from what grow makes of the vectors, by passes: search for
+    every node from start (or the medoid), prune what was expanded, then add and
+    prune reverse edges.
+    """
+    vectors = one_each(vectors) if base is None else vectors
+    edges = base if base is not None else grow(vectors, r, alpha, beam, first, order)
     as_queries = vectors.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    start = medoid(vectors) if start is None and passes else start
     for _ in range(passes):
         found = greedy_search(as_queries, vectors, edges, start, beam, START_CAP, over="expanded").where("qid <> id")
         candidates = found.select(F.col("qid").alias("src"), F.col("id").alias("dst")).unionAll(edges.select("src", "dst")).distinct()
@@ -358,6 +380,32 @@ def build(vectors: DataFrame, start: int, r: int = 6, alpha: float = ALPHA, beam
     return edges
 
 
+def grow(vectors: DataFrame, r: int = 6, alpha: float = ALPHA, beam: int = 24, first: int = FIRST, order: Column | None = None) -> DataFrame:
+    """src, ord, dst, dist: a graph from nothing, in batches that double.
+
+    The first batch, of first to twice as many vectors, is compared with itself;
+    each further one, as large as all before it, is searched for in the graph so
+    far, pruned and linked back. Batches go by order modulo a power of two (by a
+    hash of the id where none is given), so that each is spread over all vectors.
+    No more than the first batch ever meets itself, and rounds are as many as the
+    logarithm of the vectors.
+    """
+    vectors = materialize(vectors.select("id", "vec"))
+    rounds = max(0, (max(vectors.count(), 1) // first).bit_length() - 1)
+    place = F.pmod(F.xxhash64("id") if order is None else order, F.lit(1 << rounds))
+    batch = vectors.withColumn("_batch", F.when(place == 0, 0).otherwise(F.length(F.bin(place))))
+    so_far = batch.where("_batch = 0").drop("_batch")
+    edges = materialize(prune(knn_graph(so_far, 32), so_far, r, alpha))
+    if so_far.isEmpty():
+        return edges
+    start = medoid(so_far)
+    for i in range(1, rounds + 1):
+        before, edges = edges, insert(so_far, edges, batch.where(F.col("_batch") == i).drop("_batch"), start, r, alpha, beam)
+        discard(before)
+        so_far = batch.where(F.col("_batch") <= i).drop("_batch")
+    return edges
+
+
 def insert(vectors: DataFrame, edges: DataFrame, new: DataFrame, start: int, r: int = 6, alpha: float = ALPHA, beam: int = 24, tombstones: DataFrame | None = None) -> DataFrame:
     """Edges after new vectors are written, searched for, pruned, and linked back; all are written before any is searched for.
 

@@ -504,6 +504,11 @@ def q_fresh_insert(f):
 
 @query
 def q_build_graph(f):
+    return graph.build(f.v, first=64, order=F.col("id"), passes=0)
+
+
+@query
+def q_refine_graph(f):
     return graph.build(f.v, f.medoid(), base=f.edges.where("rk <= 6"))
 
 

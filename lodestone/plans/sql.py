@@ -97,13 +97,13 @@ def exploded(select: str, column: str, source: str) -> str:
     return f"SELECT {select}, (i - 1)::INT AS pos, round({column}[i], 9) + 0.0 AS x FROM {source}, range(1, 66) r(i) WHERE i <= len({column})"
 
 
-def walk(neighbours: str, beam: int = 10, distances: str = "qd", start: str = "7") -> str:
+def walk(neighbours: str, beam: int = 10, distances: str = "qd", start: str = "7", g: str = "g") -> str:
     """Table g: the states of a best-first walk of every query from the node start."""
-    return f"""g(qid, step, wl, seen, parent) AS (
+    return f"""{g}(qid, step, wl, seen, parent) AS (
       SELECT qid, 0, [{{'d': dist, 'id': id}}], []::BIGINT[], id FROM {distances} WHERE id = {start} UNION ALL
       SELECT qid, step + 1, wl, seen, (list_filter(wl, lambda w: NOT list_contains(seen, w.id))[1]).id FROM (
-        SELECT g.qid, g.step, list_append(g.seen, g.parent) AS seen, list_sort(list_distinct(list_concat(g.wl, coalesce(n.l, []))))[1:{beam}] AS wl
-        FROM g JOIN {neighbours} n ON n.qid = g.qid AND n.src = g.parent))"""
+        SELECT {g}.qid, {g}.step, list_append({g}.seen, {g}.parent) AS seen, list_sort(list_distinct(list_concat({g}.wl, coalesce(n.l, []))))[1:{beam}] AS wl
+        FROM {g} JOIN {neighbours} n ON n.qid = {g}.qid AND n.src = {g}.parent))"""
 
 
 def lists(name: str, edges: str, distances: str) -> str:
@@ -121,14 +121,37 @@ def medoid(name: str, vectors: str) -> str:
 EXPANDED = "(SELECT qid AS src, unnest(arg_max(seen, step)) AS dst FROM g GROUP BY qid)"  # of the walk g
 
 
-def inserted(old: str) -> str:
-    """Tables o and x: pruned edges of what the walk g has found for new nodes, and those of the nodes of old that they lead to."""
+def inserted(old: str, o: str = "o", x: str = "x", expanded: str = EXPANDED) -> str:
+    """Tables o and x: pruned edges of what a walk has found for new nodes, and those of the nodes of old that they lead to."""
     return (
-        pruned("o", f"SELECT dd.* FROM dd JOIN {EXPANDED} USING (src, dst)") + ", "
-        + pruned("x", f"SELECT dd.* FROM dd JOIN (SELECT src, dst FROM {old} WHERE src IN (SELECT dst FROM o) UNION SELECT dst, src FROM o) USING (src, dst)")
+        pruned(o, f"SELECT dd.* FROM dd JOIN {expanded} USING (src, dst)") + ", "
+        + pruned(x, f"SELECT dd.* FROM dd JOIN (SELECT src, dst FROM {old} WHERE src IN (SELECT dst FROM {o}) UNION SELECT dst, src FROM {o}) USING (src, dst)")
     )
 
 
+def after(old: str, o: str, x: str) -> str:
+    """The edges of old after o and x have come."""
+    return f"SELECT src, ord, dst, dist FROM {old} WHERE src NOT IN (SELECT dst FROM {o}) UNION ALL SELECT src, ord, dst, dist FROM {o} UNION ALL SELECT src, ord, dst, dist FROM {x}"
+
+
+def found_by(g: str, gone: str = "NULL") -> str:
+    """What the walk g has expanded, without ids in gone."""
+    return f"(SELECT src, dst FROM (SELECT qid AS src, unnest(arg_max(seen, step)) AS dst FROM {g} GROUP BY qid) WHERE dst NOT IN (SELECT id FROM {gone}))" if gone != "NULL" else f"(SELECT qid AS src, unnest(arg_max(seen, step)) AS dst FROM {g} GROUP BY qid)"
+
+
+def grown(rounds: int) -> str:
+    """Tables b0 to b{rounds}: the graph after each batch of growing by doubling, ids modulo a power of two."""
+    parts = [f"s0 AS (SELECT * FROM v WHERE id % {1 << rounds} = 0)", pruned("b0", "SELECT src, dst, dist FROM (" + top(f"(SELECT * FROM dd WHERE src % {1 << rounds} = 0 AND dst % {1 << rounds} = 0)", "src", 32, "dist, dst") + ")"), medoid("m", "s0")]
+    for i in range(1, rounds + 1):
+        so_far, batch = (f"{{0}} % {1 << rounds} < {1 << i - 1}", f"{{0}} % {1 << rounds} BETWEEN {1 << i - 1} AND {(1 << i) - 1}")
+        parts += [
+            f"fd{i} AS (SELECT src AS qid, dst AS id, dist FROM dd WHERE {batch.format('src')} AND {so_far.format('dst')})",
+            lists(f"nf{i}", f"b{i - 1}", f"fd{i}"), walk(f"nf{i}", 24, f"fd{i}", "(SELECT id FROM m)", f"g{i}"),
+            inserted(f"b{i - 1}", f"o{i}", f"x{i}", found_by(f"g{i}")), f"b{i} AS ({after(f'b{i - 1}', f'o{i}', f'x{i}')})",
+        ]
+    return ", ".join(parts)
+
+
 def fnv(start: int, factor: int) -> str:
     h = f"{start}::UBIGINT"
     for shift in (0, 8, 16, 24):
@@ -291,7 +314,8 @@ ORACLE_SQL["q_consolidate"] = sql("cand dead", "SELECT src, ord, dst, dist FROM
     lists("nf", "p", "fd"), walk("nf", 24, "fd", "(SELECT id FROM m)"),
     "more AS (SELECT qid AS src, wl[i].id AS dst FROM (SELECT qid, arg_max(wl, step) AS wl FROM g GROUP BY qid), range(1, 14) r(i) WHERE i <= len(wl))",
     pruned("x", "SELECT src, dst, dist FROM c UNION SELECT dd.* FROM dd JOIN more USING (src, dst)"))))
-ORACLE_SQL["q_build_graph"] = sql("edges", "SELECT src, ord, dst, dist FROM x", ", ".join((
+ORACLE_SQL["q_build_graph"] = sql("dd", "SELECT src, ord, dst, dist FROM b2", grown(2))
+ORACLE_SQL["q_refine_graph"] = sql("edges", "SELECT src, ord, dst, dist FROM x", ", ".join((
     "b AS (SELECT * FROM edges WHERE rk <= 6)", "ad AS (SELECT src AS qid, dst AS id, dist FROM dd UNION ALL SELECT id, id, 0 FROM v)", medoid("m", "v"), lists("nf", "b", "ad"), walk("nf", 24, "ad", "(SELECT id FROM m)"),
     pruned("p", f"SELECT dd.* FROM dd JOIN (SELECT src, dst FROM {EXPANDED} UNION SELECT src, dst FROM b) USING (src, dst)"),
     pruned("x", "SELECT dd.* FROM dd JOIN (SELECT src, dst FROM p UNION SELECT dst, src FROM p) USING (src, dst)"))))

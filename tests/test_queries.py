@@ -52,6 +52,7 @@ def test_built_graphs_hold_their_invariants(spark):
     every = {r["id"] for r in f.v.collect()}
     dead = {r["id"] for r in f.dead.collect()}
     check_graph(QUERIES["q_build_graph"](spark, SF), every)
+    check_graph(QUERIES["q_refine_graph"](spark, SF), every)
     check_graph(QUERIES["q_insert_batch"](spark, SF), every)
     check_graph(QUERIES["q_reinsert"](spark, SF), every)
     check_graph(QUERIES["q_consolidate"](spark, SF), every - dead)
