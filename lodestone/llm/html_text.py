@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 
 from lodestone.llm.runtime import tune
 
+#: A tag's attributes: quotes count behind = only, as in browsers.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+|(?=>|\Z)))*+)(?:>|\Z)", re.S
 )
-_NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-label)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/][^\s=/]*+)(?:\s*+=\s*+(\"[^\"]*+\"?|'[^']*+'?|[^\s]*+))?")
+_NAMED = frozenset("class id role hidden".split())
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp noframes".split())
@@ -46,9 +48,10 @@ _NEVER = frozenset(
 )
 #: Names of what an article is without: comments, and menus, page heads and footers, sidebars, notices, adverts.
 _COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|replies|disqus)(?:$|[\s_-]|\d)", re.I)
+_LINKS = re.compile(r"(?:^|[\s_-])(?:menu|nav|navbar|navigation|breadcrumbs?|pagination|pager)(?:$|[\s_-]|\d)", re.I)
 _NOISE = re.compile(
-    r"(?:^|[\s_-])(?:menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|masthead|footer|contentinfo|sidebar|side-bar|complementary|"
-    r"cookies?|consent|gdpr|notices?|notification|ads?|advert\w*|adsense|sponsored)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:masthead|footer|contentinfo|sidebar|side-bar|complementary|"
+    r"cookies?|consent|gdpr|notices?(?![\s_-]?boards?)|notification|ads?|advert\w*|adsense|sponsored)(?:$|[\s_-]|\d)",
     re.I,
 )
 #: Parts of a paragraph: they make no node the centre.
@@ -58,30 +61,51 @@ _HEAD = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 
 
 class _Node:
-    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "name", "parent", "skip", "sum", "tag", "tags")
+    __slots__ = ("chars", "density", "depth", "kids", "link_chars", "link_tags", "name", "parent", "skip", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: _Node | None, skip: bool = False, name: str = ""):
         self.tag, self.parent, self.skip, self.name, self.kids = tag, parent, skip, name, []
+        self.depth = parent.depth + 1 if parent is not None else 0
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {k.lower(): (v or "").strip("\"'") for k, v in _NAMES.findall(text)} if text else {}
+    found: dict[str, str] = {}
+    for k, v in _ATTRIBUTE.findall(text) if text and not text.isspace() else ():
+        if k.lower() in _NAMED:
+            found.setdefault(k.lower(), v.strip("\"'"))
+    return found
 
 
 def _excluded(tag: str, text: str, inside_article: bool) -> tuple[bool, str]:
-    """Whether an element is never content, and by what name ("" where it is by its kind)."""
+    """Whether an element is never content, and by what name ("" where it is by its kind; "links" in an article, where its links decide)."""
     if tag in _NEVER or tag == "header" and not inside_article:
         return True, ""
     if tag in ("html", "body", "article", "main"):
         return False, ""
     a = _attributes(text)
     names = [a.get(k, "") for k in ("class", "id", "role")]
-    name = "comments" if any(map(_COMMENTS.search, names)) else "noise" if any(map(_NOISE.search, names)) or a.get("role") == "banner" else ""
+    links = any(map(_LINKS.search, names))
+    name = "comments" if any(map(_COMMENTS.search, names)) else "noise" if any(map(_NOISE.search, names)) or a.get("role") == "banner" or links and not inside_article else "links" if links else ""
     return "hidden" in a or bool(name), "" if "hidden" in a else name
 
 
+def _settle(node: _Node) -> None:
+    """Of an article's own part that calls itself a menu: set it aside only if at least half of its characters are links."""
+    chars = links = 0
+    stack = [(node, node.tag == "a")]
+    while stack:
+        x, inside = stack.pop()
+        for k in x.kids:
+            if isinstance(k, str):
+                n = len("".join(k.split()))
+                chars, links = chars + n, links + n * inside
+            elif not k.skip or k.name:
+                stack.append((k, inside or k.tag == "a"))
+    node.skip, node.name = 2 * links >= chars, ""
+
+
 def _reconsider(root: _Node) -> None:
     """Where no heading or article is outside of what was set aside by name, take back what holds one, or, comments aside, most of the text."""
     nodes, stack, outside = [], [(root, False)], False
@@ -108,14 +132,19 @@ def parse(page: str) -> _Node:
     """The page as a tree of nodes whose kids are strings and nodes."""
     root = _Node("#root", None)
     open_, at = root, 0
-    articles = 0
+    there: dict[str, list[_Node]] = {}  # open nodes of each tag, the innermost last
+    menus: list[_Node] = []
 
     def close(to: _Node) -> None:
-        nonlocal open_, articles
+        nonlocal open_
         while open_ is not to:
-            articles -= open_.tag in ("article", "main")
+            there[open_.tag].pop()
             open_ = open_.parent
 
+    def nearest(tags) -> _Node | None:
+        """The innermost open node of these tags."""
+        return max((there[t][-1] for t in tags if there.get(t)), key=lambda n: n.depth, default=None)
+
     size = len(page)
     while at < size:
         found = _TOKEN.search(page, at)
@@ -130,39 +159,51 @@ def parse(page: str) -> _Node:
             continue
         tag = tag.lower()
         if found[1]:
-            up = open_
-            while up is not root and up.tag != tag and not (up.tag in ("table", "article", "main", "body") and tag not in _BLOCK):
-                up = up.parent
-            if up is not root and up.tag == tag and tag not in ("html", "body"):
+            up = nearest((tag,))
+            if up is not None and tag not in ("html", "body") and (tag in _BLOCK or (bar := nearest(_BARRIERS)) is None or bar.depth <= up.depth):
                 close(up.parent)
             continue
-        if tag in ("html", "body") and any(True for x in _path(open_) if x.tag == tag):
+        if tag in ("html", "body") and there.get(tag):
             continue
         if tag in _BLOCK:
-            up = next((x for x in _path(open_) if x.tag in ("p", "td", "th", "li", "article", "body", "div")), None)
+            up = nearest(_PARAGRAPH)
             if up is not None and up.tag == "p":
                 close(up.parent)
-        if tag == "body":
-            up = next((x for x in _path(open_) if x.tag == "head"), None)
-            if up is not None:
-                close(up.parent)
+        if tag == "body" and there.get("head"):
+            close(there["head"][-1].parent)
         if tag in _CLOSES:
             these, bound = _CLOSES[tag]
-            up = next((x for x in _path(open_) if x.tag in these or x.tag in bound), None)
+            up = nearest(these | bound)
             if up is not None and up.tag in these:
                 close(up.parent)
-        node = _Node(tag, open_, *_excluded(tag, found[3], articles > 0))
+        node = _Node(tag, open_, *_excluded(tag, found[3], bool(there.get("article") or there.get("main"))))
         open_.kids.append(node)
+        if node.name == "links":
+            menus.append(node)
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size
-        elif tag not in _VOID and not found[3].endswith("/"):
+        elif tag not in _VOID and not _self_closed(found[3]):
             open_ = node
-            articles += tag in ("article", "main")
+            there.setdefault(tag, []).append(node)
+    for node in reversed(menus):
+        _settle(node)
     _reconsider(root)
     return root
 
 
+_BARRIERS = ("table", "article", "main", "body")
+_PARAGRAPH = ("p", "td", "th", "li", "article", "body", "div")
+
+
+def _self_closed(attributes: str) -> bool:
+    """Whether a tag ends in a slash that is no part of a value without quotes."""
+    if not attributes.endswith("/"):
+        return False
+    last = attributes.split()[-1]
+    return "=" not in last or last[-2:-1] in ("\"", "'")
+
+
 def _path(node: _Node | None):
     while node is not None:
         yield node
