@@ -371,6 +371,7 @@ def build(vectors: DataFrame, start: int | None = None, r: int = 6, alpha: float
     vectors = one_each(vectors) if base is None else vectors
     edges = base if base is not None else grow(vectors, r, alpha, beam, first, order)
     as_queries = vectors.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    passes = 0 if vectors.isEmpty() else passes
     start = medoid(vectors) if start is None and passes else start
     for _ in range(passes):
         found = greedy_search(as_queries, vectors, edges, start, beam, START_CAP, over="expanded").where("qid <> id")

@@ -36,6 +36,8 @@ def centers(vectors: DataFrame, n: int, rounds: int = 10) -> np.ndarray:
     size = min(SAMPLE, SAMPLE_BYTES // (8 * dim))
     rows = vectors.select("id", "vec").orderBy(F.xxhash64("id"), "id", "vec").limit(size).toArrow()  # bounded by rows and bytes
     x = _matrix(rows.column("vec"))
+    if not len(x):
+        return np.zeros((1, 1))
     c = x[:n].copy()
     for _ in range(rounds):
         near = _nearest(x, c, 1)[:, 0]
@@ -114,8 +116,6 @@ class ShardedIndex:
         spark = vectors.sparkSession
         n = min(CENTERS, max(1, -(-copies * vectors.count() // limit)))
         c = centers(vectors, n)
-        if not len(c):
-            c = np.zeros((1, 1))
         spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "center bigint, vec array<double>").write.parquet(f"{root}/centers")
         near = route(vectors, "id", "vec", c, copies)
         sizes = near.groupBy("center").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"))

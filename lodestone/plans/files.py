@@ -15,9 +15,11 @@ from lodestone import sources
 from lodestone.functions import register
 from lodestone.operators import events as ev
 from lodestone.operators import graph, knn, metrics
-from lodestone.operators.snapshot import keep_until_exit, read_epoch, shared_dir, write_epoch
+from lodestone.operators.shards import ShardedIndex
+from lodestone.operators.snapshot import keep_until_exit, materialize, read_epoch, shared_dir, write_epoch
 from lodestone.plans.queries import DIM, K, Fixture, R, csv, one_by_one, query
 from lodestone.streaming import Index, counts, replay
+from lodestone.streaming.graph_index import GraphIndex
 
 
 def _path(f: Fixture, name: str) -> str:
@@ -223,14 +225,37 @@ def q_epoch_consolidate(f):
     return sizes.select(F.lit(number).alias("epoch"), F.lit(n).cast("bigint").alias("n_removed"), "n_nodes", "n_loops", "n_lost", "n_over", "n_tombstones")
 
 
+@query
+def q_epoch_upsert(f):
+    """Ids that are there, and deleted ones, inserted again."""
+    root = _path(f, "index")
+    write_epoch(root, 1, vectors=f.v.select("id", "vec"), edges=f.pruned, tombstones=f.dead)
+    graph.insert_epoch(f.spark, root, f.v.where("id % 10 = 3").select("id", "vec"), 7)
+    _, t = read_epoch(f.spark, root)
+    sizes = t["tombstones"].agg(F.count("*").alias("n_tombstones")).crossJoin(t["vectors"].agg(F.count("*").alias("n_vectors")))  # single rows
+    return t["edges"].select("src", "ord", "dst", "dist").crossJoin(F.broadcast(sizes))
+
+
+# ---- shards
+
+
+@query
+def q_sharded_search(f):
+    """Whether walks in the shards of the nearest centres find nine tenths of the nearest ten."""
+    index = ShardedIndex.build(f.v.select("id", "vec"), _path(f, "shards"), limit=250)
+    found = materialize(index.search(f.q, K, probes=6, beam=48))
+    sizes = f.q.agg(F.count("*").alias("n_queries")).crossJoin(found.agg(F.count("*").alias("n_answers")))  # single rows
+    return sizes.crossJoin(metrics.recall(f.truth, found, (K,)).select((F.col("recall") >= 90).alias("near")))
+
+
 # ---- streams
 
 
-def _log_files(f: Fixture, parts: int = 4) -> str:
+def _log_files(f: Fixture, parts: int = 4, only: str = "TRUE") -> str:
     """The log, with vectors of inserts and of every twentieth id's queries, as two files for each part, the parts one after another."""
     path = _path(f, "log")
     vecs = f.v.select("id", "vec")
-    rows = f.log.select("seq", "type", "t", "id").join(vecs, "id").withColumn("vec", F.when((F.col("type") == "insert") | (F.col("type") == "query") & (F.col("id") % 20 == 0), F.col("vec")))
+    rows = f.log.where(only).select("seq", "type", "t", "id").join(vecs, "id").withColumn("vec", F.when((F.col("type") == "insert") | (F.col("type") == "query") & (F.col("id") % 20 == 0), F.col("vec")))
     last = f.log.agg(F.max("seq")).first()[0]
     for i in range(parts):
         rows.where(F.col("seq").between(last * i // parts + 1, last * (i + 1) // parts)).repartition(2).write.mode("append").json(path)
@@ -251,6 +276,25 @@ def q_stream_answers(f):
     return index.answers()
 
 
+def _graph_index(f: Fixture) -> GraphIndex:
+    """An index over the static vectors after two parts of the log's inserts of fresh ids, deletes of tombstones, and queries."""
+    edges = graph.prune(graph.knn_graph(f.static, 32, DIM), f.static)
+    index = GraphIndex(f.spark, _path(f, "index"), f.static, edges, threshold=10, share=10, k=K)
+    path = _log_files(f, 2, "type = 'insert' AND id % 5 = 4 OR type = 'delete' AND id % 7 = 3 OR type = 'query' AND id % 20 = 0")
+    replay(f.spark, path, index, _path(f, "checkpoint"), 2)
+    return index
+
+
+@query
+def q_stream_graph(f):
+    return _graph_index(f).answers()
+
+
+@query
+def q_stream_graph_edges(f):
+    return _graph_index(f).tables()[1]
+
+
 @query
 def q_stream_counts(f):
     found = counts(f.spark, _log_files(f), _path(f, "checkpoint"), _path(f, "out"))

@@ -362,6 +362,13 @@ def q_greedy_search(f):
     return graph.greedy_search(f.q, f.v, f.edges, 7, 10, K).select("qid", "rk", "id", "dist")
 
 
+@query
+def q_repeated_edges(f):
+    """Edges and vectors that are in their tables several times change nothing."""
+    again = f.edges.unionByName(f.edges.where("rk % 2 = 1")).unionByName(f.edges.where("src % 3 = 0"))
+    return graph.greedy_search(f.q, f.v.unionByName(f.v.where("id % 4 = 0")), again, 7, 10, K).select("qid", "rk", "id", "dist")
+
+
 @query
 def q_ann_topk(f):
     return graph.greedy_search(f.q, f.v, f.edges, 7, 10, K, f.dead, over="expanded").select("qid", "rk", "id", "dist")

@@ -103,7 +103,7 @@ def walk(neighbours: str, beam: int = 10, distances: str = "qd", start: str = "7
       SELECT qid, 0, [{{'d': dist, 'id': id}}], []::BIGINT[], id FROM {distances} WHERE id = {start} UNION ALL
       SELECT qid, step + 1, wl, seen, (list_filter(wl, lambda w: NOT list_contains(seen, w.id))[1]).id FROM (
         SELECT {g}.qid, {g}.step, list_append({g}.seen, {g}.parent) AS seen, list_sort(list_distinct(list_concat({g}.wl, coalesce(n.l, []))))[1:{beam}] AS wl
-        FROM {g} JOIN {neighbours} n ON n.qid = {g}.qid AND n.src = {g}.parent))"""
+        FROM {g} LEFT JOIN {neighbours} n ON n.qid = {g}.qid AND n.src = {g}.parent WHERE {g}.parent IS NOT NULL))"""
 
 
 def lists(name: str, edges: str, distances: str) -> str:
@@ -152,6 +152,29 @@ def grown(rounds: int) -> str:
     return ", ".join(parts)
 
 
+def streamed_graph(parts: int = 2) -> str:
+    """Tables b{i}, the graph after each part of the log, r, the answers, of an index over static that inserts of id mod 5 = 4 and deletes of id mod 7 = 3 change."""
+    out = ["ad AS (SELECT src AS qid, dst AS id, dist FROM dd UNION ALL SELECT id, id, 0 FROM v)", "sd AS (SELECT * FROM dd WHERE src % 5 <> 4 AND dst % 5 <> 4)",
+        pruned("b0", "SELECT src, dst, dist FROM (" + top("sd", "src", 32, "dist, dst") + ")"), medoid("m", "static"), "k0 AS (SELECT id FROM static)", "d0 AS (SELECT id FROM v WHERE FALSE)"]
+    for i in range(1, parts + 1):
+        p = f"SELECT * FROM log WHERE id IN (SELECT id FROM v) AND seq > (SELECT max(seq) FROM log) * {i - 1} // {parts} AND seq <= (SELECT max(seq) FROM log) * {i} // {parts}"
+        out += [
+            f"p{i} AS ({p})", f"c{i} AS (SELECT id, arg_max(type, seq) AS type FROM p{i} WHERE type = 'insert' AND id % 5 = 4 OR type = 'delete' AND id % 7 = 3 GROUP BY id)",
+            f"n{i} AS (SELECT id FROM c{i} WHERE type = 'insert')", f"k{i} AS (SELECT id FROM k{i - 1} UNION SELECT id FROM n{i})",
+            f"d{i} AS (SELECT id FROM (SELECT id FROM d{i - 1} UNION SELECT id FROM c{i} WHERE type = 'delete' AND id IN (SELECT id FROM k{i - 1})) WHERE id NOT IN (SELECT id FROM n{i}))",
+            f"gone{i} AS (SELECT id FROM d{i - 1} UNION SELECT id FROM c{i})",
+            f"fd{i} AS (SELECT * FROM ad WHERE qid IN (SELECT id FROM n{i}) AND id IN (SELECT id FROM k{i - 1}))", f"lf{i} AS (SELECT * FROM fd{i} WHERE id NOT IN (SELECT id FROM gone{i}))",
+            lists(f"nf{i}", f"b{i - 1}", f"lf{i}"), walk(f"nf{i}", 24, f"fd{i}", "(SELECT id FROM m)", f"g{i}"),
+            f"e{i} AS (SELECT * FROM b{i - 1} WHERE src NOT IN (SELECT id FROM n{i}) AND dst NOT IN (SELECT id FROM n{i}))",
+            inserted(f"e{i}", f"o{i}", f"x{i}", found_by(f"g{i}", f"gone{i}")), f"b{i} AS ({after(f'e{i}', f'o{i}', f'x{i}')})",
+            f"fq{i} AS (SELECT * FROM ad WHERE qid IN (SELECT id FROM p{i} WHERE type = 'query' AND id % 20 = 0) AND id IN (SELECT id FROM k{i}))",
+            f"lq{i} AS (SELECT * FROM fq{i} WHERE id NOT IN (SELECT id FROM d{i}))", lists(f"nq{i}", f"b{i}", f"lq{i}"), walk(f"nq{i}", 24, f"fq{i}", "(SELECT id FROM m)", f"h{i}"),
+            f"""r{i} AS (SELECT p.seq AS qid, rk, w.id, w.dist FROM p{i} p JOIN (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id)::INT AS rk FROM (
+                SELECT qid, w.id, w.d AS dist FROM (SELECT qid, unnest(arg_max(wl, step)) AS w FROM h{i} GROUP BY qid)) WHERE id NOT IN (SELECT id FROM d{i})) w ON w.qid = p.id WHERE p.type = 'query' AND rk <= 10)""",
+        ]
+    return ", ".join(out)
+
+
 def fnv(start: int, factor: int) -> str:
     h = f"{start}::UBIGINT"
     for shift in (0, 8, 16, 24):
@@ -287,7 +310,7 @@ ORACLE_SQL: dict[str, str] = {
     "q_scan_events_bad": sql("log", "SELECT count_if(seq % 7 = 0 OR seq % 13 = 0)::BIGINT AS n_bad, count_if(seq % 7 = 0)::BIGINT AS n_broken, least(100, count(*)) AS n_first FROM log"),
     "q_sql_functions": sql("edges", "SELECT src, dst, dist FROM edges"),
     "q_gather_vectors": sql("edges q", "SELECT src, dst, vec[1] AS first, vec[64] AS last FROM edges JOIN q ON qid = src JOIN v ON v.id = dst"),
-    "q_reverse_union": sql("edges", "SELECT dd.src, dd.dst, dd.dist FROM dd JOIN (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges) USING (src, dst)"),
+    "q_reverse_union": sql("edges", f"SELECT src, dst, {d('a.vec', 'b.vec')} AS dist FROM (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges) JOIN v a ON a.id = src JOIN v b ON b.id = dst"),
     "q_rank_bounds": sql("qd truth", "SELECT qid, count_if(qd.dist < t.dist)::BIGINT AS lower, count_if(qd.dist <= t.dist)::BIGINT AS upper FROM qd JOIN (SELECT qid, dist FROM truth WHERE rk = 5) t USING (qid) GROUP BY qid"),
     "q_epoch_consolidate": sql("dead", "SELECT 2 AS epoch, d AS n_removed, n - d AS n_nodes, 0::BIGINT AS n_loops, 0::BIGINT AS n_lost, 0::BIGINT AS n_over, 0::BIGINT AS n_tombstones FROM (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM dead) AS d)"),
     "q_stream_live": sql("streamed v", "SELECT id, vec[1] AS first FROM streamed JOIN v USING (id)"),
@@ -319,3 +342,11 @@ ORACLE_SQL["q_refine_graph"] = sql("edges", "SELECT src, ord, dst, dist FROM x",
     "b AS (SELECT * FROM edges WHERE rk <= 6)", "ad AS (SELECT src AS qid, dst AS id, dist FROM dd UNION ALL SELECT id, id, 0 FROM v)", medoid("m", "v"), lists("nf", "b", "ad"), walk("nf", 24, "ad", "(SELECT id FROM m)"),
     pruned("p", f"SELECT dd.* FROM dd JOIN (SELECT src, dst FROM {EXPANDED} UNION SELECT src, dst FROM b) USING (src, dst)"),
     pruned("x", "SELECT dd.* FROM dd JOIN (SELECT src, dst FROM p UNION SELECT dst, src FROM p) USING (src, dst)"))))
+ORACLE_SQL["q_stream_graph"] = sql("dd static log", "SELECT qid, rk, id, dist FROM r1 UNION ALL SELECT qid, rk, id, dist FROM r2", streamed_graph())
+ORACLE_SQL["q_stream_graph_edges"] = sql("dd static log", "SELECT src, ord, dst, dist FROM b2", streamed_graph())
+ORACLE_SQL["q_epoch_upsert"] = sql("cand dead", "SELECT *, (SELECT count(*) FROM dead WHERE id NOT IN (SELECT id FROM n)) AS n_tombstones, (SELECT count(*) FROM v) AS n_vectors FROM (" + after("e", "o", "x") + ")", ", ".join((
+    pruned("p", "SELECT src, dst, dist FROM cand"), "n AS (SELECT id FROM v WHERE id % 10 = 3)", "e AS (SELECT * FROM p WHERE src NOT IN (SELECT id FROM n) AND dst NOT IN (SELECT id FROM n))",
+    "ad AS (SELECT src AS qid, dst AS id, dist FROM dd WHERE src IN (SELECT id FROM n) UNION ALL SELECT id, id, 0 FROM n)", "gone AS (SELECT id FROM dead UNION SELECT id FROM n)",
+    "fd AS (SELECT * FROM ad WHERE id NOT IN (SELECT id FROM gone))", lists("nf", "p", "fd"), walk("nf", 24, "ad"), inserted("e", "o", "x", found_by("g", "gone")))))
+ORACLE_SQL["q_repeated_edges"] = ORACLE_SQL["q_greedy_search"]
+ORACLE_SQL["q_sharded_search"] = sql("q", "SELECT count(*) AS n_queries, count(*) * 10 AS n_answers, TRUE AS near FROM q")
