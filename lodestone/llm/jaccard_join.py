@@ -42,35 +42,53 @@ def needed(n: np.ndarray) -> np.ndarray:
 
 _SENT = pa.schema([("fragment", pa.int32()), ("batch", pa.int64()), ("n", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("doc_id", pa.binary()), ("text_id", pa.binary()), ("print", pa.binary())])
 _SENT_DDL = "fragment int, batch bigint, n binary, low binary, high binary, doc_id binary, text_id binary, print binary"
-_NO_ID, _LAST = np.iinfo(np.int64).min, int(np.iinfo(np.int64).max)
+_LAST = int(np.iinfo(np.int64).max)
+SEND_BYTES, SEND_TEXTS = 8 << 20, 60_000  # texts that are sent as one batch, about; numbers of texts have 16 bits
+
+
+def _gathered(batches):
+    """Batches put together until they have SEND_BYTES or SEND_TEXTS."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for a in range(0, batch.num_rows, SEND_TEXTS):
+            part = batch.slice(a, SEND_TEXTS)
+            if held and (sum(x.num_rows for x in held) + part.num_rows > SEND_TEXTS or sum(x.nbytes for x in held) + part.nbytes > SEND_BYTES):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _sender(fragments: int):
-    """Per batch of texts one row with their ids, sizes and prints, and one for each fragment's shingles."""
+    """Per batch of texts one row with their ids, sizes and prints, and one for each fragment's shingles, each with the number of its text."""
     width = np.uint64(48 - (fragments.bit_length() - 1))
 
     def send(batches):
         part, number = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in _gathered(batches):
             sets = textops.shingles(*textops.word_hashes(*textops.utf8(batch.column(2))))
             sets = [np.unique(s & _HASH) for s in sets]
             name = (part << 32) + number
             number += 1
-            ids = np.array([_NO_ID if i is None else i for i in batch.column(0).to_pylist()], np.int64)
+            known = batch.column(0).is_valid().to_numpy().astype(np.uint8)
+            ids = batch.column(0).fill_null(0).to_numpy()
             size = np.array([len(s) for s in sets], np.int32)
             prints = b"".join(hashlib.blake2b(s.data, digest_size=16).digest() for s in sets)
-            rows = [{"fragment": -1, "batch": name, "n": size.tobytes(), "doc_id": ids.tobytes(), "text_id": batch.column(1).to_numpy().tobytes(), "print": prints}]
+            yield pa.RecordBatch.from_pylist([{"fragment": -1, "batch": name, "n": size.tobytes(), "low": known.tobytes(), "doc_id": ids.tobytes(), "text_id": batch.column(1).to_numpy().tobytes(), "print": prints}], _SENT)
             every = np.concatenate(sets)
             fragment = (every >> width).astype(np.uint32)
             order = np.argsort(fragment, kind="stable")
-            doc = np.repeat(np.arange(len(sets)), size)[order]
+            doc = np.repeat(np.arange(len(sets), dtype=np.uint16), size)[order]
             every, fragment = every[order], fragment[order]
             cut = np.searchsorted(fragment, np.arange(fragments + 1))
-            for i in np.flatnonzero(np.diff(cut)).tolist():
-                h = every[cut[i] : cut[i + 1]] & np.uint64((1 << int(width)) - 1)
-                n = np.bincount(doc[cut[i] : cut[i + 1]], minlength=len(sets)).astype(np.uint32)
-                rows.append({"fragment": i, "batch": name, "n": n.tobytes(), "low": h.astype(np.uint32).tobytes(), "high": (h >> np.uint64(32)).astype(np.uint16).tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, _SENT)
+            there = np.flatnonzero(np.diff(cut))
+            for a in range(0, len(there), 1024):
+                rows = []
+                for i in there[a : a + 1024].tolist():
+                    h = every[cut[i] : cut[i + 1]] & np.uint64((1 << int(width)) - 1)
+                    rows.append({"fragment": i, "batch": name, "n": doc[cut[i] : cut[i + 1]].tobytes(), "low": h.astype(np.uint32).tobytes(), "high": (h >> np.uint64(32)).astype(np.uint16).tobytes()})
+                yield pa.RecordBatch.from_pylist(rows, _SENT)
 
     return send
 
@@ -87,11 +105,9 @@ def _frequencies(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     for r, h in zip(parts, hashes):
         df = count[at : at + len(h)]
         at += len(h)
-        doc = np.repeat(np.arange(len(r["n"]) // 4), np.frombuffer(r["n"], np.uint32))
         keep = df > 1
         if keep.any():
-            n = np.bincount(doc[keep], minlength=len(r["n"]) // 4).astype(np.uint32)
-            out.append({"fragment": fragment, "batch": r["batch"], "n": n.tobytes(), "low": h[keep].astype(np.uint32).tobytes(), "high": (h[keep] >> np.uint64(32)).astype(np.uint16).tobytes(), "doc_id": None, "text_id": None, "print": df[keep].tobytes()})
+            out.append({"fragment": fragment, "batch": r["batch"], "n": np.frombuffer(r["n"], np.uint16)[keep].tobytes(), "low": h[keep].astype(np.uint32).tobytes(), "high": (h[keep] >> np.uint64(32)).astype(np.uint16).tobytes(), "doc_id": None, "text_id": None, "print": df[keep].tobytes()})
     return pa.Table.from_pylist(out, _SENT)
 
 
@@ -107,13 +123,13 @@ def _gatherer(fragments: int):
         head = next(r for r in parts if r["fragment"] < 0)
         ids, size = np.frombuffer(head["doc_id"], np.int64), np.frombuffer(head["n"], np.int32).astype(np.int64)
         prints = [head["print"][i : i + 16] for i in range(0, len(head["print"]), 16)]
-        docs, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        docs, places = [np.zeros(0, np.uint16)], [np.zeros(0, np.uint64)]
         for r in parts:
             if r["fragment"] >= 0:
                 h = np.frombuffer(r["low"], np.uint32).astype(np.uint64) | np.frombuffer(r["high"], np.uint16).astype(np.uint64) << np.uint64(32)
                 df = np.frombuffer(r["print"], np.uint8).astype(np.uint64)
                 places.append(df << np.uint64(48) | np.uint64(r["fragment"]) << width | h)
-                docs.append(np.repeat(np.arange(len(ids)), np.frombuffer(r["n"], np.uint32)))
+                docs.append(np.frombuffer(r["n"], np.uint16))
         doc, place = np.concatenate(docs), np.concatenate(places)
         order = np.lexsort((place, doc))
         place = place[order]
@@ -122,7 +138,7 @@ def _gatherer(fragments: int):
         enough = (have >= needed(size)) & (size > 0)
         shared = [place[cut[i] : cut[i + 1]].tobytes() if enough[i] else None for i in range(len(ids))]
         return pa.table({
-            "doc_id": pa.array([None if i == _NO_ID else i for i in ids.tolist()], pa.int64()), "text_id": np.frombuffer(head["text_id"], np.int64), "n": size,
+            "doc_id": pa.array(ids, pa.int64(), mask=np.frombuffer(head["low"], np.uint8) == 0), "text_id": np.frombuffer(head["text_id"], np.int64), "n": size,
             "print": pa.array(prints, pa.binary()), "shared": pa.array(shared, pa.binary()),
         })
 
