@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import itertools
-import re
 import struct
-from collections.abc import Iterable, Iterator
-from pathlib import Path
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ELEMENTS = {"float": np.float32, "uint8": np.uint8, "int8": np.int8, "int": np.int32}
+from lodestone.operators.snapshot import numbered
+from lodestone.sources import records
+from lodestone.sources.records import ELEMENTS, SECTOR
 
 
 def decode(raw: bytes, layout: str, element: str = "float") -> np.ndarray:
@@ -57,38 +57,7 @@ def encode(rows: np.ndarray, layout: str, element: str = "float") -> bytes:
     return np.hstack([head, rows.view(np.uint8).reshape(n, -1)]).tobytes()
 
 
-WHOLE = 64 << 20  # bytes; larger files of records are read in splits
-
-
-def _status(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """The files under path, a pattern perhaps, and their lengths."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [y for x in fs.globStatus(at) or [] for y in (fs.listStatus(x.getPath()) if x.isDirectory() else [x])]
-    return [(x.getPath().toString(), x.getLen()) for x in found if x.getPath().getName()[0] not in "._"]
-
-
-def _first_number(spark: SparkSession, path: str) -> int:
-    """The little-endian int32 that a file begins with."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
-    try:
-        return spark._jvm.Integer.reverseBytes(stream.readInt())
-    finally:
-        stream.close()
-
-
-def read_records(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """at (its number in the file), raw of every record of so many bytes; files are split, so that a large one is read by many tasks."""
-    for name, length in _status(spark, path):
-        if length % size:
-            raise ValueError(f"{length} bytes of {name} are no whole number of records of {size}")
-    rdd = spark.sparkContext.newAPIHadoopFile(
-        path, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
-        conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(size), "mapreduce.input.fileinputformat.split.maxsize": str(WHOLE)},
-    )
-    return spark.createDataFrame(rdd, "at bigint, raw binary")
-
+WHOLE = 64 << 20  # bytes that a task reads of a file
 
 _VECTORS = pa.schema([("id", pa.int64()), ("vec", pa.list_(pa.float64())), ("dists", pa.list_(pa.float64()))])
 
@@ -97,9 +66,11 @@ def read_vectors(spark: SparkSession, path: str, layout: str = "vecs", element:
     """id, vec (and dists for 'truth') of one file or several; ids count from 0 within each file.
 
     multiple pads vectors with zeros to a multiple of it; limit reads the first
-    rows only. Of layout 'vecs', files are split where one is over WHOLE bytes,
-    and must then be of one dimension; other layouts are read whole by a task.
+    rows only. Files of every layout are read by as many tasks as they have WHOLE
+    bytes; those that only Spark can open are read whole by a task each.
     """
+    if records.opens(path):
+        return records.read(spark, records.plan(path, layout, element), layout, element, multiple, limit, size=WHOLE)
     padded = lambda m: np.pad(m, ((0, 0), (0, -m.shape[1] % multiple)))
 
     def rows(batches: Iterator[pa.RecordBatch]):
@@ -113,22 +84,6 @@ def read_vectors(spark: SparkSession, path: str, layout: str = "vecs", element:
                     part = m[a : a + 10_000]
                     yield pa.RecordBatch.from_pydict({"id": np.arange(a, a + len(part)), "vec": list(part), "dists": list(dists[a : a + len(part)]) if dists is not None else [None] * len(part)}, _VECTORS)
 
-    files = _status(spark, path) if layout == "vecs" else []
-    if any(length > WHOLE for _, length in files):
-        dim = _first_number(spark, next(name for name, length in files if length))
-        if dim <= 0:
-            raise ValueError(f"{dim} is no dimension")
-
-        def split(batches: Iterator[pa.RecordBatch]):
-            for batch in batches:
-                if batch.num_rows:
-                    m = decode(b"".join(batch.column("raw").to_pylist()), "vecs", element)
-                    if m.shape[1] != dim:
-                        raise ValueError("the dimension changes within the files")
-                    yield pa.RecordBatch.from_pydict({"id": batch.column("at"), "vec": list(padded(m.astype(np.float64)))}, pa.schema([_VECTORS.field("id"), _VECTORS.field("vec")]))
-
-        records = read_records(spark, path, 4 + dim * np.dtype(ELEMENTS[element]).itemsize)
-        return (records if limit is None else records.where(F.col("at") < limit)).mapInArrow(split, "id bigint, vec array<double>")
     df = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "id bigint, vec array<double>, dists array<double>")
     return df if layout == "truth" else df.drop("dists")
 
@@ -146,24 +101,8 @@ def read_graph(spark: SparkSession, path: str, dim: int, r: int, element: str =
     """id, vec, nbrs of a packed graph: records of dim elements, a uint32 degree and r uint32 partners.
 
     Padding of 0xFFFFFFFF counts as no partner; a degree over r is refused.
-    Files are split, so that many tasks read a large one.
     """
-    kind = np.dtype(ELEMENTS[element])
-    size = dim * kind.itemsize + 4 + 4 * r
-
-    def rows(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            m = np.frombuffer(b"".join(batch.column("raw").to_pylist()), np.uint8).reshape(-1, size)
-            vec = m[:, : dim * kind.itemsize].copy().view(kind).astype(np.float64)
-            links = m[:, dim * kind.itemsize :].copy().view("<u4").astype(np.int64)
-            if (links[:, 0] > r).any():
-                raise ValueError("a degree is over the bound")
-            nbrs = [[x for x in row[1 : 1 + row[0]].tolist() if x != 0xFFFFFFFF] for row in links]
-            yield pa.RecordBatch.from_pydict({"id": batch.column("at"), "vec": list(vec), "nbrs": nbrs}, pa.schema([("id", pa.int64()), ("vec", pa.list_(pa.float64())), ("nbrs", pa.list_(pa.int64()))]))
-
-    return read_records(spark, path, size).mapInArrow(rows, "id bigint, vec array<double>, nbrs array<bigint>")
+    return records.read(spark, records.plan(path, "graph", element, dim, r), "graph", element, r=r, size=WHOLE)
 
 
 def _read_whole(spark: SparkSession, path: str, ddl: str, rows) -> DataFrame:
@@ -220,57 +159,26 @@ def read_pq(spark: SparkSession, pivots: str, codes: str) -> dict[str, DataFrame
         b = pivot_sections(raw)[2].astype(np.int32)
         yield {"chunk": np.arange(len(b) - 1, dtype=np.int32), "lo": b[:-1], "hi": b[1:]}
 
-    def coded(raw: bytes):
-        n, m = struct.unpack_from("<ii", raw)
-        if len(raw) != 8 + n * m:
-            raise ValueError(f"{len(raw)} bytes do not hold {n} x {m} codes")
-        c = np.frombuffer(raw, np.uint8, n * m, 8).reshape(n, m)
-        for a in range(0, n, 10_000):
-            part = c[a : a + 10_000]
-            yield {"id": np.repeat(np.arange(a, a + len(part)), m), "chunk": np.tile(np.arange(m, dtype=np.int32), len(part)), "code": part.ravel().astype(np.int32)}
-
     return {
         "pivots": _read_whole(spark, pivots, "chunk int, code int, sub array<double>", subs),
         "centroid": _read_whole(spark, pivots, "pos int, x double", centers),
         "chunks": _read_whole(spark, pivots, "chunk int, lo int, hi int", bounds),
-        "codes": _read_whole(spark, codes, "id bigint, chunk int, code int", coded),
+        "codes": records.read(spark, records.plan(codes, "codes"), "codes", size=WHOLE),
     }
 
 
-SECTOR = 4096
-
-
 def read_sectors(spark: SparkSession, path: str, r: int, element: str = "float") -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, vec, nbrs in order of number) and one row of metadata (n, dim, medoid, node_bytes, per_sector, file_bytes) of a disk index.
+    """Nodes (id, vec, nbrs in order of number) and a row of metadata (n, dim, medoid, node_bytes, per_sector, file_bytes) of each disk index.
 
     The first sector of SECTOR bytes: two uint32, then as uint64 rows, dimension,
     medoid, bytes of a node, nodes of a sector, three others, bytes of the file.
     Further sectors: whole nodes of vector, uint32 degree, r uint32 partners. A
     degree of 0 or over r is refused.
     """
-    kind = np.dtype(ELEMENTS[element])
-    names = ("n", "dim", "medoid", "node_bytes", "per_sector")
-
-    def head(raw: bytes) -> dict[str, int]:
-        found = dict(zip(names, struct.unpack_from("<5Q", raw, 8))) | {"file_bytes": struct.unpack_from("<Q", raw, 72)[0]}
-        if found["file_bytes"] != len(raw) or found["node_bytes"] < found["dim"] * kind.itemsize + 4 + 4 * r:
-            raise ValueError("the first sector does not fit the file")
-        return found
-
-    def nodes(raw: bytes):
-        h = head(raw)
-        width, size = h["dim"] * kind.itemsize, h["node_bytes"]
-        for a in range(0, h["n"], 10_000):
-            i = np.arange(a, min(a + 10_000, h["n"]))
-            at = (1 + i // h["per_sector"]) * SECTOR + i % h["per_sector"] * size
-            m = np.frombuffer(raw, np.uint8)[at[:, None] + np.arange(width + 4 + 4 * r)]
-            links = m[:, width:].copy().view("<u4").astype(np.int64)
-            if ((links[:, 0] == 0) | (links[:, 0] > r)).any():
-                raise ValueError("a degree is 0 or over the bound")
-            yield {"id": i, "vec": list(m[:, :width].copy().view(kind).astype(np.float64)), "nbrs": [np.sort(x[1 : 1 + x[0]]) for x in links]}
-
-    meta = _read_whole(spark, path, "n bigint, dim bigint, medoid bigint, node_bytes bigint, per_sector bigint, file_bytes bigint", lambda raw: [{k: [v] for k, v in head(raw).items()}])
-    return _read_whole(spark, path, "id bigint, vec array<double>, nbrs array<bigint>", nodes), meta
+    files = records.plan(path, "sectors", element, r=r)
+    meta = [(*struct.unpack_from("<5Q", f.read(0, 80), 8), f.length) for f in files]  # a row for each file
+    names = "n bigint, dim bigint, medoid bigint, node_bytes bigint, per_sector bigint, file_bytes bigint"
+    return records.read(spark, files, "sectors", element, r=r, size=WHOLE), spark.createDataFrame(meta, names)
 
 
 def read_static(spark: SparkSession, vectors: str, graph: str, layout: str = "vecs", limit: int | None = None) -> DataFrame:
@@ -280,45 +188,28 @@ def read_static(spark: SparkSession, vectors: str, graph: str, layout: str = "ve
     return points.join(rows, "id", "left").select("id", "vec", F.coalesce("nbrs", F.array().cast("array<bigint>")).alias("nbrs"))
 
 
-def _export(spark: SparkSession, path: str, *pieces: Iterable[bytes]) -> None:
-    """Write pieces one after another to one file, local or on a file system that Spark knows."""
-    local = re.sub("^file:/*", "/", path)
-    if "://" in local:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
-        put = lambda raw: out.write(bytearray(raw))
-    else:
-        out = Path(local).open("wb")
-        put = out.write
-    try:
-        for raw in itertools.chain(*pieces):
-            put(raw)
-    finally:
-        out.close()
-
-
-def _encoded(rows: DataFrame, encoder) -> Iterator[bytes]:
-    """What encoder makes of the batches of sorted rows: tasks encode, the driver hands the bytes on."""
+def _placed(rows: DataFrame, encoder, position) -> DataFrame:
+    """pos, raw: what encoder makes of each row, at the position that position gives for its place, numbers from 0 in order of id."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_pydict({"raw": pa.array([encoder(batch.to_pylist())], pa.binary())})
+                part = batch.to_pylist()
+                yield pa.RecordBatch.from_pydict({"pos": pa.array([position(x["place"] - 1) for x in part], pa.int64()), "raw": pa.array([encoder(x) for x in part], pa.binary())})
 
-    return (r["raw"] for r in rows.mapInArrow(run, "raw binary").toLocalIterator())
+    return numbered(rows, "id", column="place").mapInArrow(run, "pos bigint, raw binary")
 
 
 def write_graph(nodes: DataFrame, path: str, r: int, element: str = "float") -> int:
-    """Export nodes (id, vec, nbrs) in order of id as the packed records of read_graph to one file; returns how many."""
+    """Export nodes (id, vec, nbrs) in order of id as the packed records of read_graph to one file, from all tasks; returns how many."""
     over = nodes.where(F.size("nbrs") > r).select("id").first()
     if over:
         raise ValueError(f"node {over['id']} has over {r} partners")
-
-    def encoder(rows: list[dict]) -> bytes:
-        return b"".join(np.asarray(x["vec"], ELEMENTS[element]).tobytes() + _links(x["nbrs"], r, 0xFFFFFFFF) for x in rows)
-
-    _export(nodes.sparkSession, path, _encoded(nodes.select("id", "vec", "nbrs").orderBy("id"), encoder))
-    return nodes.count()
+    n, dim = nodes.agg(F.count("*"), F.max(F.size("vec"))).first()
+    size = (dim or 0) * np.dtype(ELEMENTS[element]).itemsize + 4 + 4 * r
+    encoder = lambda x: np.asarray(x["vec"], ELEMENTS[element]).tobytes() + _links(x["nbrs"], r, 0xFFFFFFFF)
+    records.write_places(_placed(nodes.select("id", "vec", "nbrs"), encoder, lambda i: i * size), path, n * size)
+    return n
 
 
 def _links(nbrs: list[int], r: int, none: int) -> bytes:
@@ -336,12 +227,10 @@ def write_sectors(nodes: DataFrame, path: str, r: int, medoid: int, element: str
     if not per:
         raise ValueError("a node is larger than a sector")
 
-    def encoder(rows: list[dict]) -> bytes:
-        return b"".join(b"".join(np.asarray(x["vec"], ELEMENTS[element]).tobytes() + _links(x["nbrs"], r, 0) for x in s["x"]).ljust(SECTOR, b"\0") for s in rows)
-
-    sectors = nodes.groupBy(F.floor(F.col("id") / per).alias("sector")).agg(F.array_sort(F.collect_list(F.struct("id", "vec", "nbrs"))).alias("x")).orderBy("sector")
-    head = struct.pack("<II9Q", 0, 0, n, dim, medoid, size, per, 0, 0, 0, (1 + -(-n // per)) * SECTOR)
-    _export(nodes.sparkSession, path, [head.ljust(SECTOR, b"\0")], _encoded(sectors, encoder))
+    encoder = lambda x: np.asarray(x["vec"], ELEMENTS[element]).tobytes() + _links(x["nbrs"], r, 0)
+    length = (1 + -(-n // per)) * SECTOR
+    head = struct.pack("<II9Q", 0, 0, n, dim, medoid, size, per, 0, 0, 0, length)
+    records.write_places(_placed(nodes.select("id", "vec", "nbrs"), encoder, lambda i: (1 + i // per) * SECTOR + i % per * size), path, length, head, pieces=False)
     return n
 
 
@@ -358,10 +247,12 @@ def write_pq(pivots: DataFrame, codes: DataFrame, pivots_path: str, codes_path:
     bounds = np.cumsum([0, *(len(parts[c][0]) for c in sorted(parts))]).astype("<u4")
     sections = [np.array(x.shape, "<i4").tobytes() + x.tobytes() for x in (table, np.zeros((table.shape[1], 1), "<f4"), bounds[:, None])]
     places = np.cumsum([40, *map(len, sections)]).astype("<u8")
-    _export(spark, pivots_path, [struct.pack("<II", 4, 1) + places.tobytes()], sections)
+    fs, name = records.filesystem(pivots_path)
+    with fs.open_output_stream(name) as out:  # 256 pivots of each dimension at most
+        out.write(struct.pack("<II", 4, 1) + places.tobytes() + b"".join(sections))
     rows = codes.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "code"))), lambda x: x["code"]).alias("c"))
-    head = struct.pack("<ii", rows.count(), len(parts))
-    _export(spark, codes_path, [head], _encoded(rows.orderBy("id"), lambda part: np.array([x["c"] for x in part], np.uint8).tobytes()))
+    n, m = rows.count(), len(parts)
+    records.write_places(_placed(rows, lambda x: np.array(x["c"], np.uint8).tobytes(), lambda i: 8 + i * m), codes_path, 8 + n * m, struct.pack("<ii", n, m))
 
 
 def write_truth(found: DataFrame, path: str, k: int, distances: bool = True) -> int:
@@ -371,8 +262,11 @@ def write_truth(found: DataFrame, path: str, k: int, distances: bool = True) ->
     if short:
         raise ValueError(f"query {short['qid']} has {short['n']} answers, not {k}")
     n = lists.count()
-    column = lambda name, kind: _encoded(lists.orderBy("qid"), lambda rows: np.array([[x[name] for x in r["x"]] for r in rows], kind).tobytes())
-    _export(found.sparkSession, path, [struct.pack("<ii", n, k)], column("id", "<i4"), *([column("dist", "<f4")] if distances else []))
+    rows = lists.withColumnRenamed("qid", "id")
+    parts = [_placed(rows, lambda x: np.array([y["id"] for y in x["x"]], "<i4").tobytes(), lambda i: 8 + 4 * k * i)]
+    if distances:
+        parts.append(_placed(rows, lambda x: np.array([y["dist"] for y in x["x"]], "<f4").tobytes(), lambda i: 8 + 4 * k * (n + i)))
+    records.write_places(reduce(DataFrame.unionByName, parts), path, 8 + 4 * k * n * len(parts), struct.pack("<ii", n, k))
     return n
 
 
@@ -383,15 +277,16 @@ def write_metrics(rows: DataFrame, path: str) -> None:
 
 
 def write_vectors(df: DataFrame, path: str, layout: str = "vecs", element: str = "float", column: str = "vec") -> int:
-    """Export df's vectors in order of id to one file, encoded by the tasks; returns how many. Tables are for Spark, this is for other tools."""
+    """Export df's vectors, of one dimension, in order of id to one file, from all tasks; returns how many. Tables are for Spark, this is for other tools."""
     rows = df.select("id", F.col(column).alias("vec"))
-    n, dim = rows.agg(F.count("*"), F.max(F.size("vec"))).first()
-    head = [struct.pack("<ii", n, dim or 0)] if layout == "bin" else []
-
-    def encoder(part: list[dict]) -> bytes:
-        return encode(np.array([x["vec"] for x in part]), layout, element)[8 if layout == "bin" else 0 :]
-
-    _export(df.sparkSession, path, head, _encoded(rows.orderBy("id"), encoder))
+    n, dim, least = rows.agg(F.count("*"), F.max(F.size("vec")), F.min(F.size("vec"))).first()
+    if dim != least:
+        raise ValueError(f"vectors have {least} to {dim} elements")
+    kind, dim = np.dtype(ELEMENTS[element]), dim or 0
+    size = dim * kind.itemsize
+    lead, head = (struct.pack("<i", dim), b"") if layout == "vecs" else (b"", struct.pack("<ii", n, dim))
+    encoder = lambda x: lead + np.asarray(x["vec"], kind).tobytes()
+    records.write_places(_placed(rows, encoder, lambda i: len(head) + i * (size + len(lead))), path, len(head) + n * (size + len(lead)), head)
     return n
 
 
