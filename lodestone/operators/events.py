@@ -136,12 +136,26 @@ def intervals(events: DataFrame) -> DataFrame:
     return changes.withColumn("until", F.lead("seq").over(Window.partitionBy("id").orderBy("seq"))).where("type = 'insert'").select("id", F.col("seq").alias("since"), "until")
 
 
+BLOCK, PART = 4096, 50_000  # events of a block; intervals that meet the queries of a block in one task, about
+
+
 def temporal_knn(events: DataFrame, queries: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:
-    """seq, rk, id, dist: for every query event with a query vector, the k nearest of what is live at its place in the log."""
+    """seq, rk, id, dist: for every query event with a query vector, the k nearest of what is live at its place in the log.
+
+    The log is cut into blocks; what is live at any time of a block meets the
+    queries of that block alone, in parts by a hash of the id, so that no task
+    gets more than about PART of them, and is then held against the queries'
+    places within the block.
+    """
     dim = dimension(vectors)
-    asked = events.where("type = 'query'").select("seq", F.col("id").alias("qid")).join(queries, "qid")
-    points = intervals(events).join(vectors.select("id", "vec"), "id")
-    pairs = points.join(asked, (F.col("since") < F.col("seq")) & (F.col("until").isNull() | (F.col("seq") < F.col("until"))))
+    place = lambda seq: F.floor(seq / BLOCK)
+    asked = events.where("type = 'query'").select("seq", F.col("id").alias("qid")).join(queries, "qid").select("seq", "qvec", place(F.col("seq")).alias("block"))
+    parts = -(-vectors.count() // PART) or 1
+    last = events.agg(F.max("seq").alias("last"))
+    spans = intervals(events).crossJoin(F.broadcast(last)).withColumn("end", F.coalesce("until", F.col("last") + 1)).where("end > since + 1")  # one row
+    points = spans.join(vectors.select("id", "vec"), "id").select("id", "vec", "since", "end", F.explode(F.sequence(place(F.col("since") + 1), place(F.col("end") - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
+    each = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    pairs = points.join(each, ["block", "part"]).where("since < seq AND seq < end")
     near = pairs.select("seq", "id", l2sq(F.col("qvec"), F.col("vec"), dim).alias("dist"))
     return top(near, "seq", k).select("seq", "rk", "id", "dist")
 

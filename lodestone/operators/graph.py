@@ -6,6 +6,7 @@ are squared; pruning compares alpha times one of them with another.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -171,6 +172,45 @@ def neighbourhood(edges: DataFrame, vectors: DataFrame, cap: int = 32, dim: int
     return top(with_distances(near, vectors, dim), "src", cap, "dist", "dst")
 
 
+# ---- tombstones as bitmaps
+
+
+BUCKET = 8 * 4096  # ids of a bitmap, as Spark's bitmap functions cut them
+
+
+def deleted_bitmap(tombstones: DataFrame) -> DataFrame:
+    """bucket, bits: tombstones (id) as bitmaps of BUCKET ids, 4 KB each; repeated ids count once, null ones not at all."""
+    rows = tombstones.where("id IS NOT NULL").select(F.bitmap_bucket_number("id").alias("bucket"), F.bitmap_bit_position("id").alias("place"))
+    return rows.groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+
+
+def join_bitmaps(*bitmaps: DataFrame) -> DataFrame:
+    """bucket, bits of what any of the bitmaps has."""
+    return reduce(DataFrame.unionByName, bitmaps).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def in_bitmap(df: DataFrame, bitmaps: DataFrame, column: str = "deleted") -> DataFrame:
+    """df (id) with whether its id is in the bitmaps."""
+    place = F.bitmap_bit_position("id")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    both = df.withColumn("bucket", F.bitmap_bucket_number("id")).join(bitmaps, "bucket", "left")
+    return both.withColumn(column, F.coalesce(hit, F.lit(False))).drop("bucket", "bits")
+
+
+def gone_among(ids: np.ndarray, tombstones: DataFrame | None) -> np.ndarray:
+    """Whether each of ids (sorted) is deleted; what comes from the tasks are bitmaps."""
+    gone = np.zeros(len(ids), bool)
+    if tombstones is None or not len(ids):
+        return gone
+    bucket = np.where(ids > 0, 1 + (ids - 1) // BUCKET, -(-ids // BUCKET))
+    for row in deleted_bitmap(tombstones.where(F.col("id").between(int(ids[0]), int(ids[-1])))).toLocalIterator():  # as many as the index has, of 4 KB
+        at = np.flatnonzero(bucket == row["bucket"])
+        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
+        gone[at] = bits[np.where(ids[at] > 0, (ids[at] - 1) % BUCKET, -ids[at] % BUCKET)] == 1
+    return gone
+
+
 # ---- search
 
 
@@ -227,7 +267,7 @@ def greedy_search(queries: DataFrame, vectors: DataFrame, edges: DataFrame, star
     table = one_each(vectors).toPandas().sort_values("id")
     ids = table["id"].to_numpy().astype(np.int64)
     vecs = np.stack(table["vec"].to_numpy()) if len(ids) else np.zeros((0, 1))
-    gone = np.isin(ids, tombstones.toPandas()["id"].to_numpy()) if tombstones is not None else np.zeros(len(ids), bool)
+    gone = gone_among(ids, tombstones)
     graph = spark.sparkContext.broadcast((ids, vecs, _lists(edges, ids), gone))
 
     def search(batches):
@@ -268,7 +308,7 @@ def pq_search(queries: DataFrame, vectors: DataFrame, codes: DataFrame, table: D
         return rerank_by_join(pq_walk_by_joins(queries, codes, table, edges, start, beam, tombstones), queries, vectors, k)
     rows = codes.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "code"))), lambda x: x["code"]).alias("c")).toPandas().sort_values("id")
     ids = rows["id"].to_numpy().astype(np.int64)
-    gone = np.isin(ids, tombstones.toPandas()["id"].to_numpy()) if tombstones is not None else np.zeros(len(ids), bool)
+    gone = gone_among(ids, tombstones)
     graph = spark.sparkContext.broadcast((ids, np.stack(rows["c"].to_numpy()).astype(np.int16), _lists(edges, ids), gone))
 
     def search(batches):

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.window import Window
 
 from lodestone.functions import l2sq
@@ -56,6 +58,34 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, deleted: DataFrame
     return top(distances(queries, live.select("id", "vec"), dim), "qid", k).select("qid", "rk", "id", "dist")
 
 
+TABLE_BYTES = 256 << 20  # vectors that a table function sends to the tasks
+
+
+def register_knn(spark: SparkSession, vectors: DataFrame, name: str = "knn") -> None:
+    """The SQL table function name(query_vec, k): rk, id, dist of the k nearest of vectors, for FROM queries, LATERAL knn(queries.vec, 10).
+
+    Vectors are sent to the tasks, up to TABLE_BYTES; beyond, use knn().
+    """
+    size = vectors.agg(F.sum(F.size("vec") * 8 + 16)).first()[0] or 0
+    if size > TABLE_BYTES:
+        raise ValueError(f"{size} bytes of vectors are more than a table function is sent")
+    rows = vectors.select("id", "vec").orderBy("id", "vec").toPandas()
+    ids = rows["id"].to_numpy(np.int64)
+    sent = spark.sparkContext.broadcast((ids, np.stack(rows["vec"].to_numpy()) if len(ids) else np.zeros((0, 1))))
+
+    class Nearest:
+        def eval(self, query_vec, k):
+            ids, vecs = sent.value
+            if query_vec is None or k is None or not len(ids):
+                return
+            d = vecs - np.asarray(query_vec)
+            dist = np.cumsum(d * d, axis=1)[:, -1]  # from left to right, as everywhere
+            for i, j in enumerate(np.lexsort((ids, dist))[:k]):
+                yield i + 1, int(ids[j]), float(dist[j])
+
+    spark.udtf.register(name, udtf(Nearest, returnType="rk int, id bigint, dist double"))
+
+
 def rerank(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, k: int = 10, dim: int | None = None) -> DataFrame:
     """Top k of candidate pairs (qid, id) by exact distance."""
     dim = dim or dimension(vectors)

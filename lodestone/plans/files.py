@@ -18,7 +18,7 @@ from lodestone.operators import graph, knn, metrics
 from lodestone.operators.shards import ShardedIndex
 from lodestone.operators.snapshot import keep_until_exit, materialize, read_epoch, shared_dir, write_epoch
 from lodestone.plans.queries import DIM, K, Fixture, R, csv, one_by_one, query
-from lodestone.streaming import Index, counts, replay
+from lodestone.streaming import Index, counts, live_state, replay
 from lodestone.streaming.graph_index import GraphIndex
 
 
@@ -295,6 +295,22 @@ def q_stream_graph_edges(f):
     return _graph_index(f).tables()[1]
 
 
+@query
+def q_stream_state(f):
+    """Ids and their counters, kept by id in the state store, after a restart in the middle of the log."""
+    path, checkpoint, out = _log_files(f, 2), _path(f, "checkpoint"), _path(f, "out")
+    live_state(f.spark, f"{path}/part-00000*", checkpoint, out)
+    return live_state(f.spark, f"{path}/part-*", checkpoint, out).select("id", "live", "seq", "inserts", "deletes")
+
+
+@query
+def q_stream_events(f):
+    """The live set after the log in batches of at most 1,500 events, whatever the files."""
+    index = Index(f.spark, _path(f, "index"), f.static)
+    replay(f.spark, _log_files(f), index, _path(f, "checkpoint"), 8, events=1500)
+    return index.live().select("id", F.get("vec", F.lit(0)).alias("first"))
+
+
 @query
 def q_stream_counts(f):
     found = counts(f.spark, _log_files(f), _path(f, "checkpoint"), _path(f, "out"))

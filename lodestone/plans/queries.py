@@ -246,6 +246,22 @@ def q_mark_deleted(f):
     return f.dead.unionByName(more).unionByName(more).dropDuplicates(["id"])
 
 
+@query
+def q_deleted_bitmap(f):
+    """Membership in a union of two sets of tombstones that are kept as bitmaps."""
+    more = f.v.where("id % 11 = 3").select("id")
+    bits = graph.join_bitmaps(graph.deleted_bitmap(f.dead), graph.deleted_bitmap(more))
+    sizes = bits.agg(F.sum(F.bitmap_count("bits")).alias("n_deleted"))
+    return graph.in_bitmap(f.v.select("id"), bits).crossJoin(F.broadcast(sizes))  # one row
+
+
+@query
+def q_knn_udtf(f):
+    knn.register_knn(f.spark, f.v)
+    f.q.createOrReplaceTempView("_queries")
+    return f.spark.sql(f"SELECT q.qid, n.rk, n.id, n.dist FROM _queries q, LATERAL knn(q.qvec, {K}) n")
+
+
 @query
 def q_deleted_count(f):
     return f.dead.unionByName(f.dead).agg(F.countDistinct("id").alias("n_deleted"))

@@ -350,3 +350,8 @@ ORACLE_SQL["q_epoch_upsert"] = sql("cand dead", "SELECT *, (SELECT count(*) FROM
     "fd AS (SELECT * FROM ad WHERE id NOT IN (SELECT id FROM gone))", lists("nf", "p", "fd"), walk("nf", 24, "ad"), inserted("e", "o", "x", found_by("g", "gone")))))
 ORACLE_SQL["q_repeated_edges"] = ORACLE_SQL["q_greedy_search"]
 ORACLE_SQL["q_sharded_search"] = sql("q", "SELECT count(*) AS n_queries, count(*) * 10 AS n_answers, TRUE AS near FROM q")
+ORACLE_SQL["q_knn_udtf"] = ORACLE_SQL["q_knn_exact"]
+ORACLE_SQL["q_stream_events"] = ORACLE_SQL["q_stream_live"]
+ORACLE_SQL["q_deleted_bitmap"] = sql("v", "SELECT id, id % 7 = 3 OR id % 11 = 3 AS deleted, (SELECT count(*) FROM v WHERE id % 7 = 3 OR id % 11 = 3) AS n_deleted FROM v")
+ORACLE_SQL["q_stream_state"] = sql("log", """SELECT id, arg_max(type, seq) = 'insert' AS live, max(seq) AS seq, count_if(type = 'insert')::BIGINT AS inserts, count_if(type = 'delete')::BIGINT AS deletes
+    FROM log WHERE type <> 'query' AND id IN (SELECT vec_id FROM embeddings) GROUP BY id""")

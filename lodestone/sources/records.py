@@ -269,6 +269,8 @@ class PlaceWriter(DataSourceArrowWriter):
         if not self.pieces:
             os.replace(name, end)
             return
+        if fs.get_file_info(end).type == pyarrow.fs.FileType.Directory:
+            fs.delete_dir(end)
         fs.create_dir(end, recursive=True)
         for pos, piece in sorted(p for m in messages if m is not None for p in m.pieces):
             fs.move(piece, f"{end}/{pos:020d}")
@@ -276,7 +278,8 @@ class PlaceWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, name = filesystem(self.draft)
-        fs.delete_dir(name) if self.pieces else os.path.exists(name) and os.unlink(name)
+        if fs.get_file_info(name).type != pyarrow.fs.FileType.NotFound:
+            fs.delete_dir(name) if self.pieces else fs.delete_file(name)
 
 
 class Places(DataSource):
@@ -294,6 +297,7 @@ class Places(DataSource):
 def write_places(rows: DataFrame, path: str, length: int, head: bytes = b"", pieces: bool | None = None) -> None:
     """Write rows (pos, raw) to the file path of so many bytes, head at its beginning, from all tasks; it is there whole or not at all.
 
+    A folder of pieces takes the place of a folder that is there when it is whole.
     Positions without bytes are zeros, which a folder of pieces cannot have.
     """
     spark = rows.sparkSession
@@ -304,9 +308,6 @@ def write_places(rows: DataFrame, path: str, length: int, head: bytes = b"", pie
     draft = f"{parent}/_{base}-{uuid.uuid4().hex}"
     if pieces:
         fs.create_dir(draft)
-        info = fs.get_file_info(name)
-        if info.type == pyarrow.fs.FileType.Directory:
-            fs.delete_dir(name)
     else:
         fs.create_dir(parent, recursive=True)
         with open(draft, "wb") as f:
@@ -316,4 +317,9 @@ def write_places(rows: DataFrame, path: str, length: int, head: bytes = b"", pie
         rows = spark.createDataFrame([(0, head)], "pos bigint, raw binary").unionByName(rows)
     prefix = path[: -len(name)] if path.endswith(name) and "://" in path else ""
     sorted_ = rows.repartitionByRange("pos").sortWithinPartitions("pos")
-    sorted_.write.format("lodestone_places").mode("append").options(path=path, draft=prefix + draft, length=length, pieces=str(pieces).lower()).save()
+    options = {"path": path, "draft": prefix + draft, "length": str(length), "pieces": str(pieces).lower()}
+    try:
+        sorted_.write.format("lodestone_places").mode("append").options(**options).save()
+    except Exception:
+        PlaceWriter(options).abort([])  # also where the write did not begin
+        raise

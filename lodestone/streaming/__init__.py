@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import threading
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lodestone.operators import events as ev
 from lodestone.operators.knn import knn
-from lodestone.operators.snapshot import delete
+from lodestone.operators.snapshot import _claim, _names, _text, delete, discard, materialize, numbered
 from lodestone.sources import read_events
 
 EVENTS = "seq bigint, type string, t bigint, id bigint, vec array<double>"
@@ -152,18 +154,88 @@ class Index:
         return self.spark.read.parquet(f"{self.root}/answers").drop("epoch")
 
 
-def replay(spark: SparkSession, path: str, index: Index, checkpoint: str, files_per_batch: int | None = 1, every: str | None = None, seconds: int | None = None) -> None:
-    """Run event files under path through the index, in the order of their names.
+class EventBatches:
+    """Hands what a trigger has taken to an index in batches of at most so many events, in order of (t, seq).
+
+    Where the batches of a trigger begin is written under the index, so that one
+    that comes twice is cut as before.
+    """
+
+    def __init__(self, index, events: int):
+        self.index, self.events = index, events
+
+    def apply(self, taken: DataFrame, epoch: int) -> None:
+        spark, root = self.index.spark, f"{self.index.root}/batches"
+        names = _names(spark, root)
+        first = int(_text(spark, f"{root}/{epoch}")) if str(epoch) in names else self.index.epoch
+        if str(epoch) not in names:
+            _claim(spark, f"{root}/{epoch}", str(first))
+        rows = materialize(numbered(taken, "t", "seq", column="_place"))
+        n = -(-rows.count() // self.events)
+        for i in range(n):
+            self.index.apply(rows.where(F.col("_place").between(i * self.events + 1, (i + 1) * self.events)).drop("_place"), first + i)
+        discard(rows)
+
+
+STATE = "id bigint, live boolean, t bigint, seq bigint, inserts bigint, deletes bigint"
+
+
+class LiveState(StatefulProcessor):
+    """By id: whether its last change by (t, seq) is an insert, and how many inserts and deletes there were."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("live", "live boolean, t bigint, seq bigint, inserts bigint, deletes bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        live, t, seq, inserts, deletes = self.state.get() if self.state.exists() else (False, None, None, 0, 0)
+        for part in rows:
+            for kind, at, number in zip(part["type"], part["t"], part["seq"]):
+                inserts, deletes = inserts + (kind == "insert"), deletes + (kind == "delete")
+                if t is None or (at, number) > (t, seq):
+                    live, t, seq = kind == "insert", int(at), int(number)
+        self.state.update((live, t, seq, inserts, deletes))
+        yield pd.DataFrame([(key[0], live, t, seq, inserts, deletes)], columns=["id", "live", "t", "seq", "inserts", "deletes"])
+
+    def close(self) -> None:
+        pass
+
+
+def live_state(spark: SparkSession, path: str, checkpoint: str, out: str, files_per_batch: int = 1) -> DataFrame:
+    """STATE of every id after the event files under path that are there; goes on where it ended when called again.
+
+    State is kept by id in the stream's state store; each batch writes the ids
+    that it has changed to a folder of its number, so that one that comes twice
+    leaves the same.
+    """
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).json(path)
+        changes = raw.where("type IN ('insert', 'delete') AND id IS NOT NULL").groupBy("id").transformWithStateInPandas(LiveState(), STATE, "Update", "None")
+        write = lambda df, epoch: df.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    rows = spark.read.schema(f"{STATE}, batch bigint").parquet(out)
+    return rows.groupBy("id").agg(F.max_by(F.struct("live", "t", "seq", "inserts", "deletes"), "batch").alias("x")).select("id", "x.*")
+
+
+def replay(spark: SparkSession, path: str, index: Index, checkpoint: str, files_per_batch: int | None = 1, every: str | None = None, seconds: int | None = None, events: int | None = None) -> None:
+    """Run event files under path through the index, the oldest first (Spark takes files by their time).
 
     All that are there, or, with every ('5 seconds'), a batch each time of what
     has come, for so many seconds, and then what is left. files_per_batch None
-    reads logs in either dialect.
+    reads logs in either dialect. With events, the index gets what a
+    trigger has taken in batches of at most so many events, in order of (t, seq)
+    whatever files they are in.
     """
+    apply = index.apply if events is None else EventBatches(index, events).apply
     if files_per_batch is None:
         raw = ev.normalize_dialects(read_events(spark, path, stream=True).withColumn("seq", F.coalesce("t", F.col("timestamp").cast("bigint"))))
     else:
         raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).json(path)
-    stream = raw.where(F.col("type").isin(*ev.TYPES)).writeStream.foreachBatch(index.apply).option("checkpointLocation", checkpoint)
+    stream = raw.where(F.col("type").isin(*ev.TYPES)).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     if every is None:
         stream.trigger(availableNow=True).start().awaitTermination()
     else:
