@@ -60,6 +60,17 @@ def _gathered(batches):
         yield pa.Table.from_batches(held)
 
 
+def _steps(numbers: np.ndarray) -> bytes:
+    """Ascending numbers as the steps between them: a byte each where none is larger, else two."""
+    steps = np.diff(numbers, prepend=np.uint16(0))
+    return steps.astype(np.uint8 if len(steps) and steps.max() < 256 else np.uint16).tobytes()
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    """The inverse of _steps, for n numbers."""
+    return np.cumsum(np.frombuffer(raw, np.uint8 if len(raw) == n else np.uint16), dtype=np.uint16)
+
+
 def _sender(fragments: int):
     """Per batch of texts one row with their ids, sizes and prints, and one for each fragment's shingles, each with the number of its text."""
     width = np.uint64(48 - (fragments.bit_length() - 1))
@@ -87,7 +98,7 @@ def _sender(fragments: int):
                 rows = []
                 for i in there[a : a + 1024].tolist():
                     h = every[cut[i] : cut[i + 1]] & np.uint64((1 << int(width)) - 1)
-                    rows.append({"fragment": i, "batch": name, "n": doc[cut[i] : cut[i + 1]].tobytes(), "low": h.astype(np.uint32).tobytes(), "high": (h >> np.uint64(32)).astype(np.uint16).tobytes()})
+                    rows.append({"fragment": i, "batch": name, "n": _steps(doc[cut[i] : cut[i + 1]]), "low": h.astype(np.uint32).tobytes(), "high": (h >> np.uint64(32)).astype(np.uint16).tobytes()})
                 yield pa.RecordBatch.from_pylist(rows, _SENT)
 
     return send
@@ -107,7 +118,7 @@ def _frequencies(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         at += len(h)
         keep = df > 1
         if keep.any():
-            out.append({"fragment": fragment, "batch": r["batch"], "n": np.frombuffer(r["n"], np.uint16)[keep].tobytes(), "low": h[keep].astype(np.uint32).tobytes(), "high": (h[keep] >> np.uint64(32)).astype(np.uint16).tobytes(), "doc_id": None, "text_id": None, "print": df[keep].tobytes()})
+            out.append({"fragment": fragment, "batch": r["batch"], "n": _steps(_numbers(r["n"], len(h))[keep]), "low": h[keep].astype(np.uint32).tobytes(), "high": (h[keep] >> np.uint64(32)).astype(np.uint16).tobytes(), "doc_id": None, "text_id": None, "print": df[keep].tobytes()})
     return pa.Table.from_pylist(out, _SENT)
 
 
@@ -129,7 +140,7 @@ def _gatherer(fragments: int):
                 h = np.frombuffer(r["low"], np.uint32).astype(np.uint64) | np.frombuffer(r["high"], np.uint16).astype(np.uint64) << np.uint64(32)
                 df = np.frombuffer(r["print"], np.uint8).astype(np.uint64)
                 places.append(df << np.uint64(48) | np.uint64(r["fragment"]) << width | h)
-                docs.append(np.frombuffer(r["n"], np.uint16))
+                docs.append(_numbers(r["n"], len(h)))
         doc, place = np.concatenate(docs), np.concatenate(places)
         order = np.lexsort((place, doc))
         place = place[order]
