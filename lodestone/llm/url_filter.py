@@ -21,42 +21,29 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (rule, verdict); a rule is a host and the start of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: (url, 1 to block): the labelled table that the model learns from, of general examples: what such hosts call themselves, and words of four languages.
-LABELLED = tuple(
-    (url, label)
-    for label, urls in (
-        (1, """http://royal-casino.test/play http://www.casino-palace.test/en/12 https://m.online-casino.test/slots
-            https://blog.mega-slots.test/bonus http://poker-king.test/en/7 https://free-poker.test/join http://win-jackpot.test/es/4
-            http://sport-bets.test/en/14.html https://www.bets-today.test/odds http://betting-tips.test/de/3 https://free-spins.test/spin
-            https://roulette-win.test/fr/9 http://www.xxx-adult.test/en/9 https://adult-videos.test/hd http://adult-chat.test/de/71
-            http://xxx-tube.test/watch https://m.porn-clips.test/en/31 http://hot-cams.test/live https://sex-dating.test/fr/5
-            https://x-movies.test/en/77 http://escort-girls.test/city https://www.spam-host.test/es/7 http://link-farm.test/buy-links
-            https://spam-mail.test/en/2 http://mail-spam.test/fr/8 http://content-farm.test/en/63 http://diet-pills.test/viagra
-            https://viagra-shop.test/order http://www.pills-online.test/en/4 https://cheap-watches.test/sale http://cheap-replica.test/en/5
-            https://www.cheap-meds.test/fr/12 http://m.pills-store.test/de/301 http://payday-loans.test/apply https://quick-loan.test/en/8
-            http://crack-keygen.test/download https://warez-torrent.test/get http://malware-drop.test/exe https://phishing-login.test/verify
-            http://ads-server.test/en/90 https://www.ad-clicks.test/fr/44 http://m.ads-click.test/de/8 https://click-track.test/en/61
-            http://user-track.test/pixel https://track-ads.test/es/2 http://blog.casino-slots.test/en/350 https://www.adult-cams.test/de/512.html
-            http://m.get-rich.test/fast https://click-bait.test/de/1""".split()),
-        (0, """http://news.daily.test/en/101 https://www.library.test/books http://blog.garden.test/en/55 https://docs.project.test/guide
-            http://wiki.history.test/fr/20 https://m.weather.test/today http://university.test/research https://www.museum.test/de/33
-            http://recipes.kitchen.test/soup https://school.test/en/7.html http://health.clinic.test/care https://www.travel.test/es/12
-            http://education.test/en/402 https://m.theatre.test/fr/9 http://www.weekly.test/archive https://nation.test/en/640
-            http://blog.earth.test/en/3 https://mathematics.test/es/71 http://www.translation.test/en/512.html https://station.test/fr/18/
-            http://m.brothers.test/en/226 https://blog.northern.test/de/940 http://thinking.test/en/5 https://www.fiction.test/fr/77
-            http://mother.test/en/71 https://collection.test/de/9 http://publishing.test/en/833 https://another.test/es/54
-            http://feather.test/en/618 https://exhibition.test/en/230 http://m.anthem.test/fr/77 https://anthology.test/de/119.html
-            http://tradition.test/en/345/ http://blog.southern.test/en/28 https://www.gathering.test/es/90 https://convention.test/en/508
-            http://smith.test/fr/281 https://birth.test/en/6 http://www.threshold.test/de/777 https://science.test/paper http://music.test/album
-            https://maps.city.test/en/19 http://sports.club.test/team http://maison.test/fr/6 https://cuisine.test/fr/41 http://www.jardin.test/fr/19
-            https://bibliotheque.test/fr/88.html http://m.meteo.test/fr/230 https://voyage.test/fr/502 http://blog.lecture.test/fr/61 https://ecole.test/fr/7
-            https://haus-garten.test/de/14 http://bibliothek.test/de/95 https://www.wetter.test/de/3 http://zeitung.test/de/640/ https://m.schule.test/de/27
-            http://reisen.test/de/118 https://blog.kochen.test/de/54 http://wissenschaft.test/de/209 http://casa.test/es/21 https://biblioteca.test/es/66
-            http://www.noticias.test/es/310.html https://cocina.test/es/8 http://m.escuela.test/es/45 https://viajes.test/es/133 http://blog.tiempo.test/es/72
-            https://open-source.test/en/4 http://high-school.test/en/91 https://book-club.test/en/33 http://city-council.test/en/12""".split()),
-    )
-    for url in urls
-)
+#: What hosts to block call themselves, and others, in general examples of four languages.
+BAD = """royal-casino casino-palace online-casino mega-slots poker-king free-poker win-jackpot sport-bets bets-today betting-tips
+    free-spins roulette-win xxx-adult adult-videos adult-chat xxx-tube porn-clips hot-cams sex-dating x-movies escort-girls
+    spam-host link-farm spam-mail mail-spam content-farm diet-pills viagra-shop pills-online cheap-watches cheap-replica
+    cheap-meds pills-store payday-loans quick-loan crack-keygen warez-torrent malware-drop phishing-login ads-server
+    ad-clicks ads-click click-track user-track track-ads casino-slots adult-cams get-rich click-bait""".split()
+GOOD = """news.daily library garden docs.project wiki.history weather university museum recipes.kitchen school health.clinic travel
+    education theatre weekly nation earth mathematics translation station brothers northern thinking fiction mother
+    collection publishing another feather exhibition anthem anthology tradition southern gathering convention smith birth
+    threshold science music maps.city sports.club maison cuisine jardin bibliotheque meteo voyage lecture ecole haus-garten
+    bibliothek wetter zeitung schule reisen kochen wissenschaft casa biblioteca noticias cocina escuela viajes tiempo
+    open-source high-school book-club city-council""".split()
+BEFORE = ("", "www.", "m.", "blog.")
+DOMAINS = ("test", "example.com", "example.org", "example.net", "invalid")  # those that no one has
+BEHIND = ("/en/7", "/es/310.html", "/de/95/", "/fr/1204", "/archive", "", "/en/633/")
+
+
+def labelled_urls(bad: list[str] = BAD, good: list[str] = GOOD) -> list[tuple[str, int]]:
+    """(url, 1 to block): every host with two of the forms, domains and paths that all share, so that these say nothing."""
+    return [(f"http://{BEFORE[(i + 2 * k) % 4]}{stem}.{DOMAINS[(i + 2 * k) % 5]}{BEHIND[(i + 3 * k) % 7]}", label) for label, stems in ((1, bad), (0, good)) for i, stem in enumerate(stems) for k in (0, 1)]
+
+
+LABELLED = tuple(labelled_urls())  # the small table that the model learns from
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -67,16 +54,21 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(text, pattern, 2)
 
 
-def features(host: Column, path: Column) -> Column:
-    """Bucket numbers of the character n-grams (3 to 5) of host and path, repeats kept; all digits count as 0."""
+def features(host: Column, path: Column) -> tuple[Column, Column]:
+    """Bucket numbers of the character n-grams (3 to 5) of host and of path, repeats kept; all digits of a path count as 0."""
 
     def grams(text: Column, mark: str, n: int) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
         return F.transform(at, lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(n))))
 
     host, path = F.concat(F.lit("^"), host, F.lit("$")), F.concat(F.lit("^"), F.translate(path, "123456789", "000000000"), F.lit("$"))
-    every = F.concat(*(grams(t, m, n) for t, m in ((host, "h"), (path, "p")) for n in (3, 4, 5)))
-    return F.transform(every, lambda g: F.pmod(F.crc32(g.cast("binary")), F.lit(BUCKETS)).cast("int"))
+    bucket = lambda g: F.pmod(F.crc32(g.cast("binary")), F.lit(BUCKETS)).cast("int")
+    return tuple(F.transform(F.concat(*(grams(t, m, n) for n in (3, 4, 5))), bucket) for t, m in ((host, "h"), (path, "p")))
+
+
+def _scaled(x: Column, f: str) -> Column:
+    """x over the length of f: host and path weigh alike, however long they are."""
+    return x / F.sqrt(F.size(f).cast("double"))
 
 
 def train(spark: SparkSession, labelled: DataFrame | None = None) -> list[float]:
@@ -90,11 +82,10 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> list[float]
         table = json.dumps([{"url": url, "label": label} for url, label in LABELLED])
         labelled = spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<url: string, label: int>>")))
     rows = labelled.select("url", F.col("label").cast("double").alias("label")).where("label IS NOT NULL")
-    feats = rows.select(F.md5("url").alias("at"), "label", features(*host_path(F.col("url"))).alias("f"))
-    dense = feats.select(
-        "at", "label",
-        F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda d: F.size(F.filter("f", lambda x: x == d)) / F.sqrt(F.size("f").cast("double"))).alias("x"),
-    )
+    fh, fp = features(*host_path(F.col("url")))
+    feats = rows.select(F.md5("url").alias("at"), "label", fh.alias("fh"), fp.alias("fp"))
+    count = lambda f, d: _scaled(F.size(F.filter(f, lambda x: x == d)), f)
+    dense = feats.select("at", "label", F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda d: count("fh", d) + count("fp", d)).alias("x"))
     one = dense.agg(F.sort_array(F.collect_list(F.struct("at", "label", "x"))).alias("rows"))
     step = f"""aggregate(flatten(array_repeat(rows, {EPOCHS})), array_repeat(0D, {BUCKETS + 1}), (w, r) ->
         transform(array({RATE}D * (r.label - 1D / (1D + exp(-aggregate(zip_with(slice(w, 1, {BUCKETS}), r.x, (a, b) -> a * b), w[{BUCKETS}], (s, v) -> s + v))))),
@@ -118,9 +109,9 @@ def classify(pages: DataFrame, weights: list[float], rules=RULES, threshold: flo
         fits = ((F.col("host") == its_host) | F.col("host").endswith("." + its_host)) & F.col("path").startswith("/" + rest)
         rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, what).otherwise(verdict)
     table = F.from_json(F.lit(json.dumps(weights[:-1])), "array<double>")
-    f = features(F.col("host"), F.col("path"))
-    total = F.aggregate(f, F.lit(0.0), lambda s, i: s + F.get(table, i))
-    score = 1 / (1 + F.exp(-(total / F.sqrt(F.size(f).cast("double")) + F.lit(float(weights[-1])))))
-    df = df.select("*", rule.alias("rule"), verdict.alias("ruled"), score.alias("score"))
+    fh, fp = features(F.col("host"), F.col("path"))
+    df = df.select("*", rule.alias("rule"), verdict.alias("ruled"), fh.alias("fh"), fp.alias("fp"))
+    total = lambda f: _scaled(F.aggregate(f, F.lit(0.0), lambda s, i: s + F.get(table, i)), f)
+    df = df.withColumn("score", 1 / (1 + F.exp(-(total("fh") + total("fp") + F.lit(float(weights[-1]))))))
     judged = F.coalesce("ruled", F.when(F.col("score") >= threshold, "block").otherwise("allow"))
     return df.select("page_id", "host", "path", "rule", judged.alias("verdict"), "score")

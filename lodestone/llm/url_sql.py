@@ -37,10 +37,10 @@ URL_FILTER_SQL = rf"""
             lambda c, b: list_reduce(range(8), lambda k, j: CASE WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384) ELSE k >> 1 END, xor(c, b)), 4294967295)) % {BUCKETS} AS f
         FROM hexed),
     f AS MATERIALIZED (
-        SELECT host, path, list(f ORDER BY i) AS f
+        SELECT host, path, list(f ORDER BY i) FILTER (g[1] = 'h') AS fh, list(f ORDER BY i) FILTER (g[1] = 'p') AS fp
         FROM (SELECT host, path, unnest(grams) AS g, generate_subscripts(grams, 1) AS i FROM grams) JOIN crc USING (g) GROUP BY host, path),
     x AS (
-        SELECT list(list_transform(range({BUCKETS}), lambda d: len(list_filter(f, lambda y: y = d)) / sqrt(len(f)::DOUBLE)) || [1.0::DOUBLE, label::DOUBLE]
+        SELECT list(list_transform(range({BUCKETS}), lambda d: len(list_filter(fh, lambda y: y = d)) / sqrt(len(fh)::DOUBLE) + len(list_filter(fp, lambda y: y = d)) / sqrt(len(fp)::DOUBLE)) || [1.0::DOUBLE, label::DOUBLE]
             ORDER BY md5(url), label) AS rows
         FROM labelled JOIN parts USING (url) JOIN f USING (host, path)),
     w AS MATERIALIZED (
@@ -50,7 +50,7 @@ URL_FILTER_SQL = rf"""
                 lambda g: list_transform(list_zip(w, r[:{BUCKETS + 1}]), lambda z: z[1] * {1 - DECAY}::DOUBLE + g * z[2]))[1],
             list_transform(range({BUCKETS + 1}), lambda d: 0::DOUBLE)) AS w
         FROM x),
-    scored AS (SELECT host, path, 1 / (1 + exp(-(list_sum(list_transform(f, lambda i: w[i + 1])) / sqrt(len(f)::DOUBLE) + w[{BUCKETS + 1}]))) AS score FROM f, w)
+    scored AS (SELECT host, path, 1 / (1 + exp(-(list_sum(list_transform(fh, lambda i: w[i + 1])) / sqrt(len(fh)::DOUBLE) + list_sum(list_transform(fp, lambda i: w[i + 1])) / sqrt(len(fp)::DOUBLE) + w[{BUCKETS + 1}]))) AS score FROM f, w)
     SELECT page_id, host, path, {_ruled(RULES, "NULL", lambda text, what: text)} AS rule,
         {_ruled(RULES, "CASE WHEN score >= 0.5 THEN 'block' ELSE 'allow' END", lambda text, what: what)} AS verdict, round(score, 9) AS score
     FROM (SELECT page_id, coalesce(url, '') AS url FROM pages) JOIN parts USING (url) JOIN scored USING (host, path)"""
