@@ -58,18 +58,26 @@ def index_entries(h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _contexts(batches):
-    total = np.zeros((FORMS + SHAPES) * DIM, np.int64)
+    total = np.zeros((FORMS + SHAPES, DIM), np.int64)
     for batch in batches:
         form, shape, bounds = units(*textops.utf8(batch.column(0)))
         doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        mine = ((form % np.uint64(FORMS)).astype(np.int64), FORMS + (shape % np.uint64(SHAPES)).astype(np.int64))
-        entries = index_entries(form) + index_entries(shape)
+        index = np.zeros((len(form), DIM), np.int8)
+        row = np.arange(len(form))
+        for place, sign in index_entries(form) + index_entries(shape):
+            index[row, place] += sign.astype(np.int8)
+        around = np.zeros_like(index)  # sums of 2 WINDOW vectors of 8 entries
         for lag in range(1, WINDOW + 1):
-            same = doc[lag:] == doc[:-lag]
-            for place, sign in entries:
-                for unit in mine:
-                    for a, b in ((unit[lag:], slice(None, -lag)), (unit[:-lag], slice(lag, None))):
-                        total += np.bincount((a * DIM + place[b])[same], sign[b][same], len(total)).astype(np.int64)
+            same = (doc[lag:] == doc[:-lag]).astype(np.int8)[:, None]
+            around[lag:] += index[:-lag] * same
+            around[:-lag] += index[lag:] * same
+        for unit in (form % np.uint64(FORMS), FORMS + shape % np.uint64(SHAPES)):
+            unit = unit.astype(np.uint16)
+            order = np.argsort(unit, kind="stable")
+            own = unit[order]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+            if len(first):
+                total[own[first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.int32)
     if total.any():
         parts = total.reshape(PARTS, -1).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "sums"])
@@ -86,9 +94,9 @@ def _add_up(batches):
 
 def context_vectors(docs: DataFrame) -> np.ndarray:
     """The context vector of every bucket, of unit length, summed over all of docs: each task sends one table of fixed size."""
-    tables = docs.select("text").mapInArrow(_contexts, "part int, sums binary").repartition(PARTS, "part")
+    tables = docs.select("text").mapInArrow(_contexts, "part int, sums binary").repartition("part")
     sums = np.zeros((PARTS, (FORMS + SHAPES) * DIM // PARTS), np.int64)
-    for r in tables.mapInArrow(_add_up, "part int, sums binary").toLocalIterator():  # one row for each part
+    for r in tables.mapInArrow(_add_up, "part int, sums binary").toArrow().to_pylist():  # one row for each part, of fixed size
         sums[r["part"]] = np.frombuffer(r["sums"], np.int64)
     vectors = sums.reshape(-1, DIM).astype(np.float32)
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1)
