@@ -204,7 +204,7 @@ def gone_among(ids: np.ndarray, tombstones: DataFrame | None) -> np.ndarray:
     if tombstones is None or not len(ids):
         return gone
     bucket = np.where(ids > 0, 1 + (ids - 1) // BUCKET, -(-ids // BUCKET))
-    for row in deleted_bitmap(tombstones.where(F.col("id").between(int(ids[0]), int(ids[-1])))).toLocalIterator():  # as many as the index has, of 4 KB
+    for row in deleted_bitmap(tombstones.where(F.col("id").between(int(ids[0]), int(ids[-1])))).collect():  # 4 KB for 32,768 ids of the index
         at = np.flatnonzero(bucket == row["bucket"])
         bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
         gone[at] = bits[np.where(ids[at] > 0, (ids[at] - 1) % BUCKET, -ids[at] % BUCKET)] == 1
