@@ -10,6 +10,7 @@ import zlib
 from collections import OrderedDict
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -62,6 +63,15 @@ def scenarios(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([tuple(getattr(s, n) for n in names) for s in SCENARIOS], ddl)
 
 
+def scenario_sizes(vectors: DataFrame, events: DataFrame) -> DataFrame:
+    """The presets with what a log of as many events over these vectors has: vectors at the start and in the pool, inserts (as many as the pool allows), deletes, queries."""
+    n = vectors.agg(F.count("*").alias("n_vectors")).crossJoin(events.agg(F.count("*").alias("n_events")))  # single rows
+    rows = scenarios(vectors.sparkSession).crossJoin(F.broadcast(n))  # eight rows
+    share = lambda c: F.floor(F.col("n_events") * F.col(c))
+    rows = rows.withColumn("n_base", F.floor(F.col("n_vectors") * F.col("base_init_ratio"))).withColumn("n_pool", F.col("n_vectors") - F.col("n_base"))
+    return rows.withColumn("n_inserts", F.least(share("insert_ratio"), F.col("n_pool"))).withColumn("n_deletes", share("delete_ratio")).withColumn("n_queries", F.col("n_events") - share("insert_ratio") - share("delete_ratio"))
+
+
 # ---- checking
 
 
@@ -171,11 +181,11 @@ def uniform_clock(events: DataFrame) -> DataFrame:
     return events.withColumn("b", block).withColumn("w", within).join(before, "b").select("seq", (F.col("base") + F.col("w")).alias("t"))
 
 
-def decay_intervals(spark: SparkSession, n: int = 2000, phase: int = 500, rate: float = 0.9) -> DataFrame:
-    """i, wait: waits of the decay phases, which follow the burst phases of the same length."""
-    i = F.col("i") % phase
-    wait = F.greatest(F.lit(1), F.floor(F.lit(10.0) / (F.pow(F.lit(rate), i.cast("double")) + F.lit(0.1))).cast("int"))
-    return spark.range(n).withColumnRenamed("id", "i").where(F.floor(F.col("i") / phase) % 2 == 1).select("i", wait.alias("wait"))
+def decay_intervals(events: DataFrame, phase: int = 500, rate: float = 0.9) -> DataFrame:
+    """seq, wait: the waits that events of the decay phases of a log would have; these follow burst phases of the same length."""
+    at = F.col("seq") - 1
+    wait = F.greatest(F.lit(1), F.floor(F.lit(10.0) / (F.pow(F.lit(rate), (at % phase).cast("double")) + F.lit(0.1))).cast("int"))
+    return events.where(F.floor(at / phase) % 2 == 1).select("seq", wait.alias("wait"))
 
 
 def drift(vectors: DataFrame, model: str, sigma: float, centers: DataFrame | None = None, direction: list[float] | None = None, seed: int = 7) -> DataFrame:
@@ -202,11 +212,13 @@ def victims(events: DataFrame) -> DataFrame:
     return best.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, best.columns)), F.array(*best.columns))).alias("policy", "id"))
 
 
-def zipf_cdf(spark: SparkSession, n: int = 100, alpha: float = 1.2) -> DataFrame:
-    """i, p, cdf of a Zipf distribution over n ranks."""
-    ranks = spark.range(1, n + 1).select(F.col("id").cast("int").alias("i"), F.pow(F.col("id").cast("double"), F.lit(-alpha)).alias("w"))
-    every = Window.partitionBy()
-    return ranks.select("i", F.round(F.col("w") / F.sum("w").over(every), 9).alias("p"), F.round(F.sum("w").over(Window.orderBy("i")) / F.sum("w").over(every), 9).alias("cdf"))  # n rows
+def zipf_cdf(queries: DataFrame, alpha: float = 1.2) -> DataFrame:
+    """qid, i, p, cdf of a Zipf distribution over queries (qid), ranked by qid; summed by blocks of ranks."""
+    ranks = numbered(queries.select("qid"), "qid", column="i").withColumn("w", F.pow(F.col("i").cast("double"), F.lit(-alpha))).withColumn("b", F.floor(F.col("i") / 65536))
+    sums = ranks.groupBy("b").agg(F.sum("w").alias("s"))  # one row for 65,536 queries
+    before = sums.select("b", (F.sum("s").over(Window.orderBy("b")) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy()).alias("total"))
+    so_far = F.sum("w").over(Window.partitionBy("b").orderBy("i"))
+    return ranks.withColumn("c", so_far).join(F.broadcast(before), "b").select("qid", "i", F.round(F.col("w") / F.col("total"), 9).alias("p"), F.round((F.col("before") + F.col("c")) / F.col("total"), 9).alias("cdf"))
 
 
 def recent_inserts(events: DataFrame, n: int = 10) -> DataFrame:
@@ -332,15 +344,8 @@ def with_vectors(events: DataFrame, vectors: DataFrame, queries: DataFrame, scen
     return events.join(both, ["id", "type"], "left").select("scenario", "seq", "t", "type", "id", "vec")
 
 
-def fixed_mix(spark: SparkSession, queries: int, inserts: int, deletes: int, first_new: int, first_old: int = 10, step: int = 10, tick: int = 10) -> DataFrame:
-    """seq, t, type, id: exactly so many events of each kind, shuffled by a multiplicative hash, one every tick from 0.
-
-    Queries are numbered from 0, inserts take new ids from first_new, deletes
-    every step-th old id from first_old.
-    """
-    k = F.col("k")
-    rows = spark.range(queries + inserts + deletes).withColumnRenamed("id", "k")
-    kind = F.when(k < queries, "query").when(k < queries + inserts, "insert").otherwise("delete")
-    ids = F.when(k < queries, k).when(k < queries + inserts, k - queries + first_new).otherwise((k - queries - inserts) * step + first_old)
-    rows = rows.select(((k * 2654435761) % (1 << 32)).alias("h"), "k", kind.alias("type"), ids.alias("id"))
+def fixed_mix(queries: DataFrame, inserts: DataFrame, deletes: DataFrame, tick: int = 10) -> DataFrame:
+    """seq, t, type, id: each of the given ids (id) once as an event of its kind, shuffled by a multiplicative hash, one every tick from 0."""
+    parts = [df.select(F.lit(kind).alias("type"), F.col("id").cast("bigint").alias("id"), (F.col("id") * 3 + i).alias("k")) for i, (kind, df) in enumerate((("query", queries), ("insert", inserts), ("delete", deletes)))]
+    rows = reduce(DataFrame.unionByName, parts).withColumn("h", F.pmod(F.col("k") * 2654435761, F.lit(1 << 32)))
     return numbered(rows, "h", "k").select("seq", ((F.col("seq") - 1) * tick).alias("t"), "type", "id")

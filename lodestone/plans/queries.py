@@ -611,7 +611,7 @@ def q_uniform_clock(f):
 
 @query
 def q_decay_interval(f):
-    return ev.decay_intervals(f.spark)
+    return ev.decay_intervals(f.log)
 
 
 @query
@@ -641,7 +641,7 @@ def q_delete_clustered(f):
 
 @query
 def q_zipf_cdf(f):
-    return ev.zipf_cdf(f.spark)
+    return ev.zipf_cdf(f.q)
 
 
 @query
@@ -659,7 +659,7 @@ def q_coupled_query(f):
 
 @query
 def q_scenarios(f):
-    return ev.scenarios(f.spark)
+    return ev.scenario_sizes(f.v, f.log)
 
 
 @query
@@ -679,4 +679,4 @@ def q_generate_workload(f):
 
 @query
 def q_fixed_mix(f):
-    return ev.fixed_mix(f.spark, f.q.count(), 50, 50, 10_000)
+    return ev.fixed_mix(f.q.select(F.col("qid").alias("id")), f.fresh, f.dead)

@@ -241,9 +241,8 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT qid, id, 'fresh', dist FROM qd WHERE id % 5 = 4 AND id NOT IN (SELECT id FROM dead))""", "qid", 10) + ")", walk("nbstatic")),
     "q_pq_train": sql("tp2", "SELECT chunk, code, (i - 1)::INT AS pos, round(sub[i], 9) + 0.0 AS x FROM tp2, range(1, 9) r(i)"),
     "q_pq_search": sql("nbpq qd dead", "SELECT qid, rk, id, dist FROM (" + top("(SELECT s.qid, qd.id, qd.dist FROM (SELECT qid, arg_max(seen, step) AS seen FROM g GROUP BY qid) s JOIN qd ON qd.qid = s.qid AND list_contains(s.seen, qd.id) AND qd.id NOT IN (SELECT id FROM dead))", "qid", 10) + ")", walk("nbpq", 10, "tadc")),
-    "q_fixed_mix": sql("q", """SELECT seq, (seq - 1) * 10 AS t, type, id FROM (SELECT row_number() OVER (ORDER BY k * 2654435761 % 4294967296, k) AS seq,
-        CASE WHEN k < n THEN 'query' WHEN k < n + 50 THEN 'insert' ELSE 'delete' END AS type, CASE WHEN k < n THEN k WHEN k < n + 50 THEN k - n + 10000 ELSE (k - n - 50) * 10 + 10 END AS id
-        FROM (SELECT count(*) AS n FROM q), (SELECT unnest(range((SELECT count(*) FROM q) + 100)) AS k))"""),
+    "q_fixed_mix": sql("q fresh dead", """SELECT seq, (seq - 1) * 10 AS t, type, id FROM (SELECT row_number() OVER (ORDER BY k * 2654435761 % 4294967296, k) AS seq, type, id FROM (
+        SELECT 'query' AS type, qid AS id, 3 * qid AS k FROM q UNION ALL SELECT 'insert', id, 3 * id + 1 FROM fresh UNION ALL SELECT 'delete', id, 3 * id + 2 FROM dead))"""),
     "q_worklist_merge": sql("qd", "SELECT b.*, n.next_parent FROM (SELECT qid, rk, id, dist, is_new FROM (" + top("m", "qid", 10, "dist, is_new, id") + ")) b LEFT JOIN (SELECT qid, arg_min(id, {'d': dist, 'i': id}) AS next_parent FROM (" + top("m", "qid", 10, "dist, is_new, id") + ") WHERE id % 2 = 1 GROUP BY qid) n USING (qid)",
         "m AS (SELECT qid, id, dist, min(is_new)::INT AS is_new FROM (SELECT qid, id, dist, 0 AS is_new FROM (" + top("(SELECT * FROM qd WHERE label % 2 = 0)", "qid", 8) + ") UNION ALL SELECT qid, id, dist, 1 FROM (" + top("(SELECT * FROM qd WHERE label % 3 = 0)", "qid", 8) + ")) GROUP BY qid, id, dist)"),
     "q_candidate_merge": sql("edges qd", "SELECT qid, rk, id, dist FROM (" + top("(SELECT qd.* FROM qd JOIN (SELECT qid, id FROM (" + top("qd", "qid", 20) + ") UNION SELECT src, dst FROM edges WHERE src % 20 = 0) USING (qid, id))", "qid", 24) + ")"),
@@ -277,15 +276,17 @@ ORACLE_SQL: dict[str, str] = {
     "q_temporal_knn": sql("log qd", "SELECT seq, rk, id, dist FROM (" + top("(SELECT a.seq, qd.id, qd.dist FROM (SELECT seq, id AS qid FROM log WHERE type = 'query') a JOIN qd USING (qid) JOIN iv ON iv.id = qd.id AND iv.since < a.seq AND (iv.until IS NULL OR a.seq < iv.until))", "seq", 3) + ")",
         "iv AS (SELECT id, seq AS since, until FROM (SELECT id, seq, type, lead(seq) OVER (PARTITION BY id ORDER BY seq) AS until FROM log WHERE type <> 'query') WHERE type = 'insert')"),
     "q_uniform_clock": sql("log", "SELECT seq, count(*) OVER (ORDER BY seq) AS t FROM log"),
-    "q_decay_interval": "SELECT i, greatest(1, floor(10.0::DOUBLE / (pow(0.9::DOUBLE, (i % 500)::DOUBLE) + 0.1::DOUBLE))::INT) AS wait FROM range(2000) r(i) WHERE i // 500 % 2 = 1",
+    "q_decay_interval": sql("log", "SELECT seq, greatest(1, floor(10.0::DOUBLE / (pow(0.9::DOUBLE, ((seq - 1) % 500)::DOUBLE) + 0.1::DOUBLE))::INT) AS wait FROM log WHERE (seq - 1) // 500 % 2 = 1"),
     "q_cluster_drift": sql("v", exploded("id", "u", "(SELECT id, list_transform(w, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS u FROM (SELECT id, w, sqrt(" + ip("w", "w") + ") AS n FROM (SELECT id, list_transform(list_zip(vec, range(64)), lambda z: z[1] + 0.01::DOUBLE * (label + 1) * (z[2]::INT % 3)) AS w FROM v)))")),
     "q_delete_fifo": sql("victim", "SELECT 'fifo' AS policy, arg_min(id, born) AS id FROM victim"),
     "q_delete_lru": sql("victim", "SELECT 'lru' AS policy, arg_min(id, used) AS id FROM victim"),
     "q_delete_clustered": sql("victim", "SELECT 'clustered_low' AS policy, min(id) AS id FROM victim UNION ALL SELECT 'clustered_high', max(id) FROM victim"),
-    "q_zipf_cdf": "SELECT i::INT AS i, round(w / sum(w) OVER (), 9) AS p, round(sum(w) OVER (ORDER BY i) / sum(w) OVER (), 9) AS cdf FROM (SELECT i, pow(i::DOUBLE, -1.2::DOUBLE) AS w FROM range(1, 101) r(i))",
+    "q_zipf_cdf": sql("q", "SELECT qid, i, round(w / sum(w) OVER (), 9) AS p, round(sum(w) OVER (ORDER BY i) / sum(w) OVER (), 9) AS cdf FROM (SELECT qid, i, pow(i::DOUBLE, -1.2::DOUBLE) AS w FROM (SELECT qid, row_number() OVER (ORDER BY qid) AS i FROM q))"),
     "q_recent_inserts": sql("recent", "SELECT seq, id FROM recent"),
     "q_coupled_query": sql("recent q", "SELECT seq, id, query_id, dist FROM (" + top("(SELECT r.seq, v.id, q.qid AS query_id, " + d("v.vec", "q.qvec") + " AS dist FROM recent r JOIN v USING (id), q)", "seq", 1, "dist, query_id") + ")"),
-    "q_scenarios": f"SELECT * FROM (VALUES {_scenario_rows}) s({', '.join(Scenario.__dataclass_fields__)})",
+    "q_scenarios": sql("v log", f"""SELECT *, least(floor(n_events * insert_ratio)::BIGINT, n_pool) AS n_inserts, floor(n_events * delete_ratio)::BIGINT AS n_deletes,
+        n_events - floor(n_events * insert_ratio)::BIGINT - floor(n_events * delete_ratio)::BIGINT AS n_queries FROM (SELECT *, floor(n_vectors * base_init_ratio)::BIGINT AS n_base, n_vectors - floor(n_vectors * base_init_ratio)::BIGINT AS n_pool
+        FROM (VALUES {_scenario_rows}) s({', '.join(Scenario.__dataclass_fields__)}), (SELECT count(*) AS n_vectors FROM v), (SELECT count(*) AS n_events FROM log))"""),
     "q_base_split": sql("v", "SELECT id, CASE WHEN rn <= n THEN 'initial' ELSE 'pool' END AS part FROM (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM v), (SELECT floor(count(*) * 7 / 10) AS n FROM v)"),
     # Files: ids count from 0 in order; elements of files have 32 bits.
     "q_scan_fvecs": sql("num", exploded("place AS id", "vec", "num")),
