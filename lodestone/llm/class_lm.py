@@ -68,7 +68,6 @@ _CODED = pa.schema([
     ("tails", pa.binary()), ("doc_id", pa.binary()), ("size", pa.binary()), ("held", pa.binary()), ("codes", pa.binary()),
 ])
 _CODED_DDL = "bucket int, block bigint, words binary, at binary, n binary, end int, tails binary, doc_id binary, size binary, held binary, codes binary"
-_NO_ID = np.iinfo(np.int64).min
 
 
 def _coder(buckets: int):
@@ -78,15 +77,15 @@ def _coder(buckets: int):
         part, number = TaskContext.get().partitionId(), 0
         ids: list = []
         texts: list[bytes] = []
-        held: list[bool] = []
+        held: list[int] = []  # whether it is held out, and 2 more where there is no id
         load = 0
         for batch in batches:
             for doc_id, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
                 if texts and load + len(text) > BLOCK:
                     yield _block((part << 32) + number, ids, held, texts, buckets)
                     ids, texts, held, load, number = [], [], [], 0, number + 1
-                ids.append(_NO_ID if doc_id is None else doc_id)
-                held.append(h)
+                ids.append(doc_id or 0)
+                held.append(h + 2 * (doc_id is None))
                 texts.append(text)
                 load += len(text)
         if texts:
@@ -102,13 +101,13 @@ def _block(block: int, ids: list, held: list, texts: list[bytes], buckets: int)
         words = words_of(text)
         sizes.append(len(words))
         parts.append(np.fromiter((code.setdefault(w, len(code)) for w in words), np.int32, len(words)))
-    codes, sizes, out = np.concatenate(parts), np.array(sizes, np.int64), np.array(held, bool)
+    codes, sizes, held = np.concatenate(parts), np.array(sizes, np.int64), np.array(held, np.uint8)
     words = list(code)
-    n = np.bincount(codes[np.repeat(~out, sizes)], minlength=len(words))
+    n = np.bincount(codes[np.repeat(held & 1 == 0, sizes)], minlength=len(words))
     tails = np.fromiter(map(tail_of, words), np.uint16, len(words))
     rows = [{
         "block": block, "end": code[_END], "tails": tails.tobytes(), "doc_id": np.array(ids, np.int64).tobytes(), "size": sizes.tobytes(),
-        "held": out.tobytes(), "codes": codes.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32).tobytes(),
+        "held": held.tobytes(), "codes": codes.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32).tobytes(),
     }]
     bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(buckets)
     order = np.argsort(bucket, kind="stable").astype(np.int32)
@@ -162,7 +161,8 @@ class _Coded:
 
     def __init__(self, row: dict):
         read = lambda k, t: np.frombuffer(row[k], t)
-        self.ids, self.size, self.held = read("doc_id", np.int64), read("size", np.int64), read("held", bool)
+        self.ids, self.size, self.held = read("doc_id", np.int64), read("size", np.int64), read("held", np.uint8) & 1 == 1
+        self.no_id = read("held", np.uint8) > 1
         self.codes = read("codes", np.uint16 if len(row["codes"]) == 2 * self.size.sum() else np.uint32)
         self.starts = np.r_[0, np.cumsum(self.size)[:-1]]
         self.learned = np.repeat(~self.held, self.size)
@@ -364,7 +364,7 @@ def score(docs: DataFrame, held: int = 2, modulus: int = 7) -> DataFrame:
         x = np.frombuffer(row["codes"], np.uint16 if len(row["codes"]) == 2 * np.frombuffer(row["size"], np.int64).sum() else np.uint32)
         item = n_words + np.frombuffer(row["tails"], np.uint16).astype(np.int32) % np.int32(n_tails)
         item[row["end"]] = boundary
-        c = np.bincount(x[np.repeat(~np.frombuffer(row["held"], bool), np.frombuffer(row["size"], np.int64))], minlength=len(item))
+        c = np.bincount(x[np.repeat(np.frombuffer(row["held"], np.uint8) & 1 == 0, np.frombuffer(row["size"], np.int64))], minlength=len(item))
         for r in found.to_pylist():
             at, own = np.frombuffer(r["at"], np.int32), np.frombuffer(r["own"], np.int32)
             c[at] = np.frombuffer(r["c"], np.int64)
@@ -472,7 +472,7 @@ def score(docs: DataFrame, held: int = 2, modulus: int = 7) -> DataFrame:
                 base = np.log10(x.c + 1.0) - log_base
                 total = np.add.reduceat(log_trans[before, k] + emit[x.codes], x.starts)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array([None if i == _NO_ID else i for i in x.ids.tolist()], pa.int64()),
+                    "doc_id": pa.array(x.ids, pa.int64(), mask=x.no_id),
                     "held_out": x.held, "n_tokens": x.size, "n_known": np.add.reduceat((x.c > 0)[x.codes].astype(np.int64), x.starts),
                     "train_tokens": np.full(len(x.size), tokens, np.int64), "base_score": np.add.reduceat(base[x.codes], x.starts),
                     "score": total, "perplexity": 10.0 ** np.minimum(-total / x.size, 300.0),
