@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions import l2sq
+from lodestone.functions import l2sq, mips_base, mips_query, norm
 from lodestone.operators.knn import dimension, knn, top
 from lodestone.operators.snapshot import EpochTaken, discard, materialize, read_epoch, write_epoch
 
@@ -284,6 +284,19 @@ def greedy_search(queries: DataFrame, vectors: DataFrame, edges: DataFrame, star
     return queries.mapInPandas(search, FOUND)
 
 
+def mips_tables(vectors: DataFrame, queries: DataFrame, digits: int = 9) -> tuple[DataFrame, DataFrame]:
+    """vectors and queries with one element more, between which the nearest are those of largest inner product; build and search as with any others.
+
+    Elements have so many digits, so that equal inputs give equal tables
+    everywhere. Vectors are divided by the largest length of all of them.
+    """
+    dim = dimension(vectors)
+    short = lambda u: F.transform(u, lambda x: F.round(x, digits) + F.lit(0.0))
+    largest = vectors.agg(F.max(norm(F.col("vec"), dim)).alias("m"))
+    base = vectors.crossJoin(F.broadcast(largest)).select("id", short(mips_base(F.col("vec"), F.col("m"), dim)).alias("vec"))  # one row
+    return base, queries.select("qid", short(mips_query(F.col("qvec"), dim)).alias("qvec"))
+
+
 FOUND = "qid bigint, rk int, id bigint, dist double, steps int, evals int"
 
 

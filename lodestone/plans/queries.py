@@ -385,6 +385,14 @@ def q_repeated_edges(f):
     return graph.greedy_search(f.q, f.v.unionByName(f.v.where("id % 4 = 0")), again, 7, 10, K).select("qid", "rk", "id", "dist")
 
 
+@query
+def q_mips_search(f):
+    """A walk by inner product: a graph over the transformed vectors, searched with the transformed queries."""
+    base, asked = graph.mips_tables(f.v.select("id", "vec"), f.q)
+    base, asked = materialize(base), materialize(asked)
+    return graph.greedy_search(asked, base, materialize(graph.knn_graph(base, R, DIM + 1)), 7, 10, K).select("qid", "rk", "id", "dist")
+
+
 @query
 def q_ann_topk(f):
     return graph.greedy_search(f.q, f.v, f.edges, 7, 10, K, f.dead, over="expanded").select("qid", "rk", "id", "dist")

@@ -356,3 +356,8 @@ ORACLE_SQL["q_stream_events"] = ORACLE_SQL["q_stream_live"]
 ORACLE_SQL["q_deleted_bitmap"] = sql("v", "SELECT id, id % 7 = 3 OR id % 11 = 3 AS deleted, (SELECT count(*) FROM v WHERE id % 7 = 3 OR id % 11 = 3) AS n_deleted FROM v")
 ORACLE_SQL["q_stream_state"] = sql("log", """SELECT id, arg_max(type, seq) = 'insert' AS live, max(seq) AS seq, count_if(type = 'insert')::BIGINT AS inserts, count_if(type = 'delete')::BIGINT AS deletes
     FROM log WHERE type <> 'query' AND id IN (SELECT vec_id FROM embeddings) GROUP BY id""")
+ORACLE_SQL["q_mips_search"] = sql("mb mq", "SELECT qid, i::INT AS rk, wl[i].id AS id, wl[i].d AS dist FROM (SELECT qid, arg_max(wl, step) AS wl FROM g GROUP BY qid), range(1, 11) r(i) WHERE i <= len(wl)", ", ".join((
+    "bm AS MATERIALIZED (SELECT id, list_transform(u, lambda x: round(x, 9) + 0.0) AS u FROM mb)", "qm AS MATERIALIZED (SELECT qid, list_transform(w, lambda x: round(x, 9) + 0.0) AS w FROM mq)",
+    f"dm AS MATERIALIZED (SELECT a.id AS src, b.id AS dst, {d('a.u', 'b.u')} AS dist FROM bm a, bm b WHERE a.id <> b.id)", f"qdm AS MATERIALIZED (SELECT qid, id, {d('w', 'u')} AS dist FROM qm, bm)",
+    "em AS MATERIALIZED (" + top("dm", "src", 8, "dist, dst") + ")", "nm AS MATERIALIZED (SELECT qdm.qid, e.src, list({'d': qdm.dist, 'id': qdm.id}) AS l FROM em e JOIN qdm ON qdm.id = e.dst GROUP BY qdm.qid, e.src)",
+    walk("nm", 10, "qdm"))))

@@ -350,3 +350,17 @@ def test_a_batch_writes_what_it_changes(spark, tmp_path):
         index.apply(spark.createDataFrame(new, EVENTS), 0)
         rows[n] = spark.read.parquet(str(tmp_path / f"g{n}/delta=1/lists")).count()
     assert rows[400] < 1.3 * rows[100] and rows[400] <= 10 * 6 * 7
+
+
+def test_walks_by_inner_product(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (x * s).tolist()) for i, (x, s) in enumerate(zip(rng.normal(size=(300, DIM)), rng.uniform(0.2, 3, 300)))]  # of very different lengths
+    v, q = spark.createDataFrame(rows, "id long, vec array<double>"), queries(spark, 30)
+    base, asked = (snapshot.materialize(x) for x in graph.mips_tables(v, q))
+    found = graph.greedy_search(asked, base, graph.build(base, r=10, passes=0), graph.medoid(base), 40, 5).collect()
+    x = np.array([r[1] for r in rows])
+    hits = 0
+    for r in q.collect():
+        best = set(np.argsort(-(x @ np.array(r["qvec"])))[:5].tolist())
+        hits += len(best & {f["id"] for f in found if f["qid"] == r["qid"]})
+    assert hits >= 0.9 * 150
