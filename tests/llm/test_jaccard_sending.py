@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from test_llm import brute_join, edited, frame, words
 
-from lodestone.llm import jaccard_join
+from lodestone.llm import class_lm, jaccard_join
 
 
 class Task:
@@ -50,3 +50,9 @@ def test_join_of_small_batches_matches_brute_force(spark, monkeypatch, limits):
     ids = [np.iinfo(np.int64).min, *range(1, len(texts))]
     found = jaccard_join.join(frame(spark, texts, ids)).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in found) == sorted(brute_join(texts, ids))
+
+
+def test_every_bigint_can_be_an_id_of_a_scored_text(spark):
+    least = np.iinfo(np.int64).min
+    found = class_lm.score(frame(spark, ["a b c", "a b", "c", ""], [least, 0, None, 7])).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in found) == sorted([(str(least), 4), ("0", 3), ("None", 2), ("7", 1)])
