@@ -10,18 +10,20 @@ bins that agree by chance.
 from __future__ import annotations
 
 import hashlib
-import math
+import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.llm import textops
-from lodestone.llm.runtime import input_bytes, tune
+from lodestone.llm.runtime import input_bytes, materialize, tune
 
 BINS = 512  # a power of two
-BITS = 4  # 1, 2, 4 or 8
+BITS = 4  # 1, 2 or 4; 255 marks a text without words
 _ROUNDS = 1 << 14
 _FAN = 64
 
@@ -78,81 +80,74 @@ def _bins_of(texts: list[str]) -> np.ndarray:
     return signatures(*textops.utf8(pa.array(texts, pa.large_string())))
 
 
+_OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_EDGES = "part int, edge string, text string"
+
+
 def _fingerprints(batches):
-    held: list[tuple] = []
+    """Answers to all rows (doc_id, text) of a range but the last, and its first and last row."""
+    part, first, held = TaskContext.get().partitionId(), None, []
     for batch in batches:
-        rows = held + list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+        rows = held + list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        first = first or rows[:1]
         held = rows[-1:]
-        yield from _compare(rows)
-    # The last row of a bucket is always a copy of the next bucket's first, so nothing is left.
+        if len(rows) > 1:
+            found = _compare(rows)
+            yield pa.RecordBatch.from_arrays([*found.columns, *(pa.nulls(found.num_rows, kind) for kind in (pa.int32(), pa.string(), pa.string()))], names=[*found.schema.names, "part", "edge", "text"])
+    edges = [*(("first", *r) for r in first or ()), *(("last", *r) for r in held)]
+    if edges:
+        none = [pa.nulls(len(edges), kind) for kind in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+        own = [pa.array([e[1] for e in edges], pa.int64()), *none, pa.array([part] * len(edges), pa.int32()), pa.array([e[0] for e in edges]), pa.array([e[2] for e in edges], pa.string())]
+        yield pa.RecordBatch.from_arrays(own, names=[c.split()[0] for c in f"{_OUT}, {_EDGES}".split(", ")])
+
+
+def _compare_edges(batches):
+    """Answers to rows (doc_id, text, next)."""
+    for batch in batches:
+        for doc_id, text, after in zip(*(c.to_pylist() for c in batch.columns)):
+            yield _compare([(doc_id, text), (None, after)])
 
 
-def _compare(rows: list[tuple]):
-    """rows: bucket, tail, doc_id, text in order; all but the last are answered, tails never."""
-    at = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i][0] == rows[i + 1][0]]
-    if not at:
-        return
-    text = [r[3] or "" for r in rows]
-    edited = [text[i][: len(text[i]) - len(text[i]) // 2] + text[i + 1][: len(text[i]) // 2] for i in at]
+def _compare(rows: list[tuple]) -> pa.RecordBatch:
+    """rows: doc_id, text in order; all but the last are answered."""
+    text = [r[1] or "" for r in rows]
+    edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in itertools.pairwise(text)]
     bins, changed = _bins_of(text), _bins_of(edited)
-    here, there = bins[at], bins[[i + 1 for i in at]]
-    yield pa.RecordBatch.from_pydict({
-        "doc_id": pa.array([rows[i][2] for i in at], pa.int64()),
-        "n_chars": pa.array([len(text[i]) for i in at], pa.int64()),
+    return pa.RecordBatch.from_pydict({
+        "doc_id": pa.array([r[0] for r in rows[:-1]], pa.int64()),
+        "n_chars": pa.array([len(t) for t in text[:-1]], pa.int64()),
         "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in edited],
-        "fingerprint": [pack(r) for r in here],
+        "fingerprint": [pack(r) for r in bins[:-1]],
         "edited_fingerprint": [pack(r) for r in changed],
-        "near_edited": likeness(here, changed),
-        "near_next": likeness(here, there),
+        "near_edited": likeness(bins[:-1], changed),
+        "near_next": likeness(bins[:-1], bins[1:]),
     })
 
 
-def _bucket(key: Column, bounds: list) -> Column:
-    """How many of the sorted bounds are at most key, looked up in two levels of about equal width."""
-    if not bounds:
-        return F.lit(0)
-    count = lambda b: F.coalesce(F.size(F.filter(b, lambda x: x <= key)), F.lit(0))
-    literal = lambda values: F.from_json(F.lit(str(values)), "array<bigint>")
-    fan = max(_FAN, math.isqrt(len(bounds)))
-    if len(bounds) <= fan:
-        return count(literal(bounds))
-    groups = [bounds[i : i + fan] for i in range(0, len(bounds), fan)]
-    group = F.greatest(count(literal([g[0] for g in groups])) - 1, F.lit(0))
-    return group * fan + count(F.get(F.from_json(F.lit(str(groups)), "array<array<bigint>>"), group))
-
-
 def fingerprint(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited form, with their likeness and that of the next text.
 
     The edited form replaces the last half of the code points by as many from
     the start of the next document, by ascending doc_id, the first following the
-    last. Null texts count as empty, rows of one doc_id are ordered by text, and
-    null ids come first. An empty table gives no rows.
+    last. Null texts count as empty, rows of one doc_id are ordered by a hash of
+    their text, and null ids come first. An empty table gives no rows.
 
-    Texts move once: rows are dealt to buckets of consecutive ids and the first
-    row of each bucket is also sent to the bucket before it.
+    Texts move once, to ranges of ids and text hashes, so that one id, or none,
+    in very many rows is several ranges. A range answers all its rows but the
+    last and hands on its first and its last row; the answers are written, and
+    the last rows meet the first ones of the ranges behind them.
     """
     spark = docs.sparkSession
     tune(spark)
     low = -(1 << 63)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(low)))
+    keys = {"k": F.coalesce("doc_id", F.lit(low)), "h": F.xxhash64("text"), "u": F.monotonically_increasing_id()}
     n = max(_FAN, input_bytes(docs) >> 22)
-    parts = [i / n for i in range(1, n)]
-    bounds = rows.agg(F.percentile_approx("k", parts, 20 * n).alias("b")).first()["b"] or []
-    bucket = _bucket(F.col("k"), sorted(set(bounds)))
-    firsts = rows.groupBy(bucket.alias("b")).agg(F.min("k").alias("k")).orderBy("b").collect()  # n rows at most
-    first, before = [None] * (len(set(bounds)) + 1), [0] * (len(set(bounds)) + 1)
-    for i, r in enumerate(firsts):
-        first[r["b"]], before[r["b"]] = r["k"], firsts[i - 1]["b"]
-    as_array = lambda v: F.from_json(F.lit(str(v).replace("None", "null")), "array<bigint>")
-    rows = rows.withColumn("b", bucket.cast("int"))
-    place = lambda b, tail: F.struct(b.cast("int").alias("b"), F.lit(tail).alias("tail"))
-    here = place(F.col("b"), False)
-    both = F.array(here, place(F.get(as_array(before), F.col("b")), True))
-    dealt = rows.select("doc_id", "text", "k", F.explode(F.when(F.col("k") == F.get(as_array(first), F.col("b")), both).otherwise(F.array(here))).alias("p"))
-    dealt = dealt.select("p.b", "p.tail", "doc_id", "text", "k").repartition(n, "b").sortWithinPartitions("b", "tail", "k", "text")
-    return dealt.select("b", "tail", "doc_id", "text").mapInArrow(
-        _fingerprints,
-        "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
-    )
+    ranged = rows.withColumns(keys).repartitionByRange(n, "k", "h", "u").sortWithinPartitions("k", "h", "u")
+    written = materialize(ranged.select("doc_id", "text").mapInArrow(_fingerprints, f"{_OUT}, {_EDGES}"))
+    firsts, lasts = (written.where(F.col("edge") == edge) for edge in ("first", "last"))
+    # Numbers of the ranges that have rows, each with the one behind it: two numbers for each range.
+    order = firsts.select("part").withColumn("behind", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())))
+    behind = order.join(firsts.select(F.col("part").alias("behind"), F.col("text").alias("next")), "behind").select("part", "next")
+    ends = lasts.join(behind, "part").select("doc_id", "text", "next").mapInArrow(_compare_edges, _OUT)
+    return written.where("edge IS NULL").drop("part", "edge", "text").unionByName(ends)

@@ -204,3 +204,24 @@ def test_edited_texts_equal_their_sql(spark):
     want = sorted(duckdb.sql(sql).fetchall())
     rows = fingerprint.fingerprint(spark.read.parquet(f"{SF}/documents.parquet")).select("doc_id", "n_chars", "edited_sha256").collect()
     assert sorted(map(tuple, rows)) == want
+
+
+def test_fingerprints_of_one_id_in_many_ranges(spark, monkeypatch):
+    """Two thirds of all rows have one id or none; ranges of few rows, single ones among them."""
+    monkeypatch.setattr(fingerprint, "_FAN", 40)
+    rng = random.Random(3)
+    texts = [words(rng, rng.randrange(40)) for _ in range(60)] + ["same"] * 30
+    ids = [None] * 30 + [5] * 30 + list(range(100, 130))
+    rows = fingerprint.fingerprint(frame(spark, texts, ids)).collect()
+    assert len(rows) == 90 and sorted(str(r["doc_id"]) for r in rows) == sorted(map(str, ids))
+    # Whatever the order within an id, rows are a cycle: each text follows one text.
+    halves = lambda t, u: __import__("hashlib").sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest()
+    key = lambda t: fingerprint.pack(fingerprint._bins_of([t])[0])
+    of = {}
+    for i, t in zip(ids, texts):
+        of.setdefault((i, key(t), len(t)), []).append(t)
+    follows = {halves(t, u): u for t in texts for u in texts}
+    used = [follows[r["edited_sha256"]] for r in rows if r["n_chars"] >= 2]
+    assert len(used) > 80 and all((r["doc_id"], r["fingerprint"], r["n_chars"]) in of for r in rows)
+    tail = [r for r in rows if r["doc_id"] == 129][0]
+    assert tail["near_next"] < 1.0 or tail["n_chars"] == 4
