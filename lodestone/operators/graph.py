@@ -314,6 +314,9 @@ def pq_search(queries: DataFrame, vectors: DataFrame, codes: DataFrame, table: D
     are within GRAPH_BYTES, and no vectors; beyond, the walk goes by joins.
     """
     spark = queries.sparkSession
+    codes = codes.groupBy("id", "chunk").agg(F.min("code").alias("code"))  # repeated rows count once
+    table = table.groupBy("qid", "chunk", "code").agg(F.min("d2").alias("d2"))
+    queries = queries.groupBy("qid").agg(F.min("qvec").alias("qvec"))
     chunks = codes.agg(F.max("chunk")).first()[0]
     n_chunks = 0 if chunks is None else chunks + 1
     walked = queries.select("qid").distinct().join(_tables(table, n_chunks), "qid")

@@ -364,3 +364,15 @@ def test_walks_by_inner_product(spark):
         best = set(np.argsort(-(x @ np.array(r["qvec"])))[:5].tolist())
         hits += len(best & {f["id"] for f in found if f["qid"] == r["qid"]})
     assert hits >= 0.9 * 150
+
+
+@pytest.mark.parametrize("limit", [1 << 28, 0])
+def test_repeated_codes_count_once(spark, monkeypatch, limit):
+    monkeypatch.setattr(graph, "GRAPH_BYTES", limit)
+    v, q = vectors(spark, 40), queries(spark, 3)
+    edges = snapshot.materialize(graph.knn_graph(v, 4))
+    pivots = snapshot.materialize(knn.pivots(v, 8, 2, 4))
+    codes, table = snapshot.materialize(knn.encode(v, pivots, 2, 4)), snapshot.materialize(knn.distance_table(q, pivots, 2, 4))
+    want = sorted(map(tuple, graph.pq_search(q, v, codes, table, edges, 0, 4, 3).collect()))
+    twice = lambda df: df.unionByName(df.limit(17))
+    assert sorted(map(tuple, graph.pq_search(q, v, twice(codes), twice(table), twice(edges), 0, 4, 3).collect())) == want and len(want) == 9
