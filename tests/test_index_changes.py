@@ -304,13 +304,13 @@ def test_a_stream_changes_the_graph_as_tables_do(spark, tmp_path):
 @pytest.mark.parametrize("limit", [1 << 28, 0])
 def test_a_streamed_graph_is_repaired_and_finds_what_is_near(spark, tmp_path, monkeypatch, limit):
     """In place and, beyond the limit, by whole segments."""
-    v = vectors(spark, 120 if limit else 30)
+    v = vectors(spark, 120 if limit else 14)
     index = GraphIndex(spark, str(tmp_path / "g"), v, threshold=0.1, share=0.5, k=10, r=8)
     monkeypatch.setattr(graph, "GRAPH_BYTES", limit)
     batches = log(6)[:3] if limit else log(6, 12)[:1]
     for i, b in enumerate(batches):
         index.apply(spark.createDataFrame(b, EVENTS), i)
-    live = {i: None for i in range(120 if limit else 30)}
+    live = {i: None for i in range(120 if limit else 14)}
     for e in sorted((e for b in batches for e in b), key=lambda e: (e[1], e[0])):
         if e[2] == "insert" and e[4]:
             live[e[3]] = e[4]
@@ -322,7 +322,7 @@ def test_a_streamed_graph_is_repaired_and_finds_what_is_near(spark, tmp_path, mo
     assert state["since"] > 0 and state["segment"].startswith(f"segment={state['since']}-")
     names = [n for n in os.listdir(tmp_path / "g") if n.startswith(("segment=", "delta="))]
     assert len(names) <= 2 + len(batches)
-    q = queries(spark, 30 if limit else 5)
+    q = queries(spark, 30 if limit else 2)
     asked = q.select(F.col("qid").alias("seq"), F.lit(1).cast("long").alias("t"), F.lit("query").alias("type"), F.lit(0).cast("long").alias("id"), F.col("qvec").alias("vec"))
     index.apply(asked, len(batches))
     answers = spark.read.parquet(str(tmp_path / f"g/answers/epoch={len(batches)}"))
