@@ -55,3 +55,18 @@ def test_pairs_of_large_tables_are_no_rows(spark):
     v = spark.range(4000).select("id", F.array(*(F.randn(i) for i in range(8))).alias("vec"))
     plan = graph.knn_graph(v, 8, 8)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and "MapInArrow" in plan
+
+
+def test_the_table_function_sends_single_precision_and_scans_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(knn, "TABLE_BYTES", 300 * (4 * 8 + 16))
+    monkeypatch.setattr(knn, "SCAN", 7)
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, rng.integers(-1, 2, 8).astype(float).tolist()) for i in range(300)], "id bigint, vec array<double>")
+    q = v.where("id < 9").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    knn.register_knn(spark, v, "near_parts")
+    q.createOrReplaceTempView("asked_parts")
+    for k in (1, 4, 500):
+        found = spark.sql(f"SELECT a.qid, n.rk, n.id, n.dist FROM asked_parts a, LATERAL near_parts(a.qvec, {k}) n")
+        assert same(found) == same(knn.knn(q, v, k))
+    with pytest.raises(ValueError, match="one dimension"):
+        knn.register_knn(spark, v.unionAll(spark.createDataFrame([(300, [1.0])], v.schema)))
