@@ -70,3 +70,31 @@ def test_the_table_function_sends_single_precision_and_scans_in_parts(spark, mon
         assert same(found) == same(knn.knn(q, v, k))
     with pytest.raises(ValueError, match="one dimension"):
         knn.register_knn(spark, v.unionAll(spark.createDataFrame([(300, [1.0])], v.schema)))
+
+
+def test_a_vector_without_an_estimate_hides_no_nearer_one(spark):
+    """An infinite, a huge or a null vector in a batch is none of the k that bound the rest; lengths that single precision loses bound nothing."""
+    v = spark.createDataFrame([(0, [math.inf, 0.0]), (1, [1e200, 0.0]), *((i, [float(i), 0.0]) for i in range(2, 40))], "id bigint, vec array<double>").coalesce(1)
+    q = spark.createDataFrame([(0, [0.5, 0.0]), (1, [30.2, 1e-25]), (2, [1e19, 0.0])], "qid bigint, qvec array<double>")
+    cell, x = knn.Cell(3, 2), np.array([r["vec"] for r in v.orderBy("id").collect()])
+    cell.ask(np.arange(1), np.array([[0.5, 0.0]]), np.zeros(1, bool), np.full(1, math.nan))
+    assert not list(cell.meet(np.arange(40), x, np.zeros(40, bool)))
+    assert cell.answers()[1].tolist() == [2, 3, 4]
+    for scale in (1.0, 1e-24, 1e-170):
+        a, b = (df.withColumn(c, F.transform(c, lambda x, s=scale: x * s)) for df, c in ((q, "qvec"), (v, "vec")))
+        for k in (2, 3, 6):
+            assert same(knn.nearest(a, b, k, 2)) == same(knn.top(knn.distances(a, b, 2), "qid", k).select("qid", "rk", "id", "dist"))
+
+
+def test_an_estimate_is_no_wider_than_single_precision():
+    """Of 2,000 random vectors, few more than the k nearest are measured exactly."""
+    rng = np.random.default_rng(3)
+    q, v = rng.normal(size=(64, 16)), rng.normal(size=(2000, 16))
+    cell, measured = knn.Cell(5, 16), []
+    exact = cell._exact
+    cell._exact = lambda i, j, v: measured.append(len(i)) or exact(i, j, v)
+    cell.ask(np.arange(64), q, np.zeros(64, bool), np.full(64, math.nan))
+    assert not list(cell.meet(np.arange(2000), v, np.zeros(2000, bool)))
+    assert sum(measured) < 64 * 6 and cell.q_short.dtype == np.float32
+    want = np.cumsum((q[:, None] - v) ** 2, axis=2)[..., -1]
+    assert (cell.answers()[1].reshape(64, 5) == np.argsort(want, axis=1, kind="stable")[:, :5]).all()
