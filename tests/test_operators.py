@@ -549,6 +549,33 @@ def test_generating_stops_at_the_pool_and_repeats(spark):
     assert play(insert_ratio=0.0)["type"].isin(["query"]).all()  # nothing to delete
 
 
+def test_no_task_makes_a_whole_scenario(spark, monkeypatch):
+    """Blocks of 128 events, each drawn by itself, make one log: exact numbers, rising time, deletes as the policy says; where nothing is live any more, too."""
+    monkeypatch.setattr(ev, "MADE_BLOCK", 128)
+    by = {s.name: s for s in ev.SCENARIOS}
+    made = ev.generate(spark, ev.SCENARIOS, 3000, 700, 40).withColumn("part", F.spark_partition_id()).toPandas().sort_values(["scenario", "seq"])
+    assert made.groupby(["scenario", "part"]).size().max() < 1500 and set(made["scenario"]) == set(by)
+    for name, rows in made.groupby("scenario"):
+        s, used = by[name], {}
+        given = int(700 * s.base_init_ratio)
+        assert rows["seq"].tolist() == list(range(1, 3001)) and (np.diff(rows["t"]) > 0).all()
+        for seq, kind, i, near in rows[["seq", "type", "id", "near"]].itertuples(index=False):
+            if kind == "insert":
+                assert i == given
+                given, used[i] = given + 1, seq
+            elif kind == "delete":
+                assert i in used and (s.deletion_policy != "fifo" or i == min(used)) and (s.deletion_policy != "lru" or i == min(used, key=used.get))
+                del used[i]
+            elif near:
+                assert given - s.locality_window <= i < given
+                used.update({i: seq} if i in used else {})
+            else:
+                assert 0 <= i < 40
+        assert (rows["type"] == "insert").sum() == min(int(3000 * s.insert_ratio), 700 - int(700 * s.base_init_ratio))
+    few = ev.generate(spark, ev.SCENARIOS, 3000, 40, 5).where("type = 'delete'").groupBy("scenario").count().collect()
+    assert len(few) == 8 and all(r["count"] <= 40 - int(40 * by[r["scenario"]].base_init_ratio) for r in few)
+
+
 def test_violations_are_counted(spark):
     rows = [(1, 5, "insert", 1), (2, 4, "delete", 2), (3, 6, "odd", None)]
     got = ev.violations(spark.createDataFrame(rows, "seq long, t long, type string, id long")).first()
