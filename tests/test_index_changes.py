@@ -386,3 +386,19 @@ def test_probes_grow_until_the_share_asked_for_is_found(spark, tmp_path):
     truth = snapshot.materialize(knn.knn(q, v, 10))
     assert metrics.recall(truth, index.search(q, 10, probes=2), (10,)).first()["recall"] < 90
     assert metrics.recall(truth, index.search(q, 10, probes=2, least=0.9), (10,)).first()["recall"] >= 90
+
+
+def test_an_insert_keeps_the_distances_that_its_search_found(spark, monkeypatch):
+    """What a walk met is not joined with both vectors again: of the new vectors' candidates none, of the nodes linked back one table of pairs."""
+    rng = np.random.default_rng(11)
+    v = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(60)], "id bigint, vec array<double>")
+    old, new = v.where("id < 50"), v.where("id >= 50")
+    base = graph.build(old, passes=0)
+    asked, plain = [], graph.with_distances
+    monkeypatch.setattr(graph, "with_distances", lambda pairs, *a: asked.append(pairs) or plain(pairs, *a))
+    edges = graph.insert(old, base, new, 0)
+    assert len(asked) == 1
+    vecs = {r["id"]: np.array(r["vec"]) for r in v.collect()}
+    for r in edges.collect():
+        d = vecs[r["src"]] - vecs[r["dst"]]
+        assert r["dist"] == np.cumsum(d * d)[-1]
