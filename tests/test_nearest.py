@@ -98,3 +98,27 @@ def test_an_estimate_is_no_wider_than_single_precision():
     assert sum(measured) < 64 * 6 and cell.q_short.dtype == np.float32
     want = np.cumsum((q[:, None] - v) ** 2, axis=2)[..., -1]
     assert (cell.answers()[1].reshape(64, 5) == np.argsort(want, axis=1, kind="stable")[:, :5]).all()
+
+
+@pytest.mark.parametrize("cell", [knn.CELL, 2000])
+@pytest.mark.parametrize("k", [1, 5, 200])
+def test_sums_of_a_grid_are_those_of_pairs(spark, monkeypatch, k, cell):
+    """With null and NaN parts, repeated queries, keys that one side has not and sums that tie only to nine digits."""
+    monkeypatch.setattr(knn, "CELL", cell)
+    monkeypatch.setattr(knn, "TILE", 64)
+    v, q = table(spark, 150, ""), table(spark, 40, "q")
+    pivots = knn.pivots(v.where("id > 7"), 16, 2, 2)
+    codes, asked = knn.encode(v, pivots, 2, 2), knn.distance_table(q.unionAll(q.where("qid % 9 = 4")), pivots, 2, 2)
+    rows = [(i % 50, i % 2, (i * 7) % 13) for i in range(100)]
+    other = spark.createDataFrame(rows, "id bigint, chunk int, code int"), spark.createDataFrame([(j, c, x, None if x == j else 0.1234567885 + (x * j % 7) * 1e-10) for j in range(5) for c in range(2) for x in range(11) if x != 2 * j], "qid bigint, chunk int, code int, d2 double")
+    for a, b in ((codes, asked), other):
+        assert same(knn.adc_top(a, b, k)) == same(knn.top(knn.adc(a, b), "qid", k).select("qid", "rk", "id", "dist"))
+        assert knn.adc_top(a.limit(0), b, k).count() == 0 == knn.adc_top(a, b.limit(0), k).count()
+
+
+@pytest.mark.parametrize("name", ["q_pq_adc_distance"])
+def test_quantised_distances_of_large_tables_are_no_rows(spark, monkeypatch, name):
+    """Pairs of a query and a vector are neither joined nor summed by a shuffle."""
+    monkeypatch.setattr(knn, "adc", None)
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "sum(d2" not in plan
