@@ -116,7 +116,7 @@ def test_sums_of_a_grid_are_those_of_pairs(spark, monkeypatch, k, cell):
         assert knn.adc_top(a.limit(0), b, k).count() == 0 == knn.adc_top(a, b.limit(0), k).count()
 
 
-@pytest.mark.parametrize("name", ["q_pq_adc_distance"])
+@pytest.mark.parametrize("name", ["q_pq_adc_distance", "q_pq_rerank"])
 def test_quantised_distances_of_large_tables_are_no_rows(spark, monkeypatch, name):
     """Pairs of a query and a vector are neither joined nor summed by a shuffle."""
     monkeypatch.setattr(knn, "adc", None)
