@@ -74,6 +74,27 @@ def test_batches_have_at_most_so_many_events_in_their_order(spark, tmp_path):
     assert index.epoch == 8 and sorted(os.listdir(tmp_path / "i/batches")) == ["0", "1"]
 
 
+def test_batches_of_a_trigger_read_their_own_files_only(spark, tmp_path):
+    """A batch costs what it holds, however many a trigger has, and few jobs."""
+    write(str(tmp_path / "in"), log(130, 2), 50)
+    static = spark.createDataFrame([(i, [float(i)] * 3) for i in range(25)], "id long, vec array<double>")
+    index = Index(spark, str(tmp_path / "i"), static, threshold=10, fresh_share=10)
+    read, jobs, apply = [], [], index.apply
+    nth = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+
+    def counted(df, epoch):
+        read.append(set(df.inputFiles()))
+        before = nth()
+        apply(df, epoch)
+        jobs.append(nth() - before)
+
+    index.apply = counted
+    replay(spark, str(tmp_path / "in"), index, str(tmp_path / "c"), files_per_batch=9, events=40)
+    assert len(read) == 4 and sum(map(len, read)) == len(set.union(*read))
+    assert max(jobs) < 40, jobs
+    assert {r["qid"] for r in index.answers().collect()} == {r["seq"] for r in log(130, 2) if r["type"] == "query" and r.get("vec")}
+
+
 @pytest.mark.parametrize(("block", "part"), [(4096, 50_000), (7, 3), (1, 1)])
 def test_temporal_truth_matches_brute_force(spark, monkeypatch, block, part):
     monkeypatch.setattr(ev, "BLOCK", block)
